@@ -98,7 +98,8 @@ RAW_HEADERS = ["row_key", "claim_no", "date_of_loss", "reported_date", "paid_amo
 
 
 def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: bool = True,
-               run_id: str = FIXTURE_RUN, tenant_id: str = FIXTURE_TENANT) -> DataFrame:
+               run_id: str = FIXTURE_RUN, tenant_id: str = FIXTURE_TENANT,
+               keep_raw: tuple[str, ...] = ()) -> DataFrame:
     """Standardised claims with ``row_id`` (file order = order keys) and ``run_id``.
 
     The numbered frame is checkpointed once (``number_rows``), so every
@@ -111,5 +112,6 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
     if numbered:
         raw = number_rows(raw, ORDER_KEYS)
         keep = ["row_id"]
+    keep += [c for c in keep_raw if c not in keep]
     return standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
                        run_id=run_id, keep=keep)
