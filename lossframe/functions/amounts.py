@@ -17,18 +17,29 @@ PAREN_SHAPE = "^\\s*\\(.*\\)\\s*$"
 MONEY_SQL = "decimal(28,6)"
 
 
+def amount_text_parts(c: Column) -> tuple[Column, Column, Column]:
+    """(raw text, text reduced to [0-9.-], space-trimmed text)."""
+    raw = c.cast("string")
+    # U+2212 -> '-', then keep only [0-9.-]; this also drops the thousands
+    # mark, '$', whitespace and parentheses, so one regex does all of it
+    s = F.regexp_replace(F.translate(raw, "−", "-"), "[^0-9.\\-]", "")
+    return raw, s, F.trim(raw)
+
+
+def parse_amount_parts(raw: Column, stripped: Column, trimmed: Column) -> Column:
+    """F3 from precomputed parts: scientific text as a number, else the
+    stripped text; parentheses make the value negative."""
+    # cheap character tests guard the regexes (And short-circuits)
+    sci = (trimmed.contains("e") | trimmed.contains("E")) & trimmed.rlike(SCIENTIFIC_SHAPE)
+    paren = raw.contains("(") & raw.rlike(PAREN_SHAPE)
+    parsed = F.when(sci, trimmed.try_cast(MONEY)).otherwise(stripped.try_cast(MONEY))
+    return F.when(paren, -F.abs(parsed)).otherwise(parsed).cast(MONEY)
+
+
 def clean_amount_text(c: Column) -> Column:
     """F3 on text: unicode minus -> '-', drop thousands marks, keep [0-9.-],
     wrap in parentheses -> negative; scientific notation is read as a number."""
-    raw = c.cast("string")
-    s = F.regexp_replace(raw, "−", "-")
-    s = F.regexp_replace(s, "\\" + BIG_MARK, "")
-    s = F.regexp_replace(s, "[$\\s()]", "")
-    s = F.regexp_replace(s, "[^0-9.\\-]", "")
-    trimmed = F.trim(raw)
-    parsed = F.when(trimmed.rlike(SCIENTIFIC_SHAPE), trimmed.try_cast(MONEY)).otherwise(s.try_cast(MONEY))
-    neg = raw.rlike(PAREN_SHAPE)
-    return F.when(neg & parsed.isNotNull(), -F.abs(parsed)).otherwise(parsed).cast(MONEY)
+    return parse_amount_parts(*amount_text_parts(c))
 
 
 def clean_amount(c: Column, dtype: T.DataType | None = None) -> Column:

@@ -21,6 +21,8 @@ ISO_TS_SHAPE = "^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?(Z|[+-
 NUMERIC_SHAPE = "^\\d+(\\.\\d+)?$"
 
 # (shape regex on the collapsed text, Spark pattern, two-digit year?)
+# Shapes are written as regexes (the DuckDB oracle uses them verbatim); the
+# Spark side checks the equivalent set of digit/letter signatures.
 _D_M_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "d-M-yyyy", False)
 _Y4_M_D = ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "yyyy-M-d", False)
 _D_B_Y4 = ("^\\d{1,2}-[A-Za-z]{3}-\\d{4}$", "d-MMM-yyyy", False)
@@ -29,6 +31,28 @@ _M_D_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "M-d-yyyy", False)
 _B_D_Y4 = ("^[A-Za-z]{3}-\\d{1,2}-\\d{4}$", "MMM-d-yyyy", False)
 _M_D_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "M-d-yy", True)
 
+_DIGITS = "0123456789"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# Java regex \s without UNICODE_CHARACTER_CLASS: space, \t, \n, \x0B, \f, \r
+_SEP_CHARS = " \t\n\x0b\f\r,./"
+
+
+def _signatures(shape: str) -> list[str]:
+    """Expand a shape regex of the forms above into its digit ('9') / letter
+    ('a') signatures, e.g. ^\\d{1,2}-\\d{4}$ -> ['9-9999', '99-9999']."""
+    import itertools
+    import re
+    parts = []
+    for tok in re.findall(r"\\d\{(\d)(?:,(\d))?\}|\[A-Za-z\]\{(\d)\}|(-)", shape):
+        lo, hi, letters, dash = tok
+        if dash:
+            parts.append(["-"])
+        elif letters:
+            parts.append(["a" * int(letters)])
+        else:
+            parts.append(["9" * k for k in range(int(lo), int(hi or lo) + 1)])
+    return ["".join(p) for p in itertools.product(*parts)]
+
 # Locale -> ordered patterns (after separator collapse, AU d/m/Y == d.m.Y etc.).
 LOCALE_PATTERNS = {
     "AU": [_D_M_Y4, _Y4_M_D, _D_B_Y4, _D_M_Y2],
@@ -50,23 +74,44 @@ def excel_serial_to_date(n: Column) -> Column:
     )
 
 
-def parse_date_text(c: Column, locale: str = "AU") -> Column:
-    """Parse free-text dates for a locale profile; NULL when nothing matches."""
+def date_text_parts(c: Column) -> tuple[Column, Column]:
+    """(trimmed text, text with separator runs collapsed to '-').
+
+    Equivalent to ``regexp_replace(s, '[\\s,./-]+', '-')``: separators are
+    mapped to '-' by ``translate`` and the (rare) runs are collapsed only
+    when one is present."""
+    s = trim_ws(c.cast("string"))
+    t = F.translate(s, _SEP_CHARS, "-" * len(_SEP_CHARS))
+    return s, F.when(t.contains("--"), F.regexp_replace(t, "-+", "-")).otherwise(t)
+
+
+def _signature(collapsed: Column) -> Column:
+    return F.translate(collapsed, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
+
+
+def parse_date_parts(s: Column, collapsed: Column, locale: str = "AU") -> Column:
+    """Parse from precomputed parts (see ``date_text_parts``). Used by the
+    staged standardise projection so each helper regex runs once per value."""
     if locale not in LOCALE_PATTERNS:
         raise ValueError(f"unknown locale profile {locale!r}")
-    s = trim_ws(c.cast("string"))
-    collapsed = F.regexp_replace(s, SEPARATORS, "-")
-    tries = [F.when(s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))]
+    tries = [F.when((F.length(s) > 15) & s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))]
+    sig = _signature(collapsed)
     for shape, fmt, two_digit in LOCALE_PATTERNS[locale]:
         d = F.to_date(F.try_to_timestamp(collapsed, F.lit(fmt)))
         if two_digit:
             d = _two_digit_fix(d)
-        tries.append(F.when(collapsed.rlike(shape), d))
+        tries.append(F.when(sig.isin(*_signatures(shape)), d))
     # purely numeric text behaves like a numeric cell: Excel serial or nothing
     tries.append(F.when(s.rlike(NUMERIC_SHAPE), excel_serial_to_date(s)))
     return F.coalesce(*tries)
 
 
+def parse_date_text(c: Column, locale: str = "AU") -> Column:
+    """Parse free-text dates for a locale profile; NULL when nothing matches."""
+    s, collapsed = date_text_parts(c)
+    return parse_date_parts(s, collapsed, locale)
+
+
 def parse_date(c: Column, dtype: T.DataType | None = None, locale: str = "AU") -> Column:
     """typed dates pass through, numbers are Excel serials, text is parsed."""
     if isinstance(dtype, T.DateType):

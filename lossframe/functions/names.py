@@ -29,8 +29,10 @@ def normalize_name_col(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    """trimws(): strip spaces, tabs, CR and LF at both ends (Spark trim() strips spaces only)."""
-    return F.regexp_replace(c, _TRIM_RE, "")
+    """trimws(): strip spaces, tabs, CR and LF at both ends (plain trim() strips spaces only).
+
+    ``trim(BOTH chars FROM x)`` is a character scan, far cheaper than a regex."""
+    return F.trim(c, F.lit(" \t\r\n"))
 
 
 def norm_id(c: Column) -> Column:

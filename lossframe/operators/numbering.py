@@ -1,23 +1,22 @@
 """Global ordering helpers: stable row numbers (S7) and prefix sums.
 
 Both avoid an unpartitioned window (which would move every row into one
-task). The frame is range-partitioned on the ordering key and sorted inside
-each partition; per-partition counts (one number per partition, never per
+task). Rows are range-partitioned on the ordering key and ordered inside
+each partition; per-partition totals (one number per partition, never per
 row) give each partition its offset.
 
-The locally numbered frame is checkpointed to the reliable checkpoint
-folder before offsets are taken, so partition ids and local positions
+The locally numbered frame is written once to the reliable checkpoint
+folder (``persist_table``) before offsets are taken, so partition ids and local positions
 cannot drift if a task is recomputed after an executor loss or if adaptive
 execution plans the shuffle read differently on a second pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lossframe.session import checkpoint_dir
+from lossframe.session import persist_table
 
 _PID = "_lf_pid"
 _MID = "_lf_mid"
@@ -33,17 +32,14 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "row_id",
                 num_partitions: int | None = None) -> DataFrame:
     """Attach ``name`` = 1..n following ``order_cols`` (ties keep no defined order).
 
-    Cost: one range shuffle, one checkpoint write, one tiny aggregate of
+    Cost: one range shuffle, one Parquet write, one tiny aggregate of
     per-partition counts collected to the driver (at most ``num_partitions``
     rows) and a broadcast-free projection using them as a literal array.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     n = _partitions(df, num_partitions)
-    local = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-             .withColumn(_PID, F.spark_partition_id())
-             .withColumn(_MID, F.monotonically_increasing_id())
-             .checkpoint(eager=True))
+    local = persist_table(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                          .withColumn(_PID, F.spark_partition_id())
+                          .withColumn(_MID, F.monotonically_increasing_id()), "rownum")
     stats = (local.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"), F.min(_MID).alias("base"))
              .orderBy(_PID).collect())
     offsets, bases, acc = {}, {}, 0
@@ -61,40 +57,40 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "row_id",
     return local.withColumn(name, rid.cast("long")).drop(_PID, _MID)
 
 
-def _running_before(schema: T.StructType, weight: str):
-    """mapInPandas body: exclusive running sum of ``weight`` in arrival order."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry = 0
-        for pdf in batches:
-            w = pdf[weight].astype("int64")
-            cs = w.cumsum()
-            pdf = pdf.assign(_lf_before=(cs - w + carry).astype("int64"), _lf_pid=pid)
-            carry += int(w.sum())
-            yield pdf
-
-    return run
+def _bucket_of(v, bounds: list, lo: int, hi: int):
+    """Index of the first bound >= v (len(bounds) when above all), as a
+    balanced CASE tree: log2(#buckets) comparisons per row, no lookup table."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v <= F.lit(bounds[mid]), _bucket_of(v, bounds, lo, mid)).otherwise(
+        _bucket_of(v, bounds, mid + 1, hi))
 
 
 def prefix_counts(df: DataFrame, order_col: str, weight_col: str,
                   num_partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Exclusive prefix sums of ``weight_col`` in ``order_col`` order.
-
-    Returns ``(frame with _before, total)``. The frame is checkpointed; the
-    driver only sees one (partition, total) pair per partition.
+    """Exclusive prefix sums of ``weight_col`` in ``order_col`` order (the
+    order column must be unique, e.g. after ``groupBy(value).count()``).
+
+    Plan: approximate range bounds of the order column (one aggregate,
+    ``num_partitions - 1`` values to the driver) give every row a bucket
+    that is a pure function of its value; ONE hash exchange on the bucket
+    co-locates each range, a window running sum inside the bucket gives the
+    local prefix, and per-bucket totals (one row per bucket) give offsets.
+    Everything is deterministic, so no intermediate needs persisting, and
+    no task ever holds more than one range.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     n = _partitions(df, num_partitions)
-    out_schema = T.StructType(list(df.schema.fields) + [
-        T.StructField("_lf_before", T.LongType()), T.StructField(_PID, T.IntegerType())])
-    local = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
-             .mapInPandas(_running_before(df.schema, weight_col), out_schema)
-             .checkpoint(eager=True))
-    stats = local.groupBy(_PID).agg(F.sum(weight_col).alias("w")).orderBy(_PID).collect()
+    probs = [i / n for i in range(1, n)]
+    bounds = []
+    if probs:
+        row = df.agg(F.percentile_approx(order_col, probs, 10_000).alias("b")).collect()[0]
+        bounds = sorted(set(x for x in (row["b"] or []) if x is not None))
+    bucket = _bucket_of(F.col(order_col), bounds, 0, len(bounds)) if bounds else F.lit(0)
+    keyed = df.withColumn(_PID, bucket.cast("int")).repartition(n, _PID)
+    w = Window.partitionBy(_PID).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed.withColumn("_lf_before", F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("long"))
+    stats = keyed.groupBy(_PID).agg(F.sum(weight_col).alias("w")).orderBy(_PID).collect()
     offsets, acc = {}, 0
     for r in stats:
         offsets[r[_PID]] = acc

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lossframe.constants import MONEY, STANDARD_FIELDS
-from lossframe.functions.amounts import clean_amount, fill_incurred
-from lossframe.functions.dates import parse_date
+from lossframe.functions.amounts import amount_text_parts, clean_amount, fill_incurred, parse_amount_parts
+from lossframe.functions.dates import date_text_parts, parse_date, parse_date_parts
 from lossframe.functions.names import trim_ws
 
 SOURCE_PAGE_COLUMNS = ("..source_page..", "source_page")
@@ -33,20 +33,19 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     ``mapping``: standard field -> raw column ("" or a missing column gives
     NULL, so one bad file does not sink a multi-file run). ``keep`` carries
     lineage columns such as ``row_id`` through unchanged.
+
+    Three narrow projections, all inside one codegen stage: (1) text helpers
+    computed once per value (trimmed text, collapsed date separators,
+    stripped money text); (2) parsing from those columns; (3) filling
+    incurred from paid + outstanding. Catalyst does not re-inline a
+    non-trivial expression that is referenced more than once, so each regex
+    runs once per value.
     """
     unknown = set(mapping) - set(STANDARD_FIELDS)
     if unknown:
         raise ValueError(f"unknown standard fields in mapping: {sorted(unknown)}")
     src = {f: _source(df, mapping.get(f, "")) for f in STANDARD_FIELDS}
 
-    def text(field: str) -> Column:
-        c, dt = src[field]
-        return c.cast("string")
-
-    paid = clean_amount(*src["paid"])
-    incurred = clean_amount(*src["incurred"])
-    outstanding = clean_amount(*src["outstanding"])
-
     if isinstance(source_file, Column):
         sf = source_file.cast("string")
     else:
@@ -54,25 +53,60 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     page_col = next((c for c in SOURCE_PAGE_COLUMNS if c in df.columns), None)
     page = F.col(f"`{page_col}`").try_cast("int") if page_col else F.lit(None).cast("int")
 
+    def is_text(field: str) -> bool:
+        return isinstance(src[field][1], (T.StringType, T.VarcharType, T.CharType))
+
+    # stage 1: raw values and text helpers
+    s1 = [src[f][0].alias(f"_src_{f}") for f in STANDARD_FIELDS]
+    for f in ("loss_date", "report_date"):
+        if is_text(f):
+            s_, coll = date_text_parts(src[f][0])
+            s1 += [s_.alias(f"_s_{f}"), coll.alias(f"_c_{f}")]
+    for f in ("paid", "incurred", "outstanding"):
+        if is_text(f):
+            raw, stripped, trimmed = amount_text_parts(src[f][0])
+            s1 += [raw.alias(f"_r_{f}"), stripped.alias(f"_x_{f}"), trimmed.alias(f"_t_{f}")]
+    s1 += [sf.alias("source_file"), page.alias("source_page")]
+    s1 += [F.col(f"`{k}`") for k in keep]
+    stage1 = df.select(*s1)
+
+    # stage 2: parse
+    c = F.col
+
+    def date_expr(f: str) -> Column:
+        if is_text(f):
+            return parse_date_parts(c(f"_s_{f}"), c(f"_c_{f}"), locale)
+        return parse_date(c(f"_src_{f}"), src[f][1], locale)
+
+    def money_expr(f: str) -> Column:
+        if is_text(f):
+            return parse_amount_parts(c(f"_r_{f}"), c(f"_x_{f}"), c(f"_t_{f}"))
+        return clean_amount(c(f"_src_{f}"), src[f][1])
+
+    stage2 = stage1.select(
+        c("_src_claim_id").cast("string").alias("claim_id"),
+        date_expr("loss_date").alias("loss_date"),
+        date_expr("report_date").alias("report_date"),
+        money_expr("paid").alias("paid"),
+        money_expr("incurred").alias("_incurred_raw"),
+        money_expr("outstanding").alias("outstanding"),
+        F.upper(trim_ws(c("_src_currency").cast("string"))).alias("currency"),
+        c("_src_policy_number").cast("string").alias("policy_number"),
+        c("_src_status").cast("string").alias("status"),
+        c("_src_claimant").cast("string").alias("claimant"),
+        "source_file", "source_page", *[F.col(f"`{k}`") for k in keep])
+
+    # stage 3: fill incurred, stamp tenant / run
     cols = [
-        text("claim_id").alias("claim_id"),
-        parse_date(*src["loss_date"], locale=locale).alias("loss_date"),
-        parse_date(*src["report_date"], locale=locale).alias("report_date"),
-        paid.alias("paid"),
-        fill_incurred(incurred, paid, outstanding).cast(MONEY).alias("incurred"),
-        outstanding.alias("outstanding"),
-        F.upper(trim_ws(text("currency"))).alias("currency"),
-        text("policy_number").alias("policy_number"),
-        text("status").alias("status"),
-        text("claimant").alias("claimant"),
-        sf.alias("source_file"),
-        page.alias("source_page"),
+        "claim_id", "loss_date", "report_date", "paid",
+        fill_incurred(c("_incurred_raw"), c("paid"), c("outstanding")).cast(MONEY).alias("incurred"),
+        "outstanding", "currency", "policy_number", "status", "claimant", "source_file", "source_page",
         F.lit(tenant_id).cast("string").alias("tenant_id"),
     ]
     if run_id is not None:
         cols.append(F.lit(run_id).cast("string").alias("run_id"))
     cols += [F.col(f"`{k}`") for k in keep]
-    return df.select(*cols)
+    return stage2.select(*cols)
 
 
 def incurred_was_filled(df: DataFrame, mapping: dict[str, str]) -> Column:

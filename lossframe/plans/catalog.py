@@ -131,8 +131,8 @@ def q_union_files(spark, sf):
     """S2 + M2 + M3: three 'files' with different headers (one lacking the
     claimant column), each mapped by its own guessed mapping, standardised
     and unioned by name with per-file lineage."""
-    raw = claims_raw(spark, sf).join(
-        table(spark, sf, "lineitem").select(*ORDER_KEYS, "l_returnflag"), ORDER_KEYS)
+    from lossframe.session import persist_table
+    raw = persist_table(claims_raw(spark, sf), "raw")
     renames = {
         "A": {},
         "N": {"claim_no": "ClaimNumber", "date_of_loss": "Incident Date", "reported_date": "Date Reported",

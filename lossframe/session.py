@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,3 +55,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="lossframe-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def persist_table(df, name: str = "table"):
+    """Write ``df`` as Parquet under the reliable checkpoint folder and read it back.
+
+    This cuts lineage like ``checkpoint()`` but costs one pass instead of two
+    (RDD checkpointing recomputes an unpersisted input), and later plans get
+    column pruning and filter pushdown on the stored table. Task retries are
+    safe: only committed task output is kept.
+    """
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/lossframe-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
