@@ -20,16 +20,28 @@ SEPARATORS = "[\\s,./-]+"
 ISO_TS_SHAPE = "^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?$"
 NUMERIC_SHAPE = "^\\d+(\\.\\d+)?$"
 
-# (shape regex on the collapsed text, Spark pattern, two-digit year?)
-# Shapes are written as regexes (the DuckDB oracle uses them verbatim); the
-# Spark side checks the equivalent set of digit/letter signatures.
-_D_M_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "d-M-yyyy", False)
-_Y4_M_D = ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "yyyy-M-d", False)
-_D_B_Y4 = ("^\\d{1,2}-[A-Za-z]{3}-\\d{4}$", "d-MMM-yyyy", False)
-_D_M_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "d-M-yy", True)
-_M_D_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "M-d-yyyy", False)
-_B_D_Y4 = ("^[A-Za-z]{3}-\\d{1,2}-\\d{4}$", "MMM-d-yyyy", False)
-_M_D_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "M-d-yy", True)
+# (shape regex on the collapsed text, field order, pattern name)
+# Field order codes: d day, m month number, b month abbreviation, Y four-digit
+# year, y two-digit year. Shapes are regexes (the DuckDB oracle uses them
+# verbatim); the Spark side checks the equivalent digit/letter signatures.
+_D_M_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "dmY", "d-M-yyyy")
+_Y4_M_D = ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "Ymd", "yyyy-M-d")
+_D_B_Y4 = ("^\\d{1,2}-[A-Za-z]{3}-\\d{4}$", "dbY", "d-MMM-yyyy")
+_D_M_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "dmy", "d-M-yy")
+_M_D_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "mdY", "M-d-yyyy")
+_B_D_Y4 = ("^[A-Za-z]{3}-\\d{1,2}-\\d{4}$", "bdY", "MMM-d-yyyy")
+_M_D_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "mdy", "M-d-yy")
+
+# Locale -> ordered patterns (after separator collapse, AU d/m/Y == d.m.Y etc.).
+LOCALE_PATTERNS = {
+    "AU": [_D_M_Y4, _Y4_M_D, _D_B_Y4, _D_M_Y2],
+    "US": [_M_D_Y4, _Y4_M_D, _B_D_Y4, _M_D_Y2],
+}
+
+# English month abbreviations, January first.
+MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+# Two-digit years: 69-99 are 1900s, 00-68 are 2000s.
+TWO_DIGIT_PIVOT = 69
 
 _DIGITS = "0123456789"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -53,16 +65,21 @@ def _signatures(shape: str) -> list[str]:
             parts.append(["9" * k for k in range(int(lo), int(hi or lo) + 1)])
     return ["".join(p) for p in itertools.product(*parts)]
 
-# Locale -> ordered patterns (after separator collapse, AU d/m/Y == d.m.Y etc.).
-LOCALE_PATTERNS = {
-    "AU": [_D_M_Y4, _Y4_M_D, _D_B_Y4, _D_M_Y2],
-    "US": [_M_D_Y4, _Y4_M_D, _B_D_Y4, _M_D_Y2],
-}
+_MONTHS_TEXT = "".join(MONTH_ABBREVIATIONS)
+
+
+def _month_number(name: Column) -> Column:
+    """1..12 for a three-letter English month abbreviation (any case), else NULL."""
+    pos = F.instr(F.lit(_MONTHS_TEXT), F.lower(name))
+    return F.when((F.length(name) == 3) & (pos % 3 == 1), ((pos + 2) / 3).cast("int"))
 
 
-def _two_digit_fix(d: Column) -> Column:
-    """Spark maps ``yy`` into 2000-2099; R maps 69-99 to the 1900s."""
-    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+def _valid_date(year: Column, month: Column, day: Column) -> Column:
+    """make_date only for a real calendar date, else NULL (And short-circuits,
+    so make_date never sees an invalid year or month)."""
+    ok_ym = (year >= 1) & (year <= 9999) & (month >= 1) & (month <= 12) & (day >= 1)
+    last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(ok_ym, F.when(day <= last, F.make_date(year, month, day)))
 
 
 def excel_serial_to_date(n: Column) -> Column:
@@ -89,27 +106,73 @@ def _signature(collapsed: Column) -> Column:
     return F.translate(collapsed, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
 
 
-def parse_date_parts(s: Column, collapsed: Column, locale: str = "AU") -> Column:
-    """Parse from precomputed parts (see ``date_text_parts``). Used by the
-    staged standardise projection so each helper regex runs once per value."""
+def date_kind_fields(collapsed: Column, locale: str = "AU") -> tuple[Column, Column, Column, Column]:
+    """Stage 2: which locale pattern the value has (by signature), and its
+    first three '-'-separated fields. The locale's patterns have disjoint
+    signatures, so at most one applies."""
     if locale not in LOCALE_PATTERNS:
         raise ValueError(f"unknown locale profile {locale!r}")
-    tries = [F.when((F.length(s) > 15) & s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))]
+    pats = LOCALE_PATTERNS[locale]
     sig = _signature(collapsed)
-    for shape, fmt, two_digit in LOCALE_PATTERNS[locale]:
-        d = F.to_date(F.try_to_timestamp(collapsed, F.lit(fmt)))
-        if two_digit:
-            d = _two_digit_fix(d)
-        tries.append(F.when(sig.isin(*_signatures(shape)), d))
-    # purely numeric text behaves like a numeric cell: Excel serial or nothing
-    tries.append(F.when(s.rlike(NUMERIC_SHAPE), excel_serial_to_date(s)))
-    return F.coalesce(*tries)
+    kind = F.lit(None).cast("int")
+    for k in range(len(pats) - 1, -1, -1):
+        kind = F.when(sig.isin(*_signatures(pats[k][0])), F.lit(k)).otherwise(kind)
+    parts = F.split(collapsed, "-", -1)
+    p1, p2, p3 = (F.try_element_at(parts, F.lit(i + 1)) for i in range(3))
+    return kind, p1, p2, p3
+
+
+def date_ymd(kind: Column, p: list[Column], locale: str = "AU") -> tuple[Column, Column, Column]:
+    """Stage 3: year, month and day as integers according to the pattern."""
+    pats = LOCALE_PATTERNS[locale]
+
+    def pick(fn):
+        out = F.lit(None).cast("int")
+        for k in range(len(pats) - 1, -1, -1):
+            out = F.when(kind == k, fn(pats[k][1])).otherwise(out)
+        return out
+
+    def year_of(o):
+        if "Y" in o:
+            return p[o.index("Y")].try_cast("int")
+        yy = p[o.index("y")].try_cast("int")
+        return yy + F.when(yy >= TWO_DIGIT_PIVOT, F.lit(1900)).otherwise(F.lit(2000))
+
+    year = pick(year_of)
+    month = pick(lambda o: _month_number(p[o.index("b")]) if "b" in o else p[o.index("m")].try_cast("int"))
+    day = pick(lambda o: p[o.index("d")].try_cast("int"))
+    return year, month, day
+
+
+def date_from_ymd(s: Column, year: Column, month: Column, day: Column) -> Column:
+    """Stage 4: ISO timestamp text first, then the pattern's date, then an
+    Excel serial for purely numeric text."""
+    iso = F.when((F.length(s) > 15) & s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))
+    serial = F.when(s.rlike(NUMERIC_SHAPE), excel_serial_to_date(s))
+    return F.coalesce(iso, _valid_date(year, month, day), serial)
 
 
 def parse_date_text(c: Column, locale: str = "AU") -> Column:
-    """Parse free-text dates for a locale profile; NULL when nothing matches."""
+    """Parse free-text dates for a locale profile; NULL when nothing matches.
+
+    Compact single-expression form for ad-hoc use (each pattern guarded by
+    its signature and parsed by the formatter). ``standardize`` runs the
+    staged form (``date_text_parts`` -> ``date_kind_fields`` -> ``date_ymd``
+    -> ``date_from_ymd``), which is several times faster per value; tests
+    check both give the same dates."""
+    if locale not in LOCALE_PATTERNS:
+        raise ValueError(f"unknown locale profile {locale!r}")
     s, collapsed = date_text_parts(c)
-    return parse_date_parts(s, collapsed, locale)
+    sig = _signature(collapsed)
+    tries = [F.when((F.length(s) > 15) & s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))]
+    for shape, order, fmt in LOCALE_PATTERNS[locale]:
+        d = F.to_date(F.try_to_timestamp(collapsed, F.lit(fmt)))
+        d = F.when(F.year(d) >= 1, d)  # year 0000 is not a calendar year
+        if "y" in order:  # the formatter maps yy into 2000-2099; 69-99 belong to the 1900s
+            d = F.when(F.year(d) >= 2000 + TWO_DIGIT_PIVOT, F.add_months(d, -1200)).otherwise(d)
+        tries.append(F.when(sig.isin(*_signatures(shape)), d))
+    tries.append(F.when(s.rlike(NUMERIC_SHAPE), excel_serial_to_date(s)))
+    return F.coalesce(*tries)
 
 
 def parse_date(c: Column, dtype: T.DataType | None = None, locale: str = "AU") -> Column:

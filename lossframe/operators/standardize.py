@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lossframe.constants import MONEY, STANDARD_FIELDS
 from lossframe.functions.amounts import amount_text_parts, clean_amount, fill_incurred, parse_amount_parts
-from lossframe.functions.dates import date_text_parts, parse_date, parse_date_parts
+from lossframe.functions.dates import date_from_ymd, date_kind_fields, date_text_parts, date_ymd, parse_date
 from lossframe.functions.names import trim_ws
 
 SOURCE_PAGE_COLUMNS = ("..source_page..", "source_page")
@@ -34,12 +34,13 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     NULL, so one bad file does not sink a multi-file run). ``keep`` carries
     lineage columns such as ``row_id`` through unchanged.
 
-    Three narrow projections, all inside one codegen stage: (1) text helpers
-    computed once per value (trimmed text, collapsed date separators,
-    stripped money text); (2) parsing from those columns; (3) filling
-    incurred from paid + outstanding. Catalyst does not re-inline a
-    non-trivial expression that is referenced more than once, so each regex
-    runs once per value.
+    A chain of narrow projections, all inside one codegen stage: (1) text
+    helpers computed once per value (trimmed text, collapsed date
+    separators, stripped money text); (2) the date pattern and its fields;
+    (3) year / month / day; (4) parsing; (5) filling incurred from paid +
+    outstanding. Catalyst does not re-inline a non-trivial expression that
+    is referenced more than once, so every helper runs once per value and
+    each generated method stays small.
     """
     unknown = set(mapping) - set(STANDARD_FIELDS)
     if unknown:
@@ -56,26 +57,41 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     def is_text(field: str) -> bool:
         return isinstance(src[field][1], (T.StringType, T.VarcharType, T.CharType))
 
-    # stage 1: raw values and text helpers
-    s1 = [src[f][0].alias(f"_src_{f}") for f in STANDARD_FIELDS]
-    for f in ("loss_date", "report_date"):
-        if is_text(f):
-            s_, coll = date_text_parts(src[f][0])
-            s1 += [s_.alias(f"_s_{f}"), coll.alias(f"_c_{f}")]
-    for f in ("paid", "incurred", "outstanding"):
-        if is_text(f):
-            raw, stripped, trimmed = amount_text_parts(src[f][0])
-            s1 += [raw.alias(f"_r_{f}"), stripped.alias(f"_x_{f}"), trimmed.alias(f"_t_{f}")]
-    s1 += [sf.alias("source_file"), page.alias("source_page")]
-    s1 += [F.col(f"`{k}`") for k in keep]
-    stage1 = df.select(*s1)
-
-    # stage 2: parse
     c = F.col
+    lineage = ["source_file", "source_page", *[F.col(f"`{k}`") for k in keep]]
+    text_dates = [f for f in ("loss_date", "report_date") if is_text(f)]
+    text_money = [f for f in ("paid", "incurred", "outstanding") if is_text(f)]
 
+    # stage 1: raw values and text helpers
+    s1 = [src[f][0].alias(f"_src_{f}") for f in STANDARD_FIELDS]
+    for f in text_dates:
+        s_, coll = date_text_parts(src[f][0])
+        s1 += [s_.alias(f"_s_{f}"), coll.alias(f"_c_{f}")]
+    for f in text_money:
+        raw, stripped, trimmed = amount_text_parts(src[f][0])
+        s1 += [raw.alias(f"_r_{f}"), stripped.alias(f"_x_{f}"), trimmed.alias(f"_t_{f}")]
+    s1 += [sf.alias("source_file"), page.alias("source_page")] + [F.col(f"`{k}`") for k in keep]
+    cur = df.select(*s1)
+
+    # stages 2-3 (text dates): pattern kind and fields, then year / month / day
+    if text_dates:
+        keep_cols = [x for x in cur.columns if not any(x == f"_c_{f}" for f in text_dates)]
+        extra = []
+        for f in text_dates:
+            kind, p1, p2, p3 = date_kind_fields(c(f"_c_{f}"), locale)
+            extra += [kind.alias(f"_k_{f}"), p1.alias(f"_p1_{f}"), p2.alias(f"_p2_{f}"), p3.alias(f"_p3_{f}")]
+        cur = cur.select(*[c(f"`{x}`") for x in keep_cols], *extra)
+        extra, drop = [], set()
+        for f in text_dates:
+            y, m, d = date_ymd(c(f"_k_{f}"), [c(f"_p{i}_{f}") for i in (1, 2, 3)], locale)
+            extra += [y.alias(f"_y_{f}"), m.alias(f"_m_{f}"), d.alias(f"_d_{f}")]
+            drop |= {f"_k_{f}", f"_p1_{f}", f"_p2_{f}", f"_p3_{f}"}
+        cur = cur.select(*[c(f"`{x}`") for x in cur.columns if x not in drop], *extra)
+
+    # stage 4: parse
     def date_expr(f: str) -> Column:
         if is_text(f):
-            return parse_date_parts(c(f"_s_{f}"), c(f"_c_{f}"), locale)
+            return date_from_ymd(c(f"_s_{f}"), c(f"_y_{f}"), c(f"_m_{f}"), c(f"_d_{f}"))
         return parse_date(c(f"_src_{f}"), src[f][1], locale)
 
     def money_expr(f: str) -> Column:
@@ -83,7 +99,7 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
             return parse_amount_parts(c(f"_r_{f}"), c(f"_x_{f}"), c(f"_t_{f}"))
         return clean_amount(c(f"_src_{f}"), src[f][1])
 
-    stage2 = stage1.select(
+    stage2 = cur.select(
         c("_src_claim_id").cast("string").alias("claim_id"),
         date_expr("loss_date").alias("loss_date"),
         date_expr("report_date").alias("report_date"),
@@ -94,7 +110,7 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
         c("_src_policy_number").cast("string").alias("policy_number"),
         c("_src_status").cast("string").alias("status"),
         c("_src_claimant").cast("string").alias("claimant"),
-        "source_file", "source_page", *[F.col(f"`{k}`") for k in keep])
+        *lineage)
 
     # stage 3: fill incurred, stamp tenant / run
     cols = [

@@ -104,15 +104,23 @@ RAW_HEADERS = ["row_key", "claim_no", "date_of_loss", "reported_date", "paid_amo
                "case_reserve", "ccy", "policy_no", "claim_status", "insured_name"]
 
 
+_PERSISTED: dict = {}
+
+
 def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: bool = True,
                run_id: str = FIXTURE_RUN, tenant_id: str = FIXTURE_TENANT,
-               keep_raw: tuple[str, ...] = ()) -> DataFrame:
+               keep_raw: tuple[str, ...] = (), persisted: bool = True) -> DataFrame:
     """Standardised claims with ``row_id`` (file order = order keys) and ``run_id``.
 
-    The numbered frame is checkpointed once (``number_rows``), so every
-    downstream rule, summary and triangle reads the persisted table instead
-    of re-running the joins.
+    The standardised table is written once per session (``persist_table``
+    in the checkpoint folder) and every later query scans it, as a real run
+    reads its persisted standard table; ``persisted=False`` returns the
+    lazy plan instead.
     """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), locale, numbered, run_id, tenant_id,
+           tuple(keep_raw))
+    if persisted and key in _PERSISTED:
+        return _PERSISTED[key]
     raw = claims_raw(spark, sf_dir)
     mapping = guess_schema(RAW_HEADERS)
     keep: list[str] = []
@@ -122,5 +130,10 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
         raw = number_rows(persist_table(raw, "raw"), ORDER_KEYS)
         keep = ["row_id"]
     keep += [c for c in keep_raw if c not in keep]
-    return standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
-                       run_id=run_id, keep=keep)
+    std = standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
+                      run_id=run_id, keep=keep)
+    if not persisted:
+        return std
+    std = persist_table(std, "std")
+    _PERSISTED[key] = std
+    return std

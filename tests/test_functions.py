@@ -25,7 +25,9 @@ AU_CASES = [
     ("05/01/68", date(2068, 1, 5)), ("Jan 5, 2023", None), ("31/02/2023", None), ("n/a", None), ("", None),
     (None, None), ("  05/01/2023\t", date(2023, 1, 5)), ("2023-01-05T10:11:12", date(2023, 1, 5)),
     ("45000", date(2023, 3, 15)), ("20000", None), ("20001", date(1954, 10, 4)), ("59999", date(2064, 4, 7)),
-    ("60000", None),
+    ("60000", None), ("29/02/2024", date(2024, 2, 29)), ("29/02/2023", None), ("00/01/2023", None),
+    ("5/13/2023", None), ("5-jan-2023", date(2023, 1, 5)), ("5 JAN 2023", date(2023, 1, 5)),
+    ("5 Jnx 2023", None), ("05//01--2023", date(2023, 1, 5)), ("0000-01-05", None),
 ]
 US_CASES = [("05/01/2023", date(2023, 5, 1)), ("Jan 5, 2023", date(2023, 1, 5)), ("5 Jan 2023", None),
             ("2023-01-05", date(2023, 1, 5)), ("12/31/99", date(1999, 12, 31))]
@@ -38,6 +40,15 @@ def test_parse_date_text(spark, locale, cases):
     assert got == [c[1] for c in cases]
 
 
+@pytest.mark.parametrize("locale,cases", [("AU", AU_CASES), ("US", US_CASES)])
+def test_staged_date_parse_in_standardize_agrees(spark, locale, cases):
+    from lossframe.operators.standardize import standardize
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, v string")
+    std = standardize(df, {"loss_date": "v"}, locale=locale, keep=["i"])
+    got = [r.loss_date for r in std.orderBy("i").collect()]
+    assert got == [c[1] for c in cases]
+
+
 def test_excel_serial_numeric(spark):
     df = _col(spark, [20000.0, 20000.5, 45000.0, 59999.9, 60000.0, None], "double")
     got = [r[0] for r in df.select(D.parse_date(F.col("v"), df.schema["v"].dataType)).collect()]
