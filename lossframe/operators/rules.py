@@ -4,14 +4,14 @@ Plan shape (``validate``):
 
 * the IQR fence (V13) is computed first by the exact distributed quantile
   helper and enters the plan as two literals;
-* the set-based rules (V8 duplicates, V18 multiple rows per claim) are
-  answered by aggregates, not windows: one partial aggregation of the
-  claims to ``(claim_id, norm_id, loss_date)`` groups, two small
-  aggregations of that, and ONE join of the claims back on
+* the set-based rules (V8 duplicates, V18 multiple rows per claim) never
+  window over the claims themselves: one scan + partial aggregation of the
+  claims to ``(claim_id, norm_id, loss_date)`` groups, two windows over
+  that grouped table, and ONE join of the claims back on
   ``(claim_id, loss_date)``. A hot key (e.g. a third of all rows with no
-  claim id) stays one row on the aggregate side, and adaptive skew-join
+  claim id) is one row in the grouped table, and adaptive skew-join
   handling splits it on the claims side; no task ever has to sort a whole
-  hot group, which a ``row_number`` window would;
+  hot group, which a ``row_number`` window over the claims would;
 * every rule then becomes one ``when(predicate, struct(...))`` element of
   a single array, and one ``explode`` emits the issues: a single pass over
   the claims for all nineteen issue kinds.
@@ -121,22 +121,24 @@ def round2(d: Decimal) -> Decimal:
 
 def with_claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = True) -> DataFrame:
     """Attach ``_first_row`` (first row of its (norm_id, loss_date) key) and
-    ``_claim_n`` (rows sharing its claim_id, NULL being one group)."""
+    ``_claim_n`` (rows sharing its claim_id, NULL being one group).
+
+    One scan + partial aggregation of the claims to ``(claim_id, norm_id,
+    loss_date)`` groups; both measures are windows over that grouped table
+    (where a hot key is a single row), then one null-safe join back."""
+    from pyspark.sql import Window
+
     c = F.col
     groups = (std.select("claim_id", "loss_date", "row_id", norm_id(c("claim_id")).alias("_nid"))
               .groupBy("claim_id", "_nid", "loss_date")
               .agg(F.min("row_id").alias("_gmin"), F.count(F.lit(1)).alias("_gn")))
-    info = groups.select(c("claim_id").alias("_k_cid"), c("_nid").alias("_k_nid"), c("loss_date").alias("_k_ld"))
+    info = groups
     if need_dup:
-        first = (groups.groupBy("_nid", "loss_date").agg(F.min("_gmin").alias("_first_row"))
-                 .select(c("_nid").alias("_f_nid"), c("loss_date").alias("_f_ld"), "_first_row"))
-        info = (info.join(first, c("_k_nid").eqNullSafe(c("_f_nid")) & c("_k_ld").eqNullSafe(c("_f_ld")))
-                .drop("_f_nid", "_f_ld"))
+        info = info.withColumn("_first_row", F.min("_gmin").over(Window.partitionBy("_nid", "loss_date")))
     if need_multi:
-        per_claim = (groups.groupBy("claim_id").agg(F.sum("_gn").alias("_claim_n"))
-                     .select(c("claim_id").alias("_c_cid"), "_claim_n"))
-        info = info.join(per_claim, c("_k_cid").eqNullSafe(c("_c_cid"))).drop("_c_cid")
-    info = info.drop("_k_nid")
+        info = info.withColumn("_claim_n", F.sum("_gn").over(Window.partitionBy("claim_id")))
+    info = info.drop("_nid", "_gmin", "_gn").withColumnRenamed("claim_id", "_k_cid").withColumnRenamed(
+        "loss_date", "_k_ld")
     return (std.join(info, c("claim_id").eqNullSafe(c("_k_cid")) & c("loss_date").eqNullSafe(c("_k_ld")))
             .drop("_k_cid", "_k_ld"))
 

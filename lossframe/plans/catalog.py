@@ -131,8 +131,8 @@ def q_union_files(spark, sf):
     """S2 + M2 + M3: three 'files' with different headers (one lacking the
     claimant column), each mapped by its own guessed mapping, standardised
     and unioned by name with per-file lineage."""
-    from lossframe.session import persist_table
-    raw = persist_table(claims_raw(spark, sf), "raw")
+    from lossframe.sources.fixtures import claims_raw_table
+    raw = claims_raw_table(spark, sf)
     renames = {
         "A": {},
         "N": {"claim_no": "ClaimNumber", "date_of_loss": "Incident Date", "reported_date": "Date Reported",
@@ -567,8 +567,11 @@ SELECT count(*) AS inc_lt_rows_n,
 FROM std WHERE incurred < paid"""))
 def q_incurred_lt_paid_summary(spark, sf):
     """Q7: rows, distinct claims and variance where incurred < paid."""
-    r = Q.row_aggregates(std(spark, sf))
-    return r.select("inc_lt_rows_n", "inc_lt_claims_n", "inc_lt_variance")
+    s = std(spark, sf)
+    r = Q.row_aggregates(s).select("inc_lt_rows_n", "inc_lt_variance").first()
+    cc = Q.claim_counts(s).first()
+    return spark.createDataFrame([(r["inc_lt_rows_n"], cc["inc_lt_claims_n"], r["inc_lt_variance"])],
+                                 "inc_lt_rows_n long, inc_lt_claims_n long, inc_lt_variance decimal(38,6)")
 
 
 @register("recon_summary", O.claims_with(f"""

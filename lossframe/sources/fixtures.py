@@ -107,6 +107,14 @@ RAW_HEADERS = ["row_key", "claim_no", "date_of_loss", "reported_date", "paid_amo
 _PERSISTED: dict = {}
 
 
+def claims_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw view written once per session (the uploaded 'file' as stored)."""
+    key = ("raw", id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _PERSISTED:
+        _PERSISTED[key] = persist_table(claims_raw(spark, sf_dir), "raw")
+    return _PERSISTED[key]
+
+
 def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: bool = True,
                run_id: str = FIXTURE_RUN, tenant_id: str = FIXTURE_TENANT,
                keep_raw: tuple[str, ...] = (), persisted: bool = True) -> DataFrame:
@@ -121,14 +129,15 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
            tuple(keep_raw))
     if persisted and key in _PERSISTED:
         return _PERSISTED[key]
-    raw = claims_raw(spark, sf_dir)
     mapping = guess_schema(RAW_HEADERS)
     keep: list[str] = []
     if numbered:
         # the range sort samples its input before shuffling; reading the
-        # joined rows from a persisted copy keeps the join to one pass
-        raw = number_rows(persist_table(raw, "raw"), ORDER_KEYS)
+        # joined rows from the persisted raw keeps the join to one pass
+        raw = number_rows(claims_raw_table(spark, sf_dir), ORDER_KEYS)
         keep = ["row_id"]
+    else:
+        raw = claims_raw(spark, sf_dir)
     keep += [c for c in keep_raw if c not in keep]
     std = standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
                       run_id=run_id, keep=keep)
