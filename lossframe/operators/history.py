@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lossframe.constants import APP_VERSION, RETENTION_DAYS
 from lossframe.functions.privacy import scrub_name
+from lossframe.session import persist_table
 
 RUNS_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("tenant_id", T.StringType()),
@@ -97,12 +98,14 @@ def orphan_filter(children: DataFrame, parents: DataFrame, key: str, parent_key:
 
 def prune(spark: SparkSession, root: str, as_of: datetime | None = None, days: int = RETENTION_DAYS) -> None:
     """H3 + H4 over the stored tables: runs and audit rows by age, then orphaned issues."""
+    # each result is materialised in the checkpoint folder before its source
+    # folder is overwritten (a plan must not read the path it replaces)
     runs = read_table(spark, root, "runs", RUNS_SCHEMA)
-    kept_runs = retention_filter(runs, "ts_utc", as_of, days).checkpoint(eager=True)
-    issues = orphan_filter(read_table(spark, root, "issues", ISSUES_SCHEMA), kept_runs, "run_id").checkpoint(
-        eager=True)
-    audit = retention_filter(read_table(spark, root, "audit_log", AUDIT_SCHEMA), "ts_utc", as_of, days).checkpoint(
-        eager=True)
+    kept_runs = persist_table(retention_filter(runs, "ts_utc", as_of, days), "runs")
+    issues = persist_table(orphan_filter(read_table(spark, root, "issues", ISSUES_SCHEMA), kept_runs, "run_id"),
+                           "issues")
+    audit = persist_table(retention_filter(read_table(spark, root, "audit_log", AUDIT_SCHEMA), "ts_utc", as_of,
+                                           days), "audit")
     kept_runs.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/runs")
     issues.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/issues")
     audit.write.mode("overwrite").parquet(f"{root}/audit_log")

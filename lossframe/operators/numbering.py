@@ -30,16 +30,25 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 def number_rows(df: DataFrame, order_cols: list, name: str = "row_id",
                 num_partitions: int | None = None) -> DataFrame:
-    """Attach ``name`` = 1..n following ``order_cols`` (ties keep no defined order).
+    """Attach ``name`` = 1..n following ``order_cols``; ties follow input order.
+
+    The input position (taken before any shuffle, so a rerun of a scan task
+    gives the same value) is the last sort key. It makes the order total and
+    lets the range partitioner split a hot tie, e.g. a third of all rows
+    sharing one key or being exact copies, across many partitions instead
+    of sorting it in one task.
 
     Cost: one range shuffle, one Parquet write, one tiny aggregate of
     per-partition counts collected to the driver (at most ``num_partitions``
     rows) and a broadcast-free projection using them as a literal array.
     """
     n = _partitions(df, num_partitions)
-    local = persist_table(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    keyed = df.withColumn("_lf_seq", F.monotonically_increasing_id())
+    order = list(order_cols) + ["_lf_seq"]
+    local = persist_table(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
                           .withColumn(_PID, F.spark_partition_id())
-                          .withColumn(_MID, F.monotonically_increasing_id()), "rownum")
+                          .withColumn(_MID, F.monotonically_increasing_id())
+                          .drop("_lf_seq"), "rownum")
     stats = (local.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"), F.min(_MID).alias("base"))
              .orderBy(_PID).collect())
     offsets, bases, acc = {}, {}, 0

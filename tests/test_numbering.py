@@ -42,3 +42,15 @@ def test_no_single_partition_exchange(spark):
     out = number_rows(df, ["id"], num_partitions=4)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_hot_tie_is_spread_and_numbered_completely(spark):
+    # a third of the rows share one key: the tie-breaker lets ranges split it
+    rows = [(0, i) for i in range(3000)] + [(k, k) for k in range(1, 6001)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(4)
+    out = number_rows(df, ["k"], num_partitions=8)
+    got = out.select("row_id", "k").collect()
+    assert sorted(r.row_id for r in got) == list(range(1, 9001))
+    assert max(r.row_id for r in got if r.k == 0) == 3000  # the tie comes first, as one block
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 2
