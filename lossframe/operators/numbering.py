@@ -41,6 +41,8 @@ def number_rows(df: DataFrame, order_cols: list, name: str = "row_id",
     Cost: one range shuffle, one Parquet write, one tiny aggregate of
     per-partition counts collected to the driver (at most ``num_partitions``
     rows) and a broadcast-free projection using them as a literal array.
+    The range partitioner samples by evaluating the whole input plan, so
+    pass a persisted (or cheap) input, not an expensive projection.
     """
     n = _partitions(df, num_partitions)
     keyed = df.withColumn("_lf_seq", F.monotonically_increasing_id())

@@ -7,9 +7,10 @@
       -> "why flagged" left join     -> clean rows with flags
       -> save run header + issues (idempotent partition overwrite)
 
-The numbered standard table is checkpointed to the reliable checkpoint
-folder, so every downstream plan starts from the persisted table and a
-lost executor only recomputes its own partitions of that stage.
+The standard table is written once to the reliable checkpoint folder
+(``persist_table``) and numbered from there, so every downstream plan starts
+from persisted data and a lost executor only recomputes its own partitions
+of the current stage.
 """
 
 from __future__ import annotations
@@ -65,7 +66,9 @@ def prepare(files: list[tuple[DataFrame, str]], mapping: dict[str, str] | list[d
         keep = [order_col] if order_col else []
         s = standardize(raw, m, locale=locale, source_file=name, tenant_id=tenant_id, run_id=run_id, keep=keep)
         parts.append(s.withColumn("_file_ord", F.lit(i)))
-    u = union_files(parts)
+    # standardise once into the checkpoint folder: the range sort behind the
+    # numbering samples its input by evaluating the whole input plan
+    u = persist_table(union_files(parts), "std_unnumbered")
     order = ["_file_ord"] + ([order_col] if order_col else [])
     return number_rows(u, order).drop("_file_ord", *([order_col] if order_col else []))
 

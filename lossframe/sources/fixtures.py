@@ -130,15 +130,19 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
     if persisted and key in _PERSISTED:
         return _PERSISTED[key]
     mapping = guess_schema(RAW_HEADERS)
-    keep: list[str] = []
-    if numbered:
-        # the range sort samples its input before shuffling; reading the
-        # joined rows from the persisted raw keeps the join to one pass
-        raw = number_rows(claims_raw_table(spark, sf_dir), ORDER_KEYS)
-        keep = ["row_id"]
-    else:
-        raw = claims_raw(spark, sf_dir)
-    keep += [c for c in keep_raw if c not in keep]
+    if not numbered:
+        std = standardize(claims_raw_table(spark, sf_dir) if persisted else claims_raw(spark, sf_dir), mapping,
+                          locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id, run_id=run_id,
+                          keep=list(keep_raw))
+        if persisted:
+            std = persist_table(std, "std")
+            _PERSISTED[key] = std
+        return std
+    # Number the persisted raw rows, then standardise once into the persisted
+    # table. (A range sort samples its input by evaluating the whole child
+    # plan, so numbering after standardising would parse every value twice.)
+    keep = ["row_id"] + [c for c in keep_raw if c != "row_id"]
+    raw = number_rows(claims_raw_table(spark, sf_dir), ORDER_KEYS)
     std = standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
                       run_id=run_id, keep=keep)
     if not persisted:
