@@ -517,7 +517,14 @@ def q_flagged_rows(spark, sf):
     return V.flagged_rows(s, iss).select("row_id", *K.STANDARD_SCHEMA.fieldNames(), "run_id")
 
 
-@register("top_issues", None)
+TOP_ISSUES_SQL = O.claims_with(
+    "SELECT row, claim_id, issue, detail FROM issues "
+    "ORDER BY rule_order, CASE WHEN rule_order = 19 THEN claim_id END NULLS LAST, row LIMIT 30",
+    more_ctes=FENCE_CTE + ",\n" + KEYED_CTE + ",\nissues AS (" +
+    ALL_ISSUES_ORDERED.split(KEYED_CTE, 1)[1].strip() + ")")
+
+
+@register("top_issues", TOP_ISSUES_SQL)
 def q_top_issues(spark, sf):
     """The first 30 issues in report order (rule order, then row)."""
     s = std(spark, sf)

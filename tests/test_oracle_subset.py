@@ -24,7 +24,7 @@ def con():
 def test_every_query_has_an_oracle_or_is_documented():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"top_issues", "quality_summary"}
+    assert set(qs) - set(sql) == {"quality_summary"}
 
 
 @pytest.mark.parametrize("name", FAST)
