@@ -210,11 +210,11 @@ def paid_fences(std: DataFrame, cfg: RuleConfig) -> dict | None:
     return iqr_fences(std, "paid", cfg.iqr_multiplier, min_n=5, lower_floor=True, method=cfg.quantile_method)
 
 
-def validate(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None = None) -> DataFrame:
-    """All enabled rules -> issues ``(row, claim_id, issue, detail, rule_order)``.
-
-    ``std`` must carry ``row_id``. Pass precomputed ``fences`` to reuse them.
-    """
+def annotate(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None = None) -> DataFrame:
+    """The claims with one extra column ``_issues``: the array of this row's
+    issues (rule_order, issue, detail) in rule order. Both the issue list
+    (one explode) and the "why flagged" text (one projection) derive from it,
+    so neither needs a group-by or a join of its own."""
     cfg = cfg or RuleConfig()
     if cfg.rule_paid_outliers and fences is None:
         fences = paid_fences(std, cfg)
@@ -222,17 +222,41 @@ def validate(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None
     if cfg.rule_duplicates or cfg.rule_multi_rows_per_claim:
         base = with_claim_keys(std, cfg.rule_duplicates, cfg.rule_multi_rows_per_claim)
     els = rule_elements(cfg, fences)
-    if not els:
-        return std.sparkSession.createDataFrame([], K.ISSUE_SCHEMA)
-    exploded = base.select(
-        F.col("row_id").alias("row"), "claim_id",
-        F.explode(F.array_compact(F.array(*els))).alias("_i"))
+    arr = F.array_compact(F.array(*els)) if els else F.array().cast(
+        "array<struct<rule_order:int,issue:string,detail:string>>")
+    return base.select(*[F.col(f"`{c}`") for c in std.columns], arr.alias("_issues"))
+
+
+def validate(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None = None) -> DataFrame:
+    """All enabled rules -> issues ``(row, claim_id, issue, detail, rule_order)``.
+
+    ``std`` must carry ``row_id``. Pass precomputed ``fences`` to reuse them.
+    """
+    ann = annotate(std, cfg, fences)
+    exploded = ann.select(F.col("row_id").alias("row"), "claim_id", F.explode("_issues").alias("_i"))
     return exploded.select(
         F.col("row").cast("long").alias("row"), "claim_id",
         F.col("_i.issue").alias("issue"), F.col("_i.detail").alias("detail"),
         F.col("_i.rule_order").alias("rule_order"))
 
 
+def flags_from_annotated(ann: DataFrame) -> DataFrame:
+    """V22 from ``annotate``: unique issues joined by '; ' and unique non-blank
+    details by ' | ', in rule order; NULL for rows without issues."""
+    arr = F.col("_issues")
+    has = F.size(arr) > 0
+    flags = F.array_join(F.array_distinct(F.transform(arr, lambda x: x["issue"])), "; ")
+    details = F.array_join(F.array_distinct(F.filter(F.transform(arr, lambda x: x["detail"]),
+                                                     lambda d: d.isNotNull() & (d != ""))), " | ")
+    return ann.select(*[F.col(f"`{c}`") for c in ann.columns if c != "_issues"],
+                      F.when(has, flags).alias("flags"), F.when(has, details).alias("flags_detail"))
+
+
+def row_flags_one_pass(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None = None) -> DataFrame:
+    """V22 in the same pass as the rules (no group-by of issues, no join)."""
+    return flags_from_annotated(annotate(std, cfg, fences))
+
+
 def issues_for(std: DataFrame, rule: str, **params) -> DataFrame:
     """Issues of a single rule toggle (the per-rule queries)."""
     return validate(std, RuleConfig.only(rule, **params))

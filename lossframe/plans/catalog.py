@@ -502,8 +502,7 @@ FROM std s LEFT JOIN (
 def q_row_flags(spark, sf):
     """V22: 'why flagged' text per claims row (left join; NULL when clean)."""
     s = std(spark, sf)
-    iss = V.validate(s, term_cfg(V.RuleConfig()))
-    return V.row_flags(s, iss).select("row_id", "claim_id", "flags", "flags_detail")
+    return V.row_flags_one_pass(s, term_cfg(V.RuleConfig())).select("row_id", "claim_id", "flags", "flags_detail")
 
 
 @register("flagged_rows", O.claims_with(f"""

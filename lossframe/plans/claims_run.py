@@ -86,9 +86,14 @@ def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | No
 
     t = time.perf_counter()
     fences = V.paid_fences(std, cfg) if cfg.rule_paid_outliers else None
-    issues = V.validate(std, cfg, fences)
+    # one pass: claims + their issue arrays, persisted; issues and the
+    # "why flagged" text are both projections of it
+    ann = V.annotate(std, cfg, fences)
     if persist:
-        issues = persist_table(issues, "issues")
+        ann = persist_table(ann, "annotated")
+    issues = ann.select(F.col("row_id").alias("row"), "claim_id", F.explode("_issues").alias("_i")).select(
+        "row", "claim_id", F.col("_i.issue").alias("issue"), F.col("_i.detail").alias("detail"),
+        F.col("_i.rule_order").alias("rule_order"))
     timings["validate"] = time.perf_counter() - t
 
     t = time.perf_counter()
@@ -100,7 +105,7 @@ def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | No
     tri_counts = TR.triangle_counts(std)
     tri_paid = TR.triangle_amounts(std, "paid")
     tri_incurred = TR.triangle_amounts(std, "incurred")
-    flagged = V.row_flags(std, issues)
+    flagged = V.flags_from_annotated(ann)
     return RunResult(run_id, std, issues, summary, metrics, pivot, tri_counts, tri_paid, tri_incurred, flagged,
                      timings)
 

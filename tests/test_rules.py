@@ -149,3 +149,12 @@ def test_r_num():
     assert V.r_num(Decimal("100000")) == "1e+05"
     assert V.r_num(Decimal("150000")) == "150000"
     assert V.r_num(1.5) == "1.5" and V.r_num(2.0) == "2"
+
+
+def test_one_pass_flags_equal_grouped_flags(spark):
+    df = frame(spark, [dict(claim_id="", currency="XXX"), dict(), dict(paid=D(-1), incurred=D(-1)),
+                       dict(claim_id="C9"), dict(claim_id="C9", currency="")])
+    cfg = V.RuleConfig()
+    a = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags(df, V.validate(df, cfg)).collect()}
+    b = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags_one_pass(df, cfg).collect()}
+    assert a == b and any(v[0] for v in a.values())
