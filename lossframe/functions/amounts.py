@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossframe.constants import BIG_MARK, MONEY
+from lossframe.constants import MONEY
 
 SCIENTIFIC_SHAPE = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)[eE][+-]?\\d+$"
 PAREN_SHAPE = "^\\s*\\(.*\\)\\s*$"

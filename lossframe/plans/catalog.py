@@ -19,7 +19,7 @@ from lossframe import constants as K
 from lossframe.functions import dates as D
 from lossframe.functions.amounts import clean_amount_text
 from lossframe.functions.names import normalize_name_col
-from lossframe.functions.privacy import hmac_sha256_col, mask_claimant, scrub_name
+from lossframe.functions.privacy import mask_claimant, scrub_name
 from lossframe.operators import exports as X
 from lossframe.operators import history as H
 from lossframe.operators import quality as Q
@@ -29,8 +29,8 @@ from lossframe.operators.mapping import guess_schema, latest_per_key
 from lossframe.operators.standardize import standardize
 from lossframe.plans import oracle_sql as O
 from lossframe.sources import files as S
-from lossframe.sources.fixtures import (FIXTURE_FILE, FIXTURE_RUN, FIXTURE_TENANT, ORDER_KEYS, RAW_HEADERS,
-                                        claims_raw, claims_std, table)
+from lossframe.sources.fixtures import (FIXTURE_RUN, FIXTURE_TENANT, ORDER_KEYS, RAW_HEADERS, claims_raw,
+                                        claims_std, table)
 
 POLICY_START = date(1996, 1, 1)
 POLICY_END = date(1999, 12, 31)

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from lossframe.operators import quality as Q

@@ -4,7 +4,6 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from lossframe import constants as K
 from lossframe.operators import rules as V

@@ -3,7 +3,6 @@
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from lossframe.operators import quality as Q
 from lossframe.operators import rules as V

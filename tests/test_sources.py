@@ -3,7 +3,6 @@
 import json
 import os
 import tempfile
-from decimal import Decimal
 
 from pyspark.sql import functions as F
 
