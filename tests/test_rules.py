@@ -157,3 +157,12 @@ def test_one_pass_flags_equal_grouped_flags(spark):
     a = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags(df, V.validate(df, cfg)).collect()}
     b = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags_one_pass(df, cfg).collect()}
     assert a == b and any(v[0] for v in a.values())
+
+
+def test_approx_quantile_option_is_close(spark):
+    values = [D(i) for i in range(1, 1001)]
+    df = spark.createDataFrame([(v,) for v in values], "paid decimal(28,6)")
+    n, (q1, q3) = quantiles(df, "paid", [0.25, 0.75], method="approx")
+    assert n == 1000 and abs(q1 - D("250.75")) <= 2 and abs(q3 - D("750.25")) <= 2
+    with pytest.raises(ValueError):
+        quantiles(df, "paid", [0.5], method="median-of-medians")
