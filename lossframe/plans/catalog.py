@@ -93,11 +93,6 @@ STD_COLS_SQL = (f"row_id, claim_id, {iso('loss_date')} AS loss_date, {iso('repor
                 "tenant_id, run_id")
 
 
-def issue_sql(order_pred: str, issue: str, detail: str, src: str = "std") -> str:
-    return (f"SELECT row_id AS row, claim_id, {O.q(issue)} AS issue, {detail} AS detail "
-            f"FROM {src} WHERE {order_pred}")
-
-
 # ---------------------------------------------------------------------------
 # Sources (S)
 # ---------------------------------------------------------------------------
@@ -418,11 +413,6 @@ def issues_sql(rules: list[str], with_order: bool = False) -> str:
     return O.claims_with("\nUNION ALL\n".join(parts), more_ctes=FENCE_CTE + ",\n" + KEYED_CTE)
 
 
-RULE_KEYS = {
-    "rule_required_fields": "rule_required_fields",
-    "rule_negative_paid": None, "rule_negative_incurred": None, "rule_negative_outstanding": None,
-}
-
 for _flag, _key in [("rule_required_fields", "rule_required_fields"), ("rule_incurred_lt_paid", "rule_incurred_lt_paid"),
                     ("rule_reconcile", "rule_reconcile"), ("rule_currency_list", "rule_currency_list"),
                     ("rule_duplicates", "dup_claim_loss_date"), ("rule_date_order", "rule_date_order"),
