@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lossframe import constants as K
 from lossframe.functions.amounts import two_decimals_ok
 from lossframe.functions.names import is_blank, norm_id
-from lossframe.operators.quantiles import iqr_fences
+from lossframe.operators.quantiles import fences_from, iqr_fences
 
 SUM = "decimal(38,6)"
 
@@ -160,10 +160,17 @@ def dup_claimid_lossdate(std: DataFrame) -> DataFrame:
         "dups", "dup_claimid_lossdate_n")
 
 
-def summary_outliers(std: DataFrame, method: str = "exact") -> dict:
-    """Q9: upper fence (k = 1.5) from quantiles over paid >= 0; needs 5 values."""
+def summary_outliers(std: DataFrame, method: str = "exact", nonneg_quartiles: tuple | None = None) -> dict:
+    """Q9: upper fence (k = 1.5) from quantiles over paid >= 0; needs 5 values.
+
+    ``nonneg_quartiles`` = ``(n, [q1, q3])`` reuses quartiles already computed
+    (e.g. by ``quantiles_with_suffix`` together with the rule fences)."""
     k = Decimal(K.SUMMARY_OUTLIER_K)
-    f = iqr_fences(std.where(F.col("paid") >= 0), "paid", float(k), min_n=5, lower_floor=False, method=method)
+    if nonneg_quartiles is not None:
+        n, (q1, q3) = nonneg_quartiles
+        f = fences_from(n, q1, q3, float(k), min_n=5, lower_floor=False)
+    else:
+        f = iqr_fences(std.where(F.col("paid") >= 0), "paid", float(k), min_n=5, lower_floor=False, method=method)
     if f is None:
         return {"outlier_k": k, "outliers_n": 0, "top_loss": None, "iqr": None, "q3": None, "fence": None}
     fence = f["upper"]
@@ -209,7 +216,7 @@ def _q6(x) -> Decimal | None:
 
 
 def summary_dict(std: DataFrame, policy_start: date | None = None, policy_end: date | None = None,
-                 method: str = "exact") -> dict:
+                 method: str = "exact", nonneg_quartiles: tuple | None = None) -> dict:
     """Q1-Q17 as a Python dict (each part computed by Spark).
 
     The five parts are independent aggregates of the same persisted table;
@@ -223,7 +230,7 @@ def summary_dict(std: DataFrame, policy_start: date | None = None, policy_end: d
         "oc": lambda: open_closed(std).collect()[0].asDict(),
         "ex": lambda: exact_row_dups(std).collect()[0]["exact_dup_n"],
         "dp": lambda: dup_claimid_lossdate(std).collect()[0]["dup_claimid_lossdate_n"],
-        "ol": lambda: summary_outliers(std, method),
+        "ol": lambda: summary_outliers(std, method, nonneg_quartiles),
     }
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
         futs = {k: pool.submit(f) for k, f in jobs.items()}

@@ -28,6 +28,62 @@ from pyspark.sql import functions as F
 from lossframe.operators.numbering import prefix_counts
 
 
+def _interpolate(value_at, n: int, probs: list[float], offset: int = 0) -> list[Decimal | None]:
+    out = []
+    for p in probs:
+        if n == 0:
+            out.append(None)
+            continue
+        h = Decimal(n - 1) * Decimal(str(p))
+        lo = int(h)
+        hi = lo if h == lo else lo + 1
+        xl, xh = value_at(offset + lo), value_at(offset + hi)
+        out.append(xl + (h - lo) * (xh - xl))
+    return out
+
+
+def _positions(n: int, probs: list[float], offset: int = 0) -> set[int]:
+    ks = set()
+    for p in probs:
+        if n == 0:
+            continue
+        h = Decimal(n - 1) * Decimal(str(p))
+        lo = int(h)
+        ks |= {offset + lo, offset + (lo if h == lo else lo + 1)}
+    return ks
+
+
+def quantiles_with_suffix(df: DataFrame, col: str | Column, probs: list[float], suffix_from=0
+                          ) -> dict[str, tuple[int, list[Decimal | None]]]:
+    """Exact quantiles of all non-null values AND of the values >= ``suffix_from``
+    from ONE prefix-count structure: the subset is a suffix of the sorted
+    order, so its k-th value is the overall (n_below + k)-th value.
+
+    Returns ``{"all": (n, qs), "suffix": (n_suffix, qs)}``."""
+    c = F.col(col) if isinstance(col, str) else col
+    vals = df.select(c.alias("v")).where(F.col("v").isNotNull())
+    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranked, n = prefix_counts(counted, "v", "c")
+    if n == 0:
+        return {"all": (0, [None] * len(probs)), "suffix": (0, [None] * len(probs))}
+    below_row = ranked.where(F.col("v") >= F.lit(suffix_from)).agg(F.min("_before").alias("b")).first()
+    n_below = n if below_row["b"] is None else int(below_row["b"])
+    n_suffix = n - n_below
+    positions = sorted(_positions(n, probs) | _positions(n_suffix, probs, n_below))
+    cond = reduce(lambda a, b: a | b,
+                  [(F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("c")) for k in positions])
+    picked = ranked.where(cond).select("v", "_before", "c").collect()
+
+    def value_at(k: int) -> Decimal:
+        for r in picked:
+            if r["_before"] <= k < r["_before"] + r["c"]:
+                return Decimal(r["v"])
+        raise RuntimeError(f"order statistic {k} not found")
+
+    return {"all": (n, _interpolate(value_at, n, probs)),
+            "suffix": (n_suffix, _interpolate(value_at, n_suffix, probs, n_below))}
+
+
 def quantiles(df: DataFrame, col: str | Column, probs: list[float], method: str = "exact",
               accuracy: int = 1_000_000) -> tuple[int, list[Decimal | None]]:
     """Return ``(n, [q_p for p in probs])`` over the non-null values of ``col``."""
@@ -45,13 +101,7 @@ def quantiles(df: DataFrame, col: str | Column, probs: list[float], method: str
     ranked, n = prefix_counts(counted, "v", "c")
     if n == 0:
         return 0, [None] * len(probs)
-    targets = {}
-    for p in probs:
-        h = Decimal(n - 1) * Decimal(str(p))
-        lo = int(h)  # floor, h >= 0
-        hi = lo if h == lo else lo + 1
-        targets[p] = (h, lo, hi)
-    positions = sorted({k for _, lo, hi in targets.values() for k in (lo, hi)})
+    positions = sorted(_positions(n, probs))
     cond = reduce(lambda a, b: a | b,
                   [(F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("c")) for k in positions])
     picked = ranked.where(cond).select("v", "_before", "c").collect()
@@ -62,24 +112,23 @@ def quantiles(df: DataFrame, col: str | Column, probs: list[float], method: str
                 return Decimal(r["v"])
         raise RuntimeError(f"order statistic {k} not found")
 
-    out = []
-    for p in probs:
-        h, lo, hi = targets[p]
-        xl, xh = value_at(lo), value_at(hi)
-        out.append(xl + (h - lo) * (xh - xl))
-    return n, out
+    return n, _interpolate(value_at, n, probs)
 
 
-def iqr_fences(df: DataFrame, col: str, multiplier: float, min_n: int = 5, lower_floor: bool = True,
-               method: str = "exact") -> dict | None:
-    """IQR fences as literals, or None when fewer than ``min_n`` values."""
-    n, (q1, q3) = quantiles(df, col, [0.25, 0.75], method=method)
+def fences_from(n: int, q1, q3, multiplier: float, min_n: int = 5, lower_floor: bool = True) -> dict | None:
+    """IQR fences from precomputed quartiles (None when fewer than ``min_n`` values)."""
     if n < min_n or q1 is None:
         return None
     m = Decimal(str(multiplier))
     iqr = q3 - q1
-    upper = q3 + m * iqr
     lower = q1 - m * iqr
     if lower_floor:
         lower = max(Decimal(0), lower)
-    return {"n": n, "q1": q1, "q3": q3, "iqr": iqr, "upper": upper, "lower": lower}
+    return {"n": n, "q1": q1, "q3": q3, "iqr": iqr, "upper": q3 + m * iqr, "lower": lower}
+
+
+def iqr_fences(df: DataFrame, col: str, multiplier: float, min_n: int = 5, lower_floor: bool = True,
+               method: str = "exact") -> dict | None:
+    """IQR fences as literals, or None when fewer than ``min_n`` values."""
+    n, (q1, q3) = quantiles(df, col, [0.25, 0.75], method=method)
+    return fences_from(n, q1, q3, multiplier, min_n, lower_floor)

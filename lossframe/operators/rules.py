@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lossframe import constants as K
 from lossframe.functions.names import is_blank, norm_id
-from lossframe.operators.quantiles import iqr_fences
+from lossframe.operators.quantiles import fences_from, iqr_fences, quantiles_with_suffix
 
 ISSUE_COLUMNS = ["row", "claim_id", "issue", "detail"]
 
@@ -205,11 +205,21 @@ def rule_elements(cfg: RuleConfig, fences: dict | None) -> list[Column]:
     return [F.when(p, s) for p, s in els]
 
 
-def paid_fences(std: DataFrame, cfg: RuleConfig) -> dict | None:
-    """V13 fences over all non-null paid (needs at least 5 values)."""
+def paid_fences(std: DataFrame, cfg: RuleConfig, quartiles: tuple | None = None) -> dict | None:
+    """V13 fences over all non-null paid (needs at least 5 values).
+    ``quartiles`` = ``(n, [q1, q3])`` reuses quartiles already computed."""
+    if quartiles is not None:
+        n, (q1, q3) = quartiles
+        return fences_from(n, q1, q3, cfg.iqr_multiplier, min_n=5, lower_floor=True)
     return iqr_fences(std, "paid", cfg.iqr_multiplier, min_n=5, lower_floor=True, method=cfg.quantile_method)
 
 
+def paid_quartiles(std: DataFrame) -> dict:
+    """Quartiles of all paid (rule V13) and of paid >= 0 (summary Q9) from one
+    distributed prefix-count structure."""
+    return quantiles_with_suffix(std, "paid", [0.25, 0.75], suffix_from=0)
+
+
 def annotate(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None = None) -> DataFrame:
     """The claims with one extra column ``_issues``: the array of this row's
     issues (rule_order, issue, detail) in rule order. Both the issue list

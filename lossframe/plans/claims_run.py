@@ -85,7 +85,10 @@ def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | No
     run_id = run_id or (std.select("run_id").first()[0] if "run_id" in std.columns else new_run_id())
 
     t = time.perf_counter()
-    fences = V.paid_fences(std, cfg) if cfg.rule_paid_outliers else None
+    shared = V.paid_quartiles(std) if cfg.quantile_method == "exact" else None
+    fences = None
+    if cfg.rule_paid_outliers:
+        fences = V.paid_fences(std, cfg, shared["all"] if shared else None)
     # one pass: claims + their issue arrays, persisted; issues and the
     # "why flagged" text are both projections of it
     ann = V.annotate(std, cfg, fences)
@@ -97,7 +100,8 @@ def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | No
     timings["validate"] = time.perf_counter() - t
 
     t = time.perf_counter()
-    summary = Q.summary_dict(std, policy_start, policy_end, cfg.quantile_method)
+    summary = Q.summary_dict(std, policy_start, policy_end, cfg.quantile_method,
+                             shared["suffix"] if shared else None)
     metrics = V.run_metrics(std, issues, long=True)
     timings["summary"] = time.perf_counter() - t
 

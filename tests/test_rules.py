@@ -166,3 +166,13 @@ def test_approx_quantile_option_is_close(spark):
     assert n == 1000 and abs(q1 - D("250.75")) <= 2 and abs(q3 - D("750.25")) <= 2
     with pytest.raises(ValueError):
         quantiles(df, "paid", [0.5], method="median-of-medians")
+
+
+def test_shared_quartiles_match_separate_runs(spark):
+    from lossframe.operators.quantiles import quantiles_with_suffix
+    vals = [D(-5), D(-1), D(0), D(0), D(3), D("7.5"), D(10), D(12), D(100), D(-2)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "paid decimal(28,6)")
+    got = quantiles_with_suffix(df, "paid", [0.25, 0.75], suffix_from=0)
+    nonneg = [v for v in vals if v >= 0]
+    assert got["all"] == (len(vals), [_type7(vals, 0.25), _type7(vals, 0.75)])
+    assert got["suffix"] == (len(nonneg), [_type7(nonneg, 0.25), _type7(nonneg, 0.75)])
