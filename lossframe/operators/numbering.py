@@ -79,7 +79,7 @@ def _bucket_of(v, bounds: list, lo: int, hi: int):
 
 
 def prefix_counts(df: DataFrame, order_col: str, weight_col: str,
-                  num_partitions: int | None = None) -> tuple[DataFrame, int]:
+                  num_partitions: int | None = None, extra_aggs: dict | None = None):
     """Exclusive prefix sums of ``weight_col`` in ``order_col`` order (the
     order column must be unique, e.g. after ``groupBy(value).count()``).
 
@@ -90,13 +90,17 @@ def prefix_counts(df: DataFrame, order_col: str, weight_col: str,
     local prefix, and per-bucket totals (one row per bucket) give offsets.
     Everything is deterministic, so no intermediate needs persisting, and
     no task ever holds more than one range.
+
+    ``extra_aggs`` (name -> aggregate Column over ``df``) ride along in the
+    bounds aggregate; when given, a third value (their results) is returned.
     """
     n = _partitions(df, num_partitions)
-    probs = [i / n for i in range(1, n)]
-    bounds = []
-    if probs:
-        row = df.agg(F.percentile_approx(order_col, probs, 10_000).alias("b")).collect()[0]
-        bounds = sorted(set(x for x in (row["b"] or []) if x is not None))
+    probs = [i / n for i in range(1, n)] or [0.5]
+    extra_aggs = extra_aggs or {}
+    row = df.agg(F.percentile_approx(order_col, probs, 10_000).alias("b"),
+                 *[a.alias(k) for k, a in extra_aggs.items()]).collect()[0]
+    extras = {k: row[k] for k in extra_aggs}
+    bounds = sorted(set(x for x in (row["b"] or []) if x is not None)) if n > 1 else []
     bucket = _bucket_of(F.col(order_col), bounds, 0, len(bounds)) if bounds else F.lit(0)
     keyed = df.withColumn(_PID, bucket.cast("int")).repartition(n, _PID)
     w = Window.partitionBy(_PID).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,11 +111,13 @@ def prefix_counts(df: DataFrame, order_col: str, weight_col: str,
         offsets[r[_PID]] = acc
         acc += int(r["w"] or 0)
     if not stats:
-        return local.withColumn("_before", F.lit(0).cast("long")).drop("_lf_before", _PID), 0
+        out = local.withColumn("_before", F.lit(0).cast("long")).drop("_lf_before", _PID)
+        return (out, 0, extras) if extra_aggs else (out, 0)
     pmax = max(offsets) + 1
     off_arr = F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(pmax)])
     out = local.withColumn("_before", F.element_at(off_arr, F.col(_PID) + 1) + F.col("_lf_before"))
-    return out.drop("_lf_before", _PID), acc
+    out = out.drop("_lf_before", _PID)
+    return (out, acc, extras) if extra_aggs else (out, acc)
 
 
 __all__ = ["number_rows", "prefix_counts"]

@@ -63,11 +63,11 @@ def quantiles_with_suffix(df: DataFrame, col: str | Column, probs: list[float],
     c = F.col(col) if isinstance(col, str) else col
     vals = df.select(c.alias("v")).where(F.col("v").isNotNull())
     counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ranked, n = prefix_counts(counted, "v", "c")
+    below = F.coalesce(F.sum(F.when(F.col("v") < F.lit(suffix_from), F.col("c"))), F.lit(0))
+    ranked, n, extras = prefix_counts(counted, "v", "c", extra_aggs={"below": below})
     if n == 0:
         return {"all": (0, [None] * len(probs)), "suffix": (0, [None] * len(probs))}
-    below_row = ranked.where(F.col("v") >= F.lit(suffix_from)).agg(F.min("_before").alias("b")).first()
-    n_below = n if below_row["b"] is None else int(below_row["b"])
+    n_below = int(extras["below"])
     n_suffix = n - n_below
     positions = sorted(_positions(n, probs) | _positions(n_suffix, probs, n_below))
     cond = reduce(lambda a, b: a | b,
