@@ -48,11 +48,16 @@ def layout_cells(docs: DataFrame, json_col: str = "json", doc_col: str = "doc_id
     r0, c0 = F.col("c.rowIndex"), F.col("c.columnIndex")
     rs = F.greatest(F.lit(1), F.coalesce(F.col("c.rowSpan"), F.lit(1)))
     cs = F.greatest(F.lit(1), F.coalesce(F.col("c.columnSpan"), F.lit(1)))
-    covered = (cells.select("doc", "table_no", "nr", "nc", "cell_no",
-                            F.coalesce(F.col("c.content"), F.col("c.text"), F.lit("")).alias("val"),
-                            F.explode(F.sequence(r0, r0 + rs - 1)).alias("row_no"), c0.alias("c0"), cs.alias("cs"))
-               .select("*", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("cs") - 1)).alias("col_no"))
-               .where((F.col("row_no") < F.col("nr")) & (F.col("col_no") < F.col("nc")) & (F.col("val") != "")))
+    # spans are clipped to the table before exploding, so a bogus span in the
+    # JSON cannot blow a cell up beyond the table's own size
+    in_table = (r0 >= 0) & (r0 < F.col("nr")) & (c0 >= 0) & (c0 < F.col("nc"))
+    covered = (cells.where(in_table)
+               .select("doc", "table_no", "nr", "nc", "cell_no",
+                       F.coalesce(F.col("c.content"), F.col("c.text"), F.lit("")).alias("val"),
+                       F.explode(F.sequence(r0, F.least(r0 + rs - 1, F.col("nr") - 1))).alias("row_no"),
+                       c0.alias("c0"), F.least(c0 + cs - 1, F.col("nc") - 1).alias("c1"))
+               .select("*", F.explode(F.sequence(F.col("c0"), F.col("c1"))).alias("col_no"))
+               .where(F.col("val") != ""))
     filled = covered.groupBy("doc", "table_no", "row_no", "col_no").agg(
         F.min_by("val", "cell_no").alias("value"))
     grid = (tables.select("doc", "table_no", "nc", "source_page",

@@ -100,7 +100,8 @@ def test_layout_tables(spark):
              {"rowIndex": 0, "columnIndex": 1, "content": "ignored (taken by span)"},
              {"rowIndex": 0, "columnIndex": 2, "content": ""},
              {"rowIndex": 0, "columnIndex": 2, "text": "Paid"},
-             {"rowIndex": 1, "columnIndex": 0, "content": "C-1", "rowSpan": 5},
+             {"rowIndex": 1, "columnIndex": 0, "content": "C-1", "rowSpan": 2000000000},
+             {"rowIndex": 9, "columnIndex": 0, "content": "outside the table"},
              {"rowIndex": 1, "columnIndex": 2, "content": "10"},
          ]},
         {"rowCount": 0, "columnCount": 2, "cells": []},
