@@ -663,7 +663,85 @@ def q_dataset_recon(spark, sf):
     return Q.dataset_recon(std(spark, sf))
 
 
-@register("quality_summary", None)
+def _quality_summary_sql() -> str:
+    blank = O.blank
+    term = f"(loss_date < DATE '{POLICY_START}' OR loss_date > DATE '{POLICY_END}')"
+    ctes = CLAIM_CTE + f""",
+ra AS (
+  SELECT count(*) AS n_rows,
+         CAST(coalesce(sum(paid), 0) AS {O.SUM}) AS tp, CAST(coalesce(sum(incurred), 0) AS {O.SUM}) AS ti,
+         CAST(coalesce(sum(outstanding), 0) AS {O.SUM}) AS tos,
+         count(*) FILTER (WHERE paid < 0) AS neg_paid_n,
+         CAST(coalesce(sum(paid) FILTER (WHERE paid < 0), 0) AS {O.SUM}) AS neg_paid_sum,
+         count(*) FILTER (WHERE outstanding < 0) AS neg_os_n,
+         CAST(coalesce(sum(outstanding) FILTER (WHERE outstanding < 0), 0) AS {O.SUM}) AS neg_os_sum,
+         count(*) FILTER (WHERE incurred < paid) AS inc_lt_rows_n,
+         CAST(coalesce(sum(paid - incurred) FILTER (WHERE incurred < paid), 0) AS {O.SUM}) AS inc_lt_variance,
+         count(*) FILTER (WHERE paid IS NOT NULL AND incurred IS NOT NULL
+                          AND abs(incurred - (paid + coalesce(outstanding, 0))) > 0.01) AS recon_rows_n,
+         CAST(coalesce(sum(abs(incurred - (paid + coalesce(outstanding, 0)))) FILTER (
+              WHERE paid IS NOT NULL AND incurred IS NOT NULL
+                AND abs(incurred - (paid + coalesce(outstanding, 0))) > 0.01), 0) AS {O.SUM}) AS recon_abs_delta,
+         count(*) FILTER (WHERE loss_date IS NULL) AS unparse_loss,
+         count(*) FILTER (WHERE report_date IS NULL) AS unparse_report,
+         count(*) FILTER (WHERE report_date < loss_date) AS report_before_loss,
+         count(*) FILTER (WHERE {term}) AS outside_term_n,
+         coalesce(string_agg(DISTINCT currency, ', ' ORDER BY currency), '') AS currencies,
+         coalesce(bool_and(currency IN ({ALLOWED_SQL})) FILTER (WHERE currency IS NOT NULL), true) AS currency_ok,
+         coalesce(bool_and(paid = round(paid, 2)) FILTER (WHERE paid IS NOT NULL), true)
+           AND coalesce(bool_and(incurred = round(incurred, 2)) FILTER (WHERE incurred IS NOT NULL), true)
+           AS decimals_ok,
+         count(*) FILTER (WHERE {blank('claim_id')}) AS req_claim_id,
+         count(*) FILTER (WHERE loss_date IS NULL) AS req_loss_date,
+         count(*) FILTER (WHERE report_date IS NULL) AS req_report_date,
+         count(*) FILTER (WHERE {blank('policy_number')}) AS req_policy_number,
+         count(*) FILTER (WHERE {blank('currency')}) AS req_currency,
+         count(*) FILTER (WHERE {blank('status')}) AS req_status
+  FROM std
+),
+cc AS (
+  SELECT count(*) AS n_claims, count(*) FILTER (WHERE lt) AS inc_lt_claims_n
+  FROM (SELECT claim_id, coalesce(bool_or(incurred < paid), false) AS lt FROM std GROUP BY claim_id)
+),
+oc AS (
+  SELECT count(*) FILTER (WHERE os_c > 0.01) AS open_n, count(*) FILTER (WHERE os_c <= 0.01) AS closed_n,
+         CAST(coalesce(sum(os_c) FILTER (WHERE os_c > 0.01), 0) AS {O.SUM}) AS open_os,
+         CAST(coalesce(sum(paid_c) FILTER (WHERE os_c <= 0.01), 0) AS {O.SUM}) AS closed_paid,
+         count(*) FILTER (WHERE paid_c = 0 AND incurred_c = 0) AS zero_claims
+  FROM clm
+),
+ex AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS exact_dup_n
+       FROM (SELECT count(*) AS n FROM std GROUP BY {EXACT_KEY_SQL})),
+dp AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dup_claimid_lossdate_n
+       FROM (SELECT count(*) AS n FROM std GROUP BY claim_id, loss_date)),
+qf AS (SELECT count(*) AS n_pos, quantile_cont(paid, 0.25) AS q1, quantile_cont(paid, 0.75) AS q3
+       FROM std WHERE paid >= 0),
+ol AS (SELECT count(*) FILTER (WHERE s.paid > qf.q3 + 1.5 * (qf.q3 - qf.q1)) AS outliers_n,
+              max(s.paid) FILTER (WHERE s.paid > qf.q3 + 1.5 * (qf.q3 - qf.q1)) AS top_loss
+       FROM std s, qf WHERE qf.n_pos >= 5)"""
+    tail = f"""
+SELECT ra.n_rows, cc.n_claims, {dbl('ra.tp')} AS total_paid, {dbl('ra.ti')} AS total_incurred,
+       CASE WHEN cc.n_claims > 0 THEN round(CAST(ra.tp AS DOUBLE) / cc.n_claims, 6) END AS severity_claim,
+       oc.open_n, oc.closed_n, {dbl('oc.open_os')} AS open_os, {dbl('oc.closed_paid')} AS closed_paid,
+       ra.neg_paid_n, {dbl('ra.neg_paid_sum')} AS neg_paid_sum, ra.neg_os_n, {dbl('ra.neg_os_sum')} AS neg_os_sum,
+       oc.zero_claims, ra.inc_lt_rows_n, cc.inc_lt_claims_n, {dbl('ra.inc_lt_variance')} AS inc_lt_variance,
+       ra.recon_rows_n, {dbl('ra.recon_abs_delta')} AS recon_abs_delta,
+       CAST(1.5 AS DOUBLE) AS outlier_k, coalesce(ol.outliers_n, 0) AS outliers_n, {dbl('ol.top_loss')} AS top_loss,
+       CASE WHEN qf.n_pos >= 5 THEN {dbl('qf.q3 - qf.q1')} END AS iqr,
+       CASE WHEN qf.n_pos >= 5 THEN {dbl('qf.q3')} END AS q3,
+       ra.unparse_loss, ra.unparse_report, ra.report_before_loss,
+       true AS pol_term_set, '{POLICY_START}' AS policy_start, '{POLICY_END}' AS policy_end,
+       ra.outside_term_n, round(100.0 * ra.outside_term_n / ra.n_rows, 1) AS outside_term_pct,
+       ra.currencies, ra.currency_ok, ra.decimals_ok, ex.exact_dup_n, dp.dup_claimid_lossdate_n,
+       ra.req_claim_id, ra.req_loss_date, ra.req_report_date, ra.req_policy_number, ra.req_currency, ra.req_status,
+       abs(ra.ti - (ra.tp + ra.tos)) <= greatest(100, 0.001 * greatest(1, ra.ti)) AS dataset_recon_ok,
+       {dbl('abs(ra.ti - (ra.tp + ra.tos))')} AS dataset_recon_gap,
+       {dbl(f'CAST(greatest(100, 0.001 * greatest(1, ra.ti)) AS {O.SUM})')} AS dataset_recon_tol
+FROM ra, cc, oc, ex, dp, qf LEFT JOIN ol ON true"""
+    return O.claims_with(tail, more_ctes=ctes)
+
+
+@register("quality_summary", _quality_summary_sql())
 def q_quality_summary(spark, sf):
     """Q1-Q17 in one row (policy term set)."""
     return Q.quality_summary(std(spark, sf), POLICY_START, POLICY_END)
