@@ -9,9 +9,9 @@ Plan shape (``validate``):
   claims to ``(claim_id, norm_id, loss_date)`` groups, two windows over
   that grouped table, and ONE join of the claims back on
   ``(claim_id, loss_date)``. A hot key (e.g. a third of all rows with no
-  claim id) is one row in the grouped table, and adaptive skew-join
-  handling splits it on the claims side; no task ever has to sort a whole
-  hot group, which a ``row_number`` window over the claims would;
+  claim id) is one row in the grouped table and is salted explicitly for
+  the join (see ``with_claim_keys``); no task ever has to sort a whole hot
+  group, which a ``row_number`` window over the claims would;
 * every rule then becomes one ``when(predicate, struct(...))`` element of
   a single array, and one ``explode`` emits the issues: a single pass over
   the claims for all nineteen issue kinds.
@@ -25,6 +25,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lossframe import constants as K
 from lossframe.functions.names import is_blank, norm_id
@@ -119,13 +120,49 @@ def round2(d: Decimal) -> Decimal:
 # Set-based keys
 # ---------------------------------------------------------------------------
 
-def with_claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = True) -> DataFrame:
+HOT_KEY_ROWS = 1_000_000   # a (claim_id, loss_date) key with more rows than this is split
+HOT_KEY_LIMIT = 10_000     # at most this many hot keys are salted (bounds the broadcast)
+MAX_SALT = 64
+
+
+def hot_claim_keys(std: DataFrame, hot_key_rows: int = HOT_KEY_ROWS, hot_key_limit: int = HOT_KEY_LIMIT,
+                   max_salt: int = MAX_SALT, seed: int = 17) -> list[tuple]:
+    """Estimate the (claim_id, loss_date) keys holding more than ``hot_key_rows``
+    rows from a Bernoulli sample of the two key columns (~200 expected
+    sampled rows per hot key; exact when the threshold is small). Returns at
+    most ``hot_key_limit`` ``(claim_id, loss_date, salts)`` tuples.
+
+    Only performance depends on this list: salting any key, or none, gives
+    the same result."""
+    frac = min(1.0, 200.0 / max(1, hot_key_rows))
+    keys = std.select("claim_id", "loss_date")
+    if frac < 1.0:
+        keys = keys.sample(withReplacement=False, fraction=frac, seed=seed)
+    est = F.count(F.lit(1)) / F.lit(frac)
+    rows = (keys.groupBy("claim_id", "loss_date").agg(est.alias("est"))
+            .where(F.col("est") > hot_key_rows).orderBy(F.col("est").desc()).limit(hot_key_limit).collect())
+    return [(r["claim_id"], r["loss_date"], int(min(max_salt, -(-r["est"] // hot_key_rows)))) for r in rows]
+
+
+def with_claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = True,
+                    hot_key_rows: int = HOT_KEY_ROWS, hot_key_limit: int = HOT_KEY_LIMIT,
+                    max_salt: int = MAX_SALT) -> DataFrame:
     """Attach ``_first_row`` (first row of its (norm_id, loss_date) key) and
     ``_claim_n`` (rows sharing its claim_id, NULL being one group).
 
     One scan + partial aggregation of the claims to ``(claim_id, norm_id,
     loss_date)`` groups; both measures are windows over that grouped table
-    (where a hot key is a single row), then one null-safe join back."""
+    (where a hot key is a single row), then one null-safe join back.
+
+    Hot keys are split explicitly rather than left to adaptive execution:
+    ``hot_claim_keys`` finds, from a small sample, the keys above
+    ``hot_key_rows`` rows (at most ``hot_key_limit`` of them, so the
+    broadcast list has a fixed bound). Each gets ``ceil(rows / hot_key_rows)``
+    salts, capped at ``max_salt``. A claim row of a hot key takes salt
+    ``xxhash64(row_id) mod salts``, the key row is replicated once per salt,
+    and the join runs on (key, salt). With no hot key the plan is the plain
+    two-scan join.
+    """
     from pyspark.sql import Window
 
     c = F.col
@@ -137,10 +174,29 @@ def with_claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = Tr
         info = info.withColumn("_first_row", F.min("_gmin").over(Window.partitionBy("_nid", "loss_date")))
     if need_multi:
         info = info.withColumn("_claim_n", F.sum("_gn").over(Window.partitionBy("claim_id")))
-    info = info.drop("_nid", "_gmin", "_gn").withColumnRenamed("claim_id", "_k_cid").withColumnRenamed(
-        "loss_date", "_k_ld")
-    return (std.join(info, c("claim_id").eqNullSafe(c("_k_cid")) & c("loss_date").eqNullSafe(c("_k_ld")))
-            .drop("_k_cid", "_k_ld"))
+    info = info.drop("_nid", "_gmin", "_gn")
+    key_on = lambda cid, ld: c("claim_id").eqNullSafe(cid) & c("loss_date").eqNullSafe(ld)
+
+    hot_list = hot_claim_keys(std, hot_key_rows, hot_key_limit, max_salt)
+    if not hot_list:
+        info = info.withColumnRenamed("claim_id", "_k_cid").withColumnRenamed("loss_date", "_k_ld")
+        return std.join(info, key_on(c("_k_cid"), c("_k_ld"))).drop("_k_cid", "_k_ld")
+
+    hot = std.sparkSession.createDataFrame(
+        hot_list, T.StructType([T.StructField("_h_cid", T.StringType()), T.StructField("_h_ld", T.DateType()),
+                                T.StructField("_salts", T.IntegerType())]))
+    hot_b = F.broadcast(hot)  # at most hot_key_limit rows by construction
+    info = (info.join(hot_b, key_on(c("_h_cid"), c("_h_ld")), "left")
+            .select("*", F.explode(F.sequence(F.lit(0), F.coalesce(c("_salts"), F.lit(1)) - 1)).alias("_k_salt"))
+            .drop("_h_cid", "_h_ld", "_salts")
+            .withColumnRenamed("claim_id", "_k_cid").withColumnRenamed("loss_date", "_k_ld"))
+    salted = (std.join(hot_b, key_on(c("_h_cid"), c("_h_ld")), "left")
+              .withColumn("_salt", F.when(c("_salts").isNotNull(),
+                                          F.pmod(F.xxhash64(c("row_id")), c("_salts").cast("long")).cast("int"))
+                          .otherwise(F.lit(0)))
+              .drop("_h_cid", "_h_ld", "_salts"))
+    return (salted.join(info, key_on(c("_k_cid"), c("_k_ld")) & (c("_salt") == c("_k_salt")))
+            .drop("_k_cid", "_k_ld", "_k_salt", "_salt"))
 
 
 # ---------------------------------------------------------------------------

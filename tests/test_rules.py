@@ -176,3 +176,18 @@ def test_shared_quartiles_match_separate_runs(spark):
     nonneg = [v for v in vals if v >= 0]
     assert got["all"] == (len(vals), [_type7(vals, 0.25), _type7(vals, 0.75)])
     assert got["suffix"] == (len(nonneg), [_type7(nonneg, 0.25), _type7(nonneg, 0.75)])
+
+
+def test_hot_keys_are_salted_without_changing_results(spark):
+    # a third of the rows share (NULL claim id, one loss date): salted with a tiny threshold
+    rows = [dict(claim_id=None) for _ in range(30)] + [dict(claim_id=f"C{i % 20}") for i in range(60)]
+    df = frame(spark, rows)
+    plain = V.with_claim_keys(df, hot_key_rows=10**9).select("row_id", "_first_row", "_claim_n")
+    salted = V.with_claim_keys(df, hot_key_rows=4, max_salt=8).select("row_id", "_first_row", "_claim_n")
+    a = sorted(tuple(r) for r in plain.collect())
+    b = sorted(tuple(r) for r in salted.collect())
+    assert a == b and len(b) == 90
+    assert {r[2] for r in b if r[0] <= 30} == {30}
+    assert V.hot_claim_keys(df, hot_key_rows=4, max_salt=8)[0][:2] == (None, date(2023, 1, 1))
+    p = salted._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in p or "BroadcastHashJoin" in p
