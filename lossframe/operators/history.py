@@ -8,7 +8,7 @@ that run's partitions (idempotent on task or job retry).
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,5 +142,6 @@ def audit_records(events: DataFrame, ts_col: str = "ts", event_col: str = "event
 def append_audit(spark: SparkSession, root: str, event: str, detail: dict) -> None:
     """Append one audit row (driver-built, a single small record)."""
     import json
-    row = [(datetime.utcnow(), event, json.dumps(detail), APP_VERSION)]
+    now = datetime.now(timezone.utc).replace(tzinfo=None)  # UTC wall time, session is UTC
+    row = [(now, event, json.dumps(detail), APP_VERSION)]
     spark.createDataFrame(row, AUDIT_SCHEMA).write.mode("append").parquet(f"{root}/audit_log")
