@@ -129,3 +129,24 @@ def test_streaming_intake_matches_batch_rules(spark):
     assert "Missing required fields" in issues and "Unrecognised currency" in issues
     assert "Negative paid" in issues and "Missing policy number" in issues
     assert all(c is None or c == "" for c, _ in got)
+
+
+def test_streaming_restart_is_exactly_once(spark):
+    from lossframe.operators.mapping import identity_mapping
+    from lossframe.streaming.ingest import start
+    land = tempfile.mkdtemp(prefix="lf-land2-")
+    out = tempfile.mkdtemp(prefix="lf-out2-") + "/issues"
+    ck = tempfile.mkdtemp(prefix="lf-ck2-")
+    bad = (None, "", "", "n/a", "", "(5)", "", "", "XXX", "", "", "")
+    _write(f"{land}/a.csv", _csv_text([tuple("" if v is None else v for v in bad)], SAMPLE_HEADER))
+    start(spark, land, SAMPLE_HEADER, identity_mapping(), out, ck).awaitTermination(120)
+    first = spark.read.parquet(out).count()
+    assert first > 0
+    # restart on the same checkpoint with no new files: nothing is appended again
+    start(spark, land, SAMPLE_HEADER, identity_mapping(), out, ck).awaitTermination(120)
+    assert spark.read.parquet(out).count() == first
+    # a new file is picked up once, alone
+    _write(f"{land}/b.csv", _csv_text([tuple("" if v is None else v for v in bad)], SAMPLE_HEADER))
+    start(spark, land, SAMPLE_HEADER, identity_mapping(), out, ck).awaitTermination(120)
+    files = {r.source_file for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).count() == 2 * first and files == {"a.csv", "b.csv"}
