@@ -48,27 +48,35 @@ def _ext(path: Column) -> Column:
 def file_checks(spark: SparkSession, path_glob: str, max_mb: float = MAX_UPLOAD_MB) -> DataFrame:
     """S3 + S4: extension filter, size guard and signature-vs-extension check.
 
-    Returns ``(path, ext, length, detected, ok, reason)`` per file.
+    Returns ``(path, ext, length, detected, ok, reason)`` per file. Two scans
+    of the file listing: a metadata-only one for every file (the binaryFile
+    source skips reading content when the column is not selected), and one
+    that reads content only for files that passed the extension and size
+    guards (the ``length`` filter is applied to the listing before any file
+    is opened). A rejected or oversize upload is never read.
     """
-    files = spark.read.format("binaryFile").load(path_glob)
+    cap = int(max_mb * 1024 * 1024)
+    listing = spark.read.format("binaryFile").load(path_glob)
+    ext = _ext(F.col("path"))
+    meta = listing.select("path", ext.alias("ext"), "length")
+    candidates = listing.where((F.col("length") <= cap) & ext.isin(*ALLOWED_EXTENSIONS))
     head = F.hex(F.substring(F.col("content"), 1, 8))
     detected = (F.when(head.startswith("255044462D"), F.lit("pdf"))
                 .when(head.startswith("504B"), F.lit("zip"))
                 .when(head == "D0CF11E0A1B11AE1", F.lit("ole"))
                 .otherwise(F.lit("other")))
-    ext = _ext(F.col("path"))
-    sig_ok = (F.when(ext == "pdf", detected == "pdf")
-              .when(ext == "xlsx", detected == "zip")
-              .when(ext == "xls", detected.isin("ole", "zip"))
-              .when(ext == "csv", ~detected.isin("zip", "pdf"))
+    sigs = candidates.select(F.col("path").alias("_sig_path"), detected.alias("detected"))
+    out = meta.join(sigs, meta["path"] == sigs["_sig_path"], "left").drop("_sig_path")
+    e, d = F.col("ext"), F.col("detected")
+    sig_ok = (F.when(e == "pdf", d == "pdf")
+              .when(e == "xlsx", d == "zip")
+              .when(e == "xls", d.isin("ole", "zip"))
+              .when(e == "csv", ~d.isin("zip", "pdf"))
               .otherwise(F.lit(False)))
-    too_big = F.col("length") > F.lit(int(max_mb * 1024 * 1024))
-    supported = ext.isin(*ALLOWED_EXTENSIONS)
-    reason = (F.when(~supported, F.lit("unsupported type"))
-              .when(too_big, F.lit("file too large"))
+    reason = (F.when(~e.isin(*ALLOWED_EXTENSIONS), F.lit("unsupported type"))
+              .when(F.col("length") > cap, F.lit("file too large"))
               .when(~sig_ok, F.lit("file signature does not match the extension")))
-    return files.select("path", ext.alias("ext"), "length", detected.alias("detected"),
-                        reason.isNull().alias("ok"), reason.alias("reason"))
+    return out.select("path", "ext", "length", "detected", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
 def content_hash_dups(df: DataFrame, id_col: str, content_col: str) -> DataFrame:

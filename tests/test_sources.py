@@ -61,6 +61,8 @@ def test_file_checks(spark):
     assert res["real.pdf"] == (True, None) and res["book.xlsx"] == (True, None) and res["old.xls"] == (True, None)
     assert res["notes.txt"] == (False, "unsupported type")
     assert res["big.csv"] == (False, "file too large")
+    plan = S.file_checks(spark, f"{d}/*", max_mb=2000 / 1024 / 1024)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan  # the all-files pass reads no content
 
 
 def test_content_hash_dups_and_file_hashes(spark):
