@@ -17,22 +17,24 @@ PAREN_SHAPE = "^\\s*\\(.*\\)\\s*$"
 MONEY_SQL = "decimal(28,6)"
 
 
-def amount_text_parts(c: Column) -> tuple[Column, Column, Column]:
-    """(raw text, text reduced to [0-9.-], space-trimmed text)."""
+def amount_text_parts(c: Column) -> tuple[Column, Column]:
+    """(raw text, text reduced to [0-9.-])."""
     raw = c.cast("string")
-    # U+2212 -> '-', then keep only [0-9.-]; this also drops the thousands
-    # mark, '$', whitespace and parentheses, so one regex does all of it
-    s = F.regexp_replace(F.translate(raw, "−", "-"), "[^0-9.\\-]", "")
-    return raw, s, F.trim(raw)
+    # U+2212 -> '-' (translate only when present: a byte search is cheaper),
+    # then keep only [0-9.-]; this also drops the thousands mark, '$',
+    # whitespace and parentheses, so one regex does all of it
+    minus = F.when(raw.contains("−"), F.translate(raw, "−", "-")).otherwise(raw)
+    return raw, F.regexp_replace(minus, "[^0-9.\\-]", "")
 
 
-def parse_amount_parts(raw: Column, stripped: Column, trimmed: Column) -> Column:
+def parse_amount_parts(raw: Column, stripped: Column) -> Column:
     """F3 from precomputed parts: scientific text as a number, else the
-    stripped text; parentheses make the value negative."""
-    # cheap character tests guard the regexes (And short-circuits)
-    sci = (trimmed.contains("e") | trimmed.contains("E")) & trimmed.rlike(SCIENTIFIC_SHAPE)
+    stripped text; parentheses make the value negative. Cheap character
+    tests guard the regexes (And short-circuits), and the text is trimmed
+    only for the rare values that contain an exponent mark."""
+    sci = (raw.contains("e") | raw.contains("E")) & F.trim(raw).rlike(SCIENTIFIC_SHAPE)
+    parsed = F.when(sci, F.trim(raw).try_cast(MONEY)).otherwise(stripped.try_cast(MONEY))
     paren = raw.contains("(") & raw.rlike(PAREN_SHAPE)
-    parsed = F.when(sci, trimmed.try_cast(MONEY)).otherwise(stripped.try_cast(MONEY))
     return F.when(paren, -F.abs(parsed)).otherwise(parsed).cast(MONEY)
 
 

@@ -68,8 +68,8 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
         s_, coll = date_text_parts(src[f][0])
         s1 += [s_.alias(f"_s_{f}"), coll.alias(f"_c_{f}")]
     for f in text_money:
-        raw, stripped, trimmed = amount_text_parts(src[f][0])
-        s1 += [raw.alias(f"_r_{f}"), stripped.alias(f"_x_{f}"), trimmed.alias(f"_t_{f}")]
+        raw, stripped = amount_text_parts(src[f][0])
+        s1 += [raw.alias(f"_r_{f}"), stripped.alias(f"_x_{f}")]
     s1 += [sf.alias("source_file"), page.alias("source_page")] + [F.col(f"`{k}`") for k in keep]
     cur = df.select(*s1)
 
@@ -96,7 +96,7 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
 
     def money_expr(f: str) -> Column:
         if is_text(f):
-            return parse_amount_parts(c(f"_r_{f}"), c(f"_x_{f}"), c(f"_t_{f}"))
+            return parse_amount_parts(c(f"_r_{f}"), c(f"_x_{f}"))
         return clean_amount(c(f"_src_{f}"), src[f][1])
 
     stage2 = cur.select(
