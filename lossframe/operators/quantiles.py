@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossframe.operators.numbering import prefix_counts
+from lossframe.session import persist_table
 
 
 def _interpolate(value_at, n: int, probs: list[float], offset: int = 0) -> list[Decimal | None]:
@@ -62,7 +63,9 @@ def quantiles_with_suffix(df: DataFrame, col: str | Column, probs: list[float],
     Returns ``{"all": (n, qs), "suffix": (n_suffix, qs)}``."""
     c = F.col(col) if isinstance(col, str) else col
     vals = df.select(c.alias("v")).where(F.col("v").isNotNull())
-    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    # value -> count, written once: the bounds, bucket-total and pick jobs
+    # then scan it instead of re-aggregating the column three times
+    counted = persist_table(vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value_counts")
     below = F.coalesce(F.sum(F.when(F.col("v") < F.lit(suffix_from), F.col("c"))), F.lit(0))
     ranked, n, extras = prefix_counts(counted, "v", "c", extra_aggs={"below": below})
     if n == 0:
@@ -97,7 +100,7 @@ def quantiles(df: DataFrame, col: str | Column, probs: list[float], method: str
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    counted = persist_table(vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value_counts")
     ranked, n = prefix_counts(counted, "v", "c")
     if n == 0:
         return 0, [None] * len(probs)
