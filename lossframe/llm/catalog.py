@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lossframe.llm import oracle_sql as O
+from lossframe.llm.bpe_fragments import round_trip_digests
 from lossframe.llm.common import table
 from lossframe.llm.digests import span_digest
+from lossframe.llm.packing import pack_documents
 from lossframe.llm.secret_scan import BASE_RULES, MORE_RULES, scan_secrets
 from lossframe.llm.url_filter import SiteRule, Vocabulary, filter_urls
 
@@ -38,8 +40,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES, VOCABULARY)
 
 
+def op8_bpe_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", capacity=1024)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_url_filter, op8_bpe_fragments, op10_packing)}
 
 
 def oracle() -> dict[str, str]:
