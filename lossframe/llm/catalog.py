@@ -13,6 +13,8 @@ from lossframe.llm.common import table
 from lossframe.llm.digests import span_digest
 from lossframe.llm.near_dedup import near_duplicates
 from lossframe.llm.packing import pack_documents
+from lossframe.llm.pii_crf import BASE_KINDS, FIELD_KINDS, find_pii, train_from
+from lossframe.llm.quality_crf import judge, train_line_model
 from lossframe.llm.secret_scan import BASE_RULES, MORE_RULES, scan_secrets
 from lossframe.llm.url_filter import SiteRule, Vocabulary, filter_urls
 from lossframe.llm.vp_search import nearest
@@ -39,6 +41,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, [r.kind for r in BASE_RULES], [r.kind for r in MORE_RULES])
 
 
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return span_digest(find_pii(docs, train_from(docs)), BASE_KINDS, FIELD_KINDS)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES, VOCABULARY)
 
@@ -61,12 +68,18 @@ def op8_bpe_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train_line_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", capacity=1024)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_url_filter, op5_minmax_dedup, op7_vp_search, op8_bpe_fragments, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_pii_crf, op4_url_filter, op5_minmax_dedup, op7_vp_search, op8_bpe_fragments,
+                                    op9_quality_crf, op10_packing)}
 
 
 def oracle() -> dict[str, str]:
