@@ -16,6 +16,7 @@ from lossframe.llm.packing import pack_documents
 from lossframe.llm.pii_crf import BASE_KINDS, FIELD_KINDS, find_pii, train_from
 from lossframe.llm.quality_crf import judge, train_line_model
 from lossframe.llm.secret_scan import BASE_RULES, MORE_RULES, scan_secrets
+from lossframe.llm.substring_dedup import removal_digest, remove_repeats
 from lossframe.llm.url_filter import SiteRule, Vocabulary, filter_urls
 from lossframe.llm.vp_search import nearest
 
@@ -41,6 +42,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, [r.kind for r in BASE_RULES], [r.kind for r in MORE_RULES])
 
 
+def op2_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(remove_repeats(table(spark, sf_dir, "documents"), length=100))
+
+
 def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return span_digest(find_pii(docs, train_from(docs)), BASE_KINDS, FIELD_KINDS)
@@ -78,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_pii_crf, op4_url_filter, op5_minmax_dedup, op7_vp_search, op8_bpe_fragments,
+    return {f.__name__: f for f in (op1_secret_scan, op2_parse_dedup, op3_pii_crf, op4_url_filter, op5_minmax_dedup, op7_vp_search, op8_bpe_fragments,
                                     op9_quality_crf, op10_packing)}
 
 
