@@ -11,6 +11,7 @@ from lossframe.llm import oracle_sql as O
 from lossframe.llm.bpe_fragments import round_trip_digests
 from lossframe.llm.common import table
 from lossframe.llm.digests import span_digest
+from lossframe.llm.line_dedup import line_report
 from lossframe.llm.near_dedup import near_duplicates
 from lossframe.llm.packing import pack_documents
 from lossframe.llm.pii_crf import BASE_KINDS, FIELD_KINDS, find_pii, train_from
@@ -59,6 +60,10 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"), percent=90, min_words=3)
+
+
 #: Pruning factor of the search (1 is exact). Recall on the larger check table (64 dimensions): 1.0 up to 2,
 #: 0.9998 at 4, 0.979 at 6, 0.909 at 8; vectors of few dimensions lose neighbours sooner, so it is kept low.
 RELAX = 1.5
@@ -83,7 +88,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_parse_dedup, op3_pii_crf, op4_url_filter, op5_minmax_dedup, op7_vp_search, op8_bpe_fragments,
+    return {f.__name__: f for f in (op1_secret_scan, op2_parse_dedup, op3_pii_crf, op4_url_filter, op5_minmax_dedup, op6_line_join, op7_vp_search, op8_bpe_fragments,
                                     op9_quality_crf, op10_packing)}
 
 

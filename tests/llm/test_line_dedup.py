@@ -1,0 +1,85 @@
+import random
+import re
+
+import pytest
+
+from lossframe.llm import catalog
+from lossframe.llm.line_dedup import drop_lines, line_report
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def brute(texts, percent=90, min_words=3):
+    """doc_id -> (lines, {removed line: similar?})."""
+    order = [(i, k, frozenset(WORD.findall(s))) for i in sorted(texts) for k, s in enumerate((texts[i] or "").split("\n"))]
+    out = {i: (len((texts[i] or "").split("\n")), {}) for i in texts}
+    for at, (i, k, a) in enumerate(order):
+        if len(a) < min_words:
+            continue
+        best = None
+        for _, _, e in order[:at]:
+            if len(e) >= min_words and 100 * len(a & e) >= percent * len(a | e):
+                best = e == a or bool(best)
+                if best:
+                    break
+        if best is not None:
+            out[i][1][k] = not best
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rnd = random.Random(6)
+    vocab = [f"w{i}" for i in range(300)]
+
+    def line(n):
+        return [rnd.choice(vocab) for _ in range(n)]
+
+    base = [line(rnd.randint(15, 40)) for _ in range(8)]
+    out = []
+    for _ in range(90):
+        rows = []
+        for _ in range(rnd.randint(0, 6)):
+            w = list(rnd.choice(base)) if rnd.random() < 0.6 else line(rnd.randint(0, 30))
+            for _ in range(rnd.randint(0, 4)):
+                if w:
+                    w[rnd.randrange(len(w))] = rnd.choice(vocab)
+            rows.append(rnd.choice([" ", "  ", "\t"]).join(w))
+        out.append("\n".join(rows))
+    out += [None, "", "\n\n", "a b", "a b", "a b c", "c b a", out[0], out[1], "one common line here\n" * 40, "x y z " * 9000]
+    out += [f"one common line here\nown{i} p{i} q{i}" for i in range(40)]
+    rnd.shuffle(out)
+    return dict(enumerate(out))
+
+
+def test_query_equals_brute_force(spark, make_docs, sf, corpus):
+    docs = make_docs(list(corpus.items())).withColumnRenamed("lang", "line")
+    rows = catalog.op6_line_join(spark, sf(documents=docs)).collect()
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.n_similar, r.removed_lines) for r in rows}
+    want = {i: (n, sum(not s for s in g.values()), sum(g.values()), ",".join(map(str, sorted(g))))
+            for i, (n, g) in brute(corpus).items()}
+    assert got == want and len(rows) == len(corpus)
+    assert sum(w[2] for w in want.values()) > 30
+
+
+def test_lower_similarity(make_docs, corpus):
+    few = dict(list(corpus.items())[:70])
+    rows = line_report(make_docs(list(few.items())), percent=75, min_words=1).collect()
+    want = brute(few, 75, 1)
+    assert {r.doc_id: r.removed_lines for r in rows} == {i: ",".join(map(str, sorted(g))) for i, (_, g) in want.items()}
+
+
+def test_drop_lines_and_cases(make_docs):
+    docs = make_docs([(1, "a b c d\nown line of one"), (2, "a b c d\nx"), (3, "a b c d"), (None, "a b c d"), (4, None),
+                      (5, ""), (2, "a b c d\nx")])
+    out = drop_lines(docs)
+    assert out.schema == docs.schema
+    got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in out.collect())
+    assert got == [(0, "a b c d", 7), (1, "a b c d\nown line of one", 23), (2, "x", 1), (2, "x", 1), (4, None, None), (5, "", 0)]
+    assert drop_lines(docs.limit(0)).count() == 0
+    assert line_report(docs.limit(0)).count() == 0
+
+
+def test_no_python_in_the_plan(make_docs, capsys):
+    line_report(make_docs([(1, "a b c d")])).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
