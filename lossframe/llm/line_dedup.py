@@ -32,7 +32,7 @@ from lossframe.session import persist_table
 #: buckets can have a share, so these lists are bounded whatever the corpus.
 BUCKETS = 1 << 16
 SHARES = [2.0 ** -k for k in range(12, 4, -1)]
-WORD_BREAK = "[ \\t\\n\\u000B\\f\\r]+"
+WORD_BREAK = "[ \\u0009-\\u000D]+"  # SQL turns the escapes into the characters
 #: A place in a class's prefix, as one long: line number, set size, prefix position.
 SIZE_BITS, POS_BITS = 20, 12
 

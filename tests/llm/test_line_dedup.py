@@ -30,7 +30,7 @@ def brute(texts, percent=90, min_words=3):
 @pytest.fixture(scope="module")
 def corpus():
     rnd = random.Random(6)
-    vocab = [f"w{i}" for i in range(300)]
+    vocab = [f"w{i}" for i in range(250)] + [f"f{i}ftnrbu0" for i in range(50)]
 
     def line(n):
         return [rnd.choice(vocab) for _ in range(n)]
@@ -44,7 +44,7 @@ def corpus():
             for _ in range(rnd.randint(0, 4)):
                 if w:
                     w[rnd.randrange(len(w))] = rnd.choice(vocab)
-            rows.append(rnd.choice([" ", "  ", "\t"]).join(w))
+            rows.append(rnd.choice([" ", "  ", "\t", "\x0b", "\x0c", "\r"]).join(w))
         out.append("\n".join(rows))
     out += [None, "", "\n\n", "a b", "a b", "a b c", "c b a", out[0], out[1], "one common line here\n" * 40, "x y z " * 9000]
     out += [f"one common line here\nown{i} p{i} q{i}" for i in range(40)]
