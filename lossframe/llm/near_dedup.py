@@ -156,3 +156,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, permutat
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` (doc_id, text, any others) with one document of each group, the one with the smallest id.
+
+    Rows without an id stay; rows that share an id stay or go together.
+    """
+    dropped = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(persist_table(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
