@@ -245,14 +245,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spans = whole.unionByName(shared).groupBy("doc_id").agg(F.collect_list("span").alias("span"))  # bounded by the document
     done = part.join(spans, "doc_id", "left").select("doc_id", "text", "span")
     none = F.lit(None).cast("array<long>").alias("span")
-    others = rows.where("doc_id IS NULL")
     if odd:
         twins = rows.join(repeated.select("doc_id"), "doc_id", "left_semi")
         texts = F.sha2("text", 256).alias("hash")
         known = done.join(repeated.select("doc_id"), "doc_id", "left_semi").select("doc_id", texts, "span")
         met = (twins.withColumn("hash", texts).join(known, ["doc_id", "hash"], "left").select("doc_id", "text", "span"))
         done = done.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(met)
-    return _cut(done.unionByName(others.select("doc_id", "text", none)))
+    others = rows.where("doc_id IS NULL")
+    if not others.isEmpty():  # without this branch both joins read one shuffle of the texts
+        done = done.unionByName(others.select("doc_id", "text", none))
+    return _cut(done)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
