@@ -1,8 +1,8 @@
 r"""Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
 A line (\n-split) is the set of its words. A word's place in the global order
-is its rarity, then its hash; rarity is the level of its hash bucket's share of
-the words of all documents, from lists of bounded length. Lines with equal sets are one
+is its rarity, then its hash; rarity is the frequency of its hash bucket over
+all documents in half powers of two, from a table of fixed size. Lines with equal sets are one
 class with the first occurrence in front. Two sets at the similarity share a
 word among their rarest ones; classes meet on those prefix words, within the
 size bounds, and only where the words that can still follow reach the needed
@@ -22,35 +22,34 @@ table gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossframe.llm.common import id_and_text
 from lossframe.session import persist_table
 
-#: Hash buckets of the frequency count, and the shares of all words that make a bucket frequent. At most 1 / share
-#: buckets can have a share, so these lists are bounded whatever the corpus.
+#: Hash buckets of the frequency table: its size is fixed, one byte each, whatever the corpus.
 BUCKETS = 1 << 16
-SHARES = [2.0 ** -k for k in range(12, 4, -1)]
 WORD_BREAK = "[ \\u0009-\\u000D]+"  # SQL turns the escapes into the characters
 #: A place in a class's prefix, as one long: line number, set size, prefix position.
 SIZE_BITS, POS_BITS = 20, 12
 
 
-def frequent_buckets(docs: DataFrame) -> list[list[int]]:
-    """For each of ``SHARES`` the hash buckets that hold at least that share of the words of all documents."""
+def frequency_levels(docs: DataFrame) -> bytes:
+    """One byte for each hash bucket: the frequency of its words over all documents, in half powers of two."""
     words = docs.select(F.explode(F.expr(f"split(text, '{WORD_BREAK}')")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.expr(f"CAST(pmod(xxhash64(w), {BUCKETS}) AS INT)").alias("bucket")).count().collect()
-    total = sum(r["count"] for r in counts)  # at most BUCKETS rows
-    return [sorted(r.bucket for r in counts if r["count"] >= share * total) for share in SHARES]
+    levels = bytearray([1]) * BUCKETS
+    for r in counts:  # at most BUCKETS rows
+        levels[r.bucket] = min(127, 1 + int(2 * math.log2(r["count"])))
+    return bytes(levels)
 
 
-def ordered_words(line: str, frequent: list[list[int]]) -> Column:
+def ordered_words(line: str, levels: bytes) -> Column:
     """The set of a line's words as ascending longs: level of frequency in the upper bits, then the hash."""
-    level = str(len(frequent))
-    for k in range(len(frequent) - 1, -1, -1):
-        own = ", ".join(map(str, frequent[k])) or "-1"
-        level = f"CASE WHEN pmod(h, {BUCKETS}) NOT IN ({own}) THEN {k} ELSE {level} END"
+    level = f"ascii(CAST(substring(X'{levels.hex()}', CAST(pmod(h, {BUCKETS}) AS INT) + 1, 1) AS STRING))"
     return F.expr(f"""sort_array(array_distinct(transform(
         transform(filter(split({line}, '{WORD_BREAK}'), w -> w <> ''), w -> xxhash64(w)),
         h -> shiftleft(CAST({level} AS BIGINT), 56) | shiftrightunsigned(h, 8))))""")
@@ -61,11 +60,13 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
 
     ``similar`` is false where the line's set itself stands earlier.
     """
-    frequent = frequent_buckets(docs)
+    levels = frequency_levels(docs)
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    words = split.select("doc_id", "line", ordered_words("s", frequent).alias("w"))
+    words = split.select("doc_id", "line", ordered_words("s", levels).alias("w"))
     n = F.size("w")
-    prefix = F.slice("w", F.lit(1), F.when(n >= min_words, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0))
+    # a set's most alike other set has one word more; where that is too little, only equal sets count
+    pairs_up = (n >= min_words) & (100 * n >= percent * (n + 1))
+    prefix = F.slice("w", F.lit(1), F.when(pairs_up, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0))
     lines = persist_table(words.select("doc_id", "line", n.alias("n"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"),
                                        prefix.alias("prefix")), "lines")
 
@@ -86,11 +87,11 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
 
     lead = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("e"))
     first = persist_table(_candidates(shared, lead.select("t", "e.*"), percent), "pairs")
-    found = persist_table(_verified(docs, first, frequent, percent), "similar")
+    found = persist_table(_verified(docs, first, levels, percent), "similar")
     rest = shared.join(found, ["doc_id", "line"], "left_anti")
     more = persist_table(_candidates(rest, shared, percent).join(
         first, ["doc_id", "line", "e_doc", "e_line"], "left_anti"), "pairs")
-    found = found.union(_verified(docs, more, frequent, percent)).distinct()
+    found = found.union(_verified(docs, more, levels, percent)).distinct()
 
     front = classes.select(*key, F.col("first.doc_id").alias("f_doc"), F.col("first.line").alias("f_line"))
     met = own.select("doc_id", "line", *key).join(front, key)
@@ -107,22 +108,24 @@ def _candidates(late: DataFrame, early: DataFrame, percent: int) -> DataFrame:
     Of two sets the smaller one needs only its first n - ceil(2 t / (1 + t) n) + 1 words; t = percent / 100.
     """
     a, e, s = late.alias("a"), early.alias("e"), 100 + percent
+    need = f"(({percent} * (a.n + e.n) + {s - 1}) div {s})"  # different sets of one size share less than all
     return (a.join(e, F.expr(f"""
         a.t = e.t AND (e.doc_id < a.doc_id OR (e.doc_id = a.doc_id AND e.line < a.line))
         AND 100 * least(a.n, e.n) >= {percent} * greatest(a.n, e.n)
         AND IF(a.n < e.n, a.pos, e.pos) <= least(a.n, e.n) - ((2 * {percent} * least(a.n, e.n) + {s - 1}) div {s})
-        AND 1 + least(a.n - a.pos - 1, e.n - e.pos - 1) >= (({percent} * (a.n + e.n) + {s - 1}) div {s})"""))
+        AND {need} <= least(a.n, e.n) - IF(a.n = e.n, 1, 0)
+        AND 1 + least(a.n - a.pos - 1, e.n - e.pos - 1) >= {need}"""))
         .select("a.doc_id", "a.line", F.col("e.doc_id").alias("e_doc"), F.col("e.line").alias("e_line")).distinct())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, frequent: list[list[int]], percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) -> DataFrame:
     """doc_id, line of the later ones of the pairs whose full sets have the similarity."""
     needed = (pairs.select("doc_id", "line").union(pairs.select("e_doc", "e_line")).distinct()
               .groupBy("doc_id").agg(F.collect_set("line").alias("own")))  # bounded by the document
     sets = (docs.join(needed, "doc_id")
             .select("doc_id", "own", F.posexplode(F.split("text", "\n")).alias("line", "s"))
             .where(F.array_contains("own", F.col("line")))
-            .select("doc_id", "line", ordered_words("s", frequent).alias("w")))
+            .select("doc_id", "line", ordered_words("s", levels).alias("w")))
     sets = persist_table(sets, "sets")
     late = pairs.join(sets.withColumnRenamed("w", "a"), ["doc_id", "line"])
     both = late.join(sets.select(F.col("doc_id").alias("e_doc"), F.col("line").alias("e_line"), F.col("w").alias("e")),
