@@ -5,7 +5,8 @@ Spark SQL expressions, so Catalyst can push filters, prune columns and
 fuse the row-local work into whole-stage codegen.
 """
 
-from lossframe.session import get_spark, checkpoint_dir
+__version__ = "0.2.0"
+
+from lossframe.session import checkpoint_dir, get_spark  # noqa: E402
 
 __all__ = ["get_spark", "checkpoint_dir"]
-__version__ = "0.1.0"

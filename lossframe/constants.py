@@ -31,15 +31,6 @@ STANDARD_FIELDS: list[str] = list(FIELD_ALIASES)
 
 ALLOWED_CURRENCIES: list[str] = ["AUD", "USD", "NZD", "GBP", "EUR", "CAD", "SGD"]
 
-APP_VERSION = "0.6.2-pilots"
-
-# Date orders per locale profile (lubridate notation in the reference).
-LOCALE_DATE_ORDERS: dict[str, list[str]] = {
-    "AU": ["d/m/Y", "Y-m-d", "d-b-Y", "d.m.Y", "d/m/y", "Y/m/d"],
-    "US": ["m/d/Y", "Y-m-d", "b d Y", "m.d.Y", "m/d/y", "Y/m/d"],
-}
-BIG_MARK = ","
-
 # Issue texts and details, in rule order.
 ISSUE_REQUIRED = "Missing required fields"
 ISSUE_NEG_PAID = "Negative paid"
@@ -127,15 +118,41 @@ RETENTION_DAYS = 30
 
 # File intake.
 ALLOWED_EXTENSIONS = ["csv", "xlsx", "xls", "pdf"]
-MAX_UPLOAD_MB = 500
 TEXT_MIN_CHARS = 400
 HEADER_PROMOTE_FRACTION = 0.6
 EXCEL_SERIAL_MIN = 20000
 EXCEL_SERIAL_MAX = 60000
 EXCEL_ORIGIN = "1899-12-30"
 
-# Export layouts: (output column, source expression key, kind).
-EXPORT_FORMATS = ["standard_csv", "ebix_v1", "lloyds_v5_2", "sunrise_basic"]
+# Export layouts: (output column, source column or expression key, kind). Fixed values.
+# Kinds: text as it is; iso and au date text; money rounded to two places; amount as it is.
+EXPORT_LAYOUTS: dict[str, list[tuple[str, str, str]]] = {
+    "standard_csv": [
+        ("run_id", "run_id", "text"), ("tenant_id", "tenant_id", "text"), ("claim_id", "claim_id", "text"),
+        ("loss_date", "loss_date", "iso"), ("report_date", "report_date", "iso"), ("paid", "paid", "amount"),
+        ("incurred", "incurred", "amount"), ("outstanding", "outstanding", "amount"), ("currency", "currency", "text"),
+        ("policy_number", "policy_number", "text"), ("status", "status", "text"),
+        ("claimant|claimant_masked", "claimant", "text"), ("source_file", "source_file", "text"),
+        ("source_page", "source_page", "text"),
+    ],
+    "ebix_v1": [
+        ("ClaimNumber", "claim_id", "text"), ("DateOfLoss", "loss_date", "au"), ("DateReported", "report_date", "au"),
+        ("Paid", "paid", "money"), ("Incurred", "incurred", "money"), ("Outstanding", "outstanding_filled", "money"),
+        ("Currency", "currency", "text"), ("PolicyNumber", "policy_number", "text"), ("Status", "status", "text"),
+        ("Claimant|ClaimantMasked", "claimant", "text"),
+    ],
+    "lloyds_v5_2": [
+        ("Claim_Reference", "claim_id", "text"), ("Loss_Date", "loss_date", "iso"), ("Report_Date", "report_date", "iso"),
+        ("Paid_To_Date", "paid", "money"), ("Incurred_To_Date", "incurred", "money"),
+        ("Outstanding_Reserves", "incurred_less_paid", "money"), ("Currency", "currency", "text"),
+        ("Policy_Number", "policy_number", "text"),
+    ],
+    "sunrise_basic": [
+        ("ClaimID", "claim_id", "text"), ("LossDate", "loss_date", "au"), ("ReportDate", "report_date", "au"),
+        ("Paid", "paid", "money"), ("Incurred", "incurred", "money"), ("OS", "outstanding_filled", "money"),
+        ("CCY", "currency", "text"), ("PolicyNo", "policy_number", "text"),
+    ],
+}
 
 # ---------------------------------------------------------------------------
 # Standard claims schema
@@ -158,11 +175,3 @@ STANDARD_SCHEMA = T.StructType([
     T.StructField("source_page", T.IntegerType()),
     T.StructField("tenant_id", T.StringType()),
 ])
-
-ISSUE_SCHEMA = T.StructType([
-    T.StructField("row", T.LongType()),
-    T.StructField("claim_id", T.StringType()),
-    T.StructField("issue", T.StringType()),
-    T.StructField("detail", T.StringType()),
-    T.StructField("rule_order", T.IntegerType()),
-])

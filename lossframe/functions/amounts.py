@@ -14,7 +14,6 @@ from lossframe.constants import MONEY
 
 SCIENTIFIC_SHAPE = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)[eE][+-]?\\d+$"
 PAREN_SHAPE = "^\\s*\\(.*\\)\\s*$"
-MONEY_SQL = "decimal(28,6)"
 
 
 def amount_text_parts(c: Column) -> tuple[Column, Column]:
@@ -76,10 +75,3 @@ def format_num(c: Column) -> Column:
 def two_decimals_ok(c: Column) -> Column:
     """F14 aggregate: every non-null value has at most two decimals (empty -> true)."""
     return F.coalesce(F.bool_and(F.when(c.isNotNull(), c == F.round(c, 2))), F.lit(True))
-
-
-def r_number_text(c: Column) -> Column:
-    """Shortest decimal text of a number the way R prints it (1500.50 -> 1500.5)."""
-    s = c.cast("string")
-    s = F.when(s.contains("."), F.regexp_replace(s, "0+$", "")).otherwise(s)
-    return F.regexp_replace(s, "\\.$", "")

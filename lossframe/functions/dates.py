@@ -26,10 +26,10 @@ NUMERIC_SHAPE = "^\\d+(\\.\\d+)?$"
 # verbatim); the Spark side checks the equivalent digit/letter signatures.
 _D_M_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "dmY", "d-M-yyyy")
 _Y4_M_D = ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "Ymd", "yyyy-M-d")
-_D_B_Y4 = ("^\\d{1,2}-[A-Za-z]{3}-\\d{4}$", "dbY", "d-MMM-yyyy")
+_D_B_Y4 = ("^\\d{1,2}-[A-Za-z]{3,9}-\\d{4}$", "dbY", "d-MMM-yyyy")
 _D_M_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "dmy", "d-M-yy")
 _M_D_Y4 = ("^\\d{1,2}-\\d{1,2}-\\d{4}$", "mdY", "M-d-yyyy")
-_B_D_Y4 = ("^[A-Za-z]{3}-\\d{1,2}-\\d{4}$", "bdY", "MMM-d-yyyy")
+_B_D_Y4 = ("^[A-Za-z]{3,9}-\\d{1,2}-\\d{4}$", "bdY", "MMM-d-yyyy")
 _M_D_Y2 = ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "mdy", "M-d-yy")
 
 # Locale -> ordered patterns (after separator collapse, AU d/m/Y == d.m.Y etc.).
@@ -38,8 +38,9 @@ LOCALE_PATTERNS = {
     "US": [_M_D_Y4, _Y4_M_D, _B_D_Y4, _M_D_Y2],
 }
 
-# English month abbreviations, January first.
-MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+# English month names, January first. A month is written in full or by its first three letters.
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+               "november", "december"]
 # Two-digit years: 69-99 are 1900s, 00-68 are 2000s.
 TWO_DIGIT_PIVOT = 69
 
@@ -55,23 +56,25 @@ def _signatures(shape: str) -> list[str]:
     import itertools
     import re
     parts = []
-    for tok in re.findall(r"\\d\{(\d)(?:,(\d))?\}|\[A-Za-z\]\{(\d)\}|(-)", shape):
-        lo, hi, letters, dash = tok
+    for tok in re.findall(r"\\d\{(\d)(?:,(\d))?\}|\[A-Za-z\]\{(\d),(\d)\}|(-)", shape):
+        lo, hi, letters, most, dash = tok
         if dash:
             parts.append(["-"])
         elif letters:
-            parts.append(["a" * int(letters)])
+            parts.append(["a" * k for k in range(int(letters), int(most) + 1)])
         else:
             parts.append(["9" * k for k in range(int(lo), int(hi or lo) + 1)])
     return ["".join(p) for p in itertools.product(*parts)]
 
-_MONTHS_TEXT = "".join(MONTH_ABBREVIATIONS)
+#: Every name and abbreviation between bars, padded to one width, so that the place of a name gives its month.
+_MONTH_WIDTH = 16
+_MONTHS_TEXT = "".join(f"|{m[:3]}|{m}|".ljust(_MONTH_WIDTH) for m in MONTH_NAMES)
 
 
 def _month_number(name: Column) -> Column:
-    """1..12 for a three-letter English month abbreviation (any case), else NULL."""
-    pos = F.instr(F.lit(_MONTHS_TEXT), F.lower(name))
-    return F.when((F.length(name) == 3) & (pos % 3 == 1), ((pos + 2) / 3).cast("int"))
+    """1..12 for an English month, in full or as three letters (any case), else NULL."""
+    pos = F.instr(F.lit(_MONTHS_TEXT), F.concat(F.lit("|"), F.lower(name), F.lit("|")))
+    return F.when(pos > 0, (F.floor((pos - 1) / _MONTH_WIDTH) + 1).cast("int"))
 
 
 def _valid_date(year: Column, month: Column, day: Column) -> Column:
@@ -166,7 +169,11 @@ def parse_date_text(c: Column, locale: str = "AU") -> Column:
     sig = _signature(collapsed)
     tries = [F.when((F.length(s) > 15) & s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))]
     for shape, order, fmt in LOCALE_PATTERNS[locale]:
-        d = F.to_date(F.try_to_timestamp(collapsed, F.lit(fmt)))
+        text = collapsed
+        if "b" in order:  # a full month name becomes its abbreviation; other words do not
+            word = F.split(collapsed, "-")[order.index("b")]
+            text = F.when(_month_number(word).isNotNull(), F.regexp_replace(collapsed, "([A-Za-z]{3})[A-Za-z]*", "$1"))
+        d = F.to_date(F.try_to_timestamp(text, F.lit(fmt)))
         d = F.when(F.year(d) >= 1, d)  # year 0000 is not a calendar year
         if "y" in order:  # the formatter maps yy into 2000-2099; 69-99 belong to the 1900s
             d = F.when(F.year(d) >= 2000 + TWO_DIGIT_PIVOT, F.add_months(d, -1200)).otherwise(d)

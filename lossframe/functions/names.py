@@ -13,19 +13,13 @@ _TRIM_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def normalize_name(name: str) -> str:
-    """Driver-side header normalisation: non-alphanumeric runs -> '_', trim '_', lower."""
-    x = re.sub(r"[^A-Za-z0-9]+", "_", name)
-    x = re.sub(r"_+", "_", x)
-    x = re.sub(r"^_|_$", "", x)
-    return x.lower()
+    """Driver-side header normalisation: alphanumeric runs, lower-cased, joined by '_'."""
+    return "_".join(re.findall("[A-Za-z0-9]+", name)).lower()
 
 
 def normalize_name_col(c: Column) -> Column:
     """Same normalisation as a column expression (for header rows read as data)."""
-    x = F.regexp_replace(c, "[^A-Za-z0-9]+", "_")
-    x = F.regexp_replace(x, "_+", "_")
-    x = F.regexp_replace(x, "^_|_$", "")
-    return F.lower(x)
+    return F.lower(F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), F.lit("_")))
 
 
 def trim_ws(c: Column) -> Column:

@@ -71,10 +71,3 @@ def scrub_name(c: Column, hide: bool = True, audit_salt: str = "") -> Column:
         return hmac_sha256_col(c, audit_salt)
     return F.lit("redacted")
 
-
-def scrub_name_py(name: str, hide: bool = True, audit_salt: str = "") -> str:
-    if not hide:
-        return name
-    if audit_salt:
-        return hmac_sha256_hex(audit_salt, name)
-    return "redacted"

@@ -11,7 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossframe.constants import APP_VERSION, EXPORT_FORMATS
+from lossframe import __version__ as APP_VERSION
+from lossframe.constants import EXPORT_LAYOUTS
 from lossframe.functions.amounts import round_money
 from lossframe.functions.dates import format_date
 from lossframe.functions.privacy import mask_claimant, mask_policy
@@ -23,64 +24,37 @@ def mask(std: DataFrame, salt: str) -> DataFrame:
             .withColumn("policy_number", mask_policy(F.col("policy_number"), salt)))
 
 
-def _os(fill: bool) -> Column:
-    o = F.col("outstanding")
-    return F.coalesce(o, F.col("incurred") - F.col("paid")) if fill else o
+def _sources(fill_outstanding: bool) -> dict[str, Column]:
+    """Computed layout sources, by key."""
+    less = F.col("incurred") - F.col("paid")
+    return {"incurred_less_paid": less,
+            "outstanding_filled": F.coalesce(F.col("outstanding"), less) if fill_outstanding else F.col("outstanding")}
+
+
+_KINDS = {"text": lambda c: c, "amount": lambda c: c, "money": round_money,
+          "iso": lambda c: format_date(c, "iso"), "au": lambda c: format_date(c, "au")}
 
 
 def transform_export(std: DataFrame, fmt: str = "standard_csv", masked: bool = True, salt: str | None = None,
                      fill_outstanding: bool = False) -> DataFrame:
-    """X1-X4 (+X9): one of four market layouts, masked unless asked otherwise."""
-    if fmt not in EXPORT_FORMATS:
+    """X1-X4 (+X9): one of the market layouts of ``EXPORT_LAYOUTS``, masked unless asked otherwise.
+
+    An output name ``plain|masked`` depends on the masking."""
+    if fmt not in EXPORT_LAYOUTS:
         raise ValueError(f"unknown export format {fmt!r}")
-    src = std
-    if masked:
-        if salt is None:
-            raise ValueError("a masking salt is required for a masked export")
-        src = mask(std, salt)
-    c = F.col
+    if masked and salt is None:
+        raise ValueError("a masking salt is required for a masked export")
+    src = mask(std, salt) if masked else std
     if "run_id" not in src.columns:
         src = src.withColumn("run_id", F.lit(None).cast("string"))
-    if fmt == "standard_csv":
-        return src.select(
-            "run_id", "tenant_id", "claim_id",
-            format_date(c("loss_date"), "iso").alias("loss_date"),
-            format_date(c("report_date"), "iso").alias("report_date"),
-            "paid", "incurred", "outstanding", "currency", "policy_number", "status",
-            c("claimant").alias("claimant_masked" if masked else "claimant"),
-            "source_file", "source_page")
-    if fmt == "ebix_v1":
-        return src.select(
-            c("claim_id").alias("ClaimNumber"),
-            format_date(c("loss_date"), "au").alias("DateOfLoss"),
-            format_date(c("report_date"), "au").alias("DateReported"),
-            round_money(c("paid")).alias("Paid"),
-            round_money(c("incurred")).alias("Incurred"),
-            round_money(_os(fill_outstanding)).alias("Outstanding"),
-            c("currency").alias("Currency"), c("policy_number").alias("PolicyNumber"),
-            c("status").alias("Status"), c("claimant").alias("ClaimantMasked" if masked else "Claimant"))
-    if fmt == "lloyds_v5_2":
-        return src.select(
-            c("claim_id").alias("Claim_Reference"),
-            format_date(c("loss_date"), "iso").alias("Loss_Date"),
-            format_date(c("report_date"), "iso").alias("Report_Date"),
-            round_money(c("paid")).alias("Paid_To_Date"),
-            round_money(c("incurred")).alias("Incurred_To_Date"),
-            round_money(c("incurred") - c("paid")).alias("Outstanding_Reserves"),
-            c("currency").alias("Currency"), c("policy_number").alias("Policy_Number"))
-    return src.select(
-        c("claim_id").alias("ClaimID"),
-        format_date(c("loss_date"), "au").alias("LossDate"),
-        format_date(c("report_date"), "au").alias("ReportDate"),
-        round_money(c("paid")).alias("Paid"),
-        round_money(c("incurred")).alias("Incurred"),
-        round_money(_os(fill_outstanding)).alias("OS"),
-        c("currency").alias("CCY"), c("policy_number").alias("PolicyNo"))
+    computed = _sources(fill_outstanding)
+    return src.select(*[_KINDS[kind](computed.get(key, F.col(key))).alias(name.split("|")[-1 if masked else 0])
+                        for name, key, kind in EXPORT_LAYOUTS[fmt]])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, NULL written as empty."""
-    (df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "")
+    """CSV with a header, NULL written as empty, quotes doubled inside quoted cells."""
+    (df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"')
      .csv(path))
 
 

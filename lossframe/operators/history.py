@@ -2,8 +2,8 @@
 
 The four stored tables (runs, issues, saved mappings, audit log) are
 Parquet folders. Runs and issues are partitioned by ``run_id`` and written
-with dynamic partition overwrite, so saving a run twice replaces exactly
-that run's partitions (idempotent on task or job retry).
+with dynamic partition overwrite (the writer's option, whatever the session
+says), so saving a run twice replaces exactly that run's partitions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossframe.constants import APP_VERSION, RETENTION_DAYS
+from lossframe import __version__ as APP_VERSION
+from lossframe.constants import RETENTION_DAYS
 from lossframe.functions.privacy import scrub_name
 from lossframe.session import persist_table
 
@@ -48,30 +49,60 @@ def run_header(std: DataFrame, run_id: str, tenant_id: str, ts: Column | None =
              "n_rows", "n_claims", "total_paid", "total_incurred")
 
 
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_path(spark, path)
+    return fs.exists(p)
+
+
+def _partition_path(table: str, run_id: str) -> str:
+    """Folder of one run's partition, escaped as Spark's writer names it."""
+    return f"{table}/run_id={''.join(_escaped(c) for c in run_id)}"
+
+
+def _escaped(c: str) -> str:
+    return f"%{ord(c):02X}" if ord(c) < 32 or c in "\x7f\"#%'*/:=?\\{[]^" else c
+
+
+def _drop_partitions(spark: SparkSession, table: str, run_ids: list[str]) -> None:
+    for r in run_ids:
+        fs, p = _fs_path(spark, _partition_path(table, r))
+        if fs.exists(p) and not fs.delete(p, True):
+            raise OSError(f"could not delete {p}")
+
+
 def _overwrite_partitions(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("run_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """Replace the partitions that ``df`` has rows for; the mode is the writer's own, not the session's."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
 def save_run(header: DataFrame, issues: DataFrame, root: str) -> None:
-    """H1 + H2: upsert the run header and replace the run's issues."""
+    """H1 + H2: upsert one run's header and replace its issues (none left if it has none now).
+
+    The header goes last, so a run that is listed has its issues; a repeat after a failure gives the same.
+    """
+    run_ids = [r[0] for r in header.select("run_id").distinct().limit(2).collect()]
+    if len(run_ids) != 1 or not run_ids[0]:
+        raise ValueError("save_run stores exactly one run with a run_id")
+    spark = header.sparkSession
+    iss = issues.select(*[c for c in ISSUES_SCHEMA.fieldNames() if c != "run_id"]).withColumn("run_id", F.lit(run_ids[0]))
+    stored = persist_table(iss.select(*ISSUES_SCHEMA.fieldNames()), "issues")
+    _overwrite_partitions(stored, f"{root}/issues")
+    if stored.isEmpty():
+        _drop_partitions(spark, f"{root}/issues", run_ids)
     _overwrite_partitions(header.select(*RUNS_SCHEMA.fieldNames()), f"{root}/runs")
-    run_ids = [r[0] for r in header.select("run_id").distinct().collect()]
-    iss = issues.select(*[c for c in ISSUES_SCHEMA.fieldNames() if c != "run_id"])
-    iss = iss.withColumn("run_id", F.lit(run_ids[0] if run_ids else None))
-    _overwrite_partitions(iss.select(*ISSUES_SCHEMA.fieldNames()), f"{root}/issues")
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-    except Exception:  # table not written yet
+    """A stored table; empty only where nothing was stored yet. Any failure to read is raised."""
+    if not _exists(spark, f"{root}/{name}"):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
 def retention_filter(df: DataFrame, ts_col: str, as_of: datetime | Column | None = None,
@@ -96,19 +127,28 @@ def orphan_filter(children: DataFrame, parents: DataFrame, key: str, parent_key:
     return children.join(keys, key, "left_semi")
 
 
-def prune(spark: SparkSession, root: str, as_of: datetime | None = None, days: int = RETENTION_DAYS) -> None:
-    """H3 + H4 over the stored tables: runs and audit rows by age, then orphaned issues."""
-    # each result is materialised in the checkpoint folder before its source
-    # folder is overwritten (a plan must not read the path it replaces)
+def prune(spark: SparkSession, root: str, as_of: datetime | None = None, days: int = RETENTION_DAYS) -> dict[str, int]:
+    """H3 + H4 over the stored tables: runs and audit rows by age, then issues whose run is gone.
+
+    Nothing is rewritten: the partitions of expired runs and of issues without a run are deleted (their
+    ids come to the driver, one short text for a run, not for a row), and expired audit rows go by
+    replacing the audit table from a stored copy only if there are any. Whatever fails before a
+    deletion is raised and leaves the tables as they were; a repeat finishes the rest.
+    Returns how many partitions or rows went, by table.
+    """
     runs = read_table(spark, root, "runs", RUNS_SCHEMA)
-    kept_runs = persist_table(retention_filter(runs, "ts_utc", as_of, days), "runs")
-    issues = persist_table(orphan_filter(read_table(spark, root, "issues", ISSUES_SCHEMA), kept_runs, "run_id"),
-                           "issues")
-    audit = persist_table(retention_filter(read_table(spark, root, "audit_log", AUDIT_SCHEMA), "ts_utc", as_of,
-                                           days), "audit")
-    kept_runs.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/runs")
-    issues.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/issues")
-    audit.write.mode("overwrite").parquet(f"{root}/audit_log")
+    kept = [r[0] for r in retention_filter(runs, "ts_utc", as_of, days).select("run_id").distinct().collect()]
+    expired = sorted({r[0] for r in runs.select("run_id").distinct().collect()} - set(kept))
+    issue_ids = {r[0] for r in read_table(spark, root, "issues", ISSUES_SCHEMA).select("run_id").distinct().collect()}
+    orphans = sorted(issue_ids - set(kept))
+    audit = read_table(spark, root, "audit_log", AUDIT_SCHEMA)
+    audit_kept = persist_table(retention_filter(audit, "ts_utc", as_of, days), "audit")
+    gone = audit.count() - audit_kept.count()
+    _drop_partitions(spark, f"{root}/runs", [r for r in expired if r is not None])
+    _drop_partitions(spark, f"{root}/issues", [r for r in orphans if r is not None])
+    if gone:
+        audit_kept.write.mode("overwrite").parquet(f"{root}/audit_log")
+    return {"runs": len(expired), "issues": len(orphans), "audit_log": gone}
 
 
 def delete_all(spark: SparkSession, root: str, confirm: bool = False) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lossframe.constants import FIELD_ALIASES, STANDARD_FIELDS
 from lossframe.functions.names import normalize_name
+from lossframe.session import persist_table
 
 MAPPING_STORE_SCHEMA = T.StructType([
     T.StructField("tenant_id", T.StringType()),
@@ -64,11 +65,6 @@ def mapping_from_json(text: str) -> dict[str, str]:
     return out
 
 
-def mapping_column(mapping_json: F.Column) -> F.Column:
-    """Parsed mapping as a MapType column (for stored mappings)."""
-    return F.from_json(mapping_json, T.MapType(T.StringType(), T.StringType()))
-
-
 # ---------------------------------------------------------------------------
 # Saved-mapping store
 # ---------------------------------------------------------------------------
@@ -89,16 +85,31 @@ def latest_per_key(df: DataFrame, keys: list[str], order_cols: list[str], value_
     return df.groupBy(*keys).agg(*aggs)
 
 
+def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
+    """M5: rows of ``new`` replace those of the same (tenant_id, counterparty); among several the newest wins, and
+    with equal times the one of ``new``, then the larger mapping text, so the winner is always defined."""
+    both = store.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return latest_per_key(both, ["tenant_id", "counterparty"], ["ts_utc", "_new", "mapping_json"], ["mapping_json"]).select(
+        *MAPPING_STORE_SCHEMA.fieldNames())
+
+
 def save_mapping(store: DataFrame, tenant_id: str, counterparty: str, mapping: dict[str, str],
                  ts=None) -> DataFrame:
-    """M5: upsert on (tenant_id, counterparty); the newest entry wins."""
+    """M5: upsert of one mapping on (tenant_id, counterparty); the newest entry wins."""
     spark = store.sparkSession
     new = spark.createDataFrame([(tenant_id, counterparty, mapping_to_json(mapping), ts)], MAPPING_STORE_SCHEMA)
     if ts is None:
         new = new.withColumn("ts_utc", F.current_timestamp())
-    both = store.unionByName(new)
-    return latest_per_key(both, ["tenant_id", "counterparty"], ["ts_utc"], ["mapping_json"]).select(
-        *MAPPING_STORE_SCHEMA.fieldNames())
+    return upsert(store, new)
+
+
+def store_mappings(spark: SparkSession, root: str, new: DataFrame) -> None:
+    """M5 over the stored table ``saved_mappings``: the merged store is stored aside before it replaces the old one."""
+    from lossframe.operators.history import read_table
+
+    merged = persist_table(upsert(read_table(spark, root, "saved_mappings", MAPPING_STORE_SCHEMA),
+                                  new.select(*MAPPING_STORE_SCHEMA.fieldNames())), "mappings")
+    merged.write.mode("overwrite").parquet(f"{root}/saved_mappings")
 
 
 def load_mapping(store: DataFrame, tenant_id: str, counterparty: str) -> dict[str, str] | None:

@@ -1,123 +1,83 @@
-"""Global ordering helpers: stable row numbers (S7) and prefix sums.
+"""Stable row numbers.
 
-Both avoid an unpartitioned window (which would move every row into one
-task). Rows are range-partitioned on the ordering key and ordered inside
-each partition; per-partition totals (one number per partition, never per
-row) give each partition its offset.
+A stored table has an order already: its files, and the rows in them. So a
+number is the count of rows in the files before, plus the row's index in its
+own file; the only extra work is one count per file. Nothing is shuffled.
 
-The locally numbered frame is written once to the reliable checkpoint
-folder (``persist_table``) before offsets are taken, so partition ids and local positions
-cannot drift if a task is recomputed after an executor loss or if adaptive
-execution plans the shuffle read differently on a second pass.
+* ``number_stored``: rows of a stored Parquet table, in file and row order;
+* ``number_by_position``: rows that carry the position their reader gave
+  them (``sources.files.read_csv``), in file and line order;
+* ``number_rows``: rows in the order of given columns; these are sorted into
+  a stored table first (one range shuffle).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossframe.session import persist_table
 
-_PID = "_lf_pid"
-_MID = "_lf_mid"
+FILE, BLOCK, POSITION = "_lf_file", "_lf_block", "_lf_pos"
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _offsets(df: DataFrame, keys: list[str], order, name: str) -> DataFrame:
+    """(keys, name): rows before each key's run, from one count per key; the keys (files or file
+    blocks, never rows) are summed up on the driver and joined back by Spark's own size check."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows, before = [], 0
+    for r in sorted(counted, key=order):
+        rows.append((*[r[k] for k in keys], before))
+        before += r["n"]
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, f"`{name}` long"]))
 
 
-def number_rows(df: DataFrame, order_cols: list, name: str = "row_id",
-                num_partitions: int | None = None) -> DataFrame:
-    """Attach ``name`` = 1..n following ``order_cols``; ties follow input order.
+def _part_number(file: str) -> tuple[int, str]:
+    """Writer's files sort by part number, also beyond five digits."""
+    digits = file.removeprefix("part-").split("-")[0]
+    return (int(digits) if digits.isdigit() else -1, file)
+
+
+def number_stored(stored: DataFrame, name: str = "row_id") -> DataFrame:
+    """``name`` = 1..n over a DataFrame read straight from Parquet, in the order of its part files and rows."""
+    tagged = stored.select("*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POSITION))
+    offsets = _offsets(tagged, [FILE], lambda r: _part_number(r[FILE]), "_lf_before")
+    rid = (F.col("_lf_before") + F.col(POSITION) + 1).cast("long")
+    return tagged.join(offsets, FILE).withColumn(name, rid).drop(FILE, POSITION, "_lf_before")
+
+
+def number_by_position(df: DataFrame, name: str = "row_id", files: list[str] | None = None) -> DataFrame:
+    """``name`` = 1..n in the order of ``files`` (paths; without it by path), then file block, then line.
+
+    ``df`` carries ``FILE``, ``BLOCK`` and ``POSITION`` from the scan. It is stored once, so the positions
+    cannot change between the count and the use.
+    """
+    place = {f: i for i, f in enumerate(files or [])}
+    stored = persist_table(df, "numbered")
+    # rows of a block keep their order in the stored table: the lowest position is its first row
+    low = stored.groupBy(FILE, BLOCK).agg(F.min(POSITION).alias("_lf_low"))
+    offsets = _offsets(stored, [FILE, BLOCK], lambda r: (place.get(r[FILE], len(place)), r[FILE], r[BLOCK]), "_lf_before")
+    met = stored.join(offsets.join(low, [FILE, BLOCK]), [FILE, BLOCK])
+    rid = (F.col("_lf_before") + F.col(POSITION) - F.col("_lf_low") + 1).cast("long")
+    return met.withColumn(name, rid).drop(FILE, BLOCK, POSITION, "_lf_before", "_lf_low")
+
+
+def number_rows(df: DataFrame, order_cols: list, name: str = "row_id", num_partitions: int | None = None) -> DataFrame:
+    """``name`` = 1..n following ``order_cols``; ties follow input order.
 
     The input position (taken before any shuffle, so a rerun of a scan task
     gives the same value) is the last sort key. It makes the order total and
     lets the range partitioner split a hot tie, e.g. a third of all rows
     sharing one key or being exact copies, across many partitions instead
-    of sorting it in one task.
-
-    Cost: one range shuffle, one Parquet write, one tiny aggregate of
-    per-partition counts collected to the driver (at most ``num_partitions``
-    rows) and a broadcast-free projection using them as a literal array.
-    The range partitioner samples by evaluating the whole input plan, so
-    pass a persisted (or cheap) input, not an expensive projection.
+    of sorting it in one task. The range partitioner samples by evaluating
+    the input, so pass a stored or cheap one.
     """
-    n = _partitions(df, num_partitions)
-    keyed = df.withColumn("_lf_seq", F.monotonically_increasing_id())
-    order = list(order_cols) + ["_lf_seq"]
-    local = persist_table(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                          .withColumn(_PID, F.spark_partition_id())
-                          .withColumn(_MID, F.monotonically_increasing_id())
-                          .drop("_lf_seq"), "rownum")
-    stats = (local.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"), F.min(_MID).alias("base"))
-             .orderBy(_PID).collect())
-    offsets, bases, acc = {}, {}, 0
-    for r in stats:
-        offsets[r[_PID]] = acc
-        bases[r[_PID]] = r["base"]
-        acc += r["n"]
-    if not stats:
-        return local.drop(_PID, _MID).withColumn(name, F.lit(None).cast("long"))
-    pmax = max(offsets) + 1
-    off_arr = F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(pmax)])
-    base_arr = F.array(*[F.lit(bases.get(i, 0)).cast("long") for i in range(pmax)])
-    pid = F.col(_PID)
-    rid = F.element_at(off_arr, pid + 1) + (F.col(_MID) - F.element_at(base_arr, pid + 1)) + 1
-    return local.withColumn(name, rid.cast("long")).drop(_PID, _MID)
-
-
-def _bucket_of(v, bounds: list, lo: int, hi: int):
-    """Index of the first bound >= v (len(bounds) when above all), as a
-    balanced CASE tree: log2(#buckets) comparisons per row, no lookup table."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v <= F.lit(bounds[mid]), _bucket_of(v, bounds, lo, mid)).otherwise(
-        _bucket_of(v, bounds, mid + 1, hi))
-
-
-def prefix_counts(df: DataFrame, order_col: str, weight_col: str,
-                  num_partitions: int | None = None, extra_aggs: dict | None = None):
-    """Exclusive prefix sums of ``weight_col`` in ``order_col`` order (the
-    order column must be unique, e.g. after ``groupBy(value).count()``).
-
-    Plan: approximate range bounds of the order column (one aggregate,
-    ``num_partitions - 1`` values to the driver) give every row a bucket
-    that is a pure function of its value; ONE hash exchange on the bucket
-    co-locates each range, a window running sum inside the bucket gives the
-    local prefix, and per-bucket totals (one row per bucket) give offsets.
-    Everything is deterministic, so no intermediate needs persisting, and
-    no task ever holds more than one range.
-
-    ``extra_aggs`` (name -> aggregate Column over ``df``) ride along in the
-    bounds aggregate; when given, a third value (their results) is returned.
-    """
-    n = _partitions(df, num_partitions)
-    probs = [i / n for i in range(1, n)] or [0.5]
-    extra_aggs = extra_aggs or {}
-    row = df.agg(F.percentile_approx(order_col, probs, 10_000).alias("b"),
-                 *[a.alias(k) for k, a in extra_aggs.items()]).collect()[0]
-    extras = {k: row[k] for k in extra_aggs}
-    bounds = sorted(set(x for x in (row["b"] or []) if x is not None)) if n > 1 else []
-    bucket = _bucket_of(F.col(order_col), bounds, 0, len(bounds)) if bounds else F.lit(0)
-    keyed = df.withColumn(_PID, bucket.cast("int")).repartition(n, _PID)
-    w = Window.partitionBy(_PID).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.withColumn("_lf_before", F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("long"))
-    stats = keyed.groupBy(_PID).agg(F.sum(weight_col).alias("w")).orderBy(_PID).collect()
-    offsets, acc = {}, 0
-    for r in stats:
-        offsets[r[_PID]] = acc
-        acc += int(r["w"] or 0)
-    if not stats:
-        out = local.withColumn("_before", F.lit(0).cast("long")).drop("_lf_before", _PID)
-        return (out, 0, extras) if extra_aggs else (out, 0)
-    pmax = max(offsets) + 1
-    off_arr = F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(pmax)])
-    out = local.withColumn("_before", F.element_at(off_arr, F.col(_PID) + 1) + F.col("_lf_before"))
-    out = out.drop("_lf_before", _PID)
-    return (out, acc, extras) if extra_aggs else (out, acc)
-
-
-__all__ = ["number_rows", "prefix_counts"]
+    n = num_partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [*order_cols, "_lf_seq"]
+    ranged = (df.withColumn("_lf_seq", F.monotonically_increasing_id())
+              .repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_lf_seq"))
+    return number_stored(persist_table(ranged, "ordered"), name)
+
+
+__all__ = ["number_rows", "number_stored", "number_by_position", "FILE", "BLOCK", "POSITION"]

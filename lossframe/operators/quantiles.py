@@ -1,20 +1,18 @@
-"""Exact type-7 quantiles without funnelling values through one task.
+"""Exact type-7 quantiles without sorting or shuffling the values.
 
-Spark's exact ``percentile`` aggregate merges a value->count map of the
-whole column in a single final task; at scale that is the one place a
-claims table with mostly distinct amounts would fall over. Here:
+Spark's exact ``percentile`` merges a value -> count map of the whole column
+in one task. Here the order statistics are bracketed instead:
 
-1. ``groupBy(value).count()`` collapses ties with map-side partial
-   aggregation (a value held by a third of all rows becomes one row);
-2. the distinct values are range-partitioned and sorted, and exclusive
-   prefix counts are formed per partition (see ``numbering.prefix_counts``);
-3. the 2 x len(probs) order statistics needed for linear interpolation are
-   picked with a filter on literal positions; only those rows reach the
-   driver.
+1. ``percentile_approx`` a little below and above each wanted rank gives an
+   interval that should hold it (a mergeable sketch, no shuffle of values);
+2. one aggregate counts the values below and up to each interval, which
+   proves that the rank lies inside (or replaces the failed bound);
+3. only the values inside are grouped and counted. If their distinct values
+   are more than ``MAX_DISTINCT``, the interval is bracketed again, so what
+   reaches the driver is bounded.
 
 The result is exact (DECIMAL arithmetic, R type 7 / DuckDB
-``quantile_cont``). ``method="approx"`` uses ``percentile_approx`` instead
-when an approximate fence is acceptable.
+``quantile_cont``). ``method="approx"`` uses ``percentile_approx`` alone.
 """
 
 from __future__ import annotations
@@ -25,8 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossframe.operators.numbering import prefix_counts
-from lossframe.session import persist_table
+ACCURACY = 10_000
+MAX_DISTINCT = 50_000
 
 
 def _interpolate(value_at, n: int, probs: list[float], offset: int = 0) -> list[Decimal | None]:
@@ -54,44 +52,77 @@ def _positions(n: int, probs: list[float], offset: int = 0) -> set[int]:
     return ks
 
 
+def order_statistics(vals: DataFrame, ranks: list[int], n: int, accuracy: int = ACCURACY,
+                     max_distinct: int = MAX_DISTINCT) -> dict[int, Decimal]:
+    """The ``k``-th smallest (from 0) of the ``n`` non-null values ``v`` for every ``k`` in ``ranks``."""
+    if not ranks:
+        return {}
+    # a rank of the sketch is off by n / accuracy at most
+    slack = 2.0 / accuracy + 1.0 / n
+    probs = [min(1.0, max(0.0, k / n + s)) for k in ranks for s in (-slack, slack)]
+    row = vals.agg(F.percentile_approx("v", probs, accuracy).alias("q"), F.min("v").alias("lo"),
+                   F.max("v").alias("hi")).first()
+    bounds = [(row["q"][2 * i], row["q"][2 * i + 1]) for i in range(len(ranks))]
+    counts = vals.agg(*[F.count_if(F.col("v") < F.lit(lo)).alias(f"b{i}") for i, (lo, _) in enumerate(bounds)],
+                      *[F.count_if(F.col("v") <= F.lit(hi)).alias(f"u{i}") for i, (_, hi) in enumerate(bounds)]).first()
+    below = {}
+    for i, k in enumerate(ranks):
+        lo, hi = bounds[i]
+        below[k] = counts[f"b{i}"]
+        if below[k] > k:
+            lo, below[k] = row["lo"], 0
+        if counts[f"u{i}"] <= k:
+            hi = row["hi"]
+        bounds[i] = (lo, hi)
+    inside = [F.col("v").between(F.lit(lo), F.lit(hi)) for lo, hi in bounds]
+    counted = (vals.where(reduce(lambda a, b: a | b, inside)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+               .limit(max_distinct + 1).collect())
+    out = {}
+    if len(counted) <= max_distinct:
+        counted.sort(key=lambda r: r["v"])
+        for k, (lo, hi) in zip(ranks, bounds):
+            at = below[k]
+            for r in counted:
+                if lo <= r["v"] <= hi:
+                    at += r["c"]
+                    if at > k:
+                        out[k] = Decimal(r["v"])
+                        break
+        return out
+    for k, (lo, hi) in zip(ranks, bounds):  # narrower: each interval by itself
+        part = vals.where(F.col("v").between(F.lit(lo), F.lit(hi)))
+        m = part.count()
+        finer = accuracy if m < n else accuracy * 10
+        out[k] = order_statistics(part, [k - below[k]], m, finer, max_distinct)[k - below[k]]
+    return out
+
+
+def _values(df: DataFrame, col: str | Column) -> DataFrame:
+    c = F.col(col) if isinstance(col, str) else col
+    return df.select(c.alias("v")).where(F.col("v").isNotNull())
+
+
 def quantiles_with_suffix(df: DataFrame, col: str | Column, probs: list[float], suffix_from=0
                           ) -> dict[str, tuple[int, list[Decimal | None]]]:
     """Exact quantiles of all non-null values AND of the values >= ``suffix_from``
-    from ONE prefix-count structure: the subset is a suffix of the sorted
-    order, so its k-th value is the overall (n_below + k)-th value.
+    together: the subset is a suffix of the sorted order, so its k-th value is
+    the overall (n_below + k)-th value.
 
     Returns ``{"all": (n, qs), "suffix": (n_suffix, qs)}``."""
-    c = F.col(col) if isinstance(col, str) else col
-    vals = df.select(c.alias("v")).where(F.col("v").isNotNull())
-    # value -> count, written once: the bounds, bucket-total and pick jobs
-    # then scan it instead of re-aggregating the column three times
-    counted = persist_table(vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value_counts")
-    below = F.coalesce(F.sum(F.when(F.col("v") < F.lit(suffix_from), F.col("c"))), F.lit(0))
-    ranked, n, extras = prefix_counts(counted, "v", "c", extra_aggs={"below": below})
+    vals = _values(df, col)
+    row = vals.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.lit(suffix_from)).alias("below")).first()
+    n, below = int(row["n"]), int(row["below"])
     if n == 0:
         return {"all": (0, [None] * len(probs)), "suffix": (0, [None] * len(probs))}
-    n_below = int(extras["below"])
-    n_suffix = n - n_below
-    positions = sorted(_positions(n, probs) | _positions(n_suffix, probs, n_below))
-    cond = reduce(lambda a, b: a | b,
-                  [(F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("c")) for k in positions])
-    picked = ranked.where(cond).select("v", "_before", "c").collect()
-
-    def value_at(k: int) -> Decimal:
-        for r in picked:
-            if r["_before"] <= k < r["_before"] + r["c"]:
-                return Decimal(r["v"])
-        raise RuntimeError(f"order statistic {k} not found")
-
-    return {"all": (n, _interpolate(value_at, n, probs)),
-            "suffix": (n_suffix, _interpolate(value_at, n_suffix, probs, n_below))}
+    found = order_statistics(vals, sorted(_positions(n, probs) | _positions(n - below, probs, below)), n)
+    return {"all": (n, _interpolate(found.__getitem__, n, probs)),
+            "suffix": (n - below, _interpolate(found.__getitem__, n - below, probs, below))}
 
 
 def quantiles(df: DataFrame, col: str | Column, probs: list[float], method: str = "exact",
               accuracy: int = 1_000_000) -> tuple[int, list[Decimal | None]]:
     """Return ``(n, [q_p for p in probs])`` over the non-null values of ``col``."""
-    c = F.col(col) if isinstance(col, str) else col
-    vals = df.select(c.alias("v")).where(F.col("v").isNotNull())
+    vals = _values(df, col)
     if method == "approx":
         row = vals.agg(F.count(F.lit(1)).alias("n"),
                        F.percentile_approx("v", list(probs), accuracy).alias("q")).collect()[0]
@@ -99,23 +130,11 @@ def quantiles(df: DataFrame, col: str | Column, probs: list[float], method: str
         return int(row["n"]), qs
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
-
-    counted = persist_table(vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value_counts")
-    ranked, n = prefix_counts(counted, "v", "c")
+    n = vals.count()
     if n == 0:
         return 0, [None] * len(probs)
-    positions = sorted(_positions(n, probs))
-    cond = reduce(lambda a, b: a | b,
-                  [(F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("c")) for k in positions])
-    picked = ranked.where(cond).select("v", "_before", "c").collect()
-
-    def value_at(k: int) -> Decimal:
-        for r in picked:
-            if r["_before"] <= k < r["_before"] + r["c"]:
-                return Decimal(r["v"])
-        raise RuntimeError(f"order statistic {k} not found")
-
-    return n, _interpolate(value_at, n, probs)
+    found = order_statistics(vals, sorted(_positions(n, probs)), n)
+    return n, _interpolate(found.__getitem__, n, probs)
 
 
 def fences_from(n: int, q1, q3, multiplier: float, min_n: int = 5, lower_floor: bool = True) -> dict | None:

@@ -7,11 +7,9 @@ Plan shape (``validate``):
 * the set-based rules (V8 duplicates, V18 multiple rows per claim) never
   window over the claims themselves: one scan + partial aggregation of the
   claims to ``(claim_id, norm_id, loss_date)`` groups, two windows over
-  that grouped table, and ONE join of the claims back on
-  ``(claim_id, loss_date)``. A hot key (e.g. a third of all rows with no
-  claim id) is one row in the grouped table and is salted explicitly for
-  the join (see ``with_claim_keys``); no task ever has to sort a whole hot
-  group, which a ``row_number`` window over the claims would;
+  that small table after one exchange, and ONE join of the claims back on
+  ``(claim_id, loss_date)``. A hot key is one row there, and for the join
+  it is split by its exact size (see ``with_claim_keys``);
 * every rule then becomes one ``when(predicate, struct(...))`` element of
   a single array, and one ``explode`` emits the issues: a single pass over
   the claims for all nineteen issue kinds.
@@ -19,19 +17,17 @@ Plan shape (``validate``):
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lossframe import constants as K
 from lossframe.functions.names import is_blank, norm_id
 from lossframe.operators.quantiles import fences_from, iqr_fences, quantiles_with_suffix
-
-ISSUE_COLUMNS = ["row", "claim_id", "issue", "detail"]
+from lossframe.session import persist_table
 
 
 @dataclass
@@ -59,7 +55,6 @@ class RuleConfig:
     policy_start: date | None = None
     policy_end: date | None = None
     quantile_method: str = "exact"
-    extra: dict = field(default_factory=dict)
 
     @classmethod
     def only(cls, *rules: str, **params) -> "RuleConfig":
@@ -120,82 +115,51 @@ def round2(d: Decimal) -> Decimal:
 # Set-based keys
 # ---------------------------------------------------------------------------
 
-HOT_KEY_ROWS = 1_000_000   # a (claim_id, loss_date) key with more rows than this is split
-HOT_KEY_LIMIT = 10_000     # at most this many hot keys are salted (bounds the broadcast)
-MAX_SALT = 64
-
-
-def hot_claim_keys(std: DataFrame, hot_key_rows: int = HOT_KEY_ROWS, hot_key_limit: int = HOT_KEY_LIMIT,
-                   max_salt: int = MAX_SALT, seed: int = 17) -> list[tuple]:
-    """Estimate the (claim_id, loss_date) keys holding more than ``hot_key_rows``
-    rows from a Bernoulli sample of the two key columns (~200 expected
-    sampled rows per hot key; exact when the threshold is small). Returns at
-    most ``hot_key_limit`` ``(claim_id, loss_date, salts)`` tuples.
-
-    Only performance depends on this list: salting any key, or none, gives
-    the same result."""
-    frac = min(1.0, 200.0 / max(1, hot_key_rows))
-    keys = std.select("claim_id", "loss_date")
-    if frac < 1.0:
-        keys = keys.sample(withReplacement=False, fraction=frac, seed=seed)
-    est = F.count(F.lit(1)) / F.lit(frac)
-    rows = (keys.groupBy("claim_id", "loss_date").agg(est.alias("est"))
-            .where(F.col("est") > hot_key_rows).orderBy(F.col("est").desc()).limit(hot_key_limit).collect())
-    return [(r["claim_id"], r["loss_date"], int(min(max_salt, -(-r["est"] // hot_key_rows)))) for r in rows]
-
+def claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = True) -> DataFrame:
+    """One row per (claim_id, loss_date): its exact size ``_kn``, the first row of its (norm_id, loss_date) key
+    and the rows of its claim_id (NULL being one group). Stored once.
 
-def with_claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = True,
-                    hot_key_rows: int = HOT_KEY_ROWS, hot_key_limit: int = HOT_KEY_LIMIT,
-                    max_salt: int = MAX_SALT) -> DataFrame:
-    """Attach ``_first_row`` (first row of its (norm_id, loss_date) key) and
-    ``_claim_n`` (rows sharing its claim_id, NULL being one group).
-
-    One scan + partial aggregation of the claims to ``(claim_id, norm_id,
-    loss_date)`` groups; both measures are windows over that grouped table
-    (where a hot key is a single row), then one null-safe join back.
-
-    Hot keys are split explicitly rather than left to adaptive execution:
-    ``hot_claim_keys`` finds, from a small sample, the keys above
-    ``hot_key_rows`` rows (at most ``hot_key_limit`` of them, so the
-    broadcast list has a fixed bound). Each gets ``ceil(rows / hot_key_rows)``
-    salts, capped at ``max_salt``. A claim row of a hot key takes salt
-    ``xxhash64(row_id) mod salts``, the key row is replicated once per salt,
-    and the join runs on (key, salt). With no hot key the plan is the plain
-    two-scan join.
+    Claims are first summed up to the keys on the map side, so a key held by a third of all rows
+    is one row here. ``_nid`` is a function of ``claim_id``, so one exchange on it serves both windows.
     """
     from pyspark.sql import Window
 
     c = F.col
     groups = (std.select("claim_id", "loss_date", "row_id", norm_id(c("claim_id")).alias("_nid"))
               .groupBy("claim_id", "_nid", "loss_date")
-              .agg(F.min("row_id").alias("_gmin"), F.count(F.lit(1)).alias("_gn")))
-    info = groups
+              .agg(F.min("row_id").alias("_gmin"), F.count(F.lit(1)).alias("_kn")).repartition("_nid"))
     if need_dup:
-        info = info.withColumn("_first_row", F.min("_gmin").over(Window.partitionBy("_nid", "loss_date")))
+        groups = groups.withColumn("_first_row", F.min("_gmin").over(Window.partitionBy("_nid", "loss_date")))
     if need_multi:
-        info = info.withColumn("_claim_n", F.sum("_gn").over(Window.partitionBy("claim_id")))
-    info = info.drop("_nid", "_gmin", "_gn")
-    key_on = lambda cid, ld: c("claim_id").eqNullSafe(cid) & c("loss_date").eqNullSafe(ld)
-
-    hot_list = hot_claim_keys(std, hot_key_rows, hot_key_limit, max_salt)
-    if not hot_list:
-        info = info.withColumnRenamed("claim_id", "_k_cid").withColumnRenamed("loss_date", "_k_ld")
-        return std.join(info, key_on(c("_k_cid"), c("_k_ld"))).drop("_k_cid", "_k_ld")
-
-    hot = std.sparkSession.createDataFrame(
-        hot_list, T.StructType([T.StructField("_h_cid", T.StringType()), T.StructField("_h_ld", T.DateType()),
-                                T.StructField("_salts", T.IntegerType())]))
-    hot_b = F.broadcast(hot)  # at most hot_key_limit rows by construction
-    info = (info.join(hot_b, key_on(c("_h_cid"), c("_h_ld")), "left")
-            .select("*", F.explode(F.sequence(F.lit(0), F.coalesce(c("_salts"), F.lit(1)) - 1)).alias("_k_salt"))
-            .drop("_h_cid", "_h_ld", "_salts")
-            .withColumnRenamed("claim_id", "_k_cid").withColumnRenamed("loss_date", "_k_ld"))
-    salted = (std.join(hot_b, key_on(c("_h_cid"), c("_h_ld")), "left")
-              .withColumn("_salt", F.when(c("_salts").isNotNull(),
-                                          F.pmod(F.xxhash64(c("row_id")), c("_salts").cast("long")).cast("int"))
-                          .otherwise(F.lit(0)))
-              .drop("_h_cid", "_h_ld", "_salts"))
-    return (salted.join(info, key_on(c("_k_cid"), c("_k_ld")) & (c("_salt") == c("_k_salt")))
+        groups = groups.withColumn("_claim_n", F.sum("_kn").over(Window.partitionBy("_nid", "claim_id")))
+    return persist_table(groups.drop("_nid", "_gmin"), "claim_keys")
+
+
+def with_claim_keys(std: DataFrame, need_dup: bool = True, need_multi: bool = True,
+                    target_rows: int | None = None) -> DataFrame:
+    """Attach ``_first_row`` (first row of its (norm_id, loss_date) key) and
+    ``_claim_n`` (rows sharing its claim_id): one null-safe join with the stored key table.
+
+    Every key with more rows than a partition's fair share (``target_rows``:
+    all rows / shuffle partitions) is split into ``ceil(rows / target)``
+    salts. The sizes are exact, and at most ``partitions`` keys can exceed
+    the share, so the list needs no limit and no salt a cap: no task
+    gets more than about one share of one key, however large the key is.
+    """
+    c = F.col
+    info = claim_keys(std, need_dup, need_multi)
+    if target_rows is None:
+        total = info.agg(F.sum("_kn")).first()[0] or 0
+        target_rows = max(1, -(-total // int(std.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    salts = F.ceil(c("_kn") / F.lit(target_rows)).cast("int").alias("_salts")
+    hot = info.where(c("_kn") > target_rows).select(c("claim_id").alias("_h_cid"), c("loss_date").alias("_h_ld"), salts)
+    spread = (info.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_k_salt")).drop("_kn")
+              .withColumnRenamed("claim_id", "_k_cid").withColumnRenamed("loss_date", "_k_ld"))
+    salted = (std.join(F.broadcast(hot), c("claim_id").eqNullSafe(c("_h_cid")) & c("loss_date").eqNullSafe(c("_h_ld")), "left")
+              .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("row_id"), c("_salts").cast("long")).cast("int"), F.lit(0)))
+              .drop("_h_cid", "_h_ld", "_salts"))  # at most one hot key for each shuffle partition
+    return (salted.join(spread, c("claim_id").eqNullSafe(c("_k_cid")) & c("loss_date").eqNullSafe(c("_k_ld"))
+                        & (c("_salt") == c("_k_salt")))
             .drop("_k_cid", "_k_ld", "_k_salt", "_salt"))
 
 
@@ -323,59 +287,36 @@ def row_flags_one_pass(std: DataFrame, cfg: RuleConfig | None = None, fences: di
     return flags_from_annotated(annotate(std, cfg, fences))
 
 
-def issues_for(std: DataFrame, rule: str, **params) -> DataFrame:
-    """Issues of a single rule toggle (the per-rule queries)."""
-    return validate(std, RuleConfig.only(rule, **params))
-
-
 # ---------------------------------------------------------------------------
 # Metrics, flags, previews
 # ---------------------------------------------------------------------------
 
-def run_metrics(std: DataFrame, issues: DataFrame, long: bool = False) -> DataFrame:
-    """The eight run metrics (one row, or ``(metric, value)`` rows)."""
-    spark = std.sparkSession
-    m = std.agg(
+def run_metrics(ann: DataFrame, long: bool = False) -> DataFrame:
+    """V21 from ``annotate``: the eight run metrics (one row, or ``(metric, value)`` rows) in one lazy aggregate.
+
+    The issues are counted in each row's array, so no issue is exploded and no rule runs again."""
+    def issued(text: str) -> Column:
+        return F.count_if(F.exists("_issues", lambda i: i["issue"] == text)).cast("long")
+
+    m = ann.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        (F.count_distinct("claim_id") + F.max(F.col("claim_id").isNull().cast("int"))).alias("n_claims"),
+        (F.count_distinct("claim_id") + F.coalesce(F.max(F.col("claim_id").isNull().cast("int")), F.lit(0)))
+        .cast("long").alias("n_claims"),
         F.coalesce(F.sum("paid"), F.lit(0)).cast("decimal(38,6)").alias("total_paid"),
         F.coalesce(F.sum("incurred"), F.lit(0)).cast("decimal(38,6)").alias("total_incurred"),
         F.avg("paid").cast("decimal(38,6)").alias("avg_severity"),
-    ).collect()[0].asDict()
-    counts = {r["issue"]: r["n"] for r in issues.where(
-        F.col("issue").isin(K.ISSUE_REQUIRED, K.ISSUE_DUPLICATE, K.ISSUE_PAID_OUTLIER))
-        .groupBy("issue").agg(F.count(F.lit(1)).alias("n")).collect()}
-    m["n_claims"] = int(m["n_claims"] or 0)
-    m["missing_required"] = int(counts.get(K.ISSUE_REQUIRED, 0))
-    m["duplicates"] = int(counts.get(K.ISSUE_DUPLICATE, 0))
-    m["outliers"] = int(counts.get(K.ISSUE_PAID_OUTLIER, 0))
-    order = ["n_rows", "n_claims", "total_paid", "total_incurred", "avg_severity", "missing_required",
-             "duplicates", "outliers"]
-    if long:
-        return spark.createDataFrame([(k, None if m[k] is None else str(m[k])) for k in order],
-                                     "metric string, value string")
-    schema = ("n_rows long, n_claims long, total_paid decimal(38,6), total_incurred decimal(38,6), "
-              "avg_severity decimal(38,6), missing_required long, duplicates long, outliers long")
-    return spark.createDataFrame([tuple(m[k] for k in order)], schema)
-
-
-def row_flags(std: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per row, unique issues joined by '; ' and unique non-blank
-    details by ' | ', both in rule order; left-joined to the claims."""
-    per_row = issues.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("rule_order", "issue", "detail"))).alias("_l"))
-    per_row = per_row.select(
-        F.col("row").alias("_row"),
-        F.array_join(F.array_distinct(F.transform("_l", lambda x: x["issue"])), "; ").alias("flags"),
-        F.array_join(F.array_distinct(F.filter(F.transform("_l", lambda x: x["detail"]),
-                                               lambda d: d.isNotNull() & (d != ""))), " | ").alias("flags_detail"))
-    return std.join(per_row, std["row_id"] == per_row["_row"], "left").drop("_row")
-
-
-def flagged_rows(std: DataFrame, issues: DataFrame, selected: list[str] | None = None) -> DataFrame:
-    """Claims rows that carry any of the selected issues (semi join)."""
-    sel = issues if not selected else issues.where(F.col("issue").isin(*selected))
-    return std.join(sel.select(F.col("row").alias("row_id")), "row_id", "left_semi")
+        issued(K.ISSUE_REQUIRED).alias("missing_required"), issued(K.ISSUE_DUPLICATE).alias("duplicates"),
+        issued(K.ISSUE_PAID_OUTLIER).alias("outliers"))
+    if not long:
+        return m
+    pairs = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in m.columns)
+    return m.selectExpr(f"stack({len(m.columns)}, {pairs}) AS (metric, value)")
+
+
+def flagged_rows(ann: DataFrame, selected: list[str] | None = None) -> DataFrame:
+    """V23 from ``annotate``: claims rows that carry any of the selected issues (all, without a selection); a filter, no join."""
+    hit = F.exists("_issues", lambda i: i["issue"].isin(*selected)) if selected else F.size("_issues") > 0
+    return ann.where(hit).drop("_issues")
 
 
 def top_issues(issues: DataFrame, n: int = 30) -> DataFrame:

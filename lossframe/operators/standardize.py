@@ -125,14 +125,6 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     return stage2.select(*cols)
 
 
-def incurred_was_filled(df: DataFrame, mapping: dict[str, str]) -> Column:
-    """F4 marker over the raw frame: incurred missing but paid and outstanding present."""
-    p = clean_amount(*_source(df, mapping.get("paid", "")))
-    i = clean_amount(*_source(df, mapping.get("incurred", "")))
-    o = clean_amount(*_source(df, mapping.get("outstanding", "")))
-    return i.isNull() & p.isNotNull() & o.isNotNull()
-
-
 def file_status(raw: DataFrame, mapping: dict[str, str], file_col: str = "source_file") -> DataFrame:
     """Per file: how many rows and which mapped columns are absent (all-null)."""
     mapped = {f: c for f, c in mapping.items() if c}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lossframe import __version__
 from lossframe import constants as K
 from lossframe.functions import dates as D
 from lossframe.functions.amounts import clean_amount_text
@@ -28,6 +29,7 @@ from lossframe.operators import triangles as TR
 from lossframe.operators.mapping import guess_schema, latest_per_key
 from lossframe.operators.standardize import standardize
 from lossframe.plans import oracle_sql as O
+from lossframe.plans import stores
 from lossframe.sources import files as S
 from lossframe.sources.fixtures import (FIXTURE_RUN, FIXTURE_TENANT, ORDER_KEYS, RAW_HEADERS, claims_raw,
                                         claims_std, table)
@@ -137,13 +139,17 @@ def q_union_files(spark, sf):
               "paid_amount": "Paid Total", "total_incurred": "Reserve Plus Paid", "case_reserve": "Outstanding Amount",
               "ccy": "Curr", "policy_no": "PolicyID", "claim_status": "State"},
     }
+    known = list(renames)
     frames = []
-    for flag, ren in renames.items():
-        part = raw.where(F.col("l_returnflag") == flag)
+    # every other flag (or none) is a file with the plain headers
+    for flag, ren in [*renames.items(), (None, {})]:
+        own = F.col("l_returnflag") == flag if flag else ~F.coalesce(F.col("l_returnflag").isin(known), F.lit(False))
+        part = raw.where(own)
         cols = [F.col(c).alias(ren.get(c, c)) for c in RAW_HEADERS if not (flag == "R" and c == "insured_name")]
-        part = part.select(*cols)
-        mapping = guess_schema(part.columns)
-        frames.append(standardize(part, mapping, source_file=f"bordereau_{flag}.csv", tenant_id=FIXTURE_TENANT))
+        mapping = guess_schema([ren.get(c, c) for c in RAW_HEADERS if not (flag == "R" and c == "insured_name")])
+        name = F.concat(F.lit("bordereau_"), F.col("_file"), F.lit(".csv"))
+        frames.append(standardize(part.select(*cols, F.col("l_returnflag").alias("_file")), mapping, source_file=name,
+                                  tenant_id=FIXTURE_TENANT))
     u = S.union_files(frames)
     return u.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -169,7 +175,7 @@ FROM (
   FROM (SELECT doc_id,
                CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[1:-2]
                     ELSE string_split(text, chr(10)) END AS parts
-        FROM documents WHERE text IS NOT NULL)
+        FROM documents WHERE text <> '')
 )""")
 def q_text_lines(spark, sf):
     """One row per text line, numbered from 1 (whole texts)."""
@@ -191,8 +197,7 @@ def q_text_sufficiency(spark, sf):
 
 @register("normalize_text_key", """
 SELECT p_partkey, p_type,
-       lower(regexp_replace(regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g'), '_+', '_', 'g'),
-             '^_|_$', '', 'g')) AS norm_key
+       lower(array_to_string(regexp_extract_all(p_type, '[A-Za-z0-9]+'), '_')) AS norm_key
 FROM part""")
 def q_normalize_text_key(spark, sf):
     """M1 as a column expression (the header normaliser applied to text)."""
@@ -292,8 +297,8 @@ def q_mask_claimant(spark, sf):
 
 
 def _hmac_sql(x: str, key: str) -> str:
-    from lossframe.functions.privacy import _pads
-    ipad, opad = _pads(key)
+    block = key.encode().ljust(64, b"\0")  # the keys here are shorter than a hash block
+    ipad, opad = (bytes(x ^ pad for x in block) for pad in (0x36, 0x5C))
     inner = f"unhex(sha256(unhex('{ipad.hex()}') || encode({x})))"
     return f"sha256(unhex('{opad.hex()}') || {inner})"
 
@@ -468,9 +473,7 @@ SELECT metric, value FROM (
 )""", more_ctes=FENCE_CTE + ",\n" + KEYED_CTE))
 def q_run_metrics(spark, sf):
     """The eight run metrics in long form (metric, value as text)."""
-    s = std(spark, sf)
-    iss = V.validate(s, term_cfg(V.RuleConfig()))
-    return V.run_metrics(s, iss, long=True)
+    return V.run_metrics(V.annotate(std(spark, sf), term_cfg(V.RuleConfig())), long=True)
 
 
 ALL_ISSUES_ORDERED = issues_sql(K.RULE_FLAGS, with_order=True)
@@ -500,10 +503,9 @@ SELECT {STD_COLS_SQL} FROM std WHERE row_id IN (
   SELECT row_id FROM k WHERE {RULE_SQL['rule_reconcile'][0][2]} OR {RULE_SQL['rule_date_order'][0][2]})""",
     more_ctes=FENCE_CTE + ",\n" + KEYED_CTE))
 def q_flagged_rows(spark, sf):
-    """The claims rows behind selected issues (semi join)."""
-    s = std(spark, sf)
-    iss = V.validate(s, V.RuleConfig.only("rule_reconcile", "rule_date_order"))
-    return V.flagged_rows(s, iss).select("row_id", *K.STANDARD_SCHEMA.fieldNames(), "run_id")
+    """The claims rows behind selected issues (a filter on each row's issues)."""
+    ann = V.annotate(std(spark, sf), V.RuleConfig.only("rule_reconcile", "rule_date_order"))
+    return V.flagged_rows(ann).select("row_id", *K.STANDARD_SCHEMA.fieldNames(), "run_id")
 
 
 TOP_ISSUES_SQL = O.claims_with(
@@ -563,11 +565,7 @@ SELECT count(*) AS inc_lt_rows_n,
 FROM std WHERE incurred < paid"""))
 def q_incurred_lt_paid_summary(spark, sf):
     """Q7: rows, distinct claims and variance where incurred < paid."""
-    s = std(spark, sf)
-    r = Q.row_aggregates(s).select("inc_lt_rows_n", "inc_lt_variance").first()
-    cc = Q.claim_counts(s).first()
-    return spark.createDataFrame([(r["inc_lt_rows_n"], cc["inc_lt_claims_n"], r["inc_lt_variance"])],
-                                 "inc_lt_rows_n long, inc_lt_claims_n long, inc_lt_variance decimal(38,6)")
+    return Q.incurred_lt_paid(std(spark, sf))
 
 
 @register("recon_summary", O.claims_with(f"""
@@ -899,7 +897,7 @@ def q_orphan_prune(spark, sf):
 
 @register("audit_json", f"""
 SELECT event_id, json_object('ts', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), 'event', event_type,
-                             'detail', json(props), 'app_version', {O.q(K.APP_VERSION)})::VARCHAR AS json
+                             'detail', json(props), 'app_version', {O.q(__version__)})::VARCHAR AS json
 FROM events""")
 def q_audit_json(spark, sf):
     """H6: each event as an audit JSON line."""
@@ -907,6 +905,14 @@ def q_audit_json(spark, sf):
     return H.audit_records(ev, "ts", "event_type", "props", keep=["event_id"])
 
 
+# ---------------------------------------------------------------------------
+# Files, stores and documents: written from the claims and read back
+# ---------------------------------------------------------------------------
+
+for _name, _fn, _sql in stores.registered(std, _sum_sql, issues_sql, _hmac_sql):
+    register(_name, _sql)(_fn)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -28,9 +28,11 @@ from lossframe.operators import history as H
 from lossframe.operators import quality as Q
 from lossframe.operators import rules as V
 from lossframe.operators import triangles as TR
-from lossframe.operators.numbering import number_rows
+from lossframe.functions.privacy import hmac_sha256_hex
+from lossframe.operators.mapping import guess_schema
+from lossframe.operators.numbering import BLOCK, FILE, POSITION, number_by_position, number_rows, number_stored
 from lossframe.operators.standardize import standardize
-from lossframe.sources.files import union_files
+from lossframe.sources.files import csv_groups, file_checks, promote_header, union_files
 from lossframe.session import persist_table
 
 
@@ -53,24 +55,60 @@ def new_run_id() -> str:
     return hashlib.sha256(f"{time.time_ns()}".encode()).hexdigest()[:32]
 
 
-def prepare(files: list[tuple[DataFrame, str]], mapping: dict[str, str] | list[dict[str, str]], locale: str = "AU",
+def prepare(files: list[tuple[DataFrame, str | None]], mapping: dict[str, str] | list[dict[str, str]], locale: str = "AU",
             tenant_id: str = "", run_id: str | None = None, order_col: str | None = None) -> DataFrame:
-    """Standardise each (raw frame, file name), union by name and number rows
-    in (file order, row order). ``order_col`` is a per-file row-position column
-    (e.g. the line number); without it the file's own order keys must be
-    provided by the caller as that column."""
+    """Standardise each (raw frame, file name), union by name and number rows in (file order, row order).
+
+    Frames read with their positions (``read_csv(with_position=True)``) are numbered in line order;
+    else ``order_col`` (e.g. a line number) gives the order in each file; else rows keep the order of
+    the frame's partitions. A file name of None takes the frame's ``source_file`` column."""
     run_id = run_id or new_run_id()
     maps = mapping if isinstance(mapping, list) else [mapping] * len(files)
+    placed = all(POSITION in raw.columns for raw, _ in files)
     parts = []
     for i, ((raw, name), m) in enumerate(zip(files, maps)):
-        keep = [order_col] if order_col else []
-        s = standardize(raw, m, locale=locale, source_file=name, tenant_id=tenant_id, run_id=run_id, keep=keep)
-        parts.append(s.withColumn("_file_ord", F.lit(i)))
-    # standardise once into the checkpoint folder: the range sort behind the
-    # numbering samples its input by evaluating the whole input plan
-    u = persist_table(union_files(parts), "std_unnumbered")
-    order = ["_file_ord"] + ([order_col] if order_col else [])
-    return number_rows(u, order).drop("_file_ord", *([order_col] if order_col else []))
+        if placed:
+            keep = [FILE, BLOCK, POSITION]
+        else:
+            raw, keep = raw.withColumn("_file_ord", F.lit(i)), ["_file_ord", *([order_col] if order_col else [])]
+        parts.append(standardize(raw, m, locale=locale, source_file=F.col("source_file") if name is None else name,
+                                 tenant_id=tenant_id, run_id=run_id, keep=keep))
+    u = union_files(parts)
+    if placed:
+        return number_by_position(u)
+    u = persist_table(u, "std_unnumbered")
+    if order_col:
+        return number_rows(u, ["_file_ord", order_col]).drop("_file_ord", order_col)
+    return number_stored(u).drop("_file_ord")
+
+
+def intake(spark: SparkSession, paths: str | list[str], mapping: dict[str, str] | None = None, locale: str = "AU",
+           tenant_id: str = "", run_id: str | None = None, max_mb: float | None = None, multi_line: bool = True,
+           promote: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Files to numbered standard claims in one call: checks, then only the accepted CSV files, each read by its own
+    header (promoted from the first data row if asked for) and mapped by it, unless a mapping is given.
+
+    Returns (claims, checks). Accepted files of other kinds are in the checks; their tables come from
+    ``layout_tables`` or a converter."""
+    checks = file_checks(spark, paths, max_mb)
+    accepted = [r["path"] for r in checks.where("ok AND ext = 'csv'").collect()]
+    if not accepted:
+        raise ValueError("no acceptable CSV file")
+    frames = csv_groups(spark, accepted, multi_line=multi_line, with_position=True)
+    position = {FILE, BLOCK, POSITION, "source_file"}
+    if promote:
+        frames = [_promoted(f) for f in frames]
+    maps = [mapping or guess_schema([c for c in f.columns if c not in position]) for f in frames]
+    return prepare([(f, None) for f in frames], maps, locale, tenant_id, run_id), checks
+
+
+def _promoted(frame: DataFrame) -> DataFrame:
+    """Header promotion by file, in line order: a row's place is its block, then its position there."""
+    spot = frame.withColumn("_place", F.format_string("%020d-%020d", F.col(BLOCK), F.col(POSITION)))
+    keep = spot.select(*[c for c in spot.columns if c not in (BLOCK, POSITION)])
+    out = promote_header(keep, True, order_col="_place", file_col=FILE)
+    halves = F.split("_place", "-")
+    return (out.withColumn(BLOCK, halves[0].cast("long")).withColumn(POSITION, halves[1].cast("long")).drop("_place"))
 
 
 def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | None = None,
@@ -102,7 +140,7 @@ def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | No
     t = time.perf_counter()
     summary = Q.summary_dict(std, policy_start, policy_end, cfg.quantile_method,
                              shared["suffix"] if shared else None)
-    metrics = V.run_metrics(std, issues, long=True)
+    metrics = V.run_metrics(ann, long=True)
     timings["summary"] = time.perf_counter() - t
 
     pivot = TR.ay_currency_pivot(std)
@@ -132,5 +170,22 @@ def export_bundle(result: RunResult, path: str, fmt: str = "standard_csv", maske
     return X.write_bundle(path, tables, doc)
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def process(spark: SparkSession, paths: str | list[str], root: str, cfg: V.RuleConfig | None = None,
+            policy_start: date | None = None, policy_end: date | None = None, tenant_id: str = "",
+            run_id: str | None = None, audit_salt: str = "", **intake_options) -> RunResult:
+    """Intake, run, save, with the audit events requested, completed and failed (file names scrubbed)."""
+    run_id = run_id or new_run_id()
+    named = [paths] if isinstance(paths, str) else list(paths)
+    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in named]
+    scrubbed = [hmac_sha256_hex(audit_salt, n) if audit_salt else "redacted" for n in names]
+    H.append_audit(spark, root, "run_requested", {"run_id": run_id, "files": scrubbed})
+    try:
+        std, checks = intake(spark, paths, tenant_id=tenant_id, run_id=run_id, **intake_options)
+        result = run(std, cfg, policy_start, policy_end, run_id)
+        save(result, root, tenant_id)
+        H.append_audit(spark, root, "run_completed", {"run_id": run_id, "n_rows": result.summary["n_rows"],
+                                                      "n_rejected_files": checks.where("NOT ok").count()})
+    except Exception as e:
+        H.append_audit(spark, root, "run_failed", {"run_id": run_id, "error": type(e).__name__})
+        raise
+    return result

@@ -11,10 +11,13 @@ tail over those CTEs.
 from __future__ import annotations
 
 from lossframe import constants as K
-from lossframe.functions.dates import ISO_TS_SHAPE, NUMERIC_SHAPE, SEPARATORS
-from lossframe.functions.amounts import PAREN_SHAPE, SCIENTIFIC_SHAPE
 from lossframe.sources.fixtures import CCY_BY_NATION_MOD8, FIXTURE_FILE, FIXTURE_RUN, FIXTURE_TENANT
 
+# Written out here, not imported from the library, so that a fault there cannot hide itself.
+SEPARATORS = "[ ,./-]+"
+ISO_TS_SHAPE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}.*$"
+NUMERIC_SHAPE = "^[0-9]+([.][0-9]+)?$"
+
 MONEY = "DECIMAL(28,6)"
 SUM = "DECIMAL(38,6)"
 PRICE = "DECIMAL(18,2)"
@@ -39,32 +42,27 @@ def blank(x: str) -> str:
 def parse_date(x: str, locale: str = "AU") -> str:
     s = trim_ws(f"CAST({x} AS VARCHAR)")
     c = f"regexp_replace({s}, '{SEPARATORS}', '-', 'g')"
-    pats = {
-        "AU": [("^\\d{1,2}-\\d{1,2}-\\d{4}$", "%d-%m-%Y"), ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "%Y-%m-%d"),
-               ("^\\d{1,2}-[A-Za-z]{3}-\\d{4}$", "%d-%b-%Y"), ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "%d-%m-%y")],
-        "US": [("^\\d{1,2}-\\d{1,2}-\\d{4}$", "%m-%d-%Y"), ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "%Y-%m-%d"),
-               ("^[A-Za-z]{3}-\\d{1,2}-\\d{4}$", "%b-%d-%Y"), ("^\\d{1,2}-\\d{1,2}-\\d{2}$", "%m-%d-%y")],
-    }[locale]
-    parts = [f"CASE WHEN regexp_matches({s}, '{ISO_TS_SHAPE}') THEN CAST(TRY_CAST({s} AS TIMESTAMP) AS DATE) END"]
-    for shape, fmt in pats:
-        parts.append(f"CASE WHEN regexp_matches({c}, '{shape}') THEN CAST(try_strptime({c}, '{fmt}') AS DATE) END")
+    day_first = locale == "AU"
+    numeric = "%d-%m" if day_first else "%m-%d"
+    named = ["%d-%b-%Y", "%d-%B-%Y"] if day_first else ["%b-%d-%Y", "%B-%d-%Y"]
+    formats = [(f"{numeric}-%Y", "[0-9]{4}$"), ("%Y-%m-%d", "^[0-9]{4}-"), *[(f, "[A-Za-z]") for f in named],
+               (f"{numeric}-%y", "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$")]
+    tries = [f"CASE WHEN regexp_matches({s}, '{ISO_TS_SHAPE}') THEN CAST(TRY_CAST({s} AS TIMESTAMP) AS DATE) END"]
+    tries += [f"CASE WHEN regexp_matches({c}, '{has}') THEN CAST(try_strptime({c}, '{fmt}') AS DATE) END"
+              for fmt, has in formats]
     num = f"TRY_CAST({s} AS DOUBLE)"
-    parts.append(f"CASE WHEN regexp_matches({s}, '{NUMERIC_SHAPE}') AND {num} > {K.EXCEL_SERIAL_MIN} "
+    tries.append(f"CASE WHEN regexp_matches({s}, '{NUMERIC_SHAPE}') AND {num} > {K.EXCEL_SERIAL_MIN} "
                  f"AND {num} < {K.EXCEL_SERIAL_MAX} THEN DATE '{K.EXCEL_ORIGIN}' + CAST(floor({num}) AS INTEGER) END")
-    return "coalesce(" + ", ".join(parts) + ")"
+    return "coalesce(" + ", ".join(tries) + ")"
 
 
 def clean_amount(x: str) -> str:
+    """An amount in text: the sign is negative inside parentheses, the value is the digits and the point."""
     raw = f"CAST({x} AS VARCHAR)"
-    s = f"replace({raw}, '−', '-')"
-    s = f"replace({s}, ',', '')"
-    s = f"regexp_replace({s}, '[$\\s()]', '', 'g')"
-    s = f"regexp_replace({s}, '[^0-9.\\-]', '', 'g')"
-    t = f"trim({raw})"
-    parsed = (f"(CASE WHEN regexp_matches({t}, '{SCIENTIFIC_SHAPE}') THEN TRY_CAST({t} AS {MONEY}) "
-              f"ELSE TRY_CAST({s} AS {MONEY}) END)")
-    return (f"CAST(CASE WHEN regexp_matches({raw}, '{PAREN_SHAPE}') AND {parsed} IS NOT NULL "
-            f"THEN -abs({parsed}) ELSE {parsed} END AS {MONEY})")
+    number = f"TRY_CAST(array_to_string(regexp_extract_all(translate({raw}, '−', '-'), '[0-9.-]'), '') AS {MONEY})"
+    in_parens = f"(trim({raw}) LIKE '(%' AND trim({raw}) LIKE '%)')"
+    plain = f"coalesce(TRY_CAST(CASE WHEN {raw} ILIKE '%e%' THEN trim({raw}) END AS {MONEY}), {number})"
+    return f"CAST(CASE WHEN {in_parens} THEN -abs({number}) ELSE {plain} END AS {MONEY})"
 
 
 def money_text(x: str) -> str:

@@ -8,6 +8,7 @@ absent, as in local tests, do we fall back to a scratch folder of our own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,15 +25,21 @@ _LOCAL_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "lossframe") -> SparkSession:
-    """Build (or reuse) a session with the settings the operators assume."""
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "lossframe") -> SparkSession:
+    """Build (or reuse) a session with the settings the operators assume.
+
+    ``shuffle_partitions`` is set only when given (local runs); on a cluster
+    the platform's setting stays.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in _LOCAL_CONF.items():
         b = b.config(k, v)
-    b = b.config("spark.driver.memory", os.environ.get("LOSSFRAME_DRIVER_MEMORY", "16g"))
+    if master and master.startswith("local"):
+        b = b.config("spark.driver.memory", os.environ.get("LOSSFRAME_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     # all date logic is calendar-based; pin UTC even on a reused session
@@ -40,11 +47,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, configuring it if needed.
+    """The folder for intermediate tables: the one the session names, which all executors share.
 
-    Uses the cluster's ``spark.checkpoint.dir``; a private temp folder is
-    created only when the session has none (local tests and benches).
+    Only a single-process local session without the setting (tests, benches) gets a private
+    temporary folder; on a cluster a missing setting is an error, since executors
+    of another machine would not see the driver's folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="lossframe-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -63,10 +77,33 @@ def persist_table(df, name: str = "table"):
     This cuts lineage like ``checkpoint()`` but costs one pass instead of two
     (RDD checkpointing recomputes an unpersisted input), and later plans get
     column pruning and filter pushdown on the stored table. Task retries are
-    safe: only committed task output is kept.
+    safe: only committed task output is kept. ``release_tables`` deletes what
+    was stored so.
     """
     spark = df.sparkSession
     root = checkpoint_dir(spark).rstrip("/")
     path = f"{root}/lossframe-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+_STORED: dict[str, list[str]] = {}
+
+
+def release_tables(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables that ``persist_table`` stored in this application (all, or the given ones), once their
+    results have been read or written elsewhere. Returns how many."""
+    own = _STORED.get(spark.sparkContext.applicationId, [])
+    done = list(own) if paths is None else [p for p in paths if p in own]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for p in done:
+        path = hadoop.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        own.remove(p)
+    return len(done)
+
+
+def stored_tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables stored in this application and not released."""
+    return list(_STORED.get(spark.sparkContext.applicationId, []))

@@ -1,7 +1,7 @@
 """File intake.
 
 Uploaded loss runs are read by Spark's own file sources, one task per file
-split; nothing is read on the driver except file listings. Per-file
+split; the driver reads file listings, header lines and first bytes. Per-file
 lineage comes from the hidden ``_metadata`` column.
 """
 
@@ -11,23 +11,90 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lossframe.constants import ALLOWED_EXTENSIONS, HEADER_PROMOTE_FRACTION, MAX_UPLOAD_MB, TEXT_MIN_CHARS
+from lossframe.constants import ALLOWED_EXTENSIONS, HEADER_PROMOTE_FRACTION, TEXT_MIN_CHARS
+from lossframe.operators.numbering import BLOCK, FILE, POSITION
 
 NA_STRINGS = ("NA",)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], with_lineage: bool = True) -> DataFrame:
-    """Header CSV read as all-string columns, whitespace-trimmed; empty and
-    the text ``NA`` become NULL. Adds ``source_file`` (base name) per row."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-          .option("mode", "PERMISSIVE").csv(paths))
-    cols = [F.when(F.col(f"`{c}`").isin(*NA_STRINGS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
-            for c in df.columns]
-    if with_lineage:
-        cols.append(F.col("_metadata.file_name").alias("source_file"))
-    return df.select(*cols)
+def list_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Paths of the files, in the order given (a folder's or pattern's by path). One short text for a file."""
+    out = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        out += sorted(r[0] for r in spark.read.format("binaryFile").load(p).select("path").collect())
+    return out
+
+
+def read_heads(spark: SparkSession, paths: list[str], n_bytes: int) -> dict[str, bytes]:
+    """The first bytes of each file, opened by Spark's file system client; no file is read further."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def head(path: str) -> bytes:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            return bytes(stream.readNBytes(n_bytes))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(paths, pool.map(head, paths)))
+
+
+HEADER_BYTES = 1 << 20
+
+
+def csv_header(head: bytes) -> list[str]:
+    """Trimmed, distinct column names of the first record; a nameless column is ``_c<i>``."""
+    import csv
+    import io
+
+    first = next(csv.reader(io.StringIO(head.decode("utf-8-sig", errors="replace"), newline="")), [])
+    out: list[str] = []
+    for i, name in enumerate(first):
+        name = name.strip() or f"_c{i}"
+        out.append(name if name not in out else f"{name}{i}")
+    return out
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], with_lineage: bool = True, multi_line: bool = True,
+             with_position: bool = False) -> DataFrame:
+    """S1 + S2: the CSV files of ``csv_groups``, united by column name."""
+    return union_files(csv_groups(spark, paths, with_lineage, multi_line, with_position))
+
+
+def csv_groups(spark: SparkSession, paths: str | list[str], with_lineage: bool = True, multi_line: bool = True,
+               with_position: bool = False) -> list[DataFrame]:
+    """Header CSVs read as all-string columns, whitespace-trimmed; empty and the text ``NA`` become NULL.
+
+    Each file is read by its own header line: files with the same header are one frame. Doubled quotes and (with ``multi_line``, off for files known to
+    have none, which Spark can then split) line breaks inside quotes are part of a cell.
+    Adds ``source_file`` (base name) per row, and with ``with_position`` where the row stands (see ``numbering``).
+    """
+    files = list_files(spark, paths)
+    groups: dict[tuple, list[str]] = {}
+    for path, head in read_heads(spark, files, HEADER_BYTES).items():
+        if names := csv_header(head):
+            groups.setdefault(tuple(names), []).append(path)
+    if not groups:
+        raise ValueError(f"no CSV file with a header under {paths}")
+    frames = []
+    for names, own in groups.items():
+        df = (spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+              .option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+              .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(own))
+        cols = [F.when(~F.col(f"`{c}`").isin(*NA_STRINGS), F.col(f"`{c}`")).alias(c) for c in names]
+        if with_lineage:
+            cols.append(F.col("_metadata.file_name").alias("source_file"))
+        if with_position:
+            cols += [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                     F.monotonically_increasing_id().alias(POSITION)]
+        frames.append(df.select(*cols))
+    return frames
 
 
 def union_files(frames: list[DataFrame]) -> DataFrame:
@@ -38,45 +105,54 @@ def union_files(frames: list[DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# File checks (binaryFile source; content is read only for the few magic bytes)
+# File checks (listing, and the first bytes of acceptable files)
 # ---------------------------------------------------------------------------
 
 def _ext(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1))
 
 
-def file_checks(spark: SparkSession, path_glob: str, max_mb: float = MAX_UPLOAD_MB) -> DataFrame:
-    """S3 + S4: extension filter, size guard and signature-vs-extension check.
+SIGNATURE_BYTES = 8
+CHECK_SCHEMA = "path string, ext string, length long, detected string, ok boolean, reason string"
+
 
-    Returns ``(path, ext, length, detected, ok, reason)`` per file. Two scans
-    of the file listing: a metadata-only one for every file (the binaryFile
-    source skips reading content when the column is not selected), and one
-    that reads content only for files that passed the extension and size
-    guards (the ``length`` filter is applied to the listing before any file
-    is opened). A rejected or oversize upload is never read.
+def _detected(head: bytes) -> str:
+    for kind, magic in (("pdf", b"%PDF-"), ("zip", b"PK"), ("ole", bytes.fromhex("D0CF11E0A1B11AE1"))):
+        if head.startswith(magic):
+            return kind
+    return "other"
+
+
+#: Signatures that each extension may have.
+SIGNATURES = {"pdf": {"pdf"}, "xlsx": {"zip"}, "xls": {"ole", "zip"}, "csv": {"ole", "other"}}
+
+
+def file_checks(spark: SparkSession, path_glob: str | list[str], max_mb: float | None = None) -> DataFrame:
+    """S3 + S4: extension filter, size guard (``max_mb``; none by default) and signature-vs-extension check.
+
+    Returns ``(path, ext, length, detected, ok, reason)`` per file. The listing gives path and length; of files that
+    pass the first two guards only the first bytes are read, and a rejected file is never opened.
     """
-    cap = int(max_mb * 1024 * 1024)
-    listing = spark.read.format("binaryFile").load(path_glob)
-    ext = _ext(F.col("path"))
-    meta = listing.select("path", ext.alias("ext"), "length")
-    candidates = listing.where((F.col("length") <= cap) & ext.isin(*ALLOWED_EXTENSIONS))
-    head = F.hex(F.substring(F.col("content"), 1, 8))
-    detected = (F.when(head.startswith("255044462D"), F.lit("pdf"))
-                .when(head.startswith("504B"), F.lit("zip"))
-                .when(head == "D0CF11E0A1B11AE1", F.lit("ole"))
-                .otherwise(F.lit("other")))
-    sigs = candidates.select(F.col("path").alias("_sig_path"), detected.alias("detected"))
-    out = meta.join(sigs, meta["path"] == sigs["_sig_path"], "left").drop("_sig_path")
-    e, d = F.col("ext"), F.col("detected")
-    sig_ok = (F.when(e == "pdf", d == "pdf")
-              .when(e == "xlsx", d == "zip")
-              .when(e == "xls", d.isin("ole", "zip"))
-              .when(e == "csv", ~d.isin("zip", "pdf"))
-              .otherwise(F.lit(False)))
-    reason = (F.when(~e.isin(*ALLOWED_EXTENSIONS), F.lit("unsupported type"))
-              .when(F.col("length") > cap, F.lit("file too large"))
-              .when(~sig_ok, F.lit("file signature does not match the extension")))
-    return out.select("path", "ext", "length", "detected", reason.isNull().alias("ok"), reason.alias("reason"))
+    listed = []
+    for p in [path_glob] if isinstance(path_glob, str) else path_glob:
+        listed += [(r["path"], r["ext"], r["length"]) for r in spark.read.format("binaryFile").load(p)
+                   .select("path", _ext(F.col("path")).alias("ext"), "length").collect()]
+    cap = None if max_mb is None else int(max_mb * 1024 * 1024)
+
+    def early(ext: str, length: int) -> str | None:
+        if ext not in ALLOWED_EXTENSIONS:
+            return "unsupported type"
+        return "file too large" if cap is not None and length > cap else None
+
+    heads = read_heads(spark, [p for p, ext, n in listed if early(ext, n) is None], SIGNATURE_BYTES)
+    rows = []
+    for path, ext, length in listed:
+        kind = _detected(heads[path]) if path in heads else None
+        reason = early(ext, length)
+        if reason is None and kind not in SIGNATURES[ext]:
+            reason = "file signature does not match the extension"
+        rows.append((path, ext, length, kind, reason is None, reason))
+    return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
 def content_hash_dups(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -94,10 +170,10 @@ def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Split text into lines (a trailing newline adds no empty line)."""
+    """Split text into lines (a trailing newline adds no empty line; empty text has no lines)."""
     parts = F.split(F.col(text_col), "\n", -1)
     parts = F.when(F.col(text_col).endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return (df.where(F.col(text_col).isNotNull())
+    return (df.where(F.col(text_col) != "")
             .select(F.col(id_col), F.posexplode(parts).alias("pos", "line"))
             .select(id_col, (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
 
@@ -115,29 +191,51 @@ def text_sufficiency(df: DataFrame, id_col: str, text_col: str, min_chars: int =
 # Header promotion
 # ---------------------------------------------------------------------------
 
-def promote_header(df: DataFrame, enabled: bool = True, order_col: str | None = None) -> DataFrame:
-    """When the first row has enough non-empty cells
-    (>= max(2, floor(0.6 * ncol))) use it as the header and drop it.
+def promote_header(df: DataFrame, enabled: bool = True, order_col: str | None = None,
+                   file_col: str | None = None) -> DataFrame:
+    """When the first row of a file has enough non-empty cells
+    (>= max(2, floor(0.6 * ncol))) use it as that file's header and drop it.
 
-    Only the first two rows reach the driver (a TakeOrdered on
-    ``order_col``, the file order).
+    ``order_col`` gives the row order, ``file_col`` the file (without it, all rows are one file). The first row of each
+    file is found by one grouped minimum, so one row for a file reaches the driver. Files with
+    the same header are one projection; the projections are united by name. A row without
+    an order value is never a header and stays. A file of one row has no data and keeps it.
     """
     if not enabled:
         return df
     if order_col is None:
         raise ValueError("promote_header needs the column that gives file order")
-    data_cols = [c for c in df.columns if c not in (order_col, "source_file")]
-    rows = df.orderBy(order_col).limit(2).collect()
-    if len(rows) < 2:
-        return df
-    hdr = rows[0]
-    non_empty = sum(1 for c in data_cols if hdr[c] is not None and str(hdr[c]) != "")
-    if non_empty < max(2, int(HEADER_PROMOTE_FRACTION * len(data_cols))):
+    lineage = [c for c in (order_col, file_col, "source_file") if c in df.columns]
+    data = [c for c in df.columns if c not in lineage]
+    file = F.col(f"`{file_col}`") if file_col else F.lit(0)
+    cells = F.struct(F.col(f"`{order_col}`").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in data]).alias("_row"))
+    firsts = (df.groupBy(file.alias("_file")).agg(F.count(F.lit(1)).alias("n"),
+                                                  F.min_by(cells, F.col(f"`{order_col}`")).alias("first")).collect())
+    enough = max(2, int(HEADER_PROMOTE_FRACTION * len(data)))
+    groups: dict[tuple, list] = {}
+    for r in firsts:
+        row = [] if r["first"] is None else ["" if v is None else str(v).strip() for v in r["first"]["_row"]]
+        promoted = r["n"] >= 2 and sum(v != "" for v in row) >= enough
+        groups.setdefault(tuple(_make_names(row)) if promoted else (), []).append(r)
+    if set(groups) <= {()}:
         return df
-    names = _make_names([("" if hdr[c] is None else str(hdr[c]).strip()) for c in data_cols])
-    rest = df.where(F.col(order_col) != hdr[order_col])
-    mapping = dict(zip(data_cols, names))
-    return rest.select(*[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in rest.columns])
+    frames = []
+    for names, own in groups.items():
+        mine = _any_file(file, [r["_file"] for r in own])
+        part = df.where(mine)
+        if names:
+            header = [F.coalesce((F.col(f"`{order_col}`") == F.lit(r["first"]["_at"])) & _any_file(file, [r["_file"]]), F.lit(False))
+                      for r in own]
+            part = part.where(~reduce(lambda a, b: a | b, header))
+            part = part.select(*[F.col(f"`{c}`") for c in lineage], *[F.col(f"`{c}`").alias(n) for c, n in zip(data, names)])
+        frames.append(part)
+    return union_files(frames)
+
+
+def _any_file(file: Column, values: list) -> Column:
+    known = [v for v in values if v is not None]
+    hit = file.isin(*known) if known else F.lit(False)
+    return F.coalesce(hit, F.lit(False)) | (file.isNull() if None in values else F.lit(False))
 
 
 def _make_names(names: list[str]) -> list[str]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossframe.operators.mapping import guess_schema
-from lossframe.operators.numbering import number_rows
+from lossframe.operators.numbering import number_stored
 from lossframe.operators.standardize import standardize
 from lossframe.session import persist_table
 
@@ -44,20 +44,21 @@ def _money_text(x: Column) -> Column:
             .otherwise(F.concat(F.lit("$ "), x.cast("string"))))
 
 
-def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw loss-run rows (all text) plus the four ordering keys."""
+def claims_raw(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """Raw loss-run rows (all text) plus the four ordering keys.
+
+    ``ordered``: in the order of the keys. The joined numbers are sorted, the texts are built after it, so
+    the range partitioner's sampling pass does not build them too."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    # Hash-partition the line items on the join key: that is the exchange a
-    # sort-merge join with orders needs at scale anyway, and it keeps the
-    # text-building projection below spread over all shuffle partitions even
-    # when the optimizer broadcasts the small sides.
-    li = li.repartition("l_orderkey")
     j = li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).join(cu, F.col("o_custkey") == F.col("c_custkey"))
 
+    if ordered:
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        j = (j.drop("o_orderkey", "o_custkey").repartitionByRange(n, *ORDER_KEYS).sortWithinPartitions(*ORDER_KEYS))
     ok, pk, sk, ln = (F.col(c) for c in ORDER_KEYS)
     ck = F.col("c_custkey")
     price = F.col("l_extendedprice").cast(PRICE)
@@ -108,13 +109,24 @@ _PERSISTED: dict = {}
 
 
 def claims_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw view written once per session (the uploaded 'file' as stored)."""
-    key = ("raw", id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    """The raw view written once per session, in row order (the uploaded 'file' as stored)."""
+    key = ("raw", *_session_key(spark, sf_dir))
     if key not in _PERSISTED:
-        _PERSISTED[key] = persist_table(claims_raw(spark, sf_dir), "raw")
+        _PERSISTED[key] = persist_table(claims_raw(spark, sf_dir, ordered=True), "raw")
     return _PERSISTED[key]
 
 
+def _session_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder, and the state of its tables' files: changed input is stored anew."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    state = []
+    for name in ("lineitem", "orders", "customer"):
+        p = hadoop.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        s = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        state += [s.getModificationTime(), s.getLen()]
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *state)
+
+
 def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: bool = True,
                run_id: str = FIXTURE_RUN, tenant_id: str = FIXTURE_TENANT,
                keep_raw: tuple[str, ...] = (), persisted: bool = True) -> DataFrame:
@@ -125,7 +137,7 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
     reads its persisted standard table; ``persisted=False`` returns the
     lazy plan instead.
     """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), locale, numbered, run_id, tenant_id,
+    key = (*_session_key(spark, sf_dir), locale, numbered, run_id, tenant_id,
            tuple(keep_raw))
     if persisted and key in _PERSISTED:
         return _PERSISTED[key]
@@ -138,11 +150,10 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
             std = persist_table(std, "std")
             _PERSISTED[key] = std
         return std
-    # Number the persisted raw rows, then standardise once into the persisted
-    # table. (A range sort samples its input by evaluating the whole child
-    # plan, so numbering after standardising would parse every value twice.)
+    # The stored raw rows have their order: number them at the scan and
+    # standardise once into the stored table. No further copy.
     keep = ["row_id"] + [c for c in keep_raw if c != "row_id"]
-    raw = number_rows(claims_raw_table(spark, sf_dir), ORDER_KEYS)
+    raw = number_stored(claims_raw_table(spark, sf_dir))
     std = standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
                       run_id=run_id, keep=keep)
     if not persisted:

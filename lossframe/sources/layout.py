@@ -15,7 +15,7 @@ aggregate, per table and in parallel across documents:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,9 @@ def layout_cells(docs: DataFrame, json_col: str = "json", doc_col: str = "doc_id
                       F.col("t.cells").alias("cells"),
                       F.col("t.boundingRegions")[0]["pageNumber"].alias("source_page"))
               .where((F.col("nr") > 0) & (F.col("nc") > 0) & (F.size("cells") > 0)))
+    # a count beyond every cell's extent cannot make the grid larger than its cells say
+    tables = tables.withColumn("nr", F.least("nr", _extent("rowIndex", "rowSpan", F.col("nr")))).withColumn(
+        "nc", F.least("nc", _extent("columnIndex", "columnSpan", F.col("nc")))).where("nr > 0 AND nc > 0")
     cells = tables.select("doc", "table_no", "nr", "nc", F.posexplode("cells").alias("cell_no", "c"))
     r0, c0 = F.col("c.rowIndex"), F.col("c.columnIndex")
     rs = F.greatest(F.lit(1), F.coalesce(F.col("c.rowSpan"), F.lit(1)))
@@ -69,17 +72,28 @@ def layout_cells(docs: DataFrame, json_col: str = "json", doc_col: str = "doc_id
                     F.coalesce(F.col("value"), F.lit("")).alias("value"), "source_page"))
 
 
+def _extent(index: str, span: str, claimed: Column) -> Column:
+    """Rows or columns of a table: as many as it claims, but no more than its cells reach, where a span counts
+    up to twice the extent of the cells' own positions. So one absurd count or span cannot blow the grid up."""
+    starts = F.array_max(F.transform("cells", lambda c: F.coalesce(c[index], F.lit(-1)) + 1))
+    reach = F.array_max(F.transform("cells", lambda c: F.coalesce(c[index], F.lit(-1)).cast("long")
+                                    + F.greatest(F.lit(1), F.coalesce(c[span], F.lit(1)))))
+    return F.least(claimed, F.greatest(starts, F.least(reach, 2 * starts)).cast("int"))
+
+
 def layout_tables(docs: DataFrame, json_col: str = "json", doc_col: str = "doc_id",
                   max_columns: int | None = None) -> DataFrame:
     """Wide form: one row per table row, columns ``V1..Vn`` (NULL beyond a
     table's own width), plus ``table_no``, ``row_no`` and ``source_page``.
 
-    ``max_columns`` fixes the output width; otherwise it is the widest table
-    (one scalar aggregate)."""
+    The width is that of the widest table (one scalar aggregate).
+    ``max_columns`` asks for at least so many columns; a wider table is an error, never cut."""
     long = layout_cells(docs, json_col, doc_col)
-    if max_columns is None:
-        max_columns = int(long.agg(F.max("col_no")).first()[0] or -1) + 1
-    cols = list(range(max_columns))
+    last = long.agg(F.max("col_no")).first()[0]
+    width = 0 if last is None else int(last) + 1
+    if max_columns is not None and width > max_columns:
+        raise ValueError(f"a table has {width} columns, more than max_columns={max_columns}")
+    cols = list(range(max(width, max_columns or 0)))
     wide = (long.groupBy(doc_col, "table_no", "row_no", "source_page")
             .pivot("col_no", cols).agg(F.first("value")))
     return wide.select(doc_col, "table_no", "row_no", *[F.col(str(i)).alias(f"V{i + 1}") for i in cols],

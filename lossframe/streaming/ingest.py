@@ -4,13 +4,14 @@ Bordereaux arrive as files in a landing folder. A file stream reads them
 as all-text CSV with per-file lineage, standardises every row, and applies
 the row-local rules (everything except the set-based duplicate,
 multi-row and outlier rules, which need the whole run and stay in the batch
-plan). Each micro-batch appends its issues and standardised rows to Parquet
-through ``foreachBatch``; the stream's checkpoint makes the append
-exactly-once across restarts, so a lost executor or driver only replays the
-uncommitted batch.
+plan). Each micro-batch writes its issues into a folder of its own,
+``batch_id=<n>``, replacing whatever an earlier try left there. A batch that is
+replayed after a failure between its write and its commit reads the same
+files again and so leaves the same rows once.
 
 Rows are identified by ``(source_file, row_hash)``: a stream has no global
-row order to number, and the hash of the raw cells is stable on replay.
+row order to number, and the hash of the raw cells is stable on replay. Equal
+rows of one file share that identity.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def text_schema(columns: list[str]) -> T.StructType:
 def read_landing(spark: SparkSession, folder: str, columns: list[str], max_files_per_trigger: int = 100) -> DataFrame:
     """Streaming CSV read (header row, all text, empty and 'NA' as NULL) with lineage."""
     raw = (spark.readStream.schema(text_schema(columns)).option("header", True)
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+           .option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
     cells = [F.when(F.col(f"`{c}`") == "NA", F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in columns]
     return raw.select(*cells, F.col("_metadata.file_name").alias("_file"))
@@ -57,11 +58,11 @@ def stream_issues(raw: DataFrame, mapping: dict[str, str], cfg: RuleConfig | Non
 def start(spark: SparkSession, folder: str, columns: list[str], mapping: dict[str, str], out_path: str,
           checkpoint_location: str, cfg: RuleConfig | None = None, locale: str = "AU", tenant_id: str = "",
           available_now: bool = True):
-    """Run the intake stream; issues are appended to ``out_path`` as Parquet."""
+    """Run the intake stream; issues go to ``out_path`` as Parquet, partitioned by ``batch_id``."""
     issues = stream_issues(read_landing(spark, folder, columns), mapping, cfg, locale, tenant_id)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = issues.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -160,3 +160,16 @@ def test_format_date(spark):
     df = spark.createDataFrame([(date(2023, 1, 5),)], "d date")
     assert df.select(D.format_date(F.col("d"), "iso"), D.format_date(F.col("d"), "au")).first() == \
         ("2023-01-05", "05/01/2023")
+
+
+def test_full_month_names_in_both_locales(spark):
+    texts = ["5 January 2023", "5 June 2023", "05-September-2023", "5 Sept 2023", "5 Janu 2023", "5 may 2023", "5 Marchx 2023"]
+    us = ["January 5, 2023", "june 5 2023", "September-05-2023", "Sept 5 2023", "Janu 5 2023", "MAY 5 2023", "Marchx 5 2023"]
+    want = ["2023-01-05", "2023-06-05", "2023-09-05", None, None, "2023-05-05", None]
+    for locale, own in (("AU", texts), ("US", us)):
+        df = _col(spark, own)
+        assert [None if r[0] is None else str(r[0]) for r in df.select(D.parse_date_text(F.col("v"), locale)).collect()] == want
+        s, c = D.date_text_parts(F.col("v"))
+        kind, *p = D.date_kind_fields(c, locale)
+        got = df.select(D.date_from_ymd(s, *D.date_ymd(kind, p, locale))).collect()
+        assert [None if r[0] is None else str(r[0]) for r in got] == want

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lossframe.operators.numbering import number_rows, prefix_counts
+from lossframe.operators.numbering import number_rows
 
 
 def test_number_rows_follows_order(spark):
@@ -25,16 +25,33 @@ def test_number_rows_multi_column_order(spark):
     assert [(a, b) for _, a, b in got] == sorted(rows)
 
 
-def test_prefix_counts_with_hot_value(spark):
-    vals = {i: (1000 if i == 0 else (i % 5) + 1) for i in range(300)}  # value 0 is a hot group
-    df = spark.createDataFrame(list(vals.items()), "v long, c long")
-    out, total = prefix_counts(df, "v", "c", num_partitions=7)
-    assert total == sum(vals.values())
-    acc, want = 0, {}
-    for v in sorted(vals):
-        want[v] = acc
-        acc += vals[v]
-    assert {r.v: r._before for r in out.collect()} == want
+def test_csv_lines_are_numbered_at_the_scan(spark, tmp_path):
+    """row_id is the line number over many splits and files; nothing is sorted or range-partitioned."""
+    from lossframe.plans.claims_run import prepare
+    from lossframe.sources.files import read_csv
+    for name, lo, hi in (("a.csv", 0, 4000), ("b.csv", 4000, 4100), ("c.csv", 4100, 9000)):
+        (tmp_path / name).write_text("claim_id,paid\n" + "".join(f"C-{i},{i}\n" for i in range(lo, hi)))
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        raw = read_csv(spark, str(tmp_path), multi_line=False, with_position=True)
+        assert raw.rdd.getNumPartitions() > 10
+        out = prepare([(raw, None)], {"claim_id": "claim_id", "paid": "paid"})
+        got = out.select("row_id", "claim_id", "source_file").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", own)
+    assert sorted((r.row_id, r.claim_id) for r in got) == [(i + 1, f"C-{i}") for i in range(9000)]
+    assert {r.source_file for r in got if r.row_id <= 4000} == {"a.csv"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_frames_keep_their_own_order(spark):
+    from lossframe.plans.claims_run import prepare
+    frames = [(spark.range(lo, hi, 1, 7).selectExpr("concat('C-', id) AS claim_id"), f"{lo}.csv")
+              for lo, hi in ((0, 50), (50, 60), (60, 200))]
+    out = prepare(frames, {"claim_id": "claim_id"})
+    assert sorted((r.row_id, r.claim_id) for r in out.collect()) == [(i + 1, f"C-{i}") for i in range(200)]
 
 
 def test_no_single_partition_exchange(spark):

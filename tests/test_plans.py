@@ -32,25 +32,30 @@ def test_row_local_rules_are_one_scan_one_generate_no_shuffle(std):
     assert "Exchange" not in p
 
 
-def test_set_based_rules_scan_claims_twice_and_explode_once(std):
+def test_set_based_rules_scan_the_claims_once_beside_the_stored_keys(std):
     p = plan(V.validate(std, V.RuleConfig(rule_paid_outliers=False)))
-    assert count(r"FileScan parquet", p) == 2  # keys (3 columns) + the single rule pass
-    assert count(r"Generate ", p) == 1
+    assert count(r"FileScan parquet.*claimant", p) == 1  # the single rule pass
+    assert count(r"Generate explode\(_issues", p) + count(r"Generate explode", p) >= 1
     assert "SinglePartition" not in p
 
 
-def test_key_scan_reads_only_key_columns(std):
-    p = plan(V.validate(std, V.RuleConfig.only("rule_duplicates")))
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
-    key_scan = min(schemas, key=len)  # the narrower of the two scans
-    fields = {f.split(":")[0] for f in key_scan.split(",")}
+def test_key_table_reads_only_key_columns_and_shuffles_once_for_its_windows(std):
+    import lossframe.operators.rules as R
+    kept = R.persist_table
+    try:
+        R.persist_table = lambda df, name="": df
+        p = plan(R.claim_keys(std))
+    finally:
+        R.persist_table = kept
+    fields = {f.split(":")[0] for f in re.findall(r"ReadSchema: struct<([^>]*)>", p)[0].split(",")}
     assert {"claim_id", "loss_date"} <= fields
     assert not fields & {"paid", "incurred", "outstanding", "currency", "policy_number", "claimant", "status"}
+    assert count(r"Window \[", p) == 2 and count(r"Exchange hashpartitioning", p) == 2  # the aggregate's and the windows' one
 
 
 def test_row_aggregates_have_no_expand(std):
     assert "Expand" not in plan(Q.row_aggregates(std))
-    assert "Expand" not in plan(Q.claim_counts(std))
+    assert "Expand" not in plan(Q.claim_aggregates(Q.claim_totals(std)))
 
 
 def test_standardize_prunes_unmapped_columns(spark):

@@ -114,15 +114,17 @@ def test_row_flags_and_top_issues(spark):
     df = frame(spark, [dict(claim_id="", currency="XXX"), dict(), dict(paid=D(-1), incurred=D(-1))])
     cfg = V.RuleConfig.only("rule_required_fields", "rule_currency_list", "rule_negative_values")
     iss = V.validate(df, cfg)
-    flags = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags(df, iss).collect()}
+    flags = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags_one_pass(df, cfg).collect()}
     assert flags[1] == ("Missing required fields; Unrecognised currency",
                         "claim_id/loss_date/report_date | " + K.DETAIL_CURRENCY)
     assert flags[2] == (None, None)
     assert flags[3] == ("Negative paid; Negative incurred", "paid < 0 | incurred < 0")
     top = [(r.row, r.issue) for r in V.top_issues(iss, 2).collect()]
     assert top == [(1, K.ISSUE_REQUIRED), (3, K.ISSUE_NEG_PAID)]
-    sel = V.flagged_rows(df, iss, [K.ISSUE_CURRENCY]).collect()
-    assert [r.row_id for r in sel] == [1]
+    ann = V.annotate(df, cfg)
+    assert [r.row_id for r in V.flagged_rows(ann, [K.ISSUE_CURRENCY]).collect()] == [1]
+    assert sorted(r.row_id for r in V.flagged_rows(ann).collect()) == [1, 3]
+    assert "Join" not in V.flagged_rows(ann)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rule_packs_are_exactly_their_rules():
@@ -136,8 +138,7 @@ def test_rule_packs_are_exactly_their_rules():
 
 def test_run_metrics(spark):
     df = frame(spark, [dict(claim_id=""), dict(), dict(claim_id=None)])
-    iss = V.validate(df, V.RuleConfig())
-    m = {r.metric: r.value for r in V.run_metrics(df, iss, long=True).collect()}
+    m = {r.metric: r.value for r in V.run_metrics(V.annotate(df, V.RuleConfig()), long=True).collect()}
     assert m["n_rows"] == "3" and m["n_claims"] == "3" and m["missing_required"] == "2"
 
 
@@ -150,13 +151,24 @@ def test_r_num():
     assert V.r_num(1.5) == "1.5" and V.r_num(2.0) == "2"
 
 
+def _flags_by_group(df, cfg):
+    """'Why flagged' the other way round: the issues grouped by row."""
+    out = {r.row_id: ([], []) for r in df.collect()}
+    for r in sorted(V.validate(df, cfg).collect(), key=lambda r: (r.row, r.rule_order)):
+        texts, details = out[r.row]
+        if r.issue not in texts:
+            texts.append(r.issue)
+        if r.detail and r.detail not in details:
+            details.append(r.detail)
+    return {k: ("; ".join(t), " | ".join(d)) if t else (None, None) for k, (t, d) in out.items()}
+
+
 def test_one_pass_flags_equal_grouped_flags(spark):
     df = frame(spark, [dict(claim_id="", currency="XXX"), dict(), dict(paid=D(-1), incurred=D(-1)),
                        dict(claim_id="C9"), dict(claim_id="C9", currency="")])
     cfg = V.RuleConfig()
-    a = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags(df, V.validate(df, cfg)).collect()}
-    b = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags_one_pass(df, cfg).collect()}
-    assert a == b and any(v[0] for v in a.values())
+    got = {r.row_id: (r.flags, r.flags_detail) for r in V.row_flags_one_pass(df, cfg).collect()}
+    assert got == _flags_by_group(df, cfg) and any(v[0] for v in got.values())
 
 
 def test_approx_quantile_option_is_close(spark):
@@ -178,16 +190,25 @@ def test_shared_quartiles_match_separate_runs(spark):
     assert got["suffix"] == (len(nonneg), [_type7(nonneg, 0.25), _type7(nonneg, 0.75)])
 
 
-def test_hot_keys_are_salted_without_changing_results(spark):
-    # a third of the rows share (NULL claim id, one loss date): salted with a tiny threshold
-    rows = [dict(claim_id=None) for _ in range(30)] + [dict(claim_id=f"C{i % 20}") for i in range(60)]
+def test_hot_keys_are_split_by_size_without_a_cap(spark):
+    # two thirds of the rows share (NULL claim id, one loss date): far beyond 64 shares of the target
+    rows = [dict(claim_id=None) for _ in range(300)] + [dict(claim_id=f"C{i % 20}") for i in range(60)]
     df = frame(spark, rows)
-    plain = V.with_claim_keys(df, hot_key_rows=10**9).select("row_id", "_first_row", "_claim_n")
-    salted = V.with_claim_keys(df, hot_key_rows=4, max_salt=8).select("row_id", "_first_row", "_claim_n")
-    a = sorted(tuple(r) for r in plain.collect())
-    b = sorted(tuple(r) for r in salted.collect())
-    assert a == b and len(b) == 90
-    assert {r[2] for r in b if r[0] <= 30} == {30}
-    assert V.hot_claim_keys(df, hot_key_rows=4, max_salt=8)[0][:2] == (None, date(2023, 1, 1))
-    p = salted._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" in p or "BroadcastHashJoin" in p
+    want = sorted(tuple(r) for r in V.with_claim_keys(df, target_rows=10**9).select("row_id", "_first_row", "_claim_n").collect())
+    salted = V.with_claim_keys(df, target_rows=3)
+    assert sorted(tuple(r) for r in salted.select("row_id", "_first_row", "_claim_n").collect()) == want
+    assert len(want) == 360 and {r[2] for r in want if r[0] <= 300} == {300}
+    keys = V.claim_keys(df)
+    assert keys.count() == 21 and max(r._kn for r in keys.collect()) == 300  # exact sizes, one row per key
+
+
+def test_order_statistics_in_narrow_brackets(spark):
+    import random
+    from lossframe.operators.quantiles import order_statistics
+    rnd = random.Random(7)
+    values = [D(rnd.choice([rnd.randint(-500, 500), 7])) / 4 for _ in range(4000)]  # half of them one value
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(28,6)").repartition(5)
+    ranks = [0, 1, 999, 1000, 2000, 2999, 3999]
+    for accuracy, most in ((10_000, 50_000), (20, 30), (50, 5)):
+        got = order_statistics(df, ranks, len(values), accuracy, most)
+        assert [got[k] for k in ranks] == [sorted(values)[k] for k in ranks]

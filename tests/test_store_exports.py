@@ -2,11 +2,14 @@
 
 import json
 import tempfile
-from datetime import datetime
+from datetime import date, datetime
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
+import lossframe
 from lossframe.operators import exports as X
 from lossframe.operators import history as H
 from lossframe.operators import mapping as M
@@ -112,4 +115,79 @@ def test_audit_records(spark):
                                  "x.csv")], "ts timestamp, event string, detail string, f string")
     rec = json.loads(H.audit_records(ev, file_col="f").first().json)
     assert rec == {"ts": "2024-01-02T03:04:05Z", "event": "download_csv", "detail": {"unmasked": False, "n": 2},
-                   "file": "redacted", "app_version": "0.6.2-pilots"}
+                   "file": "redacted", "app_version": lossframe.__version__}
+
+
+#: No sample claim falls into this term: one issue for each row.
+TERM_MISSED = V.RuleConfig.only("rule_policy_term").with_term(date(2024, 1, 1), date(2024, 12, 31))
+
+
+def test_resaving_a_clean_run_clears_its_issues(spark, sample_std):
+    root = tempfile.mkdtemp(prefix="lf-clean-")
+    iss = V.validate(sample_std, TERM_MISSED)
+    for run in ("a b/c=%", "r2"):
+        H.save_run(H.run_header(sample_std, run, "t"), iss, root)
+    n = iss.count()
+    H.save_run(H.run_header(sample_std, "a b/c=%", "t"), iss.limit(0), root)
+    left = H.read_table(spark, root, "issues", H.ISSUES_SCHEMA).groupBy("run_id").count().collect()
+    assert [tuple(r) for r in left] == [("r2", n)]
+    assert H.read_table(spark, root, "runs", H.RUNS_SCHEMA).count() == 2
+
+
+def test_prune_under_either_overwrite_mode_and_unreadable_table(spark, sample_std, monkeypatch):
+    iss = V.validate(sample_std, TERM_MISSED)
+    own = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    for mode in ("static", "dynamic"):
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        try:
+            root = tempfile.mkdtemp(prefix="lf-modes-")
+            H.save_run(H.run_header(sample_std, "old", "t", F.lit(datetime(2020, 1, 1))), iss, root)
+            H.save_run(H.run_header(sample_std, "new", "t", F.lit(datetime(2024, 1, 1))), iss, root)
+            assert H.prune(spark, root, as_of=datetime(2024, 1, 15)) == {"runs": 1, "issues": 1, "audit_log": 0}
+            for name, schema in (("runs", H.RUNS_SCHEMA), ("issues", H.ISSUES_SCHEMA)):
+                assert {r.run_id for r in H.read_table(spark, root, name, schema).collect()} == {"new"}
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", own)
+
+    real = H.read_table
+
+    def broken(spark, root, name, schema):
+        if name == "issues":
+            raise OSError("listing failed")
+        return real(spark, root, name, schema)
+
+    monkeypatch.setattr(H, "read_table", broken)
+    with pytest.raises(OSError):
+        H.prune(spark, root, as_of=datetime(2030, 1, 1))
+    monkeypatch.undo()
+    assert H.read_table(spark, root, "runs", H.RUNS_SCHEMA).count() == 1
+    assert H.read_table(spark, root, "issues", H.ISSUES_SCHEMA).count() == iss.count()
+
+
+def test_stored_mappings_upsert_with_equal_times(spark):
+    root, t = tempfile.mkdtemp(prefix="lf-maps-"), datetime(2024, 1, 1)
+
+    def rows(*r):
+        return spark.createDataFrame(list(r), M.MAPPING_STORE_SCHEMA)
+
+    M.store_mappings(spark, root, rows(("t", "a", "z", t), ("t", "b", "1", t)))
+    M.store_mappings(spark, root, rows(("t", "a", "c", t)))
+    got = {(r.counterparty, r.mapping_json) for r in H.read_table(spark, root, "saved_mappings", M.MAPPING_STORE_SCHEMA).collect()}
+    assert got == {("a", "c"), ("b", "1")}
+
+
+def test_failed_run_is_audited(spark, tmp_path):
+    from lossframe.plans.claims_run import process
+    (tmp_path / "x.pdf").write_bytes(b"no pdf")
+    with pytest.raises(ValueError):
+        process(spark, str(tmp_path), str(tmp_path / "root"), run_id="r", audit_salt="s")
+    rows = H.read_table(spark, str(tmp_path / "root"), "audit_log", H.AUDIT_SCHEMA).collect()
+    assert sorted(r.event for r in rows) == ["run_failed", "run_requested"]
+    assert all(tmp_path.name not in r.detail_json for r in rows)
+
+
+def test_release_tables(spark):
+    from lossframe.session import persist_table, release_tables, stored_tables
+    df = persist_table(spark.range(5), "five")
+    path = stored_tables(spark)[-1]
+    assert df.count() == 5 and release_tables(spark, [path]) == 1 and path not in stored_tables(spark)
