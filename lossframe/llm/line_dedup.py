@@ -72,8 +72,8 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
 
     own = lines.where(F.col("n") >= min_words)
     key = ["k1", "k2"]
-    classes = own.groupBy(*key).agg(F.min(F.struct("doc_id", "line", "n")).alias("first"),
-                                    F.any_value("prefix").alias("prefix"))
+    classes = persist_table(own.groupBy(*key).agg(F.min(F.struct("doc_id", "line", "n")).alias("first"),
+                                                  F.any_value("prefix").alias("prefix")), "classes")
     placed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
                             F.col("first.n").alias("n"), F.posexplode("prefix").alias("pos", "t"))
     packed = placed.select("t", "doc_id", F.shiftleft(F.col("line").cast("long"), SIZE_BITS + POS_BITS)
@@ -118,15 +118,20 @@ def _candidates(late: DataFrame, early: DataFrame, percent: int) -> DataFrame:
         .select("a.doc_id", "a.line", F.col("e.doc_id").alias("e_doc"), F.col("e.line").alias("e_line")).distinct())
 
 
+#: Lines whose numbers are broadcast to find their texts (at most some 30 MB); beyond it the texts are shuffled to them.
+BROADCAST_LINES = 500_000
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) -> DataFrame:
     """doc_id, line of the later ones of the pairs whose full sets have the similarity."""
-    needed = (pairs.select("doc_id", "line").union(pairs.select("e_doc", "e_line")).distinct()
-              .groupBy("doc_id").agg(F.collect_set("line").alias("own")))  # bounded by the document
-    sets = (docs.join(needed, "doc_id")
-            .select("doc_id", "own", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-            .where(F.array_contains("own", F.col("line")))
-            .select("doc_id", "line", ordered_words("s", levels).alias("w")))
-    sets = persist_table(sets, "sets")
+    needed = persist_table(pairs.select("doc_id", "line").union(pairs.select("e_doc", "e_line")).distinct(), "needed")
+    every = F.posexplode(F.split("text", "\n")).alias("line", "s")
+    if needed.count() <= BROADCAST_LINES:
+        found = docs.select("doc_id", every).join(F.broadcast(needed), ["doc_id", "line"])
+    else:
+        by_doc = needed.groupBy("doc_id").agg(F.collect_set("line").alias("own"))  # bounded by the document
+        found = docs.join(by_doc, "doc_id").select("doc_id", "own", every).where(F.array_contains("own", F.col("line")))
+    sets = persist_table(found.select("doc_id", "line", ordered_words("s", levels).alias("w")), "sets")
     late = pairs.join(sets.withColumnRenamed("w", "a"), ["doc_id", "line"])
     both = late.join(sets.select(F.col("doc_id").alias("e_doc"), F.col("line").alias("e_line"), F.col("w").alias("e")),
                      ["e_doc", "e_line"])

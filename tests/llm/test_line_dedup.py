@@ -62,7 +62,10 @@ def test_query_equals_brute_force(spark, make_docs, sf, corpus):
     assert sum(w[2] for w in want.values()) > 30
 
 
-def test_lower_similarity(make_docs, corpus):
+def test_lower_similarity_and_shuffled_texts(make_docs, corpus, monkeypatch):
+    from lossframe.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     few = dict(list(corpus.items())[:70])
     rows = line_report(make_docs(list(few.items())), percent=75, min_words=1).collect()
     want = brute(few, 75, 1)
