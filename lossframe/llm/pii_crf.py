@@ -312,7 +312,10 @@ def train_field(labelled: list[tuple[str, list[tuple[int, int, int]]]], rounds:
 def train_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> PiiField:
     """The field from the examples and at most ``sample_docs`` documents with marked words, labelled by the
     fixed patterns. Only the stretches with marks are fetched, as lines of words."""
-    marked = id_and_text(docs).where(F.col("text").rlike("[0-9@]"))
+    marked = id_and_text(docs).where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
+    # ids are picked without their texts, which would all meet in one task; a repeated id gives its smallest text
+    ids = marked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    picked = marked.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,7 +330,6 @@ def train_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> PiiField:
                 lines.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.string()))], names=["lines"])
 
-    picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("doc_id", "text").limit(sample_docs)
     rows = map_arrow(picked, run, "lines array<string>").collect()
     sample = sorted(x for r in rows for x in r.lines)
     return train_field(read_examples() * 3 + [(t, base_spans(t)) for t in sample])

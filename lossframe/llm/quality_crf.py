@@ -168,7 +168,8 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
     """The line field, from at most ``sample_docs`` labelled documents of each class; None without both classes."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for q in (0, 1)]
-    sample = id_and_text(docs).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # bounded by the limits
+    chosen = F.broadcast(picked[0].union(picked[1]))  # bounded by the limits; a repeated id gives its smallest text
+    sample = id_and_text(docs).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
