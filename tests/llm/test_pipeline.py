@@ -13,8 +13,8 @@ from lossframe.llm.bpe_fragments import tokenizer_path
 from lossframe.llm.pii_crf import base_spans
 from lossframe.llm.quality_crf import judge, train_line_model
 
-from test_line_dedup import WORD, brute as brute_lines
-from test_near_dedup import brute as brute_near
+from .test_line_dedup import WORD, brute as brute_lines
+from .test_near_dedup import brute as brute_near
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
