@@ -6,7 +6,9 @@ all documents in half powers of two, from a table of fixed size. Lines with equa
 class with the first occurrence in front. Two sets at the similarity share a
 word among their rarest ones; classes meet on those prefix words, within the
 size bounds, and only where the words that can still follow reach the needed
-overlap (positional filter). Words in one prefix only are dropped first.
+overlap (positional filter) and the sets' 64-bit sketches, one bit a word, do
+not differ in more bits than the sets may differ in words. Words in one prefix only are
+dropped first.
 
 A line goes if an earlier line of the corpus has the similarity, whether that
 one is kept or not. So one witness is enough: first every class is held
@@ -67,25 +69,28 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
     # a set's most alike other set has one word more; where that is too little, only equal sets count
     pairs_up = (n >= min_words) & (100 * n >= percent * (n + 1))
     prefix = F.slice("w", F.lit(1), F.when(pairs_up, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0))
+    # a bit for each word: sets differ in at least as many words as their bits do
+    bits = F.when(pairs_up, F.expr("aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST(x & 63 AS INT)))"))
     lines = persist_table(words.select("doc_id", "line", n.alias("n"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"),
-                                       prefix.alias("prefix")), "lines")
+                                       prefix.alias("prefix"), bits.alias("bits")), "lines")
 
     own = lines.where(F.col("n") >= min_words)
     key = ["k1", "k2"]
     classes = persist_table(own.groupBy(*key).agg(F.min(F.struct("doc_id", "line", "n")).alias("first"),
-                                                  F.any_value("prefix").alias("prefix")), "classes")
+                                                  F.any_value("prefix").alias("prefix"),
+                                                  F.any_value("bits").alias("bits")), "classes")
     placed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
-                            F.col("first.n").alias("n"), F.posexplode("prefix").alias("pos", "t"))
-    packed = placed.select("t", "doc_id", F.shiftleft(F.col("line").cast("long"), SIZE_BITS + POS_BITS)
+                            F.col("first.n").alias("n"), "bits", F.posexplode("prefix").alias("pos", "t"))
+    packed = placed.select("t", "doc_id", "bits", F.shiftleft(F.col("line").cast("long"), SIZE_BITS + POS_BITS)
                            .bitwiseOR(F.shiftleft(F.least("n", F.lit((1 << SIZE_BITS) - 1)).cast("long"), POS_BITS))
                            .bitwiseOR(F.least("pos", F.lit((1 << POS_BITS) - 1)).cast("long")).alias("place"))
     common = placed.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
     shared = persist_table(packed.join(common, "t").select(
-        "t", "doc_id", F.shiftright("place", SIZE_BITS + POS_BITS).cast("int").alias("line"),
+        "t", "doc_id", "bits", F.shiftright("place", SIZE_BITS + POS_BITS).cast("int").alias("line"),
         F.shiftright("place", POS_BITS).bitwiseAND((1 << SIZE_BITS) - 1).cast("int").alias("n"),
         F.col("place").bitwiseAND((1 << POS_BITS) - 1).cast("int").alias("pos")), "prefixes")
 
-    lead = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("e"))
+    lead = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos", "bits")).alias("e"))
     first = persist_table(_candidates(shared, lead.select("t", "e.*"), percent), "pairs")
     found = persist_table(_verified(docs, first, levels, percent), "similar")
     rest = shared.join(found, ["doc_id", "line"], "left_anti")
@@ -114,7 +119,8 @@ def _candidates(late: DataFrame, early: DataFrame, percent: int) -> DataFrame:
         AND 100 * least(a.n, e.n) >= {percent} * greatest(a.n, e.n)
         AND IF(a.n < e.n, a.pos, e.pos) <= least(a.n, e.n) - ((2 * {percent} * least(a.n, e.n) + {s - 1}) div {s})
         AND {need} <= least(a.n, e.n) - IF(a.n = e.n, 1, 0)
-        AND 1 + least(a.n - a.pos - 1, e.n - e.pos - 1) >= {need}"""))
+        AND 1 + least(a.n - a.pos - 1, e.n - e.pos - 1) >= {need}
+        AND bit_count(a.bits ^ e.bits) <= a.n + e.n - 2 * {need}"""))
         .select("a.doc_id", "a.line", F.col("e.doc_id").alias("e_doc"), F.col("e.line").alias("e_line")).distinct())
 
 
