@@ -7,8 +7,7 @@ class with the first occurrence in front. Two sets at the similarity share a
 word among their rarest ones; classes meet on those prefix words, within the
 size bounds, and only where the words that can still follow reach the needed
 overlap (positional filter) and the sets' 64-bit sketches, one bit a word, do
-not differ in more bits than the sets may differ in words. Words in one prefix only are
-dropped first.
+not differ in more bits than the sets may differ in words.
 
 A line goes if an earlier line of the corpus has the similarity, whether that
 one is kept or not. So one witness is enough: first every class is held
@@ -34,9 +33,11 @@ from lossframe.session import persist_table
 
 #: Hash buckets of the frequency table: its size is fixed, one byte each, whatever the corpus.
 BUCKETS = 1 << 16
+#: A 64-bit sketch of a word set: each word sets the bit that six bits of its hash name.
+SKETCH = "aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST(shiftright(x, {shift}) & 63 AS INT)))"
 WORD_BREAK = "[ \\u0009-\\u000D]+"  # SQL turns the escapes into the characters
-#: A place in a class's prefix, as one long: line number, set size, prefix position.
-SIZE_BITS, POS_BITS = 20, 12
+#: Sizes count up to here in the filters, which then only let more pairs through.
+MAX_SIZE = 1 << 20
 
 
 def frequency_levels(docs: DataFrame) -> bytes:
@@ -70,7 +71,7 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
     pairs_up = (n >= min_words) & (100 * n >= percent * (n + 1))
     prefix = F.slice("w", F.lit(1), F.when(pairs_up, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0))
     # a bit for each word: sets differ in at least as many words as their bits do
-    bits = F.when(pairs_up, F.expr("aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST(x & 63 AS INT)))"))
+    bits = F.when(pairs_up, F.expr(SKETCH.format(shift=0)))
     lines = persist_table(words.select("doc_id", "line", n.alias("n"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"),
                                        prefix.alias("prefix"), bits.alias("bits")), "lines")
 
@@ -81,14 +82,7 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
                                                   F.any_value("bits").alias("bits")), "classes")
     placed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
                             F.col("first.n").alias("n"), "bits", F.posexplode("prefix").alias("pos", "t"))
-    packed = placed.select("t", "doc_id", "bits", F.shiftleft(F.col("line").cast("long"), SIZE_BITS + POS_BITS)
-                           .bitwiseOR(F.shiftleft(F.least("n", F.lit((1 << SIZE_BITS) - 1)).cast("long"), POS_BITS))
-                           .bitwiseOR(F.least("pos", F.lit((1 << POS_BITS) - 1)).cast("long")).alias("place"))
-    common = placed.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
-    shared = persist_table(packed.join(common, "t").select(
-        "t", "doc_id", "bits", F.shiftright("place", SIZE_BITS + POS_BITS).cast("int").alias("line"),
-        F.shiftright("place", POS_BITS).bitwiseAND((1 << SIZE_BITS) - 1).cast("int").alias("n"),
-        F.col("place").bitwiseAND((1 << POS_BITS) - 1).cast("int").alias("pos")), "prefixes")
+    shared = placed.select("t", "doc_id", "line", F.least("n", F.lit(MAX_SIZE)).alias("n"), "pos", "bits")
 
     lead = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos", "bits")).alias("e"))
     first = persist_table(_candidates(shared, lead.select("t", "e.*"), percent), "pairs")
@@ -133,14 +127,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) ->
     needed = persist_table(pairs.select("doc_id", "line").union(pairs.select("e_doc", "e_line")).distinct(), "needed")
     every = F.posexplode(F.split("text", "\n")).alias("line", "s")
     if needed.count() <= BROADCAST_LINES:
-        found = docs.select("doc_id", every).join(F.broadcast(needed), ["doc_id", "line"])
+        own = docs.join(F.broadcast(needed.select("doc_id").distinct()), "doc_id")
+        found = own.select("doc_id", every).join(F.broadcast(needed), ["doc_id", "line"])
     else:
         by_doc = needed.groupBy("doc_id").agg(F.collect_set("line").alias("own"))  # bounded by the document
         found = docs.join(by_doc, "doc_id").select("doc_id", "own", every).where(F.array_contains("own", F.col("line")))
-    sets = persist_table(found.select("doc_id", "line", ordered_words("s", levels).alias("w")), "sets")
-    late = pairs.join(sets.withColumnRenamed("w", "a"), ["doc_id", "line"])
-    both = late.join(sets.select(F.col("doc_id").alias("e_doc"), F.col("line").alias("e_line"), F.col("w").alias("e")),
-                     ["e_doc", "e_line"])
+    words = found.select("doc_id", "line", ordered_words("s", levels).alias("w"))
+    sets = persist_table(words.withColumn("bits", F.expr(SKETCH.format(shift=6))).withColumn("n", F.size("w")), "sets")
+    early = ["e_doc", "e_line"]
+    light = sets.select("doc_id", "line", "n", "bits")
+    # a second sketch, from other bits, before the full sets are moved
+    near = (pairs.join(light.withColumnsRenamed({"n": "a_n", "bits": "a_bits"}), ["doc_id", "line"])
+            .join(light.toDF("e_doc", "e_line", "e_n", "e_bits"), early)
+            .where(F.expr(f"bit_count(a_bits ^ e_bits) <= a_n + e_n - 2 * (({percent} * (a_n + e_n) + {99 + percent}) "
+                          f"div {100 + percent})")).select("doc_id", "line", *early))
+    full = sets.select("doc_id", "line", "w")
+    both = near.join(full.withColumnRenamed("w", "a"), ["doc_id", "line"]).join(full.toDF("e_doc", "e_line", "e"), early)
     i = F.size(F.array_intersect("a", "e"))
     return (both.where(100 * i >= percent * (F.size("a") + F.size("e") - i)).select("doc_id", "line").distinct())
 
