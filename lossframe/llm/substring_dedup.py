@@ -16,8 +16,10 @@ Order of the dictionary. Different phrases of one trigger may share windows.
 For the first occurrence of each such phrase the windows, which are its
 suffixes cut to ``length``, are sorted by hash and position: later ones are repeats.
 
-Both orders sort by hashes instead of bytes (90 and 97 bits decide equality),
-as only equal strings must meet; no suffix array is ever held whole. Both are
+Both orders sort by hashes instead of bytes (90 and 97 bits decide equality;
+a phrase's 90 are all of the phrase, since its trigger's hash is the same for
+every phrase of the trigger and tells none apart), as only equal strings must
+meet; no suffix array is ever held whole. Both are
 one shuffle, a sort within partitions and a streaming pass with one row of
 carry; the texts are shuffled once, by id, and met by their intervals.
 
@@ -40,7 +42,7 @@ from lossframe.llm.common import BASES, SLICE_BYTES, Hasher, id_and_text, map_ar
 from lossframe.session import persist_table
 
 GRAM = 48
-#: Bits of the packed phrase column: phrase hash, start, windows.
+#: Bits of the packed phrase column: a second phrase hash (the first has a column of its own), start, windows.
 START_BITS, COUNT_BITS = 31, 7
 PHRASE_BITS = 64 - START_BITS - COUNT_BITS
 #: Bits of the sliding minimum: the hash's upper ones decide, then the position.
@@ -73,11 +75,17 @@ def pieces(raw: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.
 
 def phrases(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(document, start, windows, trigger hash, phrase hash) of every phrase of a slice."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return phrase_hashes(raw, offs, length)[:5]
+
+
+def phrase_hashes(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``phrases`` with a second phrase hash, of the other base."""
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     if len(raw) < length:
         return empty
     at = np.arange(len(raw) - GRAM + 1)
-    h = Hasher(raw, BASES[0])(at, at + GRAM)
+    other = Hasher(raw, BASES[0])
+    h = other(at, at + GRAM)
     trigger = sliding_argmin(h, length - GRAM + 1)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:len(trigger)]
     whole = np.arange(len(trigger)) + length <= offs[doc + 1]
@@ -88,12 +96,13 @@ def phrases(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     start, count = start[whole[start]], count[whole[start]]
     if not len(start):
         return empty
-    key = Hasher(raw, BASES[1])(start, start + count + length - 1)
-    return doc[start], start - offs[doc[start]], count, h[trigger[start]], key
+    end = start + count + length - 1
+    return (doc[start], start - offs[doc[start]], count, h[trigger[start]], Hasher(raw, BASES[1])(start, end),
+            other(start, end))
 
 
 def _parse(docs: DataFrame, length: int) -> DataFrame:
-    """h, doc_id, packed, done: a row for each phrase; ``done`` where an earlier one of the batch is equal."""
+    """h, key, doc_id, packed, done: a row for each phrase; ``done`` where an earlier one of the batch is equal."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.asarray(b.column(0))
@@ -103,26 +112,27 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
                 own = ids[base:base + part.num_rows]
                 base += part.num_rows
                 for bytes_, bounds, first in pieces(raw, offs, length):
-                    doc, start, count, h, key = phrases(bytes_, bounds, length)
-                    packed = ((key >> np.uint64(64 - PHRASE_BITS)) << np.uint64(64 - PHRASE_BITS)
+                    doc, start, count, h, key, more = phrase_hashes(bytes_, bounds, length)
+                    packed = ((more >> np.uint64(64 - PHRASE_BITS)) << np.uint64(64 - PHRASE_BITS)
                               | (start + first).astype(np.uint64) << np.uint64(COUNT_BITS) | count.astype(np.uint64))
-                    rows.append((h, own[doc], packed))
+                    rows.append((h, key, own[doc], packed))
             if not rows:
                 continue
-            h, doc, packed = (np.concatenate(x) for x in zip(*rows))
+            h, key, doc, packed = (np.concatenate(x) for x in zip(*rows))
             place = packed >> np.uint64(COUNT_BITS) & np.uint64((1 << START_BITS) - 1)
             kind = packed >> np.uint64(64 - PHRASE_BITS)
-            order = np.lexsort((place, doc, kind, h))
+            order = np.lexsort((place, doc, kind, key, h))
             again = np.zeros(len(h), bool)
             x, y = order[1:], order[:-1]
-            again[x] = (h[x] == h[y]) & (kind[x] == kind[y])
+            again[x] = (h[x] == h[y]) & (key[x] == key[y]) & (kind[x] == kind[y])
             # a finished interval goes to any partition: its position spreads it
             spread = np.where(again, (place * np.uint64(BASES[0])) ^ h, h)
-            yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(doc),
+            key = np.where(again, np.uint64(0), key)  # it needs no key any more
+            yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(key.view(np.int64)), pa.array(doc),
                                               pa.array(packed.view(np.int64)), pa.array(again)],
-                                             names=["h", "doc_id", "packed", "done"])
+                                             names=["h", "key", "doc_id", "packed", "done"])
 
-    return map_arrow(docs, run, "h long, doc_id long, packed long, done boolean")
+    return map_arrow(docs, run, "h long, key long, doc_id long, packed long, done boolean")
 
 
 def _order_parse(parse: DataFrame) -> DataFrame:
@@ -130,21 +140,21 @@ def _order_parse(parse: DataFrame) -> DataFrame:
     trigger has other phrases too (open true)."""
     kind = F.shiftrightunsigned("packed", 64 - PHRASE_BITS)
     dealt = (parse.repartition("h").withColumn("kind", kind)
-             .sortWithinPartitions("done", "h", "kind", "doc_id", "packed"))
+             .sortWithinPartitions("done", "h", "key", "kind", "doc_id", "packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (h, kind, doc, packed, waiting) of the trigger that the last batch ended in; waiting: only one
+        last = None  # (h, (key, kind), doc, packed, waiting) of the trigger that the last batch ended in; waiting: only one
         # phrase of it was seen, whose first occurrence (doc, packed) is not given out
         for b in batches:
-            h, doc, packed, done, kind = (np.asarray(c) for c in b.columns)
+            h, key, doc, packed, done, kind = (np.asarray(c) for c in b.columns)
             docs_out, packed_out, open_out = [doc[done]], [packed[done]], [np.zeros(int(done.sum()), bool)]
-            h, doc, packed, kind = (x[~done] for x in (h, doc, packed, kind))
+            h, key, doc, packed, kind = (x[~done] for x in (h, key, doc, packed, kind))
             if len(h):
                 new_h, new_kind = np.ones(len(h), bool), np.ones(len(h), bool)
                 new_h[1:] = h[1:] != h[:-1]
                 new_h[0] = last is None or last[0] != h[0]
-                new_kind[1:] = kind[1:] != kind[:-1]
-                new_kind[0] = new_h[0] or last[1] != kind[0]
+                new_kind[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+                new_kind[0] = new_h[0] or last[1] != (key[0], kind[0])
                 new_kind |= new_h
                 group = np.cumsum(new_h)  # 0: goes on from the last batch
                 further = new_kind & ~new_h
@@ -160,13 +170,13 @@ def _order_parse(parse: DataFrame) -> DataFrame:
                     open_out.append(np.ones(1, bool))
                 if group[-1]:
                     f = int(np.flatnonzero(new_h)[-1])
-                    last = (h[-1], kind[-1], doc[f], packed[f], not several[-1])
+                    last = (h[-1], (key[-1], kind[-1]), doc[f], packed[f], not several[-1])
                 else:
-                    last = (h[-1], kind[-1], last[2], last[3], last[4] and not several[0])
+                    last = (h[-1], (key[-1], kind[-1]), last[2], last[3], last[4] and not several[0])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_out)), pa.array(np.concatenate(packed_out)),
                                               pa.array(np.concatenate(open_out))], names=["doc_id", "packed", "open"])
 
-    return map_arrow(dealt.select("h", "doc_id", "packed", "done", "kind"), run, "doc_id long, packed long, open boolean")
+    return map_arrow(dealt.select("h", "key", "doc_id", "packed", "done", "kind"), run, "doc_id long, packed long, open boolean")
 
 
 def _windows(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:

@@ -97,3 +97,20 @@ def test_sliding_argmin():
     for width in (1, 2, 7, 500):
         want = [s + int(np.argmin(h[s:s + width])) for s in range(500 - width + 1)]
         assert sliding_argmin(h, width).tolist() == want
+
+
+def test_many_phrases_of_one_trigger(spark):
+    """Different texts around one common passage: all are one trigger's phrases, none holds another's window."""
+    rnd = np.random.default_rng(5)
+    grams = rnd.integers(33, 127, 200_000 + substring_dedup.GRAM).astype(np.uint8)
+    at = np.arange(200_000)
+    best = int(np.argmin(substring_dedup.Hasher(grams)(at, at + substring_dedup.GRAM)))
+    passage = grams[best:best + substring_dedup.GRAM].tobytes().decode()
+    n = 60_000
+    own = rnd.integers(33, 127, (n, 52)).astype(np.uint8)
+    texts = [passage.join((o[:26].tobytes().decode(), o[26:].tobytes().decode())) for o in own]
+    triggers = phrases(np.frombuffer("".join(texts).encode(), np.uint8), np.arange(n + 1) * 100, 100)[3]
+    assert len(set(texts)) == n and np.unique(triggers, return_counts=True)[1].max() > 0.99 * n
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[7]])), "doc_id long, text string").repartition(6)
+    gone = remove_repeats(docs).where("size(spans) > 0").select("doc_id").collect()
+    assert [r.doc_id for r in gone] == [n]
