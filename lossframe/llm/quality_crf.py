@@ -19,6 +19,7 @@ filter passes all columns on unchanged.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from lossframe.llm.common import BASES, Hasher, id_and_text, map_arrow, slices, text_buffers, word_bounds
 from lossframe.llm.crf import Crf, train
 
-#: Labelled documents of each class that training reads, and lines in all.
+#: Labelled documents of each class that training reads, and lines of each class.
 SAMPLE_DOCS, SAMPLE_LINES = 1500, 60_000
+#: Of one document training takes at most this part of a class's lines: its first 3,000.
+DOC_SHARE = 20
 #: A document is kept if at least this share of its words stands in content lines.
 CONTENT_SHARE = 0.5
 CONTENT, BOILERPLATE = 0, 1
@@ -165,7 +168,12 @@ class TextStats:
 
 def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
                      sample_lines: int = SAMPLE_LINES) -> Crf | None:
-    """The line field, from at most ``sample_docs`` labelled documents of each class; None without both classes."""
+    """The line field, from at most ``sample_docs`` labelled documents of each class; None, with a warning, without both.
+
+    Each class has ``sample_lines`` lines of its own (the document that reaches them still counts), and of one document
+    the first ``sample_lines`` / ``DOC_SHARE`` are taken, so neither a class nor a long document can use up the other's.
+    """
+    doc_lines = max(1, sample_lines // DOC_SHARE)
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for q in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # bounded by the limits; a repeated id gives its smallest text
@@ -175,7 +183,7 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
         for b in batches:
             for part in slices(b, 1):
                 s = TextStats(*text_buffers(part.column(1)))
-                rows = np.split(s.features.astype(np.int8), np.cumsum(s.n_lines)[:-1])
+                rows = [x[:doc_lines] for x in np.split(s.features.astype(np.int8), np.cumsum(s.n_lines)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in rows], pa.binary())],
                                                  names=["doc_id", "quality", "features"])
 
@@ -184,6 +192,7 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
     before = F.sum(F.length("features")).over(_by_hash()) - F.length("features")
     rows = found.withColumn("before", before).where(F.col("before") < sample_lines * len(TEMPLATES)).collect()
     if len({r.quality for r in rows}) < 2:
+        warnings.warn("no line field: the labelled documents with lines are not of both classes", stacklevel=2)
         return None
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.features))
     features = [np.frombuffer(bytes(r.features), np.int8).reshape(-1, len(TEMPLATES)).astype(np.int64) for r in rows]
@@ -195,7 +204,7 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
 def _by_hash():
     from pyspark.sql import Window
 
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def judge(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

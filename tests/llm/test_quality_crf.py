@@ -101,3 +101,15 @@ def test_viterbi_and_training():
     model = train(np.array(x), np.array(labels), np.full(200, 20), [2], 2)
     found = model.decode(np.array(x), np.full(200, 20))
     assert (found == labels).mean() > (np.array(x)[:, 0] == labels).mean() + 0.05
+
+
+def test_long_document_leaves_both_classes(spark, make_docs):
+    """A document with more lines than a class's budget, first in the order of the sample, leaves the others in."""
+    first = min(range(1, 41), key=lambda i: spark.range(1).selectExpr(f"xxhash64({i}L)").first()[0])
+    good = "This is a quiet line of twelve plain words that reads quite well."
+    docs = make_docs([(i, "# | $ | %\n" * 500 if i == first else f"{good}\n{good} {i}") for i in range(1, 41)])
+    labels = labels_of(spark, [(i, int(i != first), 0) for i in range(1, 41)])
+    model = train_line_model(docs, labels, sample_lines=40)
+    assert model is not None
+    kept = {r.doc_id for r in judge(docs, model).where("content_words > n_words / 2").collect()}
+    assert kept == set(range(1, 41)) - {first}
