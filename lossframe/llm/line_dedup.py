@@ -36,8 +36,6 @@ BUCKETS = 1 << 16
 #: A 64-bit sketch of a word set: each word sets the bit that six bits of its hash name.
 SKETCH = "aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST(shiftright(x, {shift}) & 63 AS INT)))"
 WORD_BREAK = "[ \\u0009-\\u000D]+"  # SQL turns the escapes into the characters
-#: Sizes count up to here in the filters, which then only let more pairs through.
-MAX_SIZE = 1 << 20
 
 
 def frequency_levels(docs: DataFrame) -> bytes:
@@ -68,8 +66,9 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
     words = split.select("doc_id", "line", ordered_words("s", levels).alias("w"))
     n = F.size("w")
     # a set's most alike other set has one word more; where that is too little, only equal sets count
-    pairs_up = (n >= min_words) & (100 * n >= percent * (n + 1))
-    prefix = F.slice("w", F.lit(1), F.when(pairs_up, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0))
+    size = n.cast("long")  # products of sizes are longs: no size is capped
+    pairs_up = (n >= min_words) & (100 * size >= percent * (size + 1))
+    prefix = F.slice("w", F.lit(1), F.when(pairs_up, n - F.ceil(size * percent / 100).cast("int") + 1).otherwise(0))
     # a bit for each word: sets differ in at least as many words as their bits do
     bits = F.when(pairs_up, F.expr(SKETCH.format(shift=0)))
     lines = persist_table(words.select("doc_id", "line", n.alias("n"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"),
@@ -81,8 +80,8 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
                                                   F.any_value("prefix").alias("prefix"),
                                                   F.any_value("bits").alias("bits")), "classes")
     placed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
-                            F.col("first.n").alias("n"), "bits", F.posexplode("prefix").alias("pos", "t"))
-    shared = placed.select("t", "doc_id", "line", F.least("n", F.lit(MAX_SIZE)).alias("n"), "pos", "bits")
+                            F.col("first.n").cast("long").alias("n"), "bits", F.posexplode("prefix").alias("pos", "t"))
+    shared = placed.select("t", "doc_id", "line", "n", "pos", "bits")
 
     lead = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos", "bits")).alias("e"))
     first = persist_table(_candidates(shared, lead.select("t", "e.*"), percent), "pairs")
@@ -133,7 +132,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) ->
         by_doc = needed.groupBy("doc_id").agg(F.collect_set("line").alias("own"))  # bounded by the document
         found = docs.join(by_doc, "doc_id").select("doc_id", "own", every).where(F.array_contains("own", F.col("line")))
     words = found.select("doc_id", "line", ordered_words("s", levels).alias("w"))
-    sets = persist_table(words.withColumn("bits", F.expr(SKETCH.format(shift=6))).withColumn("n", F.size("w")), "sets")
+    sets = persist_table(words.withColumn("bits", F.expr(SKETCH.format(shift=6))).withColumn("n", F.size("w").cast("long")), "sets")
     early = ["e_doc", "e_line"]
     light = sets.select("doc_id", "line", "n", "bits")
     # a second sketch, from other bits, before the full sets are moved
@@ -143,7 +142,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) ->
                           f"div {100 + percent})")).select("doc_id", "line", *early))
     full = sets.select("doc_id", "line", "w")
     both = near.join(full.withColumnRenamed("w", "a"), ["doc_id", "line"]).join(full.toDF("e_doc", "e_line", "e"), early)
-    i = F.size(F.array_intersect("a", "e"))
+    i = F.size(F.array_intersect("a", "e")).cast("long")
     return (both.where(100 * i >= percent * (F.size("a") + F.size("e") - i)).select("doc_id", "line").distinct())
 
 

@@ -86,3 +86,16 @@ def test_drop_lines_and_cases(make_docs):
 def test_no_python_in_the_plan(make_docs, capsys):
     line_report(make_docs([(1, "a b c d")])).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_lines_of_over_a_million_words(spark):
+    """Two lines of 1,140,000 words at exactly 0.9, whose own words are the rarest: they meet late in their prefixes."""
+    own, common = 60_000, 18 * 60_000
+    low = "pmod(xxhash64(w), 65536) < 32768"  # buckets of their own, so that all own words come first
+    words = spark.range(3_000_000).selectExpr("concat('w', id) AS w")
+    rare = words.where(low).limit(2 * own).selectExpr("collect_list(w) AS w")
+    rest = words.where(f"NOT {low}").limit(common).selectExpr("array_join(collect_list(w), ' ') AS text")
+    docs = rare.crossJoin(rest).selectExpr(f"stack(2, 1L, array_join(slice(w, 1, {own}), ' ') || ' ' || text, "
+                                           f"2L, array_join(slice(w, {own} + 1, {own}), ' ') || ' ' || text) AS (doc_id, text)")
+    rows = {r.doc_id: r.removed_lines for r in line_report(docs.localCheckpoint()).collect()}
+    assert rows == {1: "", 2: "0"}
