@@ -329,13 +329,7 @@ def dataset_recon(std: DataFrame) -> DataFrame:
                     (gap <= tol).alias("dataset_recon_ok"))
 
 
-#: More distinct codes than this are no list of currencies but a wrongly mapped column: they are counted, not listed.
-CURRENCY_LIST_LIMIT = 1000
-
-
 def currency_text(std: DataFrame) -> str:
-    """The distinct currencies, sorted and joined; ``currency_summary`` has all of them as a table."""
-    codes = currency_summary(std).select("currency").orderBy("currency").limit(CURRENCY_LIST_LIMIT + 1).collect()
-    if len(codes) > CURRENCY_LIST_LIMIT:
-        return f"{currency_summary(std).count()} distinct codes"
-    return ", ".join(r[0] for r in codes)
+    """All distinct currencies, sorted and joined, however many; ``currency_summary`` has them as a table."""
+    codes = F.array_join(F.sort_array(F.collect_list("currency")), ", ")
+    return currency_summary(std).agg(codes).first()[0]

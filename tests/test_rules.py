@@ -212,3 +212,11 @@ def test_order_statistics_in_narrow_brackets(spark):
     for accuracy, most in ((10_000, 50_000), (20, 30), (50, 5)):
         got = order_statistics(df, ranks, len(values), accuracy, most)
         assert [got[k] for k in ranks] == [sorted(values)[k] for k in ranks]
+
+
+def test_every_currency_is_listed(spark):
+    from lossframe.operators.quality import currency_text
+
+    std = spark.range(3002).selectExpr("IF(id < 3000, concat('C', lpad(id % 1500, 4, '0')), NULL) AS currency")
+    assert currency_text(std) == ", ".join(f"C{i:04d}" for i in range(1500))
+    assert currency_text(std.where("currency IS NULL")) == ""
