@@ -30,12 +30,27 @@ def ay_currency_pivot(std: DataFrame) -> DataFrame:
     return g.orderBy(F.col("ay").desc_nulls_last(), F.col("currency").asc_nulls_last())
 
 
-def with_dev(std: DataFrame, max_dev: int = MAX_DEV_MONTHS) -> DataFrame:
-    """Rows with both dates, their accident year and development month (<= max_dev)."""
+def _dated(std: DataFrame) -> DataFrame:
+    """Rows with both dates, their accident year and development month."""
     return (std.where(F.col("loss_date").isNotNull() & F.col("report_date").isNotNull())
             .withColumn("ay", accident_year(F.col("loss_date")))
-            .withColumn("dev_mon", dev_months(F.col("loss_date"), F.col("report_date")))
-            .where(F.col("dev_mon") <= max_dev))
+            .withColumn("dev_mon", dev_months(F.col("loss_date"), F.col("report_date"))))
+
+
+def with_dev(std: DataFrame, max_dev: int = MAX_DEV_MONTHS) -> DataFrame:
+    """Rows with both dates, their accident year and development month (<= max_dev)."""
+    return _dated(std).where(F.col("dev_mon") <= max_dev)
+
+
+def triangle_beyond(std: DataFrame, max_dev: int = MAX_DEV_MONTHS) -> DataFrame:
+    """What the triangles leave out, a row for every accident year: rows with a lag over ``max_dev``, their claims
+    (counted as in T2) and amounts (as in T3, T4)."""
+    late = F.col("dev_mon") > max_dev
+    claim = F.when(late & ~is_blank(F.col("claim_id")), F.struct("claim_id", "dev_mon"))
+    amount = lambda f: F.coalesce(F.sum(F.when(late, F.col(f))), F.lit(0)).cast(SUM).alias(f)
+    return (_dated(std).groupBy("ay")
+            .agg(F.count_if(late).alias("n_rows"), F.count_distinct(claim).alias("n_claims"), amount("paid"), amount("incurred"))
+            .orderBy(F.col("ay").asc_nulls_last()))
 
 
 def triangle_counts_long(std: DataFrame, max_dev: int = MAX_DEV_MONTHS) -> DataFrame:

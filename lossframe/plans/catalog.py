@@ -793,6 +793,19 @@ def q_triangle_incurred(spark, sf):
     return TR.triangle_amounts(std(spark, sf), "incurred")
 
 
+_LATE = f"dev_mon > {K.MAX_DEV_MONTHS}"
+
+
+@register("triangle_beyond", O.claims_with(
+    f"SELECT ay, count(*) FILTER (WHERE {_LATE}) AS n_rows, "
+    f"count(DISTINCT CASE WHEN {_LATE} AND NOT {O.blank('claim_id')} THEN claim_id || '|' || dev_mon END) AS n_claims, "
+    + ", ".join(f"{_sum_sql(f'CASE WHEN {_LATE} THEN {f} END')} AS {f}" for f in ("paid", "incurred"))
+    + " FROM dev GROUP BY ay ORDER BY ay", more_ctes=DEV_CTE))
+def q_triangle_beyond(spark, sf):
+    """Rows, claims and amounts of each accident year beyond the triangles' last lag."""
+    return TR.triangle_beyond(std(spark, sf))
+
+
 # ---------------------------------------------------------------------------
 # Exports (X)
 # ---------------------------------------------------------------------------

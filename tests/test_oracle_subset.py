@@ -44,3 +44,19 @@ def test_entry_smoke(spark):
     # FIXTURES.md sf0.001 numbers
     assert got["Missing required fields"] == 293 and got["Unrecognised currency"] == 1239
     assert got["Loss date outside policy term"] == 2237 and got["Incurred less than Paid"] == 3139
+
+
+def test_claims_beyond_the_triangles(spark, con):
+    from lossframe.operators import triangles as TR
+
+    rows = [("a", "2001-01-05", "2004-01-31", 1, 2), ("a", "2001-01-05", "2004-02-01", 4, 8), ("a", "2001-01-06", "2004-02-09", 16, None),
+            ("", "2001-01-06", "2009-01-01", 32, 64), ("b", "2002-01-01", "2002-01-01", 5, 5), ("c", "2001-01-01", None, 7, 7)]
+    std = spark.createDataFrame(rows, "claim_id string, loss_date string, report_date string, paid int, incurred int").selectExpr(
+        "claim_id", "DATE(loss_date) AS loss_date", "DATE(report_date) AS report_date", "CAST(paid AS DECIMAL(28,6)) AS paid",
+        "CAST(incurred AS DECIMAL(28,6)) AS incurred")
+    got = [tuple(r) for r in TR.triangle_beyond(std).collect()]
+    assert got == [(2001, 3, 1, 52, 72), (2002, 0, 0, 0, 0)]
+    inside = TR.triangle_amounts_long(std, "paid").groupBy().sum("val").first()[0]
+    assert inside + sum(r[3] for r in got) == 58  # all claims with both dates
+    r = compare(spark, con, "triangle_beyond", E.queries()["triangle_beyond"], E.oracle_sql()["triangle_beyond"], SF001)
+    assert r["ok"], r
