@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lossframe import constants as K
@@ -39,6 +39,33 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/lossframe-queries/{name}-{uuid.uuid4().hex}"
 
 
+#: Customer keys of one layout document.
+BLOCK_KEYS = 500
+
+
+def nation_blocks(cu: DataFrame) -> DataFrame:
+    """c_nationkey, c_custkey's block and doc_id, made of both, of every customer."""
+    block = F.expr(f"c_custkey div {BLOCK_KEYS}")
+    return cu.withColumn("block", block).withColumn("doc_id", F.concat_ws("-", "c_nationkey", "block"))
+
+
+def nation_documents(cu: DataFrame) -> DataFrame:
+    """doc_id, json: layout documents of at most ``BLOCK_KEYS`` customers of one nation, as a table of one or two columns."""
+    cells = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")))
+    per = nation_blocks(cu).groupBy("doc_id", "c_nationkey").agg(cells.alias("r"))  # bounded by the block
+
+    def column(i: int, field: str):
+        return F.transform("r", lambda x, k: F.struct(k.alias("rowIndex"), F.lit(i).alias("columnIndex"),
+                                                      x[field].alias("content")))
+
+    wide = F.col("c_nationkey") % 2 == 0
+    doc = F.struct(F.struct(F.array(F.struct(
+        F.size("r").alias("rowCount"), F.when(wide, 2).otherwise(1).alias("columnCount"),
+        F.when(wide, F.concat(column(0, "c_name"), column(1, "c_mktsegment"))).otherwise(column(0, "c_name")).alias("cells")
+    )).alias("tables")).alias("analyzeResult"))
+    return per.select("doc_id", F.to_json(doc).alias("json"))
+
+
 def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql: Callable) -> list[tuple]:
     """(name, query, DuckDB statement) of every query here."""
     zero_issues = ["rule_zero_rows"]
@@ -78,22 +105,14 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
                           F.col("Amount").alias("amount"), F.col("Curr").alias("curr"))
 
     def layout_tables(spark, sf):
-        """One layout document per nation, its customers as a table of one or two columns."""
+        """Layout documents of a nation's customers, block by block; rows are numbered through the nation's blocks."""
         cu = table(spark, sf, "customer")
-        cells = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")))
-        per = cu.groupBy("c_nationkey").agg(cells.alias("r"))
-
-        def column(i: int, field: str):
-            return F.transform("r", lambda x, k: F.struct(k.alias("rowIndex"), F.lit(i).alias("columnIndex"),
-                                                          x[field].alias("content")))
-
-        wide = F.col("c_nationkey") % 2 == 0
-        doc = F.struct(F.struct(F.array(F.struct(
-            F.size("r").alias("rowCount"), F.when(wide, 2).otherwise(1).alias("columnCount"),
-            F.when(wide, F.concat(column(0, "c_name"), column(1, "c_mktsegment"))).otherwise(column(0, "c_name")).alias("cells")
-        )).alias("tables")).alias("analyzeResult"))
-        docs = per.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.to_json(doc).alias("json"))
-        return L.layout_tables(docs).select("doc_id", "row_no", "V1", "V2")
+        sizes = nation_blocks(cu).groupBy("doc_id", "c_nationkey", "block").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("c_nationkey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("doc_id", F.col("c_nationkey").cast("long").alias("nation"),
+                              F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        return (L.layout_tables(nation_documents(cu)).join(starts, "doc_id")
+                .select(F.col("nation").alias("doc_id"), (F.col("start") + F.col("row_no")).alias("row_no"), "V1", "V2"))
 
     def run_issues(spark, sf):
         """H2: a run saved with issues, then again without; another one keeps its own."""

@@ -221,3 +221,19 @@ def test_streaming_replay_of_an_uncommitted_batch(spark):
         os.remove(f"{ck}/commits/{name}")
     start(spark, land, SAMPLE_HEADER, identity_mapping(), out, ck).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == first and first
+
+
+def test_layout_documents_of_a_large_nation_are_bounded(spark, tmp_path):
+    import __spark_entry__ as E
+    from lossframe.plans import stores
+
+    n = 2300
+    cu = spark.range(1, n + 1).selectExpr("id AS c_custkey", "IF(id % 10 = 0, 1, 2) AS c_nationkey",
+                                          "concat('n', id) AS c_name", "concat('s', id) AS c_mktsegment")
+    cu.write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(tuple(r) for r in E.queries()["layout_tables"](spark, str(tmp_path)).select("doc_id", "row_no", "V1", "V2").collect())
+    two = [i for i in range(1, n + 1) if i % 10]
+    assert got == ([(1, k, f"n{i}", None) for k, i in enumerate(range(10, n + 1, 10))]
+                   + [(2, k, f"n{i}", f"s{i}") for k, i in enumerate(two)])
+    sizes = stores.nation_documents(cu).selectExpr("CAST(get_json_object(json, '$.analyzeResult.tables[0].rowCount') AS INT) AS n")
+    assert sizes.agg({"n": "max"}).first()[0] <= stores.BLOCK_KEYS
