@@ -160,11 +160,14 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
 
     def mapping_lookup(spark, sf):
         """M4 + M6: a mapping saved as JSON for each event type, looked up for the first one."""
-        store = M.empty_store(spark)
-        kinds = sorted(r[0] for r in table(spark, sf, "events").select("event_type").distinct().collect())
-        for kind in kinds:
-            store = M.save_mapping(store, "t1", kind, {"claim_id": f"{kind} no", "paid": "Paid"}, AS_OF)
-        found = M.load_mapping(store, "t1", kinds[0])
+        root = folder(spark, "lookup")
+        kinds = table(spark, sf, "events").where("event_type IS NOT NULL").groupBy(F.col("event_type").alias("counterparty")).agg(
+            F.lit("t1").alias("tenant_id"), F.lit(AS_OF).alias("ts_utc"))
+        source = {"claim_id": F.concat("counterparty", F.lit(" no")), "paid": F.lit("Paid")}
+        saved = F.to_json(F.struct(*[source.get(f, F.lit("")).alias(f) for f in K.STANDARD_FIELDS]))
+        M.store_mappings(spark, root, kinds.withColumn("mapping_json", saved))
+        store = H.read_table(spark, root, "saved_mappings", M.MAPPING_STORE_SCHEMA)
+        found = M.load_mapping(store, "t1", store.agg(F.min("counterparty")).first()[0])
         return spark.createDataFrame(list(found.items()), "field string, source string")
 
     def salt_choice(spark, sf):

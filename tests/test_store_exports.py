@@ -191,3 +191,25 @@ def test_release_tables(spark):
     df = persist_table(spark.range(5), "five")
     path = stored_tables(spark)[-1]
     assert df.count() == 5 and release_tables(spark, [path]) == 1 and path not in stored_tables(spark)
+
+
+def test_mapping_lookup_does_not_grow_with_the_event_types(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    from lossframe.constants import STANDARD_FIELDS
+
+    def one_by_one(*args, **kwargs):
+        raise AssertionError("a plan step for each event type")
+
+    monkeypatch.setattr(M, "save_mapping", one_by_one)
+    spark.range(900).selectExpr("concat('kind ', lpad(id % 300 + 7, 4, '0')) AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.field: r.source for r in E.queries()["mapping_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {f: {"claim_id": "kind 0007 no", "paid": "Paid"}.get(f, "") for f in STANDARD_FIELDS}
+
+
+def test_mapping_lookup_matches_duckdb(spark):
+    import __spark_entry__ as E
+    from conftest import SF001
+    from tools.compare_oracle import compare, duck
+
+    r = compare(spark, duck(SF001), "mapping_lookup", E.queries()["mapping_lookup"], E.oracle_sql()["mapping_lookup"], SF001)
+    assert r["ok"], r
