@@ -205,8 +205,8 @@ def index_rows(vectors: DataFrame, label: Column, scale: float = 256.0, id_col:
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(REFERENCE_SAMPLE).select("x").collect()
     lengths = [len(r.x) for r in first]
     width = max(sorted(set(lengths)), key=lengths.count) if lengths else 0
-    sample = np.array([np.floor(scale * np.array(r.x)) for r in first if len(r.x) == width]).reshape(-1, width)
-    references = pick_references(sample)
+    sample = [np.floor(scale * np.array(r.x, float)) for r in first if len(r.x) == width]
+    references = pick_references(np.array(sample).reshape(len(sample), width))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its hashed character n-grams (3 to 5 code points, letters lower-cased in ASCII and
-Latin-1). On labelled texts each n-gram gets the log ratio of its smoothed shares in toxic and in clean
-documents; a logistic regression is fitted on the sets scaled by these ratios. A document's score is the
-regression's probability over all distinct n-grams of its whole text.
+Latin-1), with further elements for n-grams that it has at least 2 and 4 times in 2048 code points on average
+(a shorter text counts as that long). On labelled texts each element gets the log ratio of its smoothed shares in
+toxic and in clean documents; a logistic regression is fitted on the sets scaled by these ratios. A document's
+score is the regression's probability over all elements of its whole text.
 
 Training reads a bounded sample (``SAMPLE_DOCS`` of each class, by hash of the id, texts of at most
 ``SAMPLE_CHARS`` code points) of the rows given as labelled; both classes are weighted back to their true
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 from lossframe.llm.common import id_and_text, map_arrow, slices, text_buffers
 
 SIZES = (3, 4, 5)
-#: Buckets of the hashed n-grams: the model is a table of this size, whatever the corpus.
+#: Buckets of the hashed n-grams: the model is a table of this size for each level, whatever the corpus.
 BUCKET_BITS = 18
+#: Occurrences in ``RATE_CHARS`` code points from which an n-gram gives a further element.
+LEVELS, RATE_CHARS = (2, 4), 2048
+FEATURES = (1 + len(LEVELS)) << BUCKET_BITS
 #: Labelled documents of each class that training reads, and the longest of their texts.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 10_000
-#: An n-gram is a feature if at least so many training texts have it and its log ratio is at least this far from 0.
+#: An element is a feature if at least so many training texts have it and its log ratio is at least this far from 0.
 MIN_DOCS, MIN_RATIO = 5, 1.0
 SMOOTHING, L2, ROUNDS = 1.0, 1e-3, 150
 #: Bytes of text that are hashed at once.
@@ -60,15 +64,15 @@ def buckets(chars: np.ndarray, size: int) -> np.ndarray:
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def distinct_grams(raw: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of the distinct n-grams of each text, sorted; only buckets that are ``wanted``, if given.
+def elements(raw: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, element) of the set of each text, by document; only n-grams whose bucket is ``wanted``, if given.
 
     The bytes are taken in chunks; an n-gram belongs to the chunk that it begins in.
     """
     first = raw & 0xC0 != 0x80
     first_at = np.concatenate([[0], np.cumsum(first)])
     doc_end = first_at[offs[1:]]  # in code points
-    keys = []
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(raw):
         end = min(at + CHUNK, len(raw))
@@ -86,27 +90,38 @@ def distinct_grams(raw: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None
             ok = room[:len(b)] >= size
             if wanted is not None:
                 ok &= wanted[b]
-            keys.append(np.unique((doc[:len(b)][ok] << BUCKET_BITS) | b[ok]))
+            key, n = np.unique((doc[:len(b)][ok] << BUCKET_BITS) | b[ok], return_counts=True)
+            keys.append(key)
+            counts.append(n)
         at = end
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
+    key, of = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(of, np.concatenate(counts), minlength=len(key))
+    doc, bucket = key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
+    rate = n * RATE_CHARS / np.maximum(np.diff(first_at[offs])[doc], RATE_CHARS)
+    docs, found = [doc], [bucket]
+    for i, level in enumerate(LEVELS, 1):
+        docs.append(doc[rate >= level])
+        found.append(bucket[rate >= level] + (i << BUCKET_BITS))
+    doc, found = np.concatenate(docs), np.concatenate(found)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], found[order]
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """Weight of every bucket (ratio times regression weight) and the constant."""
+    """Weight of every element (ratio times regression weight) and the constant."""
     weights: np.ndarray
     constant: float
 
     def scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        doc, bucket = distinct_grams(raw, offs, self.weights != 0)
-        z = np.bincount(doc, self.weights[bucket], minlength=len(offs) - 1) + self.constant
+        doc, found = elements(raw, offs, (self.weights != 0).reshape(-1, 1 << BUCKET_BITS).any(axis=0))
+        z = np.bincount(doc, self.weights[found], minlength=len(offs) - 1) + self.constant
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def fit(sets: list[np.ndarray], toxic: np.ndarray, clean_weight: float = 1.0) -> ToxicModel:
-    """The model of documents given as sets of buckets. ``clean_weight`` is the weight of a clean one against a toxic one."""
-    size = 1 << BUCKET_BITS
+    """The model of documents given as sets of elements. ``clean_weight`` is the weight of a clean one against a toxic one."""
+    size = FEATURES
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     col = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -155,9 +170,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for b in batches:
             for part in slices(b, 1):
                 raw, offs = text_buffers(part.column(1))
-                doc, bucket = distinct_grams(raw, offs)
+                doc, found = elements(raw, offs)
                 ends = np.searchsorted(doc, np.arange(len(offs)))
-                sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bucket.astype(np.int32)))
+                sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sets], names=["doc_id", "toxic", "sets"])
 
     # one text for each id, the smallest, whatever the order of the rows
@@ -167,7 +182,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if toxic.all() or not toxic.any():
         warnings.warn("no toxicity model: the labelled documents with text are not of both classes", stacklevel=2)
         share = count.get(1, 0) / max(1, sum(count.values()))
-        return ToxicModel(np.zeros(1 << BUCKET_BITS), float(np.log(share / (1 - share))) if 0 < share < 1 else 500.0 * (2 * share - 1))
+        return ToxicModel(np.zeros(FEATURES), float(np.log(share / (1 - share))) if 0 < share < 1 else 500.0 * (2 * share - 1))
     order = np.argsort(np.asarray(found.column("doc_id")), kind="stable")
     sets = [np.asarray(found.column("sets")[int(i)].values, np.int64) for i in order]
     toxic = toxic[order]

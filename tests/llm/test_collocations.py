@@ -63,10 +63,10 @@ def rows_of(df):
 def test_equals_brute_force(spark, chunk, buffer, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", chunk)
     monkeypatch.setattr(C, "BUFFER", buffer)  # also the share from which routes are divided
-    rows = corpus(3, 150)
+    rows = corpus(3, 300)
     want = brute(rows, 8)
     got = C.collocations(frame(spark, rows), min_count=8)
-    assert rows_of(got) == want and len(want) > 100
+    assert rows_of(got) == want and len(want) > 60
     few = C.collocations(frame(spark, rows), min_count=8, top=5)
     assert rows_of(few) == brute(rows, 8, 5)
 

@@ -47,7 +47,7 @@ def test_given_table_held_out(spark):
     got = catalog.op13_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     rows = got.select("predicted", "toxic").collect()
     assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.01
-    assert np.mean([r.predicted for r in rows if r.toxic == 1]) > 0.6
+    assert np.mean([r.predicted for r in rows if r.toxic == 1]) > 0.8
 
 
 def test_one_class_and_empty(spark, make_docs, sf):
@@ -71,9 +71,9 @@ def test_chunks_do_not_matter(monkeypatch):
     rnd = random.Random(2)
     texts = ["", "ab", text_of(rnd, True, 60), "日本語éÀ" * 30, "", "abc" * 50]
     buffers = text_buffers(pa.array(texts))
-    whole = T.distinct_grams(*buffers)
+    whole = T.elements(*buffers)
     monkeypatch.setattr(T, "CHUNK", 7)
-    for a, b in zip(whole, T.distinct_grams(*buffers)):
+    for a, b in zip(whole, T.elements(*buffers)):
         assert np.array_equal(a, b)
-    one = [set(T.distinct_grams(*text_buffers(pa.array([t])))[1].tolist()) for t in texts]
+    one = [set(T.elements(*text_buffers(pa.array([t])))[1].tolist()) for t in texts]
     assert [set(whole[1][whole[0] == i].tolist()) for i in range(len(texts))] == one
