@@ -49,13 +49,13 @@ FROM ruled"""
 HARD_NEGATIVES = """
 WITH q AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
-         CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
   FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
 p AS (
   SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
@@ -74,7 +74,7 @@ WITH pieces AS (
                                       '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents WHERE text <> ''),
 split AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]'), w -> w <> '') AS w FROM pieces),
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]'), lambda w: w <> '') AS w FROM pieces),
 starts AS (
   SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split WHERE len(w) > 0),
 runs AS (

@@ -124,7 +124,7 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, clean_weight: float = 1.0) ->
     size = FEATURES
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     col = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     in_toxic = np.bincount(col[toxic[row]], minlength=size)
     in_clean = np.bincount(col[~toxic[row]], minlength=size)
     ratio = (np.log((in_toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING))
@@ -184,7 +184,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         share = count.get(1, 0) / max(1, sum(count.values()))
         return ToxicModel(np.zeros(FEATURES), float(np.log(share / (1 - share))) if 0 < share < 1 else 500.0 * (2 * share - 1))
     order = np.argsort(np.asarray(found.column("doc_id")), kind="stable")
-    sets = [np.asarray(found.column("sets")[int(i)].values, np.int64) for i in order]
+    sets = [np.asarray(found.column("sets")[int(i)].values) for i in order]
     toxic = toxic[order]
     return fit(sets, toxic, (count[0] / (~toxic).sum()) / (count[1] / toxic.sum()))
 
