@@ -4,15 +4,15 @@ Texts are cut into pieces at ``[.,;:!?\x0A-\x0D]`` and these into words; a suffi
 up to five words that follow. Counting goes from short to long, all counts exact:
 
 1. words of each language; those below the minimum cannot be part of a phrase and end every suffix;
-2. leading word pairs of the suffixes, by which they are then routed; a pair below the minimum ends a suffix too;
-3. suffixes of three words and more, equal ones of a text chunk summed up before the shuffle, are routed by
+2. 64-bit hashes of the word pairs that lead a suffix; a pair whose hash stays below the minimum ends a suffix too;
+3. suffixes of two words and more, equal ones of a text chunk summed up before the shuffle, are routed by
    their two leading words. A route with more rows than a partition's fair share (all rows / shuffle partitions;
    so there are fewer such routes than partitions) is divided by one more word, its own count being the routing
    table's. Each task sorts its suffix pointers by a three-way quicksort over words as digits: the size of an
    equal partition is the count of its phrase, and partitions below the minimum are abandoned.
 
 Which words and pairs are frequent is known to the scanning tasks from bitmaps of fixed size. Two that share
-a bit only let a suffix through that the exact counts then drop.
+a hash or a bit only let a suffix through that the exact counts of the third step then drop.
 
 Phrases are scored at their weakest cut, those inside an equally frequent longer phrase are dropped, and the first
 ``top`` of each language are returned. Arithmetic is in DECIMAL(38), exact while 1000 * a * n and l * r stay below 1e38.
@@ -41,6 +41,8 @@ WORD_BITS, PAIR_BITS = 24, 26
 CHUNK = 4 << 20
 #: Suffixes that a sorting task holds at once; more only if one route has more.
 BUFFER = 500_000
+#: Rows that a route may have, whatever its share.
+LEAST_SHARE = 1000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -110,8 +112,13 @@ def word_bits(keys: np.ndarray) -> np.ndarray:
     return (mix(keys) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
-def pair_bits(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (mix(mix(first) * np.uint64(3) + second) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first) * np.uint64(3) + second)
+
+
+def pair_bits(keys: np.ndarray) -> np.ndarray:
+    """The upper bits of the key, as ``_bitmap`` takes them of the counted ones."""
+    return (keys >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -148,12 +155,12 @@ def _summed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffixes(chunk: Chunk, keys: np.ndarray, frequent: np.ndarray, pair_map: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(dictionary numbers of the distinct suffixes of three words and more, -1 behind their end; how often)."""
+    """(dictionary numbers of the distinct suffixes of two words and more, -1 behind their end; how often)."""
     at = _pairs(chunk, frequent)
     first, second = keys[chunk.ids[at]], keys[chunk.ids[at + 1]]
     goes_on = np.zeros(len(chunk.ids) + MAX_WORDS, bool)  # the pair that begins here may be frequent
-    goes_on[at[has_bit(pair_map, pair_bits(first, second))]] = True
-    start = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+    goes_on[at[has_bit(pair_map, pair_bits(pair_keys(first, second)))]] = True
+    start = np.flatnonzero(goes_on)
     ids = np.append(chunk.ids, np.full(MAX_WORDS, -1, np.int64))
     rows = np.full((len(start), MAX_WORDS), -1, np.int64)
     rows[:, 0] = ids[start]
@@ -213,7 +220,7 @@ def _sort_step(least: int):
         lang = np.asarray(rows.column(2).dictionary_encode().indices, np.int64)
         depth, weight = np.asarray(rows.column(1)), np.asarray(rows.column(-1))
         found = [(r, k - 1, n) for r, k, n in count_prefixes(np.column_stack([lang, no]), weight, least)
-                 if k - 1 >= max(3, depth[r])]
+                 if k - 1 >= max(2, depth[r])]
         at = np.array([r for r, _, _ in found], np.int64)
         size = np.array([k for _, k, _ in found], np.int64)
         words = [coded.dictionary.take(pa.array(np.where(size > i, no[at, i], 0), mask=size <= i)) for i in range(MAX_WORDS)]
@@ -243,19 +250,10 @@ def _sort_step(least: int):
 # On Spark
 # ---------------------------------------------------------------------------
 
-def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The bits of the rows (lang, w1[, w2]); reaches the driver as 2**bits bits at most."""
-    n_words = len(frequent.columns) - 1
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = lang_hashes(b.column(0))
-            keys = [hash_words(b.column(i)) + of for i in range(1, 1 + n_words)]
-            bit = word_bits(keys[0]) if n_words == 1 else pair_bits(*keys)
-            yield pa.RecordBatch.from_arrays([pa.array(bit)], names=["bit"])
-
+def _bitmap(found: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of the rows (bit); reaches the driver as 2**bits bits at most."""
     part = 32768
-    rows = (map_arrow(frequent, step, "bit long").groupBy(F.expr(f"bit div {part}").alias("part"))
+    rows = (found.groupBy(F.expr(f"bit div {part}").alias("part"))
             .agg(F.bitmap_construct_agg(F.col("bit") % part).alias("bits")).collect())
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
@@ -264,6 +262,11 @@ def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _bits_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:  # lang, w1
+        yield pa.RecordBatch.from_arrays([pa.array(word_bits(hash_words(b.column(1)) + lang_hashes(b.column(0))))], names=["bit"])
+
+
 def _counted(texts: DataFrame, names: list[str], rows) -> DataFrame:
     """lang, words and n, summed over all chunks; ``rows`` gives a chunk's (dictionary numbers, how often)."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,16 +294,19 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang",
     every = persist_table(_counted(texts, ["w1"], words).groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     single = every.where(F.col("n") >= min_count)
-    word_map = _bitmap(single.select("lang", "w1"), WORD_BITS)
+    word_map = _bitmap(map_arrow(single.select("lang", "w1"), _bits_of_words, "bit long"), WORD_BITS)
 
-    def pairs(chunk: Chunk, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        at = _pairs(chunk, _frequent_words(chunk, langs, word_map)[1])
-        one, _, n = _summed(chunk.ids[at] * np.int64(len(chunk.words) + 1) + chunk.ids[at + 1])
-        return np.column_stack([chunk.ids[at[one]], chunk.ids[at[one] + 1]]), n
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, langs in chunks_of(b, CHUNK):
+                keys, frequent = _frequent_words(chunk, langs, word_map)
+                at = _pairs(chunk, frequent)
+                key, n = np.unique(pair_keys(keys[chunk.ids[at]], keys[chunk.ids[at + 1]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    double = persist_table(_counted(texts, WORDS[:2], pairs).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
-                           .where(F.col("n") >= min_count), "pairs")
-    pair_map = _bitmap(double.select("lang", "w1", "w2"), PAIR_BITS)
+    double = (map_arrow(texts, pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+              .where(F.col("n") >= min_count))
+    pair_map = _bitmap(double.select(F.shiftrightunsigned("pair", 64 - PAIR_BITS).alias("bit")), PAIR_BITS)
 
     def longer(chunk: Chunk, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return suffixes(chunk, *_frequent_words(chunk, langs, word_map), pair_map)
@@ -316,7 +322,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang",
         return df.select("lang", F.concat_ws(" ", *own).alias("phrase"),
                          sum([w.isNotNull().cast("int") for w in own], F.lit(0)).alias("size"), F.col("n").alias("f"))
 
-    parts = [shaped(x) for x in (single, double, deep, *divided)]
+    parts = [shaped(x) for x in (single, deep, *divided)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -330,7 +336,7 @@ def _routes(spark: SparkSession, held: DataFrame, min_count: int) -> tuple[DataF
     prefixes than there are partitions, so they can be broadcast.
     """
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(BUFFER // 50, held.count() // partitions)
+    share = max(LEAST_SHARE, held.count() // partitions)
     hot, divided = [], []
     rows = held
     for size in range(2, MAX_WORDS):
@@ -341,8 +347,7 @@ def _routes(spark: SparkSession, held: DataFrame, min_count: int) -> tuple[DataF
         if counts.isEmpty():
             break
         hot.append((key, counts.select(*key)))
-        if size > 2:
-            divided.append(counts.where(F.col("n") >= min_count).select(*key, "n"))
+        divided.append(counts.where(F.col("n") >= min_count).select(*key, "n"))
         rows = rows.join(F.broadcast(counts.select(*key)), key, "left_semi")
     depth = F.lit(2)
     routed = held

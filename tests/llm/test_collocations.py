@@ -62,7 +62,8 @@ def rows_of(df):
 @pytest.mark.parametrize("chunk,buffer", [(4 << 20, 500_000), (200, 50)])
 def test_equals_brute_force(spark, chunk, buffer, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", chunk)
-    monkeypatch.setattr(C, "BUFFER", buffer)  # also the share from which routes are divided
+    monkeypatch.setattr(C, "BUFFER", buffer)
+    monkeypatch.setattr(C, "LEAST_SHARE", buffer)
     rows = corpus(3, 300)
     want = brute(rows, 8)
     got = C.collocations(frame(spark, rows), min_count=8)
