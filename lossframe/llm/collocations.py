@@ -1,18 +1,17 @@
 r"""Phrase collocations by a multikey three-way quicksort of suffix pointers.
 
 Texts are cut into pieces at ``[.,;:!?\x0A-\x0D]`` and these into words; a suffix is a place in a piece with the
-up to five words that follow. Counting goes from short to long, all counts exact:
-
-1. words of each language; those below the minimum cannot be part of a phrase and end every suffix;
-2. 64-bit hashes of the word pairs that lead a suffix; a pair whose hash stays below the minimum ends a suffix too;
-3. suffixes of two words and more, equal ones of a text chunk summed up before the shuffle, are routed by
-   their two leading words. A route with more rows than a partition's fair share (all rows / shuffle partitions;
-   so there are fewer such routes than partitions) is divided by one more word, its own count being the routing
-   table's. Each task sorts its suffix pointers by a three-way quicksort over words as digits: the size of an
-   equal partition is the count of its phrase, and partitions below the minimum are abandoned.
-
-Which words and pairs are frequent is known to the scanning tasks from bitmaps of fixed size. Two that share
-a hash or a bit only let a suffix through that the exact counts of the third step then drop.
+up to five words that follow. All counts are exact:
+
+1. words of each language; those below the minimum cannot be part of a phrase and end every suffix. The scanning
+   tasks know the others from a bitmap of fixed size; a word that shares a bit only lets suffixes through that the
+   counts of the third step drop;
+2. routes: suffixes go to tasks by their leading word. A leading word, then a leading pair and so on, that occurs
+   oftener than a partition's fair share (all words / shuffle partitions; so there are fewer of them than
+   partitions) is divided by the word that follows it, its own count coming from this table;
+3. equal suffixes of a text chunk are summed up and routed. Each task sorts its suffix pointers by a three-way
+   quicksort over words as digits: the size of an equal partition is the count of its phrase, and partitions below
+   the minimum are abandoned.
 
 Phrases are scored at their weakest cut, those inside an equally frequent longer phrase are dropped, and the first
 ``top`` of each language are returned. Arithmetic is in DECIMAL(38), exact while 1000 * a * n and l * r stay below 1e38.
@@ -24,10 +23,12 @@ repeated rows count each; an empty table gives an empty result; columns other th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossframe.llm.common import LOWER, Hasher, map_arrow, mix, text_buffers
@@ -35,13 +36,13 @@ from lossframe.session import persist_table
 
 MAX_WORDS = 5
 WORDS = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
-#: Bits of the bitmaps of frequent words and pairs: 2 and 8 MB, whatever the corpus.
-WORD_BITS, PAIR_BITS = 24, 26
+#: Bits of the bitmap of frequent words: 2 MB, whatever the corpus.
+WORD_BITS = 24
 #: Bytes of text that a scanning task handles at once; a longer piece is alone.
 CHUNK = 4 << 20
 #: Suffixes that a sorting task holds at once; more only if one route has more.
 BUFFER = 500_000
-#: Rows that a route may have, whatever its share.
+#: Occurrences that a route may have, whatever its share.
 LEAST_SHARE = 1000
 
 _KIND = np.zeros(256, np.uint8)
@@ -112,15 +113,6 @@ def word_bits(keys: np.ndarray) -> np.ndarray:
     return (mix(keys) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(mix(first) * np.uint64(3) + second)
-
-
-def pair_bits(keys: np.ndarray) -> np.ndarray:
-    """The upper bits of the key, as ``_bitmap`` takes them of the counted ones."""
-    return (keys >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
 def has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
@@ -142,38 +134,65 @@ def _frequent_words(chunk: Chunk, langs: pa.Array, bitmap: np.ndarray) -> tuple[
     return keys, has_bit(bitmap, word_bits(keys))
 
 
-def _pairs(chunk: Chunk, frequent: np.ndarray) -> np.ndarray:
-    """Places whose word and next word are of one piece and both may be frequent."""
-    may = frequent[chunk.ids]
-    return np.flatnonzero((chunk.piece[1:] == chunk.piece[:-1]) & may[1:] & may[:-1])
-
-
 def _summed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a place of each distinct key, its number for every place, how often)."""
     _, at, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     return at, of, n
 
 
-def suffixes(chunk: Chunk, keys: np.ndarray, frequent: np.ndarray, pair_map: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(dictionary numbers of the distinct suffixes of two words and more, -1 behind their end; how often)."""
-    at = _pairs(chunk, frequent)
-    first, second = keys[chunk.ids[at]], keys[chunk.ids[at + 1]]
-    goes_on = np.zeros(len(chunk.ids) + MAX_WORDS, bool)  # the pair that begins here may be frequent
-    goes_on[at[has_bit(pair_map, pair_bits(pair_keys(first, second)))]] = True
-    start = np.flatnonzero(goes_on)
-    ids = np.append(chunk.ids, np.full(MAX_WORDS, -1, np.int64))
-    rows = np.full((len(start), MAX_WORDS), -1, np.int64)
-    rows[:, 0] = ids[start]
-    alive = np.ones(len(start), bool)
-    for k in range(1, MAX_WORDS):
-        alive &= goes_on[start + k - 1]
-        rows[alive, k] = ids[start[alive] + k]
+def suffixes(chunk: Chunk, frequent: np.ndarray, start: np.ndarray | None = None,
+             size: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(dictionary numbers of the distinct suffixes of two words and more, -1 behind their end; how often).
+
+    ``start`` picks among the places, ``size`` ends a suffix earlier.
+    """
+    may = frequent[chunk.ids]
+    goes_on = np.zeros(len(chunk.ids) + size, bool)  # a next word of the same piece, both may be frequent
+    goes_on[:max(0, len(chunk.ids) - 1)] = (chunk.piece[1:] == chunk.piece[:-1]) & may[1:] & may[:-1]
+    at = np.flatnonzero(goes_on[:len(chunk.ids)] if start is None else goes_on[:len(chunk.ids)] & start)
+    ids = np.append(chunk.ids, np.full(size, -1, np.int64))
+    rows = np.full((len(at), size), -1, np.int64)
+    rows[:, 0] = ids[at]
+    alive = np.ones(len(at), bool)
+    for k in range(1, size):
+        alive &= goes_on[at + k - 1]
+        rows[alive, k] = ids[at[alive] + k]
     key = rows[:, 0]
-    for k in range(1, MAX_WORDS):
+    for k in range(1, size):
         _, of, _ = _summed(key)
-        key = of * np.int64(len(keys) + 1) + rows[:, k] + 1
-    at, _, n = _summed(key)
-    return rows[at], n
+        key = of * np.int64(len(chunk.words) + 1) + rows[:, k] + 1
+    one, _, n = _summed(key)
+    return rows[one], n
+
+
+class Hot:
+    """The prefixes that are divided: (language, words) of one word, of two and so on."""
+
+    def __init__(self, levels: list[list[tuple[str, ...]]]):
+        self.levels = levels
+        self.words = pa.array(sorted({w for level in levels for p in level for w in p[1:]}), pa.string())
+
+    def lengths(self, chunk: Chunk, langs: pa.Array, rows: np.ndarray) -> np.ndarray:
+        """Words of the longest divided prefix of every row."""
+        out = np.zeros(len(rows), np.int64)
+        if not self.levels or not len(rows):
+            return out
+        at = np.flatnonzero(np.asarray(pc.is_in(chunk.words, value_set=self.words)))
+        lang, word = langs.to_pylist(), chunk.words.take(pa.array(at)).to_pylist()
+        no = {(lang[chunk.lang[i]], w): int(i) for i, w in zip(at, word)}
+        wide = len(chunk.words) + 1
+        of = {(p,): i for i, p in enumerate(lang)}  # prefix to its number, a level at a time
+        state, alive = chunk.lang[rows[:, 0]], np.arange(len(rows))
+        for k, level in enumerate(self.levels):
+            known = sorted((of[p[:-1]] * wide + no[p[0], p[-1]], p) for p in level if p[:-1] in of and (p[0], p[-1]) in no)
+            of = {p: i for i, (_, p) in enumerate(known)}
+            keys = np.array([key for key, _ in known], np.int64)
+            mine = state * wide + rows[alive, k]
+            place = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+            hit = (rows[alive, k] >= 0) & (keys[place] == mine if len(keys) else False)
+            alive, state = alive[hit], place[hit]
+            out[alive] = k + 1
+        return out
 
 
 # ---------------------------------------------------------------------------
@@ -210,22 +229,25 @@ def count_prefixes(digits: np.ndarray, weight: np.ndarray, least: int) -> Iterat
 
 
 def _sort_step(least: int):
-    """Rows (route, depth, lang, w1.., n), sorted by route, to (lang, w1.., n) of the frequent prefixes.
+    """Rows (route, depth, lang, phrase, n), sorted by route, to (lang, phrase, size, f) of the frequent prefixes.
 
     Only prefixes no shorter than the route's words are whole in a task, and only those are given.
     """
     def count(rows: pa.RecordBatch) -> pa.RecordBatch:
-        coded = pa.concat_arrays([rows.column(i) for i in range(3, 3 + MAX_WORDS)]).dictionary_encode()
-        no = np.asarray(coded.indices.fill_null(-1), np.int64).reshape(MAX_WORDS, -1).T
-        lang = np.asarray(rows.column(2).dictionary_encode().indices, np.int64)
-        depth, weight = np.asarray(rows.column(1)), np.asarray(rows.column(-1))
+        split = pc.split_pattern(rows.column(3), " ")
+        size = np.asarray(pc.list_value_length(split), np.int64)
+        coded = split.flatten().dictionary_encode()
+        no = np.full((len(size), MAX_WORDS), -1, np.int32)
+        no[np.arange(MAX_WORDS)[None, :] < size[:, None]] = np.asarray(coded.indices)
+        lang = np.asarray(rows.column(2).dictionary_encode().indices, np.int32)
+        depth, weight = np.asarray(rows.column(1)), np.asarray(rows.column(4))
         found = [(r, k - 1, n) for r, k, n in count_prefixes(np.column_stack([lang, no]), weight, least)
                  if k - 1 >= max(2, depth[r])]
         at = np.array([r for r, _, _ in found], np.int64)
         size = np.array([k for _, k, _ in found], np.int64)
         words = [coded.dictionary.take(pa.array(np.where(size > i, no[at, i], 0), mask=size <= i)) for i in range(MAX_WORDS)]
-        return pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(at)), *words, pa.array([n for *_, n in found], pa.int64())],
-                                          names=["lang", *WORDS, "n"])
+        return pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(at)), _joined(words), pa.array(size, pa.int32()),
+                                           pa.array([n for *_, n in found], pa.int64())], names=["lang", "phrase", "size", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -267,96 +289,90 @@ def _bits_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(word_bits(hash_words(b.column(1)) + lang_hashes(b.column(0))))], names=["bit"])
 
 
-def _counted(texts: DataFrame, names: list[str], rows) -> DataFrame:
-    """lang, words and n, summed over all chunks; ``rows`` gives a chunk's (dictionary numbers, how often)."""
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, langs in chunks_of(b, CHUNK):
-                ids, n = rows(chunk, langs)
-                if not len(ids):
-                    continue
-                words = [chunk.words.take(pa.array(np.maximum(ids[:, k], 0), mask=ids[:, k] < 0)) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(chunk.lang[ids[:, 0]])), *words, pa.array(n, pa.int64())],
-                                                 names=["lang", *names, "n"])
+def _joined(words: list[pa.Array]) -> pa.Array:
+    return pc.binary_join_element_wise(*words, " ", null_handling="skip")
 
-    return map_arrow(texts, step, ", ".join(["lang string", *[f"{w} string" for w in names], "n long"]))
+
+def _words_of(chunk: Chunk, rows: np.ndarray) -> list[pa.Array]:
+    return [chunk.words.take(pa.array(np.maximum(rows[:, k], 0), mask=rows[:, k] < 0)) for k in range(rows.shape[1])]
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, n of all words; lang, phrase, size, f of every phrase of 1 to 5 words with f >= min_count)."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("text <> ''")
 
-    def words(chunk: Chunk, _: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return np.arange(len(chunk.words))[:, None], np.bincount(chunk.ids, minlength=len(chunk.words))
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, langs in chunks_of(b, CHUNK):
+                n = np.bincount(chunk.ids, minlength=len(chunk.words))
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(chunk.lang)), chunk.words, pa.array(n, pa.int64())],
+                                                 names=["lang", "w1", "n"])
 
-    every = persist_table(_counted(texts, ["w1"], words).groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
+    every = persist_table(map_arrow(texts, words, "lang string, w1 string, n long").groupBy("lang", "w1")
+                          .agg(F.sum("n").alias("n")), "words")
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     single = every.where(F.col("n") >= min_count)
     word_map = _bitmap(map_arrow(single.select("lang", "w1"), _bits_of_words, "bit long"), WORD_BITS)
+    hot, divided = _routes(texts, every, word_map)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, langs in chunks_of(b, CHUNK):
                 keys, frequent = _frequent_words(chunk, langs, word_map)
-                at = _pairs(chunk, frequent)
-                key, n = np.unique(pair_keys(keys[chunk.ids[at]], keys[chunk.ids[at + 1]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["pair", "n"])
-
-    double = (map_arrow(texts, pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-              .where(F.col("n") >= min_count))
-    pair_map = _bitmap(double.select(F.shiftrightunsigned("pair", 64 - PAIR_BITS).alias("bit")), PAIR_BITS)
-
-    def longer(chunk: Chunk, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return suffixes(chunk, *_frequent_words(chunk, langs, word_map), pair_map)
-
-    held = persist_table(_counted(texts, WORDS, longer), "suffixes")
-    routed, divided = _routes(spark, held, min_count)
-    sorted_ = routed.repartition("route").sortWithinPartitions("route")
-    schema = ", ".join(["lang string", *[f"{w} string" for w in WORDS], "n long"])
-    deep = map_arrow(sorted_.select("route", "depth", "lang", *WORDS, "n"), _sort_step(min_count), schema)
-
-    def shaped(df: DataFrame) -> DataFrame:
-        own = [F.col(w) for w in WORDS if w in df.columns]
-        return df.select("lang", F.concat_ws(" ", *own).alias("phrase"),
-                         sum([w.isNotNull().cast("int") for w in own], F.lit(0)).alias("size"), F.col("n").alias("f"))
-
-    parts = [shaped(x) for x in (single, deep, *divided)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return totals, persist_table(out, "phrases")
-
-
-def _routes(spark: SparkSession, held: DataFrame, min_count: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(the suffixes with route and depth, the counts of the prefixes that were divided).
-
-    A prefix is divided while it has more rows than a partition's fair share. Each level has fewer such
-    prefixes than there are partitions, so they can be broadcast.
+                rows, n = suffixes(chunk, frequent)
+                depth = 1 + hot.lengths(chunk, langs, rows)
+                route = keys[rows[:, 0]]
+                for k in range(1, MAX_WORDS):
+                    own = np.where(rows[:, k] >= 0, keys[rows[:, k]], np.uint64(0))
+                    route = np.where(depth > k, mix(route * np.uint64(3) + own), route)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(route).view(np.int64)), pa.array(depth, pa.int32()), langs.take(pa.array(chunk.lang[rows[:, 0]])),
+                     _joined(_words_of(chunk, rows)), pa.array(n, pa.int64())], names=["route", "depth", "lang", "phrase", "n"])
+
+    sorted_ = (map_arrow(texts, longer, "route long, depth int, lang string, phrase string, n long")
+               .repartition("route").sortWithinPartitions("route"))
+    deep = map_arrow(sorted_, _sort_step(min_count), "lang string, phrase string, size int, f long")
+    shapes = [single.select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f")), deep]
+    rows = [(p[0], " ".join(p[1:]), len(p) - 1, n) for p, n in divided if n >= min_count]
+    shapes.append(docs.sparkSession.createDataFrame(rows, "lang string, phrase string, size int, f long"))
+    return totals, persist_table(reduce(DataFrame.unionByName, shapes), "phrases")
+
+
+def _routes(texts: DataFrame, every: DataFrame, word_map: np.ndarray) -> tuple[Hot, list[tuple[tuple[str, ...], int]]]:
+    """(the prefixes that are divided, and those of two words and more with their counts).
+
+    A prefix that occurs oftener than the share consists of words that do so, too, so a level's prefixes are counted
+    only where that can be. All prefixes of a level together occur at most as often as there are words: fewer than
+    partitions of them exceed the share and come to the driver.
     """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(LEAST_SHARE, held.count() // partitions)
-    hot, divided = [], []
-    rows = held
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(LEAST_SHARE, (every.agg(F.sum("n")).first()[0] or 0) // partitions)
+    levels: list[list[tuple[str, ...]]] = [[(r["lang"], r["w1"]) for r in every.where(F.col("n") > share).collect()]]
+    divided: list[tuple[tuple[str, ...], int]] = []
     for size in range(2, MAX_WORDS):
-        key = ["lang", *WORDS[:size]]
-        counts = (rows.where(F.col(WORDS[size - 1]).isNotNull()).groupBy(*key)
-                  .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).where(F.col("rows") > share))
-        counts = persist_table(counts, "routes")
-        if counts.isEmpty():
+        if not levels[-1]:
             break
-        hot.append((key, counts.select(*key)))
-        divided.append(counts.where(F.col("n") >= min_count).select(*key, "n"))
-        rows = rows.join(F.broadcast(counts.select(*key)), key, "left_semi")
-    depth = F.lit(2)
-    routed = held
-    for i, (key, keys) in enumerate(hot):
-        routed = routed.join(F.broadcast(keys.withColumn(f"hot{i}", F.lit(True))), key, "left")
-        depth = F.when(F.col(f"hot{i}").isNull(), depth).otherwise(F.lit(3 + i))
-    routed = routed.withColumn("depth", depth)
-    words = [F.when(F.col("depth") > i, F.col(w)) for i, w in enumerate(WORDS)]
-    return routed.withColumn("route", F.xxhash64("lang", *words)), divided
+        hot = Hot(levels)
+        single = Hot(levels[:1])
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for chunk, langs in chunks_of(b, CHUNK):
+                    every_word = np.arange(len(chunk.words))[:, None]
+                    often = _frequent_words(chunk, langs, word_map)[1] & (single.lengths(chunk, langs, every_word) == 1)
+                    rows, n = suffixes(chunk, often, often[chunk.ids], size)
+                    whole = (rows[:, -1] >= 0) & (hot.lengths(chunk, langs, rows) == size - 1)
+                    rows, n = rows[whole], n[whole]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(chunk.lang[rows[:, 0]])), *_words_of(chunk, rows),
+                                                      pa.array(n, pa.int64())], names=["lang", *WORDS[:size], "n"])
+
+        key = ["lang", *WORDS[:size]]
+        found = (map_arrow(texts, step, ", ".join([f"{c} string" for c in key] + ["n long"])).groupBy(*key)
+                 .agg(F.sum("n").alias("n")).where(F.col("n") > share).collect())
+        levels.append([tuple(r)[:-1] for r in found])
+        divided += [(tuple(r)[:-1], r["n"]) for r in found]
+    return Hot(levels), divided
 
 
 def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, lang_col: str = "lang",
