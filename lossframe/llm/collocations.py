@@ -39,9 +39,9 @@ WORDS = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
 #: Bits of the bitmap of frequent words: 2 MB, whatever the corpus.
 WORD_BITS = 24
 #: Bytes of text that a scanning task handles at once; a longer piece is alone.
-CHUNK = 4 << 20
+CHUNK = 3 << 19
 #: Suffixes that a sorting task holds at once; more only if one route has more.
-BUFFER = 500_000
+BUFFER = 200_000
 #: Occurrences that a route may have, whatever its share.
 LEAST_SHARE = 1000
 
