@@ -66,6 +66,47 @@ def nation_documents(cu: DataFrame) -> DataFrame:
     return per.select("doc_id", F.to_json(doc).alias("json"))
 
 
+def spanned_documents(cu: DataFrame) -> DataFrame:
+    """doc_id, json: tables of four columns and two rows for each of a block's customers, and two blank rows at the end.
+
+    One cell reaches over the whole first column and far beyond the table, each name stands in the upper one of its rows, a segment of an
+    even key spans two rows and two columns; documents of odd nations end with a cell over everything.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment")))
+    per = nation_blocks(cu).groupBy("doc_id", "c_nationkey").agg(cells.alias("r"))  # bounded by the block
+
+    def cell(row, column, text, rows, columns):
+        return F.struct(row.cast("int").alias("rowIndex"), F.lit(column).alias("columnIndex"), text.alias("content"),
+                        rows.cast("int").alias("rowSpan"), columns.cast("int").alias("columnSpan"))
+
+    one, two, far = F.lit(1), F.lit(2), F.lit(2_000_000_000)
+    names = F.transform("r", lambda x, k: cell(2 * k, 1, x["c_name"], one, one))
+    even = F.transform(F.filter(F.transform("r", lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda p: p["x"]["c_custkey"] % 2 == 0),
+                       lambda p: cell(2 * p["k"], 2, p["x"]["c_mktsegment"], two, two))
+    first = F.array(cell(F.lit(0), 0, F.concat(F.lit("nation "), "c_nationkey"), far, one))
+    last = F.when(F.col("c_nationkey") % 2 == 1, F.array(cell(F.lit(0), 0, F.lit("late"), far, far))).otherwise(F.slice(first, F.lit(1), F.lit(0)))
+    doc = F.struct(F.struct(F.array(F.struct((2 * F.size("r") + 2).alias("rowCount"), F.lit(4).alias("columnCount"),
+                                             F.concat(first, names, even, last).alias("cells"))).alias("tables")).alias("analyzeResult"))
+    return per.select("doc_id", F.to_json(doc).alias("json"))
+
+
+LAYOUT_SPANS = f"""
+WITH c AS (
+  SELECT concat(c_nationkey, '-', c_custkey // {BLOCK_KEYS}) AS doc_id, c_nationkey, c_custkey, c_name, c_mktsegment,
+         row_number() OVER (PARTITION BY c_nationkey, c_custkey // {BLOCK_KEYS} ORDER BY c_custkey) - 1 AS k FROM customer),
+grid AS (
+  SELECT doc_id, c_nationkey, unnest(range(2 * count(*) + 2)) AS row_no FROM c GROUP BY doc_id, c_nationkey),
+spot AS (
+  SELECT g.doc_id, CAST(g.row_no AS INTEGER) AS row_no, g.c_nationkey, c.c_name, c.c_custkey, c.c_mktsegment,
+         CASE WHEN g.c_nationkey % 2 = 1 THEN 'late' ELSE '' END AS rest
+  FROM grid g LEFT JOIN c ON c.doc_id = g.doc_id AND c.k = g.row_no // 2)
+SELECT doc_id, row_no, 'nation ' || c_nationkey AS V1,
+       CASE WHEN row_no % 2 = 0 AND c_name IS NOT NULL THEN c_name ELSE rest END AS V2,
+       CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE rest END AS V3,
+       CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE rest END AS V4
+FROM spot"""
+
+
 def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql: Callable) -> list[tuple]:
     """(name, query, DuckDB statement) of every query here."""
     zero_issues = ["rule_zero_rows"]
@@ -114,6 +155,11 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
         return (L.layout_tables(nation_documents(cu)).join(starts, "doc_id")
                 .select(F.col("nation").alias("doc_id"), (F.col("start") + F.col("row_no")).alias("row_no"), "V1", "V2"))
 
+    def layout_spans(spark, sf):
+        """Cells over several rows and columns, beyond the table's edge and over each other, and blank rows."""
+        docs = spanned_documents(table(spark, sf, "customer"))
+        return L.layout_tables(docs).select("doc_id", "row_no", "V1", "V2", "V3", "V4")
+
     def run_issues(spark, sf):
         """H2: a run saved with issues, then again without; another one keeps its own."""
         s, root = std(spark, sf), folder(spark, "runs")
@@ -248,6 +294,7 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
         ("layout_tables", layout_tables, """
 SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT)
          AS row_no, c_name AS V1, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS V2 FROM customer"""),
+        ("layout_spans", layout_spans, LAYOUT_SPANS),
         ("run_issues", run_issues, O.claims_with(
             f"SELECT 'run-b' AS run_id, row_id AS row, claim_id, {O.q(K.ISSUE_ZERO_ROWS)} AS issue, '' AS detail "
             f"FROM std WHERE {zero}")),
