@@ -23,16 +23,18 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossframe.constants import STANDARD_FIELDS
 from lossframe.operators import exports as X
 from lossframe.operators import history as H
 from lossframe.operators import quality as Q
 from lossframe.operators import rules as V
 from lossframe.operators import triangles as TR
 from lossframe.functions.privacy import hmac_sha256_hex
-from lossframe.operators.mapping import guess_schema
+from lossframe.operators.mapping import guess_schema, identity_mapping
 from lossframe.operators.numbering import BLOCK, FILE, POSITION, number_by_position, number_rows, number_stored
 from lossframe.operators.standardize import standardize
-from lossframe.sources.files import csv_groups, file_checks, promote_header, union_files
+from lossframe.sources.csv_intake import by_place, csv_files, csv_rows
+from lossframe.sources.files import file_checks, union_files
 from lossframe.session import persist_table
 
 
@@ -85,30 +87,27 @@ def prepare(files: list[tuple[DataFrame, str | None]], mapping: dict[str, str] |
 def intake(spark: SparkSession, paths: str | list[str], mapping: dict[str, str] | None = None, locale: str = "AU",
            tenant_id: str = "", run_id: str | None = None, max_mb: float | None = None, multi_line: bool = True,
            promote: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Files to numbered standard claims in one call: checks, then only the accepted CSV files, each read by its own
-    header (promoted from the first data row if asked for) and mapped by it, unless a mapping is given.
+    """Files to numbered standard claims in one call: checks, then only the accepted CSV files, each read in its own dialect and by
+    its own header (promoted from the first data row if asked for) and mapped by it, unless a mapping is given. All files are
+    standardised in one plan: a standard field is the cell at its file's place. Records with more cells than their header are left out;
+    ``csv_rejects`` gives them.
 
     Returns (claims, checks). Accepted files of other kinds are in the checks; their tables come from
     ``layout_tables`` or a converter."""
     checks = file_checks(spark, paths, max_mb)
-    accepted = [r["path"] for r in checks.where("ok AND ext = 'csv'").collect()]
+    accepted = sorted(r["path"] for r in checks.where("ok AND ext = 'csv'").collect())
     if not accepted:
         raise ValueError("no acceptable CSV file")
-    frames = csv_groups(spark, accepted, multi_line=multi_line, with_position=True)
-    position = {FILE, BLOCK, POSITION, "source_file"}
-    if promote:
-        frames = [_promoted(f) for f in frames]
-    maps = [mapping or guess_schema([c for c in f.columns if c not in position]) for f in frames]
-    return prepare([(f, None) for f in frames], maps, locale, tenant_id, run_id), checks
-
-
-def _promoted(frame: DataFrame) -> DataFrame:
-    """Header promotion by file, in line order: a row's place is its block, then its position there."""
-    spot = frame.withColumn("_place", F.format_string("%020d-%020d", F.col(BLOCK), F.col(POSITION)))
-    keep = spot.select(*[c for c in spot.columns if c not in (BLOCK, POSITION)])
-    out = promote_header(keep, True, order_col="_place", file_col=FILE)
-    halves = F.split("_place", "-")
-    return (out.withColumn(BLOCK, halves[0].cast("long")).withColumn(POSITION, halves[1].cast("long")).drop("_place"))
+    files = csv_files(spark, accepted, promote)
+    guessed: dict[tuple, dict[str, int]] = {}
+    for f in files:
+        if f.names not in guessed:
+            place = {n.lower(): i for i, n in enumerate(f.names)}
+            own = mapping or guess_schema(list(f.names))
+            guessed[f.names] = {k: place[c.lower()] for k, c in own.items() if c and c.lower() in place}
+    placed = by_place(csv_rows(spark, files, multi_line), FILE, {f.tag: guessed[f.names] for f in files}, list(STANDARD_FIELDS))
+    numbered = prepare([(placed, None)], identity_mapping(), locale, tenant_id, run_id)
+    return numbered, checks
 
 
 def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | None = None,

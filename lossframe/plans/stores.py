@@ -26,6 +26,7 @@ from lossframe.operators import rules as V
 from lossframe.plans import claims_run as R
 from lossframe.plans import oracle_sql as O
 from lossframe.session import checkpoint_dir
+from lossframe.sources import csv_intake as I
 from lossframe.sources import files as S
 from lossframe.sources import layout as L
 from lossframe.sources.fixtures import FIXTURE_TENANT, table
@@ -134,6 +135,30 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
         X.write_csv(rows.where("row_id % 2 = 1").select("paid", "currency", "row_id", "claim_id"), f"{path}/b")
         return S.read_csv(spark, [f"{path}/a", f"{path}/b"], with_lineage=False)
 
+    def csv_rejects(spark, sf):
+        """Every seventh record has a cell more than its header; rows read and records rejected, together all records."""
+        s, path = std(spark, sf), folder(spark, "ragged")
+        line = F.concat_ws(",", "row_id", F.coalesce("claim_id", F.lit("")), F.coalesce(F.col("paid").cast("string"), F.lit("")),
+                           F.when(F.col("row_id") % 7 == 0, F.coalesce("currency", F.lit(""))))
+        (s.select(line.alias("row_id,claim_id,paid")).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000")
+         .csv(path))  # one column of whole lines, so that they can be of unequal length
+        read = S.read_csv(spark, path, with_lineage=False).select("row_id", "claim_id", "paid", F.lit(None).cast("string").alias("reason"))
+        cells = F.split("record", ",")
+        rejected = I.csv_rejects(spark, path).select(cells[0].alias("row_id"), F.nullif(cells[1], F.lit("")).alias("claim_id"),
+                                                     F.nullif(cells[2], F.lit("")).alias("paid"), "reason")
+        return read.unionByName(rejected)
+
+    def csv_dialects(spark, sf):
+        """The same claims in files of four delimiters and two quotes, decimal commas and quoted line breaks in the cells."""
+        s, path = std(spark, sf), folder(spark, "dialects")
+        rows = tricky(s).join(s.select(F.col("row_id").cast("string").alias("row_id"),
+                                       F.replace(F.col("paid").cast("string"), F.lit("."), F.lit(",")).alias("paid")), "row_id")
+        kinds = [(",", '"'), (";", '"'), ("\t", "'"), ("|", '"')]
+        for i, (sep, quote) in enumerate(kinds):
+            (rows.where(F.col("row_id").cast("long") % len(kinds) == i).write.option("header", True).option("sep", sep).option("quote", quote)
+             .option("escape", quote).option("quoteAll", True).option("emptyValue", "").csv(f"{path}/{i}"))
+        return S.read_csv(spark, [f"{path}/{i}" for i in range(len(kinds))], with_lineage=False)
+
     def header_promotion(spark, sf):
         """A header row in each of two files, with different names."""
         s = std(spark, sf).select(F.col("row_id").alias("line"), F.col("status").alias("file"), F.col("claim_id").alias("c1"),
@@ -288,6 +313,12 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
         ("csv_two_headers", csv_two_headers, O.claims_with(
             "SELECT CAST(row_id AS VARCHAR) AS row_id, nullif(claim_id, '') AS claim_id, CAST(paid AS VARCHAR) AS paid, "
             "CASE WHEN row_id % 2 = 1 THEN nullif(currency, '') END AS currency FROM std")),
+        ("csv_rejects", csv_rejects, O.claims_with(
+            "SELECT CAST(row_id AS VARCHAR) AS row_id, nullif(claim_id, '') AS claim_id, CAST(paid AS VARCHAR) AS paid, "
+            "CASE WHEN row_id % 7 = 0 THEN '4 cells under a header of 3' END AS reason FROM std")),
+        ("csv_dialects", csv_dialects, O.claims_with(
+            "SELECT t.*, replace(CAST(s.paid AS VARCHAR), '.', ',') AS paid FROM (" + tricky_sql + ") t "
+            "JOIN std s ON t.row_id = CAST(s.row_id AS VARCHAR)")),
         ("header_promotion", header_promotion, O.claims_with(
             "SELECT row_id AS line, status AS file, claim_id AS claim_no, CASE WHEN status = 'O' THEN CAST(paid AS VARCHAR) END "
             "AS paid, CASE WHEN status <> 'O' THEN CAST(paid AS VARCHAR) END AS amount, currency AS curr FROM std")),

@@ -11,20 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lossframe.constants import ALLOWED_EXTENSIONS, HEADER_PROMOTE_FRACTION, TEXT_MIN_CHARS
 from lossframe.operators.numbering import BLOCK, FILE, POSITION
-
-NA_STRINGS = ("NA",)
-
-
-def list_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
-    """Paths of the files, in the order given (a folder's or pattern's by path). One short text for a file."""
-    out = []
-    for p in [paths] if isinstance(paths, str) else paths:
-        out += sorted(r[0] for r in spark.read.format("binaryFile").load(p).select("path").collect())
-    return out
+from lossframe.sources.csv_intake import BROADCAST_CELLS, all_names, by_place, csv_files, csv_rows
 
 
 def read_heads(spark: SparkSession, paths: list[str], n_bytes: int) -> dict[str, bytes]:
@@ -45,56 +35,21 @@ def read_heads(spark: SparkSession, paths: list[str], n_bytes: int) -> dict[str,
         return dict(zip(paths, pool.map(head, paths)))
 
 
-HEADER_BYTES = 1 << 20
-
-
-def csv_header(head: bytes) -> list[str]:
-    """Trimmed, distinct column names of the first record; a nameless column is ``_c<i>``."""
-    import csv
-    import io
-
-    first = next(csv.reader(io.StringIO(head.decode("utf-8-sig", errors="replace"), newline="")), [])
-    out: list[str] = []
-    for i, name in enumerate(first):
-        name = name.strip() or f"_c{i}"
-        out.append(name if name not in out else f"{name}{i}")
-    return out
-
-
 def read_csv(spark: SparkSession, paths: str | list[str], with_lineage: bool = True, multi_line: bool = True,
              with_position: bool = False) -> DataFrame:
-    """S1 + S2: the CSV files of ``csv_groups``, united by column name."""
-    return union_files(csv_groups(spark, paths, with_lineage, multi_line, with_position))
-
-
-def csv_groups(spark: SparkSession, paths: str | list[str], with_lineage: bool = True, multi_line: bool = True,
-               with_position: bool = False) -> list[DataFrame]:
-    """Header CSVs read as all-string columns, whitespace-trimmed; empty and the text ``NA`` become NULL.
+    """S1 + S2: header CSVs read as all-string columns, whitespace-trimmed, united by column name (of any case).
 
-    Each file is read by its own header line: files with the same header are one frame. Doubled quotes and (with ``multi_line``, off for files known to
-    have none, which Spark can then split) line breaks inside quotes are part of a cell.
-    Adds ``source_file`` (base name) per row, and with ``with_position`` where the row stands (see ``numbering``).
+    Empty cells and the text ``NA`` become NULL. Each file is read in its own dialect and by its own header line; columns missing
+    from a file are NULL. Doubled quotes and (with ``multi_line``, off for files known to have none, which Spark can then split)
+    line breaks inside quotes are part of a cell. Records with more cells than their header are not among the rows but in
+    ``csv_intake.csv_rejects``. Adds ``source_file`` (base name) per row, and with ``with_position`` where the row stands
+    (see ``numbering``).
     """
-    files = list_files(spark, paths)
-    groups: dict[tuple, list[str]] = {}
-    for path, head in read_heads(spark, files, HEADER_BYTES).items():
-        if names := csv_header(head):
-            groups.setdefault(tuple(names), []).append(path)
-    if not groups:
-        raise ValueError(f"no CSV file with a header under {paths}")
-    frames = []
-    for names, own in groups.items():
-        df = (spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
-              .option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-              .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(own))
-        cols = [F.when(~F.col(f"`{c}`").isin(*NA_STRINGS), F.col(f"`{c}`")).alias(c) for c in names]
-        if with_lineage:
-            cols.append(F.col("_metadata.file_name").alias("source_file"))
-        if with_position:
-            cols += [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
-                     F.monotonically_increasing_id().alias(POSITION)]
-        frames.append(df.select(*cols))
-    return frames
+    files = csv_files(spark, paths)
+    names, places = all_names(files)
+    rows = by_place(csv_rows(spark, files, multi_line), FILE, places, names)
+    lineage = (["source_file"] if with_lineage else []) + ([FILE, BLOCK, POSITION] if with_position else [])
+    return rows.select(*[F.col(f"`{n}`") for n in names], *lineage)
 
 
 def union_files(frames: list[DataFrame]) -> DataFrame:
@@ -191,15 +146,20 @@ def text_sufficiency(df: DataFrame, id_col: str, text_col: str, min_chars: int =
 # Header promotion
 # ---------------------------------------------------------------------------
 
+def promotes(cells: list[str], width: int) -> bool:
+    """Whether a first row of so many columns is a header: enough of its cells are not empty."""
+    return sum(c != "" for c in cells) >= max(2, int(HEADER_PROMOTE_FRACTION * width))
+
+
 def promote_header(df: DataFrame, enabled: bool = True, order_col: str | None = None,
                    file_col: str | None = None) -> DataFrame:
     """When the first row of a file has enough non-empty cells
     (>= max(2, floor(0.6 * ncol))) use it as that file's header and drop it.
 
     ``order_col`` gives the row order, ``file_col`` the file (without it, all rows are one file). The first row of each
-    file is found by one grouped minimum, so one row for a file reaches the driver. Files with
-    the same header are one projection; the projections are united by name. A row without
-    an order value is never a header and stays. A file of one row has no data and keeps it.
+    file is found by one grouped minimum, so one row for a file reaches the driver. The rows are then scanned once, as
+    arrays of text cells, and each column is the cell at its file's place for the name, however many headers there are. A row
+    without an order value is never a header and stays. A file of one row has no data and keeps it.
     """
     if not enabled:
         return df
@@ -208,37 +168,33 @@ def promote_header(df: DataFrame, enabled: bool = True, order_col: str | None =
     lineage = [c for c in (order_col, file_col, "source_file") if c in df.columns]
     data = [c for c in df.columns if c not in lineage]
     file = F.col(f"`{file_col}`") if file_col else F.lit(0)
-    cells = F.struct(F.col(f"`{order_col}`").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in data]).alias("_row"))
+    text = F.array(*[F.col(f"`{c}`").cast("string") for c in data])
+    cells = F.struct(F.col(f"`{order_col}`").alias("_at"), text.alias("_row"))
     firsts = (df.groupBy(file.alias("_file")).agg(F.count(F.lit(1)).alias("n"),
                                                   F.min_by(cells, F.col(f"`{order_col}`")).alias("first")).collect())
-    enough = max(2, int(HEADER_PROMOTE_FRACTION * len(data)))
-    groups: dict[tuple, list] = {}
+    names: dict[str, None] = {}
+    places, heads = {}, []
     for r in firsts:
-        row = [] if r["first"] is None else ["" if v is None else str(v).strip() for v in r["first"]["_row"]]
-        promoted = r["n"] >= 2 and sum(v != "" for v in row) >= enough
-        groups.setdefault(tuple(_make_names(row)) if promoted else (), []).append(r)
-    if set(groups) <= {()}:
+        row = [] if r["first"] is None else ["" if v is None else v.strip() for v in r["first"]["_row"]]
+        own = data
+        if r["n"] >= 2 and row and promotes(row, len(data)):
+            own = make_names(row)
+            heads.append((r["_file"], r["first"]["_at"]))
+        places[r["_file"]] = {n: i for i, n in enumerate(own)}
+        names |= dict.fromkeys(own)
+    if not heads:
         return df
-    frames = []
-    for names, own in groups.items():
-        mine = _any_file(file, [r["_file"] for r in own])
-        part = df.where(mine)
-        if names:
-            header = [F.coalesce((F.col(f"`{order_col}`") == F.lit(r["first"]["_at"])) & _any_file(file, [r["_file"]]), F.lit(False))
-                      for r in own]
-            part = part.where(~reduce(lambda a, b: a | b, header))
-            part = part.select(*[F.col(f"`{c}`") for c in lineage], *[F.col(f"`{c}`").alias(n) for c, n in zip(data, names)])
-        frames.append(part)
-    return union_files(frames)
-
-
-def _any_file(file: Column, values: list) -> Column:
-    known = [v for v in values if v is not None]
-    hit = file.isin(*known) if known else F.lit(False)
-    return F.coalesce(hit, F.lit(False)) | (file.isNull() if None in values else F.lit(False))
-
-
-def _make_names(names: list[str]) -> list[str]:
+    tagged = df.select(*[F.col(f"`{c}`") for c in lineage], file.alias("_lf_file"), text.alias("cells"))
+    kinds = {k: tagged.schema[k].dataType.simpleString() for k in ("_lf_file", order_col)}
+    head = df.sparkSession.createDataFrame(heads, f"_h_file {kinds['_lf_file']}, _h_at {kinds[order_col]}")
+    if len(heads) <= BROADCAST_CELLS:
+        head = F.broadcast(head)
+    same = F.col("_lf_file").eqNullSafe(F.col("_h_file")) & (F.col(f"`{order_col}`") == F.col("_h_at"))
+    placed = by_place(tagged.join(head, same, "left_anti"), "_lf_file", places, list(names))
+    return placed.select(*[F.col(f"`{c}`") for c in [*lineage, *names]])
+
+
+def make_names(names: list[str]) -> list[str]:
     """Syntactic, unique column names (make.names(unique = TRUE))."""
     import re
     out, seen = [], {}

@@ -1,17 +1,18 @@
 """Incremental intake of loss-run files with Structured Streaming.
 
-Bordereaux arrive as files in a landing folder. A file stream reads them
-as all-text CSV with per-file lineage, standardises every row, and applies
-the row-local rules (everything except the set-based duplicate,
-multi-row and outlier rules, which need the whole run and stay in the batch
+Bordereaux arrive as files in a landing folder. The stream lists new files only; each
+micro-batch reads its own files as the batch intake does: by each file's dialect and header,
+so a column's values are found by its name wherever the file keeps it, quoted line breaks
+included. It standardises every row and applies the row-local rules (everything except the
+set-based duplicate, multi-row and outlier rules, which need the whole run and stay in the batch
 plan). Each micro-batch writes its issues into a folder of its own,
-``batch_id=<n>``, replacing whatever an earlier try left there. A batch that is
-replayed after a failure between its write and its commit reads the same
-files again and so leaves the same rows once.
+``batch_id=<n>``, and its rejected records into one beside it (``<out_path>-rejects``),
+replacing whatever an earlier try left there. A batch that is replayed after a failure
+between its write and its commit reads the same files again and so leaves the same rows once.
 
 Rows are identified by ``(source_file, row_hash)``: a stream has no global
 row order to number, and the hash of the raw cells is stable on replay. Equal
-rows of one file share that identity.
+rows of one file share that identity. Files without a header line are passed over.
 """
 
 from __future__ import annotations
@@ -20,25 +21,33 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lossframe.operators.numbering import FILE
 from lossframe.operators.rules import RuleConfig, rule_elements
 from lossframe.operators.standardize import standardize
+from lossframe.sources.csv_intake import by_place, csv_files, csv_records, csv_rows
 
 ROW_LOCAL_ONLY = dict(rule_duplicates=False, rule_multi_rows_per_claim=False, rule_paid_outliers=False)
 
 
-def text_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+def landing_files(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """Streaming list of the files in a folder (path); their contents are not read."""
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+            .option("maxFilesPerTrigger", max_files_per_trigger).load(folder).select("path"))
 
 
-def read_landing(spark: SparkSession, folder: str, columns: list[str], max_files_per_trigger: int = 100) -> DataFrame:
-    """Streaming CSV read (header row, all text, empty and 'NA' as NULL) with lineage."""
-    raw = (spark.readStream.schema(text_schema(columns)).option("header", True)
-           .option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
-    cells = [F.when(F.col(f"`{c}`") == "NA", F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in columns]
-    return raw.select(*cells, F.col("_metadata.file_name").alias("_file"))
+def read_landed(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame] | None:
+    """(rows with ``columns`` by name, in any case, and ``_file``; rejected records) of landed CSV files; a column that a file
+    lacks is NULL. None if no file has a header."""
+    try:
+        files = csv_files(spark, paths)
+    except ValueError:
+        return None
+    wanted = {c.lower(): c for c in columns}
+    places = {f.tag: {wanted[n.lower()]: i for i, n in enumerate(f.names) if n.lower() in wanted} for f in files}
+    rows = by_place(csv_rows(spark, files), FILE, places, columns)
+    rejects = csv_records(spark, files).where("rejected IS NOT NULL").select("source_file", "reason", F.col("rejected").alias("record"))
+    return rows.select(*[F.col(f"`{c}`") for c in columns], F.col("source_file").alias("_file")), rejects
 
 
 def stream_issues(raw: DataFrame, mapping: dict[str, str], cfg: RuleConfig | None = None, locale: str = "AU",
@@ -57,13 +66,17 @@ def stream_issues(raw: DataFrame, mapping: dict[str, str], cfg: RuleConfig | Non
 
 def start(spark: SparkSession, folder: str, columns: list[str], mapping: dict[str, str], out_path: str,
           checkpoint_location: str, cfg: RuleConfig | None = None, locale: str = "AU", tenant_id: str = "",
-          available_now: bool = True):
-    """Run the intake stream; issues go to ``out_path`` as Parquet, partitioned by ``batch_id``."""
-    issues = stream_issues(read_landing(spark, folder, columns), mapping, cfg, locale, tenant_id)
-
+          available_now: bool = True, max_files_per_trigger: int = 100):
+    """Run the intake stream; issues go to ``out_path`` as Parquet, partitioned by ``batch_id``, rejects to ``<out_path>-rejects``."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-
-    w = issues.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
+        paths = sorted(r["path"] for r in batch.collect())  # at most max_files_per_trigger
+        landed = read_landed(spark, paths, columns) if paths else None
+        if landed is None:
+            return
+        rows, rejects = landed
+        stream_issues(rows, mapping, cfg, locale, tenant_id).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        rejects.write.mode("overwrite").parquet(f"{out_path}-rejects/batch_id={batch_id}")
+
+    w = landing_files(spark, folder, max_files_per_trigger).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
