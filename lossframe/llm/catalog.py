@@ -64,7 +64,7 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"), percent=90, min_words=3)
+    return line_report(table(spark, sf_dir, "documents"), percent=90, min_words=1)
 
 
 #: Pruning factor of the search (1 is exact). Recall on the larger check table (64 dimensions): 1.0 up to 2,

@@ -2,7 +2,8 @@ r"""Near-duplicate lines by an exact set-similarity join, in DataFrame functions
 
 A line (\n-split) is the set of its words. A word's place in the global order
 is its rarity, then its hash; rarity is the frequency of its hash bucket over
-all documents in half powers of two, from a table of fixed size. Lines with equal sets are one
+all documents in half powers of two, from a table of fixed size (four million
+buckets, so that a rare word seldom shares one with a frequent word). Lines with equal sets are one
 class with the first occurrence in front. Two sets at the similarity share a
 word among their rarest ones; classes meet on those prefix words, within the
 size bounds, and only where the words that can still follow reach the needed
@@ -10,9 +11,10 @@ overlap (positional filter) and the sets' 64-bit sketches, one bit a word, do
 not differ in more bits than the sets may differ in words.
 
 A line goes if an earlier line of the corpus has the similarity, whether that
-one is kept or not. So one witness is enough: first every class is held
-against the earliest one of each of its prefix words (linear in the group);
-only what that leaves is joined with all earlier ones. Every pair is verified
+one is kept or not. So one witness is enough: under the frequent prefix words
+every class is first held against the earliest one of the word (linear in the
+group); what that leaves is joined with all earlier ones, from one exchange of
+the prefix words. A word that is not frequent has a bounded group. Every pair is verified
 on the full sets.
 
 Defined cases: null text counts as empty; lines of fewer than ``min_words``
@@ -23,47 +25,59 @@ table gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossframe.llm.common import id_and_text
-from lossframe.session import persist_table
+from lossframe.session import persist_table, release_tables, stored_tables
 
 #: Hash buckets of the frequency table: its size is fixed, one byte each, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 22
+#: Runs of buckets that one row of the table's making holds.
+RUN = 4096
+#: A prefix word of this level (it occurs 512 times or oftener) is frequent.
+FREQUENT = 19
 #: A 64-bit sketch of a word set: each word sets the bit that six bits of its hash name.
 SKETCH = "aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST(shiftright(x, {shift}) & 63 AS INT)))"
-WORD_BREAK = "[ \\u0009-\\u000D]+"  # SQL turns the escapes into the characters
-
-
-def frequency_levels(docs: DataFrame) -> bytes:
-    """One byte for each hash bucket: the frequency of its words over all documents, in half powers of two."""
-    words = docs.select(F.explode(F.expr(f"split(text, '{WORD_BREAK}')")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.expr(f"CAST(pmod(xxhash64(w), {BUCKETS}) AS INT)").alias("bucket")).count().collect()
-    levels = bytearray([1]) * BUCKETS
-    for r in counts:  # at most BUCKETS rows
-        levels[r.bucket] = min(127, 1 + int(2 * math.log2(r["count"])))
-    return bytes(levels)
-
-
-def ordered_words(line: str, levels: bytes) -> Column:
-    """The set of a line's words as ascending longs: level of frequency in the upper bits, then the hash."""
-    level = f"ascii(CAST(substring(X'{levels.hex()}', CAST(pmod(h, {BUCKETS}) AS INT) + 1, 1) AS STRING))"
-    return F.expr(f"""sort_array(array_distinct(transform(
-        transform(filter(split({line}, '{WORD_BREAK}'), w -> w <> ''), w -> xxhash64(w)),
-        h -> shiftleft(CAST({level} AS BIGINT), 56) | shiftrightunsigned(h, 8))))""")
-
-
-def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tuple[DataFrame, DataFrame]:
+#: Words are split at single blanks, for which Java needs no pattern; the other breaks become blanks first.
+WORDS = "split(translate({text}, '\\u0009\\u000A\\u000B\\u000C\\u000D', '     '), ' ')"  # SQL turns the escapes into the characters
+
+
+def frequency_levels(docs: DataFrame) -> DataFrame:
+    """One row: a byte for each hash bucket, the frequency of its words over all documents in half powers of two."""
+    words = docs.select(F.explode(F.expr(WORDS.format(text="text"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.expr(f"CAST(pmod(xxhash64(w), {BUCKETS}) AS INT)").alias("bucket")).count()
+    known = counts.select(F.expr(f"bucket div {RUN}").cast("int").alias("run"), F.expr(f"bucket % {RUN}").alias("at"),
+                          F.expr("CAST(least(127, 1 + floor(2 * log2(count))) AS TINYINT)").alias("level"))
+    every = docs.sparkSession.range(BUCKETS // RUN).select(F.col("id").cast("int").alias("run"))
+    runs = every.join(known.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("at", "level"))).alias("own")), "run", "left")
+    one = "CAST(1 AS TINYINT)"
+    # own buckets in order, ones between them and behind the last
+    dense = F.expr(f"""IF(own IS NULL, array_repeat({one}, {RUN}), concat(
+        flatten(transform(own, (x, i) -> concat(array_repeat({one}, x.at - IF(i = 0, 0, get(own, i - 1).at + 1)), array(x.level)))),
+        array_repeat({one}, {RUN} - 1 - element_at(own, -1).at)))""")
+    table = runs.select("run", dense.alias("levels")).agg(F.array_sort(F.collect_list(F.struct("run", "levels"))).alias("r"))
+    return persist_table(table.select(F.flatten(F.col("r.levels")).alias("levels")), "levels")
+
+
+def ordered_words(df: DataFrame, line: str, levels: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and w: the set of a line's words as ascending longs, level of frequency in the upper bits, then the hash."""
+    hashed = df.select(*keep, F.expr(f"array_remove(array_distinct(transform({WORDS.format(text=line)}, w -> xxhash64(w))), "
+                                     "xxhash64(''))").alias("h"))
+    # the table is a scalar subquery, read once a query; the optimizer moves it into the function, so no row carries it
+    hashed = hashed.withColumn("_levels", levels.scalar())
+    return hashed.select(*keep, F.sort_array(F.transform("h", lambda h: F.shiftleft(
+        F.get("_levels", F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))).alias("w"))
+
+
+def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """(lines: doc_id, line, n, k1, k2; removed: doc_id, line, similar) of the documents with an id.
 
     ``similar`` is false where the line's set itself stands earlier.
     """
     levels = frequency_levels(docs)
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    words = split.select("doc_id", "line", ordered_words("s", levels).alias("w"))
+    words = ordered_words(split, "s", levels, "doc_id", "line")
     n = F.size("w")
     # a set's most alike other set has one word more; where that is too little, only equal sets count
     size = n.cast("long")  # products of sizes are longs: no size is capped
@@ -79,28 +93,35 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 3) -> tup
     classes = persist_table(own.groupBy(*key).agg(F.min(F.struct("doc_id", "line", "n")).alias("first"),
                                                   F.any_value("prefix").alias("prefix"),
                                                   F.any_value("bits").alias("bits")), "classes")
-    placed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
-                            F.col("first.n").cast("long").alias("n"), "bits", F.posexplode("prefix").alias("pos", "t"))
-    shared = placed.select("t", "doc_id", "line", "n", "pos", "bits")
-
-    lead = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos", "bits")).alias("e"))
-    first = persist_table(_candidates(shared, lead.select("t", "e.*"), percent), "pairs")
-    found = persist_table(_verified(docs, first, levels, percent), "similar")
-    rest = shared.join(found, ["doc_id", "line"], "left_anti")
-    more = persist_table(_candidates(rest, shared, percent).join(
-        first, ["doc_id", "line", "e_doc", "e_line"], "left_anti"), "pairs")
-    found = found.union(_verified(docs, more, levels, percent)).distinct()
+    heads = classes.where(F.size("prefix") > 0).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
+                                                       F.col("first.n").cast("long").alias("n"), "bits", "prefix")
+
+    def spread(df: DataFrame, *more: str) -> DataFrame:
+        # a word whose bucket holds one occurrence is in no other line
+        return (df.select("doc_id", "line", "n", "bits", *more, F.posexplode("prefix").alias("pos", "t"))
+                .where(F.shiftrightunsigned("t", 56) > 1))
+
+    often = spread(heads.where(F.exists("prefix", lambda t: F.shiftrightunsigned(t, 56) >= FREQUENT))).where(
+        F.shiftrightunsigned("t", 56) >= FREQUENT)
+    lead = often.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos", "bits")).alias("e"))
+    pairs = _pairs(often, lead.select("t", "e.*"), percent).distinct()
+    found = _verified(docs, persist_table(pairs, "pairs"), levels, percent)
+    # both sides of the join are one exchange: they differ in nothing, and ``late`` is judged with a column of the other side
+    open_ = heads.join(found.withColumn("hit", F.lit(True)), ["doc_id", "line"], "left").withColumn(
+        "late", F.when(F.col("hit"), 0).otherwise(1)).drop("hit")
+    every = spread(open_, "late")
+    pairs = _pairs(every, every, percent, " AND a.late * 2 > e.late").distinct()
+    found = found.union(_verified(docs, persist_table(pairs, "pairs"), levels, percent))
 
     front = classes.select(*key, F.col("first.doc_id").alias("f_doc"), F.col("first.line").alias("f_line"))
-    met = own.select("doc_id", "line", *key).join(front, key)
     gone = found.select(F.col("doc_id").alias("f_doc"), F.col("line").alias("f_line"), F.lit(True).alias("hit"))
-    removed = (met.join(gone, ["f_doc", "f_line"], "left")
-               .withColumn("again", (F.col("doc_id") != F.col("f_doc")) | (F.col("line") != F.col("f_line")))
+    met = own.select("doc_id", "line", *key).join(front.join(gone, ["f_doc", "f_line"], "left"), key)
+    removed = (met.withColumn("again", (F.col("doc_id") != F.col("f_doc")) | (F.col("line") != F.col("f_line")))
                .where("again OR hit").select("doc_id", "line", (~F.col("again")).alias("similar")))
     return lines.select("doc_id", "line", "n", *key), removed
 
 
-def _candidates(late: DataFrame, early: DataFrame, percent: int) -> DataFrame:
+def _pairs(late: DataFrame, early: DataFrame, percent: int, more: str = "") -> DataFrame:
     """doc_id, line, e_doc, e_line: pairs that meet on a prefix word and pass the size and positional filters.
 
     Of two sets the smaller one needs only its first n - ceil(2 t / (1 + t) n) + 1 words; t = percent / 100.
@@ -108,30 +129,33 @@ def _candidates(late: DataFrame, early: DataFrame, percent: int) -> DataFrame:
     a, e, s = late.alias("a"), early.alias("e"), 100 + percent
     need = f"(({percent} * (a.n + e.n) + {s - 1}) div {s})"  # different sets of one size share less than all
     return (a.join(e, F.expr(f"""
-        a.t = e.t AND (e.doc_id < a.doc_id OR (e.doc_id = a.doc_id AND e.line < a.line))
+        a.t = e.t AND (e.doc_id < a.doc_id OR (e.doc_id = a.doc_id AND e.line < a.line)){more}
         AND 100 * least(a.n, e.n) >= {percent} * greatest(a.n, e.n)
         AND IF(a.n < e.n, a.pos, e.pos) <= least(a.n, e.n) - ((2 * {percent} * least(a.n, e.n) + {s - 1}) div {s})
         AND {need} <= least(a.n, e.n) - IF(a.n = e.n, 1, 0)
         AND 1 + least(a.n - a.pos - 1, e.n - e.pos - 1) >= {need}
         AND bit_count(a.bits ^ e.bits) <= a.n + e.n - 2 * {need}"""))
-        .select("a.doc_id", "a.line", F.col("e.doc_id").alias("e_doc"), F.col("e.line").alias("e_line")).distinct())
+        .select("a.doc_id", "a.line", F.col("e.doc_id").alias("e_doc"), F.col("e.line").alias("e_line")))
 
 
 #: Lines whose numbers are broadcast to find their texts (at most some 30 MB); beyond it the texts are shuffled to them.
 BROADCAST_LINES = 500_000
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """doc_id, line of the later ones of the pairs whose full sets have the similarity."""
+def _verified(docs: DataFrame, pairs: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
+    """doc_id, line of the later ones of the (stored) pairs whose full sets have the similarity; stored, what it takes is released."""
+    spark = docs.sparkSession
+    held = pairs.inputFiles()
+    before = set(stored_tables(spark))
     needed = persist_table(pairs.select("doc_id", "line").union(pairs.select("e_doc", "e_line")).distinct(), "needed")
     every = F.posexplode(F.split("text", "\n")).alias("line", "s")
     if needed.count() <= BROADCAST_LINES:
         own = docs.join(F.broadcast(needed.select("doc_id").distinct()), "doc_id")
-        found = own.select("doc_id", every).join(F.broadcast(needed), ["doc_id", "line"])
+        lines = own.select("doc_id", every).join(F.broadcast(needed), ["doc_id", "line"])
     else:
         by_doc = needed.groupBy("doc_id").agg(F.collect_set("line").alias("own"))  # bounded by the document
-        found = docs.join(by_doc, "doc_id").select("doc_id", "own", every).where(F.array_contains("own", F.col("line")))
-    words = found.select("doc_id", "line", ordered_words("s", levels).alias("w"))
+        lines = docs.join(by_doc, "doc_id").select("doc_id", "own", every).where(F.array_contains("own", F.col("line")))
+    words = ordered_words(lines, "s", levels, "doc_id", "line")
     sets = persist_table(words.withColumn("bits", F.expr(SKETCH.format(shift=6))).withColumn("n", F.size("w").cast("long")), "sets")
     early = ["e_doc", "e_line"]
     light = sets.select("doc_id", "line", "n", "bits")
@@ -143,14 +167,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: bytes, percent: int) ->
     full = sets.select("doc_id", "line", "w")
     both = near.join(full.withColumnRenamed("w", "a"), ["doc_id", "line"]).join(full.toDF("e_doc", "e_line", "e"), early)
     i = F.size(F.array_intersect("a", "e")).cast("long")
-    return (both.where(100 * i >= percent * (F.size("a") + F.size("e") - i)).select("doc_id", "line").distinct())
+    out = persist_table(both.where(100 * i >= percent * (F.size("a") + F.size("e") - i)).select("doc_id", "line").distinct(), "similar")
+    mine = [p for p in stored_tables(spark) if (p not in before and "/similar-" not in p) or any(f"{p.split('/')[-1]}/" in x for x in held)]
+    release_tables(spark, mine)
+    return out
 
 
 def _with_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
 
 
-def line_report(docs: DataFrame, percent: int = 90, min_words: int = 3, id_col: str = "doc_id",
+def line_report(docs: DataFrame, percent: int = 90, min_words: int = 1, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_equal, n_similar, removed_lines (numbers from 0, comma-joined) of every document."""
     lines, removed = similar_lines(_with_id(docs, id_col, text_col), percent, min_words)
@@ -167,7 +194,7 @@ def line_report(docs: DataFrame, percent: int = 90, min_words: int = 3, id_col:
         .unionByName(none))
 
 
-def drop_lines(docs: DataFrame, percent: int = 90, min_words: int = 3, length_col: str | None = "n_chars") -> DataFrame:
+def drop_lines(docs: DataFrame, percent: int = 90, min_words: int = 1, length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` (doc_id, text, any others) without the later lines; documents that lose their last word go.
 
     The length column, if any, is renewed where the text changes. A null text and rows without an id stay as they are.

@@ -9,7 +9,7 @@ from lossframe.llm.line_dedup import drop_lines, line_report
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def brute(texts, percent=90, min_words=3):
+def brute(texts, percent=90, min_words=1):
     """doc_id -> (lines, {removed line: similar?})."""
     order = [(i, k, frozenset(WORD.findall(s))) for i in sorted(texts) for k, s in enumerate((texts[i] or "").split("\n"))]
     out = {i: (len((texts[i] or "").split("\n")), {}) for i in texts}
@@ -59,6 +59,8 @@ def test_query_equals_brute_force(spark, make_docs, sf, corpus):
     want = {i: (n, sum(not s for s in g.values()), sum(g.values()), ",".join(map(str, sorted(g))))
             for i, (n, g) in brute(corpus).items()}
     assert got == want and len(rows) == len(corpus)
+    again = line_report(docs, percent=90, min_words=3).collect()  # shorter lines stay
+    assert {r.doc_id: r.removed_lines for r in again} == {i: ",".join(map(str, sorted(g))) for i, (_, g) in brute(corpus, 90, 3).items()}
     assert sum(w[2] for w in want.values()) > 30
 
 
@@ -91,11 +93,11 @@ def test_no_python_in_the_plan(make_docs, capsys):
 def test_lines_of_over_a_million_words(spark):
     """Two lines of 1,140,000 words at exactly 0.9, whose own words are the rarest: they meet late in their prefixes."""
     own, common = 60_000, 18 * 60_000
-    low = "pmod(xxhash64(w), 65536) < 32768"  # buckets of their own, so that all own words come first
+    low = "pmod(xxhash64(w), 4194304) < 2097152"  # buckets of their own, so that all own words come first
     words = spark.range(3_000_000).selectExpr("concat('w', id) AS w")
     rare = words.where(low).limit(2 * own).selectExpr("collect_list(w) AS w")
     rest = words.where(f"NOT {low}").limit(common).selectExpr("array_join(collect_list(w), ' ') AS text")
     docs = rare.crossJoin(rest).selectExpr(f"stack(2, 1L, array_join(slice(w, 1, {own}), ' ') || ' ' || text, "
                                            f"2L, array_join(slice(w, {own} + 1, {own}), ' ') || ' ' || text) AS (doc_id, text)")
-    rows = {r.doc_id: r.removed_lines for r in line_report(docs.localCheckpoint()).collect()}
+    rows = {r.doc_id: r.removed_lines for r in line_report(docs.checkpoint()).collect()}
     assert rows == {1: "", 2: "0"}
