@@ -14,7 +14,7 @@ A line goes if an earlier line of the corpus has the similarity, whether that
 one is kept or not. So one witness is enough: under the frequent prefix words
 every class is first held against the earliest one of the word (linear in the
 group); what that leaves is joined with all earlier ones, from one exchange of
-the prefix words. A word that is not frequent has a bounded group. Every pair is verified
+the prefix words. Every pair is verified
 on the full sets.
 
 Defined cases: null text counts as empty; lines of fewer than ``min_words``
@@ -38,15 +38,21 @@ RUN = 4096
 #: A prefix word of this level (it occurs 512 times or oftener) is frequent.
 FREQUENT = 19
 #: A 64-bit sketch of a word set: each word sets the bit that six bits of its hash name.
-SKETCH = "aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST(shiftright(x, {shift}) & 63 AS INT)))"
-#: Words are split at single blanks, for which Java needs no pattern; the other breaks become blanks first.
-WORDS = "split(translate({text}, '\\u0009\\u000A\\u000B\\u000C\\u000D', '     '), ' ')"  # SQL turns the escapes into the characters
+SKETCH = "aggregate(w, 0L, (s, x) -> s | shiftleft(1L, CAST({of} & 63 AS INT)))"
+FIRST_BITS, SECOND_BITS = SKETCH.format(of="x"), SKETCH.format(of="shiftright(x, 6)")
+
+
+def words_of(text: str) -> str:
+    """SQL of the words of a text, empty ones among them: all breaks become blanks, for which Java needs no pattern to split."""
+    for code in ("000A", "0009", "000B", "000C", "000D"):
+        text = f"replace({text}, '\\u{code}', ' ')"  # SQL turns the escapes into the characters
+    return f"split({text}, ' ')"
 
 
 def frequency_levels(docs: DataFrame) -> DataFrame:
     """One row: a byte for each hash bucket, the frequency of its words over all documents in half powers of two."""
-    words = docs.select(F.explode(F.expr(WORDS.format(text="text"))).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.expr(f"CAST(pmod(xxhash64(w), {BUCKETS}) AS INT)").alias("bucket")).count()
+    words = docs.select(F.explode(F.expr(words_of("text"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.expr(f"CAST(xxhash64(w) & {BUCKETS - 1} AS INT)").alias("bucket")).count()
     known = counts.select(F.expr(f"bucket div {RUN}").cast("int").alias("run"), F.expr(f"bucket % {RUN}").alias("at"),
                           F.expr("CAST(least(127, 1 + floor(2 * log2(count))) AS TINYINT)").alias("level"))
     every = docs.sparkSession.range(BUCKETS // RUN).select(F.col("id").cast("int").alias("run"))
@@ -62,12 +68,12 @@ def frequency_levels(docs: DataFrame) -> DataFrame:
 
 def ordered_words(df: DataFrame, line: str, levels: DataFrame, *keep: str) -> DataFrame:
     """``keep`` and w: the set of a line's words as ascending longs, level of frequency in the upper bits, then the hash."""
-    hashed = df.select(*keep, F.expr(f"array_remove(array_distinct(transform({WORDS.format(text=line)}, w -> xxhash64(w))), "
+    hashed = df.select(*keep, F.expr(f"array_remove(array_distinct(transform({words_of(line)}, w -> xxhash64(w))), "
                                      "xxhash64(''))").alias("h"))
     # the table is a scalar subquery, read once a query; the optimizer moves it into the function, so no row carries it
     hashed = hashed.withColumn("_levels", levels.scalar())
     return hashed.select(*keep, F.sort_array(F.transform("h", lambda h: F.shiftleft(
-        F.get("_levels", F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))).alias("w"))
+        F.get("_levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))).alias("w"))
 
 
 def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +90,7 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> tup
     pairs_up = (n >= min_words) & (100 * size >= percent * (size + 1))
     prefix = F.slice("w", F.lit(1), F.when(pairs_up, n - F.ceil(size * percent / 100).cast("int") + 1).otherwise(0))
     # a bit for each word: sets differ in at least as many words as their bits do
-    bits = F.when(pairs_up, F.expr(SKETCH.format(shift=0)))
+    bits = F.when(pairs_up, F.expr(FIRST_BITS))
     lines = persist_table(words.select("doc_id", "line", n.alias("n"), F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"),
                                        prefix.alias("prefix"), bits.alias("bits")), "lines")
 
@@ -97,9 +103,7 @@ def similar_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> tup
                                                        F.col("first.n").cast("long").alias("n"), "bits", "prefix")
 
     def spread(df: DataFrame, *more: str) -> DataFrame:
-        # a word whose bucket holds one occurrence is in no other line
-        return (df.select("doc_id", "line", "n", "bits", *more, F.posexplode("prefix").alias("pos", "t"))
-                .where(F.shiftrightunsigned("t", 56) > 1))
+        return df.select("doc_id", "line", "n", "bits", *more, F.posexplode("prefix").alias("pos", "t"))
 
     often = spread(heads.where(F.exists("prefix", lambda t: F.shiftrightunsigned(t, 56) >= FREQUENT))).where(
         F.shiftrightunsigned("t", 56) >= FREQUENT)
@@ -156,7 +160,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: DataFrame, percent: int
         by_doc = needed.groupBy("doc_id").agg(F.collect_set("line").alias("own"))  # bounded by the document
         lines = docs.join(by_doc, "doc_id").select("doc_id", "own", every).where(F.array_contains("own", F.col("line")))
     words = ordered_words(lines, "s", levels, "doc_id", "line")
-    sets = persist_table(words.withColumn("bits", F.expr(SKETCH.format(shift=6))).withColumn("n", F.size("w").cast("long")), "sets")
+    sets = persist_table(words.withColumn("bits", F.expr(SECOND_BITS)).withColumn("n", F.size("w").cast("long")), "sets")
     early = ["e_doc", "e_line"]
     light = sets.select("doc_id", "line", "n", "bits")
     # a second sketch, from other bits, before the full sets are moved
