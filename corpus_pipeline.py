@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that stand earlier in the corpus, alike to 0.9; documents that lose their last word go."""
-    return drop_lines(docs, percent=90, min_words=3)
+    return drop_lines(docs, percent=90, min_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
