@@ -68,13 +68,18 @@ def test_lower_similarity_and_shuffled_texts(make_docs, corpus, monkeypatch):
     from lossframe.llm import line_dedup
 
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 16)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 5)  # most words go through the witness step
     few = dict(list(corpus.items())[:70])
     rows = line_report(make_docs(list(few.items())), percent=75, min_words=1).collect()
     want = brute(few, 75, 1)
     assert {r.doc_id: r.removed_lines for r in rows} == {i: ",".join(map(str, sorted(g))) for i, (_, g) in want.items()}
 
 
-def test_drop_lines_and_cases(make_docs):
+def test_drop_lines_and_cases(make_docs, monkeypatch):
+    from lossframe.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 16)
     docs = make_docs([(1, "a b c d\nown line of one"), (2, "a b c d\nx"), (3, "a b c d"), (None, "a b c d"), (4, None),
                       (5, ""), (2, "a b c d\nx")])
     out = drop_lines(docs)

@@ -112,3 +112,11 @@ def test_empty_and_null(spark, make_docs, sf):
     rows = P.run(spark, sf(documents=docs, labels=labels)).collect()
     assert {r.doc_id for r in rows} == {3}
     assert P.run(spark, sf(documents=docs.limit(0), labels=labels)).count() == 0
+
+
+@pytest.fixture(autouse=True)
+def small_rarity_table(monkeypatch):
+    """The rarity table only orders the work; a small one is made faster (test_line_dedup.py has the full one)."""
+    from lossframe.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 16)
