@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossframe.llm.common import LOWER, Hasher, map_arrow, mix, text_buffers
+from lossframe.llm.common import LOWER, map_arrow, mix, string_hashes, text_buffers
 from lossframe.session import persist_table
 
 MAX_WORDS = 5
@@ -102,7 +102,7 @@ class Chunk:
 
 def hash_words(words: pa.Array) -> np.ndarray:
     raw, offs = text_buffers(words)
-    return Hasher(raw)(offs[:-1], offs[1:]) if len(words) else np.zeros(0, np.uint64)
+    return string_hashes(raw, offs[:-1], offs[1:])
 
 
 def lang_hashes(langs: pa.Array) -> np.ndarray:

@@ -111,6 +111,64 @@ class Hasher:
         return mix((self._prefix[end] - self._prefix[start]) * self._inv[start])
 
 
+# ---------------------------------------------------------------------------
+# Hashes of whole strings: no sum over positions is linear in the bytes, so that no family of strings is known to meet
+# ---------------------------------------------------------------------------
+
+#: Bytes whose terms are held at once.
+HASH_BLOCK = 1 << 17
+
+
+def string_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = BASES[0]) -> np.ndarray:
+    """64-bit hashes of the strings raw[start:end], which stand one behind the other without overlap.
+
+    The sum mod 2**64 of one mixed term for each (place in the string, byte), finished with the length. A polynomial
+    mod 2**64 (``Hasher``) is the same for certain strings of 1,024 bytes and more whatever its base is, so it
+    is left to windows of bounded length. Memory is a block of terms beside 16 bytes a string.
+    """
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.uint64)
+    at_start, at_end = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # sums of all terms before either bound
+    total = np.zeros(1, np.uint64)
+    first, last = int(start[0]), int(end[-1])
+    for lo in range(first, last, HASH_BLOCK):
+        hi = min(lo + HASH_BLOCK, last)
+        s0, s1 = np.searchsorted(start, (lo, hi))  # strings that begin in this block
+        heads = start[s0:s1]
+        origin = np.concatenate([start[max(s0 - 1, 0):max(s0, 1)], heads])
+        place = np.arange(lo, hi, dtype=np.int64)
+        place -= np.repeat(origin, np.diff(np.concatenate([[lo], heads, [hi]])))
+        key = place.view(np.uint64)
+        key <<= np.uint64(8)
+        key |= raw[lo:hi]
+        key += np.uint64(1)
+        key *= np.uint64(seed)
+        sums = np.concatenate([total, mix(key)])
+        np.cumsum(sums, out=sums)
+        at_start[s0:s1] = sums[heads - lo]
+        e0, e1 = np.searchsorted(end, (lo, hi), side="right")  # bounds in lo + 1 .. hi
+        at_end[e0:e1] = sums[end[e0:e1] - lo]
+        total = sums[-1:]
+    size = end - start
+    full = size > 0  # an empty string may stand outside every block
+    out = np.where(full, at_end - at_start, np.uint64(0))
+    return mix(out + size.astype(np.uint64) * np.uint64(seed))
+
+
+def window_hashes(values: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of values[start:start + length] (64-bit values, short windows), mixed anew after every value."""
+    length = np.broadcast_to(np.asarray(length), start.shape)
+    out = length.astype(np.uint64)
+    for k in range(int(length.max(initial=0))):
+        inside = length > k
+        if inside.all():
+            out = mix(out * np.uint64(BASES[1]) + values[start + k])
+        else:
+            out[inside] = mix(out[inside] * np.uint64(BASES[1]) + values[start[inside] + k])
+    return out
+
+
 # ---------------------------------------------------------------------------
 # Words: [^\x20\x09-\x0D]+
 # ---------------------------------------------------------------------------

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossframe.llm.common import BASES, Hasher, id_and_text, map_arrow, slices, text_buffers, word_bounds
+from lossframe.llm.common import id_and_text, map_arrow, slices, string_hashes, text_buffers, window_hashes, word_bounds
 from lossframe.llm.crf import Crf, train
 
 #: Labelled documents of each class that training reads, and lines of each class.
@@ -56,9 +56,9 @@ _NOT_CONTINUED = np.arange(256) & 0xC0 != 0x80  # every byte that begins a code
 
 
 def _sums(flag: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(flag) + 1, np.int64)
+    total = np.zeros(len(flag) + 1, np.int64 if len(flag) >= 1 << 31 else np.int32)
     np.cumsum(flag, out=total[1:])
-    return total[end] - total[start]
+    return (total[end] - total[start]).astype(np.int64)
 
 
 def line_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ class TextStats:
         n_docs = len(offs) - 1
         start, end, doc = word_bounds(raw, offs)
         self.n_words = np.bincount(doc, minlength=n_docs)
-        word = Hasher(raw, BASES[0])(start, end) if len(start) else np.zeros(0, np.uint64)
+        word = string_hashes(raw, start, end)
         chars = _sums(_NOT_CONTINUED[raw], start, end)
         self.word_chars = np.bincount(doc, chars, minlength=n_docs).astype(np.int64)
         self.n_symbols = _sums(_SYMBOL[raw], offs[:-1], offs[1:])
@@ -110,8 +110,7 @@ class TextStats:
         ls, le, ld = line_bounds(raw, offs)
         line_of_word = np.searchsorted(ls, start, side="right") - 1
         words = np.bincount(line_of_word, minlength=len(ls))
-        text = Hasher(raw, BASES[1])(ls, le) if len(ls) else np.zeros(0, np.uint64)
-        before = _repeats_earlier(ld, text) & (words > 0)
+        before = _repeats_earlier(ld, string_hashes(raw, ls, le)) & (words > 0)
         self.n_dup_lines = np.bincount(ld, before, minlength=n_docs).astype(np.int64)
         same = np.zeros(len(word), bool)
         same[1:] = (word[1:] == word[:-1]) & (line_of_word[1:] == line_of_word[:-1])
@@ -141,7 +140,7 @@ class TextStats:
         if len(word) < WINDOW:
             return np.zeros(n_docs, np.int64)
         at = np.flatnonzero(doc[WINDOW - 1:] == doc[:len(doc) - WINDOW + 1])
-        key, of = Hasher(word, BASES[1])(at, at + WINDOW), doc[at]
+        key, of = window_hashes(word, at, WINDOW), doc[at]
         order = np.lexsort((key, of))
         twin = (key[order[1:]] == key[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
         found = np.zeros(len(at), bool)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from lossframe.llm.common import BASES, LOWER, Hasher, mix, word_bounds
+from lossframe.llm.common import BASES, LOWER, mix, string_hashes, window_hashes, word_bounds
 
 
 def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document index) of every word, A-Z lower-cased."""
     start, end, doc = word_bounds(raw, offs)
-    if not len(start):
-        return np.zeros(0, np.uint64), doc
-    return Hasher(LOWER[raw], BASES[0])(start, end), doc
+    return string_hashes(LOWER[raw], start, end), doc
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +28,7 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndar
     at = np.arange(len(words))
     starts = at[at + length <= (first + count)[doc]]
     of = doc[starts]
-    h = Hasher(words, BASES[1])(starts, starts + length[starts])
+    h = window_hashes(words, starts, length[starts])
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     fresh = np.ones(len(h), bool)
