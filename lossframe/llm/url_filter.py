@@ -77,6 +77,8 @@ def _term_counter(weights: dict[str, int]):
     """A function from a lower-cased url to (weight of its distinct terms, sorted terms)."""
     import ahocorasick
 
+    if not weights:  # nothing to look for
+        return lambda url: (0, [])
     machine = ahocorasick.Automaton()
     for term in weights:
         machine.add_word(term, term)

@@ -1,6 +1,7 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-Vectors are dealt evenly over shards of bounded size; each task builds the
+Vectors are dealt evenly over shards of bounded size, by a hash of id and
+components, so that a task that runs again deals alike; each task builds the
 trees of its shards and streams all queries through them in blocks. At a node
 the distance to the vantage point bounds the distance to everything in a child
 (triangle inequality): a child is skipped when ``relax`` times that bound
@@ -12,8 +13,11 @@ Defined cases: vectors that are null, empty, zero, or hold a null or
 non-finite component take no part; only vectors of a query's own length are
 its candidates; rows with the query's id are the query's own and no candidates; a
 repeated query id is searched once, with its smallest vector; other repeated
-rows are candidates each; ties go to the smaller id; no rows, no result;
-columns other than id and vector are not read.
+rows are candidates each (of equal rows, ``k`` are kept, which is all that a
+result can hold); ties go to the smaller id; distances whose squares pass the
+range of doubles are computed on scaled differences, and one that itself
+passes it is infinite and comes last; no rows, no result; columns other than
+id and vector are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,16 @@ QUERY_BLOCK = 128
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of every row of ``a`` to every row of ``b``, in double precision."""
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    with np.errstate(over="ignore"):
+        diff = a[:, None, :] - b[None, :, :]
+        out = np.sqrt((diff ** 2).sum(axis=2))
+        over = np.isinf(out)
+        if over.any():
+            far = np.abs(diff[over])
+            scale = far.max(axis=1)
+            real = np.isfinite(scale)  # a difference that is infinite itself is no nearer
+            out[over] = np.where(real, scale * np.sqrt(((far / np.where(real, scale, 1)[:, None]) ** 2).sum(axis=1)), np.inf)
+    return out
 
 
 class VpTree:
@@ -47,7 +60,7 @@ class VpTree:
     def _build(self, rows: np.ndarray):
         if len(rows) <= self._leaf:
             return rows
-        centre = self.vectors[rows].mean(axis=0, keepdims=True)
+        centre = (self.vectors[rows] / len(rows)).sum(axis=0, keepdims=True)
         vantage = int(np.argmax(distances(centre, self.vectors[rows])[0]))  # a point at the rim separates best
         v, rest = rows[vantage], np.delete(rows, vantage)
         d = distances(self.vectors[v:v + 1], self.vectors[rest])[0]
@@ -56,16 +69,15 @@ class VpTree:
         return (v, d[inner[-1]], d[outer[0]], d[outer[-1]], self._build(rest[inner]), self._build(rest[outer]))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids) of the k best of each query, by distance then id; missing ones at infinity."""
-        best = np.full((len(queries), k), np.inf)
+        """(distances, ids) of the k best of each query, by distance then id; missing ones NaN, which sorts last."""
+        best = np.full((len(queries), k), np.nan)
         best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
 
         def offer(q: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
             self.computed += d.size
-            d = np.where(ids[None, :] == own[q][:, None], np.inf, d)
+            d = np.where(ids[None, :] == own[q][:, None], np.nan, d)
             d = np.hstack([best[q], d])
             i = np.hstack([best_id[q], np.broadcast_to(ids, (len(q), len(ids)))])
-            i = np.where(np.isinf(d), np.iinfo(np.int64).max, i)
             order = np.lexsort((i, d), axis=-1)[:, :k]
             best[q], best_id[q] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
 
@@ -80,12 +92,14 @@ class VpTree:
             d = distances(queries[q], self.vectors[v:v + 1])
             offer(q, d, self.ids[v:v + 1])
             d = d[:, 0]
-            near = d <= (inner_hi + outer_lo) / 2
+            near = d <= inner_hi / 2 + outer_lo / 2
             visit(inner, q[near])
             visit(outer, q[~near])
-            to_outer, to_inner = np.maximum(outer_lo - d, d - outer_hi), d - inner_hi
-            visit(outer, q[near & (relax * to_outer <= best[q, -1])])
-            visit(inner, q[~near & (relax * to_inner <= best[q, -1])])
+            with np.errstate(invalid="ignore", over="ignore"):  # a bound that is no number skips nothing
+                to_outer, to_inner = np.maximum(outer_lo - d, d - outer_hi), d - inner_hi
+                skip_outer, skip_inner = relax * to_outer > best[q, -1], relax * to_inner > best[q, -1]
+            visit(outer, q[near & ~skip_outer])
+            visit(inner, q[~near & ~skip_inner])
 
         visit(self.root, np.arange(len(queries)))
         return best, best_id
@@ -109,9 +123,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float =
 
     rows = vectors.count()
     shards = max(1, -(-rows // shard_rows))
-    base = shaped(vectors).select(
-        F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(0).alias("is_query"), "vec_id", "v")
+    # equal rows meet first, summed up before the shuffle, so that no shard is filled by one row's copies
+    copies = shaped(vectors).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    base = copies.select(
+        F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("is_query"),
+        "vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("_copy")).drop("_copy")
     asked = (shaped(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
              .select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("is_query"),
                      "vec_id", "v"))
@@ -143,7 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float =
                     for at in range(0, len(asking), QUERY_BLOCK):
                         q = asking[at:at + QUERY_BLOCK]
                         d, i = trees[n].search(matrix(b.column(3), q), ids[q], k, relax)
-                        found = np.isfinite(d)
+                        found = ~np.isnan(d)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.repeat(ids[q], found.sum(axis=1))), pa.array(i[found]), pa.array(d[found])],
                             names=["query_id", "vec_id", "score"])

@@ -1,4 +1,5 @@
 from lossframe.llm import catalog
+from lossframe.llm.url_filter import SiteRule, Vocabulary, filter_urls
 
 URLS = {
     0: "https://WWW.Example.ORG/es/9?x=1", 1: "https://example.org/en/17", 2: "http://a.example.org/en/2",
@@ -32,3 +33,10 @@ def test_rules_and_vocabulary(spark, sf):
         15: (":", "//x", None, "allow"),
     }
     assert catalog.op4_url_filter(spark, sf(pages=pages.limit(0))).count() == 0
+
+
+def test_empty_vocabulary_and_no_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/casino"), (2, None)], "page_id long, url string")
+    rows = {r.page_id: r for r in filter_urls(pages, [SiteRule("a.org", "/c", "block")], Vocabulary((), ())).collect()}
+    assert (rows[1].verdict, rows[1].terms, rows[2].verdict, rows[2].term_weight) == ("block", "", "allow", 0)
+    assert {r.verdict for r in filter_urls(pages, [], Vocabulary((), ())).collect()} == {"allow"}

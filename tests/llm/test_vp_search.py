@@ -42,6 +42,32 @@ def test_exact_when_not_relaxed(spark, rows):
     assert got == brute(rows, [i for i, _ in rows if i is not None and i % 100 == 0])
 
 
+def test_distances_beyond_the_range_of_squares(spark):
+    far = [[1e200, 0.0], [-1e200, 0.0], [1e200, 1e200], [1.7e308, 1.0], [-1.7e308, 1.0], [3.0, 4.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(far)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df, k=10, shard_rows=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, v in enumerate(far):
+        want = sorted((math.hypot(v[0] - w[0], v[1] - w[1]), i) for i, w in enumerate(far) if i != q)
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+        for (_, d), (e, _) in zip(got[q], want):
+            assert d == e or abs(d - e) <= 1e-12 * e
+    tree = VpTree(np.arange(600), np.random.default_rng(3).normal(size=(600, 2)) * 1e200, leaf=16)
+    d, _ = tree.search(tree.vectors[:40], np.arange(40), 3, 1.0)
+    assert np.array_equal(d, np.sort(distances(tree.vectors[:40], tree.vectors), axis=1)[:, 1:4])
+
+
+def test_many_copies_of_one_row(spark):
+    df = spark.createDataFrame([(7, [1.0, 2.0])] * 3000 + [(i, [float(i), 0.0]) for i in range(10, 60)],
+                               "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in nearest(df, df.where("vec_id IN (7, 10)"), k=4, shard_rows=500).collect()]
+    assert sorted(r[:3] for r in got if r[0] == 10) == [(10, 1, 11), (10, 2, 12), (10, 3, 13), (10, 4, 14)]
+    assert sorted(r[:3] for r in got if r[0] == 7) == [(7, k, 9 + k) for k in (1, 2, 3, 4)]
+    near = [tuple(r)[:3] for r in nearest(df, df.where("vec_id = 12"), k=30, shard_rows=500).collect()]
+    assert sum(v == 7 for _, _, v in near) == 17 and len(near) == 30  # 10, 11 and 13 to 23 are nearer
+
+
 def test_query_recall_and_empty(spark, rows, sf):
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
     got = {tuple(r) for r in catalog.op7_vp_search(spark, sf(embeddings=df)).collect()}
