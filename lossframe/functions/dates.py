@@ -155,6 +155,24 @@ def date_from_ymd(s: Column, year: Column, month: Column, day: Column) -> Column
     return F.coalesce(iso, _valid_date(year, month, day), serial)
 
 
+def date_signature_parts(collapsed: Column) -> tuple[Column, Column]:
+    """(digit / letter signature, fields between dashes) of collapsed text, for ``order_date``."""
+    return _signature(collapsed), F.split(collapsed, "-", -1)
+
+
+def order_date(signature: Column, parts: Column, pattern: tuple) -> Column:
+    """The date that one pattern (shape, field order, name) reads, else NULL."""
+    shape, order, _ = pattern
+    part = {o: F.get(parts, F.lit(i)) for i, o in enumerate(order)}
+    if "Y" in part:
+        year = part["Y"].try_cast("int")
+    else:
+        yy = part["y"].try_cast("int")
+        year = yy + F.when(yy >= TWO_DIGIT_PIVOT, F.lit(1900)).otherwise(F.lit(2000))
+    month = _month_number(part["b"]) if "b" in part else part["m"].try_cast("int")
+    return F.when(signature.isin(*_signatures(shape)), _valid_date(year, month, part["d"].try_cast("int")))
+
+
 def parse_date_text(c: Column, locale: str = "AU") -> Column:
     """Parse free-text dates for a locale profile; NULL when nothing matches.
 

@@ -21,6 +21,7 @@ from lossframe.functions import dates as D
 from lossframe.functions.amounts import clean_amount_text
 from lossframe.functions.names import normalize_name_col
 from lossframe.functions.privacy import mask_claimant, scrub_name
+from lossframe.operators import column_types as CT
 from lossframe.operators import exports as X
 from lossframe.operators import history as H
 from lossframe.operators import quality as Q
@@ -254,6 +255,90 @@ def q_parse_dates_us(spark, sf):
     return claims_std(spark, sf, locale="US").select("row_id", "loss_date", "report_date")
 
 
+def dated_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as rows of five files (their priorities): the date spelled as each file does, the price as text."""
+    o = table(spark, sf, "orders")
+    key, d, file = F.col("o_orderkey"), F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1)
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    serial = F.datediff(d, F.lit(K.EXCEL_ORIGIN).cast("date")).cast("string")
+    opened = (F.when(file == "1", F.when(key % 5 == 0, F.date_format(d, "MM/dd/yy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+              .when(file == "2", F.when(key % 5 == 0, F.date_format(d, "d.M.yy")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+              .when(file == "3", F.when(key % 3 == 0, F.date_format(d, "d-MMM-yyyy"))
+                    .when(key % 3 == 1, F.date_format(d, "MMM d, yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
+              .when(file == "4", F.when(key % 7 != 0, serial))
+              .otherwise(F.when(key % 9 == 1, F.lit("n/a")).when(key % 2 == 0, serial).otherwise(F.date_format(d, "yyyy-MM-dd"))))
+    text = (F.when(file == "3", F.concat(F.lit("$ "), price.cast("string"))).when(file == "4", F.format_number(price, 2))
+            .when(file != "5", price.cast("string")))
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("file"), opened.alias("opened"), text.alias("price"),
+                    F.when(file != "3", F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).alias("stamp"))
+
+
+DATED_ORDERS = f"""
+raw AS (
+  SELECT o_orderkey, o_orderpriority AS file,
+    CASE o_orderpriority[1]
+      WHEN '1' THEN CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%m/%d/%y') ELSE strftime(o_orderdate, '%m/%d/%Y') END
+      WHEN '2' THEN CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%-d.%-m.%y') ELSE strftime(o_orderdate, '%d/%m/%Y') END
+      WHEN '3' THEN CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%-d-%b-%Y')
+                         WHEN 1 THEN strftime(o_orderdate, '%b %-d, %Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END
+      WHEN '4' THEN CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(o_orderdate AS DATE) - DATE '{K.EXCEL_ORIGIN}' AS VARCHAR) END
+      ELSE CASE WHEN o_orderkey % 9 = 1 THEN 'n/a'
+                WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) - DATE '{K.EXCEL_ORIGIN}' AS VARCHAR)
+                ELSE strftime(o_orderdate, '%Y-%m-%d') END
+    END AS opened,
+    CASE o_orderpriority[1] WHEN '3' THEN '$ ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)
+      WHEN '4' THEN format('{{:,.2f}}', CAST(o_totalprice AS DOUBLE))
+      WHEN '5' THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS price,
+    CASE WHEN o_orderpriority[1] <> '3' THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%dT00:00:00') END AS stamp
+  FROM orders),
+long AS (UNPIVOT raw ON opened, price, stamp INTO NAME field VALUE text),
+spelled AS (SELECT *, regexp_replace(text, '[ ,./-]+', '-', 'g') AS c FROM long),
+dated AS (
+  SELECT *, CASE WHEN regexp_matches(c, '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}$') THEN try_strptime(c, '%d-%m-%Y') END AS dmy4,
+    CASE WHEN regexp_matches(c, '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}$') THEN try_strptime(c, '%m-%d-%Y') END AS mdy4,
+    CASE WHEN regexp_matches(c, '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{2}}$') THEN try_strptime(c, '%d-%m-%y') END AS dmy2,
+    CASE WHEN regexp_matches(c, '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{2}}$') THEN try_strptime(c, '%m-%d-%y') END AS mdy2,
+    CASE WHEN regexp_matches(c, '^[0-9]{{4}}-') THEN try_strptime(c, '%Y-%m-%d') END AS ymd,
+    try_strptime(c, '%d-%b-%Y') AS dby, try_strptime(c, '%b-%d-%Y') AS bdy,
+    regexp_matches(text, '^[0-9]+([.][0-9]*)?$|^[0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?$') AS is_number,
+    regexp_matches(text, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T.*)?$') AND TRY_CAST(text AS TIMESTAMP) IS NOT NULL AS is_date
+  FROM spelled),
+counted AS (
+  SELECT f.file, f.field, count(d.text) AS n, count(*) FILTER (WHERE is_number) AS n_number,
+    count(*) FILTER (WHERE is_date) AS n_date, count(dmy4) AS n_dmy4, count(mdy4) AS n_mdy4, count(dmy2) AS n_dmy2, count(mdy2) AS n_mdy2
+  FROM (SELECT DISTINCT r.file, t.field FROM raw r, (VALUES ('opened'), ('price'), ('stamp')) t(field)) f
+  LEFT JOIN dated d ON d.file = f.file AND d.field = f.field GROUP BY f.file, f.field),
+typed AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN n_number = n THEN 'number' WHEN n_date = n THEN 'date' ELSE 'text' END AS type
+          FROM counted)"""
+
+
+@register("column_types", f"""
+WITH {DATED_ORDERS}
+SELECT file, field, n, n_number, n_date, type, n_dmy4 AS n_day_first, n_mdy4 AS n_month_first FROM typed""")
+def q_column_types(spark, sf):
+    """type and counts of every file's columns, one aggregate over the values."""
+    orders = [order for _, order, _ in CT.date_orders("AU")]
+    seen = CT.profile(dated_orders(spark, sf), ["opened", "price", "stamp"], "file")
+    return seen.select("file", "field", "n", "n_number", "n_date", CT.column_type().alias("type"),
+                       *[F.get("n_order", F.lit(orders.index(o))).alias(n)
+                         for o, n in (("dmY", "n_day_first"), ("mdY", "n_month_first"))])
+
+
+@register("parse_dates_trained", f"""
+WITH {DATED_ORDERS}
+SELECT r.o_orderkey, r.file, strftime(CASE WHEN t.type = 'number' THEN
+    CASE WHEN CAST(d.text AS DOUBLE) > {K.EXCEL_SERIAL_MIN} AND CAST(d.text AS DOUBLE) < {K.EXCEL_SERIAL_MAX}
+         THEN DATE '{K.EXCEL_ORIGIN}' + CAST(floor(CAST(d.text AS DOUBLE)) AS INTEGER) END
+  ELSE CAST(coalesce(ymd, dby, bdy, CASE WHEN n_mdy4 > n_dmy4 OR (n_mdy4 = n_dmy4 AND n_mdy4 + n_mdy2 > n_dmy4 + n_dmy2) THEN coalesce(mdy4, dmy4) ELSE coalesce(dmy4, mdy4) END,
+                     CASE WHEN n_mdy2 > n_dmy2 OR (n_mdy2 = n_dmy2 AND n_mdy4 + n_mdy2 > n_dmy4 + n_dmy2) THEN coalesce(mdy2, dmy2) ELSE coalesce(dmy2, mdy2) END) AS DATE) END, '%Y-%m-%d') AS opened
+FROM raw r LEFT JOIN dated d ON d.o_orderkey = r.o_orderkey AND d.field = 'opened'
+LEFT JOIN typed t ON t.file = r.file AND t.field = 'opened'""")
+def q_parse_dates_trained(spark, sf):
+    """dates by the order and type that each file's column shows: month first in one file, day first in
+    another, Excel days only where the whole column is numeric."""
+    return CT.trained_dates(dated_orders(spark, sf), ["opened"], "file").select("o_orderkey", "file", "opened")
+
+
 @register("excel_serial_dates", f"""
 SELECT o_orderkey, o_totalprice AS serial,
        strftime(CASE WHEN o_totalprice > {K.EXCEL_SERIAL_MIN} AND o_totalprice < {K.EXCEL_SERIAL_MAX}

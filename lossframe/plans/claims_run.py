@@ -30,6 +30,7 @@ from lossframe.operators import quality as Q
 from lossframe.operators import rules as V
 from lossframe.operators import triangles as TR
 from lossframe.functions.privacy import hmac_sha256_hex
+from lossframe.operators.column_types import trained_dates
 from lossframe.operators.mapping import guess_schema, identity_mapping
 from lossframe.operators.numbering import BLOCK, FILE, POSITION, number_by_position, number_rows, number_stored
 from lossframe.operators.standardize import standardize
@@ -58,9 +59,13 @@ def new_run_id() -> str:
 
 
 def prepare(files: list[tuple[DataFrame, str | None]], mapping: dict[str, str] | list[dict[str, str]], locale: str = "AU",
-            tenant_id: str = "", run_id: str | None = None, order_col: str | None = None) -> DataFrame:
+            tenant_id: str = "", run_id: str | None = None, order_col: str | None = None,
+            train_dates: bool = False) -> DataFrame:
     """Standardise each (raw frame, file name), union by name and number rows in (file order, row order).
 
+    ``train_dates``: text dates are read by the type and date order that each file's column shows
+    (``column_types.trained_dates``), not value by value.
+
     Frames read with their positions (``read_csv(with_position=True)``) are numbered in line order;
     else ``order_col`` (e.g. a line number) gives the order in each file; else rows keep the order of
     the frame's partitions. A file name of None takes the frame's ``source_file`` column."""
@@ -73,6 +78,11 @@ def prepare(files: list[tuple[DataFrame, str | None]], mapping: dict[str, str] |
             keep = [FILE, BLOCK, POSITION]
         else:
             raw, keep = raw.withColumn("_file_ord", F.lit(i)), ["_file_ord", *([order_col] if order_col else [])]
+        if train_dates:
+            own = {m.get(f) for f in ("loss_date", "report_date")}
+            dated = [c for c, kind in raw.dtypes if c in own and kind == "string"]
+            key = FILE if placed else "source_file" if name is None else "_file_ord"
+            raw = trained_dates(raw, dated, key, locale) if dated else raw
         parts.append(standardize(raw, m, locale=locale, source_file=F.col("source_file") if name is None else name,
                                  tenant_id=tenant_id, run_id=run_id, keep=keep))
     u = union_files(parts)
@@ -86,11 +96,11 @@ def prepare(files: list[tuple[DataFrame, str | None]], mapping: dict[str, str] |
 
 def intake(spark: SparkSession, paths: str | list[str], mapping: dict[str, str] | None = None, locale: str = "AU",
            tenant_id: str = "", run_id: str | None = None, max_mb: float | None = None, multi_line: bool = True,
-           promote: bool = False) -> tuple[DataFrame, DataFrame]:
+           promote: bool = False, train_dates: bool = False) -> tuple[DataFrame, DataFrame]:
     """Files to numbered standard claims in one call: checks, then only the accepted CSV files, each read in its own dialect and by
     its own header (promoted from the first data row if asked for) and mapped by it, unless a mapping is given. All files are
     standardised in one plan: a standard field is the cell at its file's place. Records with more cells than their header are left out;
-    ``csv_rejects`` gives them.
+    ``csv_rejects`` gives them. ``train_dates``: as in ``prepare``.
 
     Returns (claims, checks). Accepted files of other kinds are in the checks; their tables come from
     ``layout_tables`` or a converter."""
@@ -106,7 +116,7 @@ def intake(spark: SparkSession, paths: str | list[str], mapping: dict[str, str]
             own = mapping or guess_schema(list(f.names))
             guessed[f.names] = {k: place[c.lower()] for k, c in own.items() if c and c.lower() in place}
     placed = by_place(csv_rows(spark, files, multi_line), FILE, {f.tag: guessed[f.names] for f in files}, list(STANDARD_FIELDS))
-    numbered = prepare([(placed, None)], identity_mapping(), locale, tenant_id, run_id)
+    numbered = prepare([(placed, None)], identity_mapping(), locale, tenant_id, run_id, train_dates=train_dates)
     return numbered, checks
 
 
