@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lossframe import constants as K
 from lossframe.functions.amounts import format_num
+from lossframe.functions.names import norm_id
 from lossframe.functions.privacy import choose_salt, mask_policy
 from lossframe.operators import exports as X
 from lossframe.operators import history as H
@@ -30,6 +31,7 @@ from lossframe.sources import csv_intake as I
 from lossframe.sources import files as S
 from lossframe.sources import layout as L
 from lossframe.sources.fixtures import FIXTURE_TENANT, table
+from lossframe.streaming import claim_keys, ingest
 
 MASTER_KEY = "fixture-master-key"
 AS_OF = datetime(2024, 3, 10)
@@ -185,6 +187,20 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
         docs = spanned_documents(table(spark, sf, "customer"))
         return L.layout_tables(docs).select("doc_id", "row_no", "V1", "V2", "V3", "V4")
 
+    def streamed_claim_issues(spark, sf):
+        """V8 + V18 with keyed state: the claims land in three files, in two rounds; both streams run after each. Issues counted by
+        normalised claim id (which spelling is first depends on the order of the lines)."""
+        s, path = std(spark, sf), folder(spark, "stream")
+        rows = s.select("row_id", F.col("claim_id").alias("claim"), F.col("loss_date").cast("string").alias("lost"))
+        for i, part in enumerate(("row_id % 3 = 0", "row_id % 3 = 1", "row_id % 3 = 2")):
+            X.write_csv(rows.where(part).drop("row_id"), f"{path}/land/{i}")
+            if i:
+                ingest.start(spark, f"{path}/land/*", ["claim", "lost"], {"claim_id": "claim", "loss_date": "lost"}, f"{path}/issues",
+                             f"{path}/ck-intake", V.RuleConfig.only("rule_required_fields"), rows_path=f"{path}/rows").awaitTermination()
+                claim_keys.start(spark, f"{path}/rows", f"{path}/sets", f"{path}/ck-keys").awaitTermination()
+        return (claim_keys.set_issues(spark, f"{path}/sets").groupBy(norm_id(F.col("claim_id")).alias("claim"), "issue", "detail")
+                .agg(F.count(F.lit(1)).alias("n_rows")))
+
     def run_issues(spark, sf):
         """H2: a run saved with issues, then again without; another one keeps its own."""
         s, root = std(spark, sf), folder(spark, "runs")
@@ -326,6 +342,13 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
 SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT)
          AS row_no, c_name AS V1, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS V2 FROM customer"""),
         ("layout_spans", layout_spans, LAYOUT_SPANS),
+        ("streamed_claim_issues", streamed_claim_issues, O.claims_with(
+            f"SELECT claim, {O.q(K.ISSUE_DUPLICATE)} AS issue, {O.q(K.DETAIL_DUPLICATE)} AS detail, CAST(sum(n - 1) AS BIGINT) AS n_rows "
+            "FROM (SELECT claim, count(*) AS n FROM landed GROUP BY claim, loss_date) WHERE n > 1 GROUP BY claim UNION ALL "
+            f"SELECT claim, {O.q(K.ISSUE_MULTI_ROWS)}, 'n=' || n, CAST(sum(n) AS BIGINT) FROM (SELECT claim, claim_id, count(*) AS n "
+            "FROM landed GROUP BY claim, claim_id) WHERE n > 1 GROUP BY claim, n",
+            more_ctes=f"landed AS (SELECT nullif({O.trim_ws('claim_id')}, '') AS claim_id, "
+                      f"{O.norm_id("nullif(" + O.trim_ws('claim_id') + ", '')")} AS claim, loss_date FROM std)")),
         ("run_issues", run_issues, O.claims_with(
             f"SELECT 'run-b' AS run_id, row_id AS row, claim_id, {O.q(K.ISSUE_ZERO_ROWS)} AS issue, '' AS detail "
             f"FROM std WHERE {zero}")),
