@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from lossframe import __version__ as APP_VERSION
 from lossframe.constants import RETENTION_DAYS
 from lossframe.functions.privacy import scrub_name
+from lossframe.operators import versions
 from lossframe.session import persist_table
 
 RUNS_SCHEMA = T.StructType([
@@ -102,6 +103,8 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType)
     """A stored table; empty only where nothing was stored yet. Any failure to read is raised."""
     if not _exists(spark, f"{root}/{name}"):
         return spark.createDataFrame([], schema)
+    if versions.is_versioned(spark, f"{root}/{name}"):
+        return versions.read(spark, f"{root}/{name}", schema)
     return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
@@ -127,27 +130,29 @@ def orphan_filter(children: DataFrame, parents: DataFrame, key: str, parent_key:
     return children.join(keys, key, "left_semi")
 
 
-def prune(spark: SparkSession, root: str, as_of: datetime | None = None, days: int = RETENTION_DAYS) -> dict[str, int]:
+def prune(spark: SparkSession, root: str, as_of: datetime | Column | None = None, days: int = RETENTION_DAYS) -> dict[str, int]:
     """H3 + H4 over the stored tables: runs and audit rows by age, then issues whose run is gone.
 
     Nothing is rewritten: the partitions of expired runs and of issues without a run are deleted (their
     ids come to the driver, one short text for a run, not for a row), and expired audit rows go by
-    replacing the audit table from a stored copy only if there are any. Whatever fails before a
+    a new version of the audit table only if there are any; events appended meanwhile stay. Whatever fails before a
     deletion is raised and leaves the tables as they were; a repeat finishes the rest.
     Returns how many partitions or rows went, by table.
     """
+    if as_of is None:
+        as_of = datetime.now(timezone.utc)  # one time for all counts and the audit log's new version
     runs = read_table(spark, root, "runs", RUNS_SCHEMA)
     kept = [r[0] for r in retention_filter(runs, "ts_utc", as_of, days).select("run_id").distinct().collect()]
     expired = sorted({r[0] for r in runs.select("run_id").distinct().collect()} - set(kept))
     issue_ids = {r[0] for r in read_table(spark, root, "issues", ISSUES_SCHEMA).select("run_id").distinct().collect()}
     orphans = sorted(issue_ids - set(kept))
     audit = read_table(spark, root, "audit_log", AUDIT_SCHEMA)
-    audit_kept = persist_table(retention_filter(audit, "ts_utc", as_of, days), "audit")
-    gone = audit.count() - audit_kept.count()
+    gone = audit.count() - retention_filter(audit, "ts_utc", as_of, days).count()
     _drop_partitions(spark, f"{root}/runs", [r for r in expired if r is not None])
     _drop_partitions(spark, f"{root}/issues", [r for r in orphans if r is not None])
     if gone:
-        audit_kept.write.mode("overwrite").parquet(f"{root}/audit_log")
+        versions.replace(spark, f"{root}/audit_log", AUDIT_SCHEMA, lambda log: retention_filter(log, "ts_utc", as_of, days))
+        versions.drop_retired(spark, f"{root}/audit_log")
     return {"runs": len(expired), "issues": len(orphans), "audit_log": gone}
 
 
@@ -156,9 +161,11 @@ def delete_all(spark: SparkSession, root: str, confirm: bool = False) -> None:
     if not confirm:
         raise ValueError("delete_all needs confirm=True")
     from lossframe.operators.mapping import MAPPING_STORE_SCHEMA
-    for name, schema in [("runs", RUNS_SCHEMA), ("issues", ISSUES_SCHEMA), ("audit_log", AUDIT_SCHEMA),
-                         ("saved_mappings", MAPPING_STORE_SCHEMA)]:
+    for name, schema in [("runs", RUNS_SCHEMA), ("issues", ISSUES_SCHEMA)]:
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
+    for name, schema in [("audit_log", AUDIT_SCHEMA), ("saved_mappings", MAPPING_STORE_SCHEMA)]:
+        versions.replace(spark, f"{root}/{name}", schema, lambda old: old.limit(0))
+        versions.drop_retired(spark, f"{root}/{name}")
 
 
 def audit_records(events: DataFrame, ts_col: str = "ts", event_col: str = "event", detail_col: str = "detail",
@@ -184,4 +191,4 @@ def append_audit(spark: SparkSession, root: str, event: str, detail: dict) -> No
     import json
     now = datetime.now(timezone.utc).replace(tzinfo=None)  # UTC wall time, session is UTC
     row = [(now, event, json.dumps(detail), APP_VERSION)]
-    spark.createDataFrame(row, AUDIT_SCHEMA).write.mode("append").parquet(f"{root}/audit_log")
+    versions.append(spark, f"{root}/audit_log", AUDIT_SCHEMA, spark.createDataFrame(row, AUDIT_SCHEMA))

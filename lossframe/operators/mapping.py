@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lossframe.constants import FIELD_ALIASES, STANDARD_FIELDS
 from lossframe.functions.names import normalize_name
+from lossframe.operators import versions
 from lossframe.session import persist_table
 
 MAPPING_STORE_SCHEMA = T.StructType([
@@ -104,12 +105,10 @@ def save_mapping(store: DataFrame, tenant_id: str, counterparty: str, mapping: d
 
 
 def store_mappings(spark: SparkSession, root: str, new: DataFrame) -> None:
-    """M5 over the stored table ``saved_mappings``: the merged store is stored aside before it replaces the old one."""
-    from lossframe.operators.history import read_table
-
-    merged = persist_table(upsert(read_table(spark, root, "saved_mappings", MAPPING_STORE_SCHEMA),
-                                  new.select(*MAPPING_STORE_SCHEMA.fieldNames())), "mappings")
-    merged.write.mode("overwrite").parquet(f"{root}/saved_mappings")
+    """M5 over the stored table ``saved_mappings``: merged into its newest version (``versions.replace``), so neither a crash
+    nor a second writer loses a mapping."""
+    rows = persist_table(new.select(*MAPPING_STORE_SCHEMA.fieldNames()), "mappings")  # the same rows if it is tried again
+    versions.replace(spark, f"{root}/saved_mappings", MAPPING_STORE_SCHEMA, lambda store: upsert(store, rows))
 
 
 def load_mapping(store: DataFrame, tenant_id: str, counterparty: str) -> dict[str, str] | None:

@@ -15,6 +15,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lossframe import __version__
 from lossframe import constants as K
 from lossframe.functions.amounts import format_num
 from lossframe.functions.names import norm_id
@@ -24,6 +25,7 @@ from lossframe.operators import history as H
 from lossframe.operators import mapping as M
 from lossframe.operators import quality as Q
 from lossframe.operators import rules as V
+from lossframe.operators import versions
 from lossframe.plans import claims_run as R
 from lossframe.plans import oracle_sql as O
 from lossframe.session import checkpoint_dir
@@ -235,6 +237,18 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
         counts = [H.read_table(spark, root, n, sch).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, sch in tables]
         return S.union_files(counts)
 
+    def audit_log_store(spark, sf):
+        """H3 + H6: the events as an audit log, appended in three commits, pruned ten days after the last one, and read back."""
+        root, ev = folder(spark, "audit"), table(spark, sf, "events")
+        rows = ev.select("event_id", F.col("ts").alias("ts_utc"), F.col("event_type").alias("event"), F.col("props").alias("detail_json"),
+                         F.lit(__version__).alias("app_version"))
+        for i in range(3):
+            versions.append(spark, f"{root}/audit_log", H.AUDIT_SCHEMA, rows.where(F.pmod("event_id", F.lit(3)) == i))
+        last = ev.select(F.max("ts").cast("string")).first()[0]
+        H.prune(spark, root, F.to_timestamp(F.lit(last)) + F.expr("INTERVAL 10 DAYS"))
+        return (H.read_table(spark, root, "audit_log", H.AUDIT_SCHEMA).groupBy("ts_utc", "event", "detail_json")
+                .agg(F.count(F.lit(1)).alias("n")))
+
     def mapping_store(spark, sf):
         """M5: two stored upserts; the newest mapping of each key wins."""
         root = folder(spark, "mappings")
@@ -358,6 +372,10 @@ SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION
             .replace("SELECT run_id, count(*) AS n_rows", "SELECT r.run_id, count(*) AS n_rows").replace("GROUP BY run_id", "GROUP BY r.run_id")),
         ("delete_all", delete_all,
          "SELECT name, CAST(0 AS BIGINT) AS n FROM (VALUES ('runs'), ('issues'), ('audit_log'), ('saved_mappings')) t(name)"),
+        ("audit_log_store", audit_log_store, f"""
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_utc, event_type AS event, props AS detail_json, count(*) AS n FROM events
+WHERE ts IS NULL OR ts >= (SELECT max(ts) FROM events) + INTERVAL 10 DAYS - INTERVAL {K.RETENTION_DAYS} DAYS
+GROUP BY ts, event_type, props"""),
         ("mapping_store", mapping_store, f"""
 SELECT tenant_id, counterparty, max(props) AS mapping_json, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_utc
 FROM (SELECT {mapped}, ts, props, max(ts) OVER (PARTITION BY user_id % 10, event_type) AS latest FROM events)
