@@ -21,11 +21,13 @@ from lossframe.functions import dates as D
 from lossframe.functions.amounts import clean_amount_text
 from lossframe.functions.names import normalize_name_col
 from lossframe.functions.privacy import mask_claimant, scrub_name
+from lossframe.operators import claim_cube as CC
 from lossframe.operators import column_types as CT
 from lossframe.operators import exports as X
 from lossframe.operators import history as H
 from lossframe.operators import quality as Q
 from lossframe.operators import rules as V
+from lossframe.operators import triangle_store as TS
 from lossframe.operators import triangles as TR
 from lossframe.operators.mapping import guess_schema, latest_per_key
 from lossframe.operators.standardize import standardize
@@ -891,6 +893,43 @@ def q_triangle_beyond(spark, sf):
     return TR.triangle_beyond(std(spark, sf))
 
 
+_CUBE = ("count(*) AS rows, CAST(count(DISTINCT claim_id) + coalesce(max(CASE WHEN claim_id IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS claims, "
+         + ", ".join(f"{_sum_sql(f)} AS {f}" for f in ("paid", "incurred", "outstanding")))
+
+
+@register("claim_cube_totals", O.claims_with(" UNION ALL ".join(
+    f"SELECT '{level}' AS level, {ay} AS ay, {ccy} AS currency, {_CUBE} FROM std{group}" for level, ay, ccy, group in (
+        ("ay,currency", "CAST(year(loss_date) AS BIGINT)", "currency", " GROUP BY year(loss_date), currency"),
+        ("ay", "CAST(year(loss_date) AS BIGINT)", "NULL", " GROUP BY year(loss_date)"),
+        ("currency", "CAST(NULL AS BIGINT)", "currency", " GROUP BY currency"), ("all", "CAST(NULL AS BIGINT)", "NULL", "")))))
+def q_claim_cube_totals(spark, sf):
+    """Rows, distinct claims and amounts by year and currency, and all their totals, from one stored cube of bitmaps."""
+    cube = CC.build_cube(std(spark, sf))
+    parts = []
+    for by in (("ay", "currency"), ("ay",), ("currency",), ()):
+        own = [F.col(c) if c in by else F.lit(None).cast(kind).alias(c) for c, kind in (("ay", "long"), ("currency", "string"))]
+        parts.append(CC.roll_up(cube, by).select(F.lit(",".join(by) or "all").alias("level"), *own, "rows", "claims", *CC.AMOUNTS))
+    return S.union_files(parts)
+
+
+@register("triangles_by_runs", O.claims_with(
+    f"SELECT ay, dev_mon, count(DISTINCT CASE WHEN NOT {O.blank('claim_id')} THEN claim_id END) AS n_claims, {_sum_sql('paid')} AS paid, "
+    f"{_sum_sql('incurred')} AS incurred FROM dev WHERE dev_mon <= {K.MAX_DEV_MONTHS} GROUP BY ay, dev_mon", more_ctes=DEV_CTE))
+def q_triangles_by_runs(spark, sf):
+    """The claims saved as three runs, the first of them incomplete and saved again, one run too many withdrawn; the stored
+    triangles equal those of all claims."""
+    s, root = std(spark, sf), stores.folder(spark, "triangle-store")
+    TS.save_run(s.where("row_id % 6 = 0"), "run-0", root)
+    for i in (1, 2):
+        TS.save_run(s.where(F.col("row_id") % 3 == i), f"run-{i}", root)
+    TS.save_run(s.where("row_id % 2 = 0"), "run-wrong", root)
+    TS.save_run(s.where("row_id % 3 = 0"), "run-0", root)
+    TS.withdraw_run(spark, "run-wrong", root)
+    TS.compact(spark, root)
+    out = TS.triangles_long(spark, root)
+    return out.select(F.col("ay").cast("long").alias("ay"), F.col("dev_mon").cast("long").alias("dev_mon"), "n_claims", "paid", "incurred")
+
+
 # ---------------------------------------------------------------------------
 # Exports (X)
 # ---------------------------------------------------------------------------

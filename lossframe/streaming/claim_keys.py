@@ -44,12 +44,18 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 DUP, CLAIM, BATCH = "dup", "claim", "batch"
 
-PLACE = "batch_id long, source_file string, block long, position long"
-ROWS = T.StructType.fromDDL(f"{PLACE}, row_hash long, claim_id string, norm_id string, loss_date date")
-DIGESTS = T.StructType.fromDDL(f"kind string, k1 string, loss_date date, n long, "
-                               f"first struct<{PLACE.replace(' long', ':long').replace(' string', ':string')}, row_hash:long, claim_id:string>")
-HITS = T.StructType.fromDDL(f"{PLACE}, row_hash long, claim_id string, kind string")
-COUNTS = T.StructType.fromDDL("claim_id string, n long")
+
+
+def _fields(**kinds: T.DataType) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name, kind in kinds.items()]
+
+
+LONG, TEXT, DATE = T.LongType(), T.StringType(), T.DateType()
+ROW = _fields(batch_id=LONG, source_file=TEXT, block=LONG, position=LONG, row_hash=LONG, claim_id=TEXT)
+ROWS = T.StructType(ROW + _fields(norm_id=TEXT, loss_date=DATE))
+DIGESTS = T.StructType(_fields(kind=TEXT, k1=TEXT, loss_date=DATE, n=LONG, first=T.StructType(ROW)))
+HITS = T.StructType(ROW + _fields(kind=TEXT))
+COUNTS = T.StructType(_fields(claim_id=TEXT, n=LONG))
 KEY = ["kind", "k1", "loss_date"]
 
 
