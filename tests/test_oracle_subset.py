@@ -15,7 +15,7 @@ FAST = ["union_files", "content_hash_dups", "text_lines", "text_sufficiency", "n
         "triangle_counts", "triangle_paid", "triangle_incurred", "run_headers", "retention_prune",
         "orphan_prune", "audit_json", "rule_reconcile", "rule_paid_outliers", "all_issues", "clean_amounts",
         "export_standard", "export_ebix", "export_lloyds", "export_sunrise", "export_unmasked", "parse_dates_us",
-        "issues_lloyds", "run_metrics", "quality_summary"]
+        "issues_lloyds", "run_metrics", "quality_summary", "claim_cube_totals", "triangles_by_runs", "audit_log_store"]
 
 
 @pytest.fixture(scope="module")
