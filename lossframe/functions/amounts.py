@@ -32,7 +32,7 @@ def parse_amount_parts(raw: Column, stripped: Column) -> Column:
     tests guard the regexes (And short-circuits), and the text is trimmed
     only for the rare values that contain an exponent mark."""
     sci = (raw.contains("e") | raw.contains("E")) & F.trim(raw).rlike(SCIENTIFIC_SHAPE)
-    parsed = F.when(sci, F.trim(raw).try_cast(MONEY)).otherwise(stripped.try_cast(MONEY))
+    parsed = F.when(sci, F.trim(raw)).otherwise(stripped).try_cast(MONEY)
     paren = raw.contains("(") & raw.rlike(PAREN_SHAPE)
     return F.when(paren, -F.abs(parsed)).otherwise(parsed).cast(MONEY)
 

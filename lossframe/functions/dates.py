@@ -109,50 +109,53 @@ def _signature(collapsed: Column) -> Column:
     return F.translate(collapsed, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
 
 
-def date_kind_fields(collapsed: Column, locale: str = "AU") -> tuple[Column, Column, Column, Column]:
-    """Stage 2: which locale pattern the value has (by signature), and its
-    first three '-'-separated fields. The locale's patterns have disjoint
-    signatures, so at most one applies."""
+def date_place_parts(collapsed: Column, locale: str = "AU") -> tuple[Column, Column]:
+    """Place (from 1; 0: none) of the value's signature among those of the locale's patterns, and its '-'-separated parts."""
     if locale not in LOCALE_PATTERNS:
         raise ValueError(f"unknown locale profile {locale!r}")
-    pats = LOCALE_PATTERNS[locale]
-    sig = _signature(collapsed)
-    kind = F.lit(None).cast("int")
-    for k in range(len(pats) - 1, -1, -1):
-        kind = F.when(sig.isin(*_signatures(pats[k][0])), F.lit(k)).otherwise(kind)
-    parts = F.split(collapsed, "-", -1)
-    p1, p2, p3 = (F.try_element_at(parts, F.lit(i + 1)) for i in range(3))
-    return kind, p1, p2, p3
+    known = ",".join(s for p in LOCALE_PATTERNS[locale] for s in _signatures(p[0]))  # signatures hold no comma
+    return F.find_in_set(_signature(collapsed), F.lit(known)), F.split(collapsed, "-", -1)
 
 
-def date_ymd(kind: Column, p: list[Column], locale: str = "AU") -> tuple[Column, Column, Column]:
-    """Stage 3: year, month and day as integers according to the pattern."""
+def date_kind_fields(collapsed: Column, locale: str = "AU", placed: tuple[Column, Column] | None = None
+                     ) -> tuple[Column, Column, Column, Column]:
+    """Stage 2: which locale pattern the value has (by signature; NULL: none), and its year, month and day fields as text. The
+    locale's patterns have disjoint signatures, so at most one applies. ``placed``: its ``date_place_parts``, where columns have them."""
+    place, parts = placed or date_place_parts(collapsed, locale)
     pats = LOCALE_PATTERNS[locale]
+    of = [k for k, p in enumerate(pats) for _ in _signatures(p[0])]
+    at = [[next(p[1].index(x) for x in codes if x in p[1]) for codes in ("Yy", "mb", "d")] for p in pats]
+    kind = F.get(F.array(F.lit(None).cast("int"), *[F.lit(k) for k in of]), place)
+    spots = F.get(F.array(F.lit(None).cast("array<int>"), *[F.array(*[F.lit(i) for i in at[k]]) for k in of]), place)
+    # a lambda ends the stage's generated method here; with both dates and all amounts in one, it is beyond what the JIT compiles
+    fields = F.transform(spots, lambda i: F.get(parts, i))
+    return kind, *[F.get(fields, F.lit(i)) for i in range(3)]
+
 
-    def pick(fn):
-        out = F.lit(None).cast("int")
-        for k in range(len(pats) - 1, -1, -1):
-            out = F.when(kind == k, fn(pats[k][1])).otherwise(out)
-        return out
-
-    def year_of(o):
-        if "Y" in o:
-            return p[o.index("Y")].try_cast("int")
-        yy = p[o.index("y")].try_cast("int")
-        return yy + F.when(yy >= TWO_DIGIT_PIVOT, F.lit(1900)).otherwise(F.lit(2000))
-
-    year = pick(year_of)
-    month = pick(lambda o: _month_number(p[o.index("b")]) if "b" in o else p[o.index("m")].try_cast("int"))
-    day = pick(lambda o: p[o.index("d")].try_cast("int"))
+def date_ymd(kind: Column, p: list[Column], locale: str = "AU") -> tuple[Column, Column, Column]:
+    """Stage 3: year (four digits), month and day as number texts, of the fields of stage 2."""
+    year, month, day = p
+    short = [k for k, pat in enumerate(LOCALE_PATTERNS[locale]) if "y" in pat[1]]
+    if short:
+        year = F.concat(F.when(~kind.isin(*short), F.lit("")).when(year >= f"{TWO_DIGIT_PIVOT:02d}", F.lit("19")).otherwise(F.lit("20")), year)
+    names = [k for k, pat in enumerate(LOCALE_PATTERNS[locale]) if "b" in pat[1]]
+    if names:
+        month = F.when(kind.isin(*names), _month_number(month).cast("string")).otherwise(month)
     return year, month, day
 
 
-def date_from_ymd(s: Column, year: Column, month: Column, day: Column) -> Column:
+def serial_number(s: Column) -> Column:
+    """The number that purely numeric text is, else NULL."""
+    return F.when(s.rlike(NUMERIC_SHAPE), s.cast("double"))
+
+
+def date_from_ymd(s: Column, year: Column, month: Column, day: Column, number: Column | None = None) -> Column:
     """Stage 4: ISO timestamp text first, then the pattern's date, then an
-    Excel serial for purely numeric text."""
+    Excel serial for purely numeric text (``number``: its ``serial_number``, where a column has it)."""
     iso = F.when((F.length(s) > 15) & s.rlike(ISO_TS_SHAPE), F.to_date(F.try_to_timestamp(s)))
-    serial = F.when(s.rlike(NUMERIC_SHAPE), excel_serial_to_date(s))
-    return F.coalesce(iso, _valid_date(year, month, day), serial)
+    # the cast gives NULL for what is no calendar date; year 0000 is none
+    named = F.when(year != "0000", F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
+    return F.coalesce(iso, named, excel_serial_to_date(serial_number(s) if number is None else number))
 
 
 def date_signature_parts(collapsed: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lossframe.constants import MONEY, STANDARD_FIELDS
 from lossframe.functions.amounts import amount_text_parts, clean_amount, fill_incurred, parse_amount_parts
-from lossframe.functions.dates import date_from_ymd, date_kind_fields, date_text_parts, date_ymd, parse_date
+from lossframe.functions.dates import date_from_ymd, date_kind_fields, date_place_parts, date_text_parts, date_ymd, parse_date, serial_number
 from lossframe.functions.names import trim_ws
 
 SOURCE_PAGE_COLUMNS = ("..source_page..", "source_page")
@@ -34,13 +34,14 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     NULL, so one bad file does not sink a multi-file run). ``keep`` carries
     lineage columns such as ``row_id`` through unchanged.
 
-    A chain of narrow projections, all inside one codegen stage: (1) text
-    helpers computed once per value (trimmed text, collapsed date
-    separators, stripped money text); (2) the date pattern and its fields;
-    (3) year / month / day; (4) parsing; (5) filling incurred from paid +
+    A chain of narrow projections: (1) text helpers computed once per value
+    (trimmed text, collapsed date separators, stripped money text); (2) the
+    date pattern and its fields; (3) year / month / day; (4) parsing; (5) filling incurred from paid +
     outstanding. Catalyst does not re-inline a non-trivial expression that
-    is referenced more than once, so every helper runs once per value and
-    each generated method stays small.
+    is referenced more than once, so every helper runs once per value. Stage
+    (2) holds a lambda, so it is compiled by itself and the stages before
+    and after it are two methods, each under the 8,000 bytes beyond which
+    the JIT leaves a method interpreted.
     """
     unknown = set(mapping) - set(STANDARD_FIELDS)
     if unknown:
@@ -73,25 +74,30 @@ def standardize(df: DataFrame, mapping: dict[str, str], locale: str = "AU",
     s1 += [sf.alias("source_file"), page.alias("source_page")] + [F.col(f"`{k}`") for k in keep]
     cur = df.select(*s1)
 
-    # stages 2-3 (text dates): pattern kind and fields, then year / month / day
+    # stages 2-3 (text dates): places and parts, pattern kind and fields, then year / month / day
     if text_dates:
         keep_cols = [x for x in cur.columns if not any(x == f"_c_{f}" for f in text_dates)]
         extra = []
         for f in text_dates:
-            kind, p1, p2, p3 = date_kind_fields(c(f"_c_{f}"), locale)
+            place, parts = date_place_parts(c(f"_c_{f}"), locale)
+            extra += [place.alias(f"_g_{f}"), parts.alias(f"_w_{f}")]
+        cur, extra = cur.select(*[c(f"`{x}`") for x in keep_cols], *extra), []
+        for f in text_dates:
+            kind, p1, p2, p3 = date_kind_fields(c(f"_c_{f}"), locale, (c(f"_g_{f}"), c(f"_w_{f}")))
             extra += [kind.alias(f"_k_{f}"), p1.alias(f"_p1_{f}"), p2.alias(f"_p2_{f}"), p3.alias(f"_p3_{f}")]
         cur = cur.select(*[c(f"`{x}`") for x in keep_cols], *extra)
         extra, drop = [], set()
         for f in text_dates:
             y, m, d = date_ymd(c(f"_k_{f}"), [c(f"_p{i}_{f}") for i in (1, 2, 3)], locale)
-            extra += [y.alias(f"_y_{f}"), m.alias(f"_m_{f}"), d.alias(f"_d_{f}")]
+            number = F.when(c(f"_k_{f}").isNull(), serial_number(c(f"_s_{f}")))  # a number has no pattern
+            extra += [y.alias(f"_y_{f}"), m.alias(f"_m_{f}"), d.alias(f"_d_{f}"), number.alias(f"_n_{f}")]
             drop |= {f"_k_{f}", f"_p1_{f}", f"_p2_{f}", f"_p3_{f}"}
         cur = cur.select(*[c(f"`{x}`") for x in cur.columns if x not in drop], *extra)
 
     # stage 4: parse
     def date_expr(f: str) -> Column:
         if is_text(f):
-            return date_from_ymd(c(f"_s_{f}"), c(f"_y_{f}"), c(f"_m_{f}"), c(f"_d_{f}"))
+            return date_from_ymd(c(f"_s_{f}"), c(f"_y_{f}"), c(f"_m_{f}"), c(f"_d_{f}"), c(f"_n_{f}"))
         return parse_date(c(f"_src_{f}"), src[f][1], locale)
 
     def money_expr(f: str) -> Column:

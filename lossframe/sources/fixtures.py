@@ -61,17 +61,19 @@ def claims_raw(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataF
         j = (j.drop("o_orderkey", "o_custkey").repartitionByRange(n, *ORDER_KEYS).sortWithinPartitions(*ORDER_KEYS))
     ok, pk, sk, ln = (F.col(c) for c in ORDER_KEYS)
     ck = F.col("c_custkey")
-    price = F.col("l_extendedprice").cast(PRICE)
-    paid = (F.when(ok % 61 == 0, F.lit(None))
-            .when(ok % 53 == 0, F.lit(0))
-            .when((ok % 11 == 0) & (F.col("l_returnflag") == "R"), -price)
-            .when(sk % 50 == 0, price * 5)
-            .otherwise(price)).cast(PRICE)
-    factor = 1 + F.col("l_tax").cast(PRICE) - F.col("l_discount").cast(PRICE)
-    incurred = F.when(pk % 41 == 0, paid * 3).otherwise(paid * factor).cast(PRICE)
-    reserve = (F.when(ln == 5, incurred - paid + 1)
-               .when(ln == 6, F.lit(None))
-               .otherwise(incurred - paid)).cast(PRICE)
+    # a column for each amount, so that none is computed again for every place it is used in
+    price, paid, incurred, reserve = (F.col(f"_{c}") for c in ("price", "paid", "incurred", "reserve"))
+    j = j.select("*", F.col("l_extendedprice").cast(PRICE).alias("_price"),
+                 (1 + F.col("l_tax").cast(PRICE) - F.col("l_discount").cast(PRICE)).alias("_factor"))
+    j = j.select("*", (F.when(ok % 61 == 0, F.lit(None))
+                       .when(ok % 53 == 0, F.lit(0))
+                       .when((ok % 11 == 0) & (F.col("l_returnflag") == "R"), -price)
+                       .when(sk % 50 == 0, price * 5)
+                       .otherwise(price)).cast(PRICE).alias("_paid"))
+    j = j.select("*", F.when(pk % 41 == 0, paid * 3).otherwise(paid * F.col("_factor")).cast(PRICE).alias("_incurred"))
+    j = j.select("*", (F.when(ln == 5, incurred - paid + 1)
+                       .when(ln == 6, F.lit(None))
+                       .otherwise(incurred - paid)).cast(PRICE).alias("_reserve"))
     odate = F.to_date("o_orderdate")
     loss_text = (F.when(ok % 71 == 0, F.lit("n/a"))
                  .when(ln % 3 == 0, F.date_format(odate, "yyyy-MM-dd"))
