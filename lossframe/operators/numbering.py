@@ -18,19 +18,25 @@ from pyspark.sql import functions as F
 
 from lossframe.session import persist_table
 
+#: Files or blocks whose offsets are broadcast to the rows (some 100 bytes each); beyond it rows and offsets are shuffled.
+BROADCAST_ROWS = 200_000
+
 FILE, BLOCK, POSITION = "_lf_file", "_lf_block", "_lf_pos"
 
 
-def _offsets(df: DataFrame, keys: list[str], order, name: str) -> DataFrame:
-    """(keys, name): rows before each key's run, from one count per key; the keys (files or file
-    blocks, never rows) are summed up on the driver and joined back by Spark's own size check."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+def _offsets(df: DataFrame, keys: list[str], order, name: str, low: str | None = None) -> DataFrame:
+    """(keys, name): rows before each key's run, from one count per key, less the key's lowest ``low`` if given. The keys (files
+    or file blocks, never rows) are summed up on the driver and broadcast to the rows: Spark does not know the size of such a table
+    and would shuffle all rows by their file, of which there are few."""
+    measures = [F.count(F.lit(1)).alias("n"), *([F.min(low).alias("low")] if low else [])]
+    counted = df.groupBy(*keys).agg(*measures).collect()
     rows, before = [], 0
     for r in sorted(counted, key=order):
-        rows.append((*[r[k] for k in keys], before))
+        rows.append((*[r[k] for k in keys], before - (r["low"] if low else 0)))
         before += r["n"]
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, f"`{name}` long"]))
+    out = df.sparkSession.createDataFrame(rows, ", ".join([*kinds, f"`{name}` long"]))
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
 
 
 def _part_number(file: str) -> tuple[int, str]:
@@ -56,11 +62,9 @@ def number_by_position(df: DataFrame, name: str = "row_id", files: list[str] | N
     place = {f: i for i, f in enumerate(files or [])}
     stored = persist_table(df, "numbered")
     # rows of a block keep their order in the stored table: the lowest position is its first row
-    low = stored.groupBy(FILE, BLOCK).agg(F.min(POSITION).alias("_lf_low"))
-    offsets = _offsets(stored, [FILE, BLOCK], lambda r: (place.get(r[FILE], len(place)), r[FILE], r[BLOCK]), "_lf_before")
-    met = stored.join(offsets.join(low, [FILE, BLOCK]), [FILE, BLOCK])
-    rid = (F.col("_lf_before") + F.col(POSITION) - F.col("_lf_low") + 1).cast("long")
-    return met.withColumn(name, rid).drop(FILE, BLOCK, POSITION, "_lf_before", "_lf_low")
+    offsets = _offsets(stored, [FILE, BLOCK], lambda r: (place.get(r[FILE], len(place)), r[FILE], r[BLOCK]), "_lf_before", POSITION)
+    rid = (F.col("_lf_before") + F.col(POSITION) + 1).cast("long")
+    return stored.join(offsets, [FILE, BLOCK]).withColumn(name, rid).drop(FILE, BLOCK, POSITION, "_lf_before")
 
 
 def number_rows(df: DataFrame, order_cols: list, name: str = "row_id", num_partitions: int | None = None) -> DataFrame:

@@ -27,6 +27,20 @@ def std_rows(spark, ids=(1, 2, 3, 4)):
                                        "outstanding decimal(28,6), currency string, policy_number string, status string, claimant string")
 
 
+def test_numbering_does_not_shuffle_rows_by_file(spark):
+    stored = persist_table(spark.range(1000).repartition(5), "t")
+    numbered = N.number_stored(stored)
+    assert "Exchange hashpartitioning" not in plan(numbered)
+    assert sorted(r[0] for r in numbered.select("row_id").collect()) == list(range(1, 1001))
+
+    placed = spark.range(0, 100, 1, 4).select("id", F.when(F.col("id") < 25, "b").otherwise("a").alias(N.FILE), F.lit(0).alias(N.BLOCK),
+                                              F.monotonically_increasing_id().alias(N.POSITION))
+    by_position = N.number_by_position(placed.where("id < 25 OR id >= 75"))  # a partition is a file, as a scan has it
+    assert "Exchange hashpartitioning" not in plan(by_position)
+    got = {r["id"]: r["row_id"] for r in by_position.collect()}
+    assert got == {**{i: i - 74 for i in range(75, 100)}, **{i: 26 + i for i in range(25)}}
+
+
 def test_standardise_compiles_to_methods_the_jit_takes(spark):
     mapping = identity_mapping()
     raw = persist_table(spark.createDataFrame([["1"] * len(mapping)], ", ".join(f"{c} string" for c in mapping.values())), "raw")
