@@ -174,55 +174,62 @@ def _issue(order: int, text: str, detail: str | Column) -> Column:
 
 def rule_elements(cfg: RuleConfig, fences: dict | None) -> list[Column]:
     """One ``when(pred, issue)`` per enabled rule, in rule order."""
+    return [F.when(p, s) for p, s, _ in _rules(cfg, fences)]
+
+
+#: Rules whose condition needs the claim keys.
+KEYED_RULES = (8, 19)
+
+
+def _rules(cfg: RuleConfig, fences: dict | None) -> list[tuple[Column, Column, int]]:
+    """(condition, issue, rule order) of every enabled rule, in rule order."""
     c = F.col
     paid, inc, os_ = c("paid"), c("incurred"), c("outstanding")
-    els: list[tuple[Column, Column]] = []
+    els: list[tuple[Column, Column, int]] = []
+
+    def add(condition: Column, order: int, text: str, detail: str | Column) -> None:
+        els.append((condition, _issue(order, text, detail), order))
+
     if cfg.rule_required_fields:
-        els.append((is_blank(c("claim_id")) | c("loss_date").isNull() | c("report_date").isNull(),
-                    _issue(1, K.ISSUE_REQUIRED, K.DETAIL_REQUIRED)))
+        add(is_blank(c("claim_id")) | c("loss_date").isNull() | c("report_date").isNull(), 1, K.ISSUE_REQUIRED, K.DETAIL_REQUIRED)
     if cfg.rule_negative_values:
-        els.append((paid < 0, _issue(2, K.ISSUE_NEG_PAID, K.DETAIL_NEG_PAID)))
-        els.append((inc < 0, _issue(3, K.ISSUE_NEG_INCURRED, K.DETAIL_NEG_INCURRED)))
-        els.append((os_ < 0, _issue(4, K.ISSUE_NEG_OUTSTANDING, K.DETAIL_NEG_OUTSTANDING)))
+        add(paid < 0, 2, K.ISSUE_NEG_PAID, K.DETAIL_NEG_PAID)
+        add(inc < 0, 3, K.ISSUE_NEG_INCURRED, K.DETAIL_NEG_INCURRED)
+        add(os_ < 0, 4, K.ISSUE_NEG_OUTSTANDING, K.DETAIL_NEG_OUTSTANDING)
     if cfg.rule_incurred_lt_paid:
-        els.append((inc < paid, _issue(5, K.ISSUE_INC_LT_PAID, K.DETAIL_INC_LT_PAID)))
+        add(inc < paid, 5, K.ISSUE_INC_LT_PAID, K.DETAIL_INC_LT_PAID)
     if cfg.rule_reconcile:
-        els.append((F.abs(inc - (paid + os_)) > F.lit(Decimal("0.01")),
-                    _issue(6, K.ISSUE_RECONCILE, K.DETAIL_RECONCILE)))
+        add(F.abs(inc - (paid + os_)) > F.lit(Decimal("0.01")), 6, K.ISSUE_RECONCILE, K.DETAIL_RECONCILE)
     if cfg.rule_currency_list:
-        els.append((c("currency").isNotNull() & ~c("currency").isin(*K.ALLOWED_CURRENCIES),
-                    _issue(7, K.ISSUE_CURRENCY, K.DETAIL_CURRENCY)))
+        add(c("currency").isNotNull() & ~c("currency").isin(*K.ALLOWED_CURRENCIES), 7, K.ISSUE_CURRENCY, K.DETAIL_CURRENCY)
     if cfg.rule_duplicates:
-        els.append((c("row_id") != c("_first_row"), _issue(8, K.ISSUE_DUPLICATE, K.DETAIL_DUPLICATE)))
+        add(c("row_id") != c("_first_row"), 8, K.ISSUE_DUPLICATE, K.DETAIL_DUPLICATE)
     if cfg.rule_date_order:
-        els.append((c("loss_date") > c("report_date"), _issue(9, K.ISSUE_DATE_ORDER, K.DETAIL_DATE_ORDER)))
+        add(c("loss_date") > c("report_date"), 9, K.ISSUE_DATE_ORDER, K.DETAIL_DATE_ORDER)
     if cfg.rule_policy_term and cfg.term_set:
         s, e = cfg.policy_start, cfg.policy_end
-        els.append(((c("loss_date") < F.lit(s)) | (c("loss_date") > F.lit(e)),
-                    _issue(10, K.ISSUE_POLICY_TERM, f"Policy: {s.isoformat()} to {e.isoformat()}")))
+        add((c("loss_date") < F.lit(s)) | (c("loss_date") > F.lit(e)), 10, K.ISSUE_POLICY_TERM, f"Policy: {s.isoformat()} to {e.isoformat()}")
     if cfg.rule_missing_policy:
-        els.append((is_blank(c("policy_number")), _issue(11, K.ISSUE_MISSING_POLICY, "")))
+        add(is_blank(c("policy_number")), 11, K.ISSUE_MISSING_POLICY, "")
     if cfg.rule_missing_currency:
-        els.append((is_blank(c("currency")), _issue(12, K.ISSUE_MISSING_CURRENCY, "")))
+        add(is_blank(c("currency")), 12, K.ISSUE_MISSING_CURRENCY, "")
     if cfg.rule_paid_outliers and fences is not None:
         lo, hi = fences["lower"], fences["upper"]
         detail = f"IQR fence: [{r_num(round2(lo))}..{r_num(round2(hi))}] (mult={r_num(cfg.iqr_multiplier)})"
-        els.append(((paid > F.lit(hi)) | (paid < F.lit(lo)), _issue(13, K.ISSUE_PAID_OUTLIER, detail)))
+        add((paid > F.lit(hi)) | (paid < F.lit(lo)), 13, K.ISSUE_PAID_OUTLIER, detail)
     if cfg.rule_high_ratio:
         t = Decimal(str(cfg.ratio_threshold))
-        els.append(((paid > 0) & inc.isNotNull() & (inc > paid * F.lit(t)),
-                    _issue(14, K.ISSUE_HIGH_RATIO, f"ratio > {r_num(cfg.ratio_threshold)}")))
+        add((paid > 0) & inc.isNotNull() & (inc > paid * F.lit(t)), 14, K.ISSUE_HIGH_RATIO, f"ratio > {r_num(cfg.ratio_threshold)}")
     if cfg.rule_missing_claimant:
-        els.append((is_blank(c("claimant")), _issue(15, K.ISSUE_MISSING_CLAIMANT, "")))
+        add(is_blank(c("claimant")), 15, K.ISSUE_MISSING_CLAIMANT, "")
     if cfg.rule_zero_rows:
-        els.append(((paid == 0) & (inc == 0), _issue(16, K.ISSUE_ZERO_ROWS, "")))
+        add((paid == 0) & (inc == 0), 16, K.ISSUE_ZERO_ROWS, "")
     if cfg.rule_parse_dates:
-        els.append((c("loss_date").isNull(), _issue(17, K.ISSUE_UNPARSE_LOSS, K.DETAIL_UNPARSE)))
-        els.append((c("report_date").isNull(), _issue(18, K.ISSUE_UNPARSE_REPORT, K.DETAIL_UNPARSE)))
+        add(c("loss_date").isNull(), 17, K.ISSUE_UNPARSE_LOSS, K.DETAIL_UNPARSE)
+        add(c("report_date").isNull(), 18, K.ISSUE_UNPARSE_REPORT, K.DETAIL_UNPARSE)
     if cfg.rule_multi_rows_per_claim:
-        els.append((c("_claim_n") > 1,
-                    _issue(19, K.ISSUE_MULTI_ROWS, F.concat(F.lit("n="), c("_claim_n").cast("string")))))
-    return [F.when(p, s) for p, s in els]
+        add(c("_claim_n") > 1, 19, K.ISSUE_MULTI_ROWS, F.concat(F.lit("n="), c("_claim_n").cast("string")))
+    return els
 
 
 def paid_fences(std: DataFrame, cfg: RuleConfig, quartiles: tuple | None = None) -> dict | None:
@@ -248,10 +255,17 @@ def annotate(std: DataFrame, cfg: RuleConfig | None = None, fences: dict | None
     cfg = cfg or RuleConfig()
     if cfg.rule_paid_outliers and fences is None:
         fences = paid_fences(std, cfg)
-    base = std
+    base, rules = std, _rules(cfg, fences)
     if cfg.rule_duplicates or cfg.rule_multi_rows_per_claim:
-        base = with_claim_keys(std, cfg.rule_duplicates, cfg.rule_multi_rows_per_claim)
-    els = rule_elements(cfg, fences)
+        # the rules of a row alone are bits before the join, so the shuffle carries one number for them and not the columns they read
+        own = [(p, k) for p, _, k in rules if k not in KEYED_RULES]
+        bits = F.lit(0)
+        for p, k in own:
+            bits = bits.bitwiseOR(F.when(p, F.lit(1 << k)).otherwise(F.lit(0)))
+        marked = std.withColumn("_hits", bits)
+        base = with_claim_keys(marked, cfg.rule_duplicates, cfg.rule_multi_rows_per_claim)
+        rules = [(p if k in KEYED_RULES else F.col("_hits").bitwiseAND(F.lit(1 << k)) != 0, s, k) for p, s, k in rules]
+    els = [F.when(p, s) for p, s, _ in rules]
     arr = F.array_compact(F.array(*els)) if els else F.array().cast(
         "array<struct<rule_order:int,issue:string,detail:string>>")
     return base.select(*[F.col(f"`{c}`") for c in std.columns], arr.alias("_issues"))

@@ -48,3 +48,24 @@ def test_standardise_compiles_to_methods_the_jit_takes(spark):
         stages = standardize(raw, mapping, locale, "f", "t", "r")._jdf.queryExecution().debug().codegenToSeq()
         sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
         assert sizes and max(sizes) < JIT_LIMIT, sizes
+
+
+def test_row_rules_are_one_number_in_the_shuffle(spark):
+    std = persist_table(std_rows(spark), "std")
+    cfg = V.RuleConfig()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        flags = V.row_flags_one_pass(std, cfg, {"lower": Decimal(0), "upper": Decimal(3)}).select("row_id", "claim_id", "flags", "flags_detail")
+        above = plan(flags).split("Exchange hashpartitioning")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(above) > 1
+    for column in ("paid", "policy_number", "claimant"):  # read below the shuffle only
+        assert f"{column}#" not in above[0]
+    # the bits give each row the issues that its rules give without the join
+    local = V.RuleConfig(rule_duplicates=False, rule_multi_rows_per_claim=False)
+    fences = {"lower": Decimal(0), "upper": Decimal(3)}
+    key = ["row", "rule_order", "issue", "detail"]
+    alone = V.validate(std, local, fences).select(*key).collect()
+    joined = V.validate(std, cfg, fences).where(~F.col("rule_order").isin(*V.KEYED_RULES)).select(*key).collect()
+    assert alone and sorted(map(tuple, alone)) == sorted(map(tuple, joined))
