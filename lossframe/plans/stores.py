@@ -116,10 +116,10 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
     """(name, query, DuckDB statement) of every query here."""
     zero_issues = ["rule_zero_rows"]
 
-    def tricky(s: DataFrame) -> DataFrame:
-        """Claimant texts with commas, quotes and line breaks."""
+    def tricky(s: DataFrame, *more) -> DataFrame:
+        """Claimant texts with commas, quotes and line breaks, and ``more`` columns."""
         name = F.concat("claimant", F.lit(', "'), F.coalesce("claim_id", F.lit("none")), F.lit('"\n'), "status")
-        return s.select(F.col("row_id").cast("string").alias("row_id"), "claim_id", name.alias("claimant"))
+        return s.select(F.col("row_id").cast("string").alias("row_id"), "claim_id", name.alias("claimant"), *more)
 
     tricky_sql = ("SELECT CAST(row_id AS VARCHAR) AS row_id, nullif(claim_id, '') AS claim_id, "
                   "claimant || ', \"' || coalesce(claim_id, 'none') || '\"' || chr(10) || status AS claimant FROM std")
@@ -155,8 +155,7 @@ def registered(std: Callable, sum_sql: Callable, issues_sql: Callable, hmac_sql:
     def csv_dialects(spark, sf):
         """The same claims in files of four delimiters and two quotes, decimal commas and quoted line breaks in the cells."""
         s, path = std(spark, sf), folder(spark, "dialects")
-        rows = tricky(s).join(s.select(F.col("row_id").cast("string").alias("row_id"),
-                                       F.replace(F.col("paid").cast("string"), F.lit("."), F.lit(",")).alias("paid")), "row_id")
+        rows = tricky(s, F.replace(F.col("paid").cast("string"), F.lit("."), F.lit(",")).alias("paid"))
         kinds = [(",", '"'), (";", '"'), ("\t", "'"), ("|", '"')]
         for i, (sep, quote) in enumerate(kinds):
             (rows.where(F.col("row_id").cast("long") % len(kinds) == i).write.option("header", True).option("sep", sep).option("quote", quote)
