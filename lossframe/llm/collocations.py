@@ -5,11 +5,14 @@ up to five words that follow. All counts are exact:
 
 1. words of each language; those below the minimum cannot be part of a phrase and end every suffix. The scanning
    tasks know the others from a bitmap of fixed size; a word that shares a bit only lets suffixes through that the
-   counts of the third step drop;
-2. routes: suffixes go to tasks by their leading word. A leading word, then a leading pair and so on, that occurs
-   oftener than a partition's fair share (all words / shuffle partitions; so there are fewer of them than
-   partitions) is divided by the word that follows it, its own count coming from this table;
-3. equal suffixes of a text chunk are summed up and routed. Each task sorts its suffix pointers by a three-way
+   counts of the fourth step drop;
+2. pairs, then triples of such pairs: their occurrences are summed up by a hash of ``gram_width`` bits, packed arrays of
+   which are shuffled. One whose sum is below the minimum is below it, too, and ends every suffix as such a word does; one
+   that shares its hash with others is dropped by the fourth step;
+3. routes: suffixes go to tasks by their leading word. A leading word, then a leading pair and so on, that occurs
+   oftener than a partition's fair share (all words / shuffle partitions, ``MOST_SHARE`` at most) is divided by the
+   word that follows it, its own count coming from this table;
+4. equal suffixes of a run of text chunks are summed up and routed, in packs of one part of the routes. Each task sorts its suffix pointers by a three-way
    quicksort over words as digits: the size of an equal partition is the count of its phrase, and partitions below
    the minimum are abandoned.
 
@@ -38,12 +41,22 @@ MAX_WORDS = 5
 WORDS = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
 #: Bits of the bitmap of frequent words: 2 MB, whatever the corpus.
 WORD_BITS = 24
+#: Words of the phrases that have a bitmap of the frequent ones.
+GRAMS = (2, 3)
+#: Bits of such a bitmap, least and most (2 to 32 MB); they only decide how many rare phrases are dropped early.
+GRAM_BITS = (24, 28)
+#: Bits of a hash within one packed array.
+PART_BITS = 15
+#: Pairs or triples, and rows of suffixes, that a scanning task sums up at once.
+HELD_GRAMS, HELD_ROWS = 2_000_000, 400_000
+#: Phrases of a shuffled row, and words of the corpus for each of the parts that these rows are dealt by.
+PACK, PART_WORDS = 100, 200_000
 #: Bytes of text that a scanning task handles at once; a longer piece is alone.
 CHUNK = 3 << 19
-#: Suffixes that a sorting task holds at once; more only if one route has more.
+#: Suffixes that a sorting task holds at once; more only if one part of the routes has more.
 BUFFER = 200_000
-#: Occurrences that a route may have, whatever its share.
-LEAST_SHARE = 1000
+#: Occurrences that a route may have, whatever its share, and those that it may have at most: they bound a sorting task's memory.
+LEAST_SHARE, MOST_SHARE = 1000, 1_000_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -140,22 +153,54 @@ def _summed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, of, n
 
 
-def suffixes(chunk: Chunk, frequent: np.ndarray, start: np.ndarray | None = None,
+def gram_width(words: int, least: int) -> int:
+    """Bits of the hashes: about eight times as many as there can be frequent phrases of a size, within ``GRAM_BITS``."""
+    return int(min(max((8 * words // max(1, least)).bit_length(), GRAM_BITS[0]), GRAM_BITS[1]))
+
+
+def gram_places(chunk: Chunk, frequent: np.ndarray, links: list[np.ndarray]) -> np.ndarray:
+    """The places of phrases, a word longer than those of the last of ``links``, whose parts may all be frequent."""
+    if links:
+        return np.flatnonzero(links[-1][:-1] & links[-1][1:])
+    may = frequent[chunk.ids]
+    return np.flatnonzero((chunk.piece[1:] == chunk.piece[:-1]) & may[1:] & may[:-1])
+
+
+def gram_bits(chunk: Chunk, keys: np.ndarray, at: np.ndarray, size: int, width: int) -> np.ndarray:
+    out = keys[chunk.ids[at]]
+    for k in range(1, size):
+        out = mix(out * np.uint64(3) + keys[chunk.ids[at + k]])
+    return (out >> np.uint64(64 - width)).astype(np.int64)
+
+
+def linked(chunk: Chunk, keys: np.ndarray, frequent: np.ndarray, maps: list[np.ndarray]) -> list[np.ndarray]:
+    """For each bitmap, of pairs, of triples: for every place whether the phrase there may be frequent."""
+    links: list[np.ndarray] = []
+    for size, bitmap in zip(GRAMS, maps):
+        at = gram_places(chunk, frequent, links)
+        own = np.zeros(len(chunk.ids), bool)
+        own[at[has_bit(bitmap, gram_bits(chunk, keys, at, size, (8 * len(bitmap)).bit_length() - 1))]] = True
+        links.append(own)
+    return links
+
+
+def suffixes(chunk: Chunk, links: list[np.ndarray], start: np.ndarray | None = None,
              size: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(dictionary numbers of the distinct suffixes of two words and more, -1 behind their end; how often).
 
-    ``start`` picks among the places, ``size`` ends a suffix earlier.
+    A suffix goes on as long as its last words, as many as each of ``links`` is about, may be frequent; ``start`` picks
+    among the places, ``size`` ends a suffix earlier.
     """
-    may = frequent[chunk.ids]
-    goes_on = np.zeros(len(chunk.ids) + size, bool)  # a next word of the same piece, both may be frequent
-    goes_on[:max(0, len(chunk.ids) - 1)] = (chunk.piece[1:] == chunk.piece[:-1]) & may[1:] & may[:-1]
-    at = np.flatnonzero(goes_on[:len(chunk.ids)] if start is None else goes_on[:len(chunk.ids)] & start)
+    may = [np.append(own, np.zeros(size, bool)) for own in links]
+    at = np.flatnonzero(links[0] if start is None else links[0] & start)
     ids = np.append(chunk.ids, np.full(size, -1, np.int64))
     rows = np.full((len(at), size), -1, np.int64)
     rows[:, 0] = ids[at]
     alive = np.ones(len(at), bool)
     for k in range(1, size):
-        alive &= goes_on[at + k - 1]
+        for words, own in zip(GRAMS, may):
+            if k >= words - 1:
+                alive &= own[at + k - words + 1]
         rows[alive, k] = ids[at[alive] + k]
     key = rows[:, 0]
     for k in range(1, size):
@@ -229,39 +274,43 @@ def count_prefixes(digits: np.ndarray, weight: np.ndarray, least: int) -> Iterat
 
 
 def _sort_step(least: int):
-    """Rows (route, depth, lang, phrase, n), sorted by route, to (lang, phrase, size, f) of the frequent prefixes.
+    """Packs (part, depth, lang, phrases, n of each), sorted by part, to (lang, phrase, size, f) of the frequent prefixes.
 
     Only prefixes no shorter than the route's words are whole in a task, and only those are given.
     """
     def count(rows: pa.RecordBatch) -> pa.RecordBatch:
-        split = pc.split_pattern(rows.column(3), " ")
+        of = np.repeat(np.arange(rows.num_rows), np.asarray(pc.list_value_length(rows.column(3))))
+        langs = rows.column(2).take(pa.array(of))
+        split = pc.split_pattern(rows.column(3).flatten(), " ")
         size = np.asarray(pc.list_value_length(split), np.int64)
         coded = split.flatten().dictionary_encode()
         no = np.full((len(size), MAX_WORDS), -1, np.int32)
         no[np.arange(MAX_WORDS)[None, :] < size[:, None]] = np.asarray(coded.indices)
-        lang = np.asarray(rows.column(2).dictionary_encode().indices, np.int32)
-        depth, weight = np.asarray(rows.column(1)), np.asarray(rows.column(4))
+        lang = np.asarray(langs.dictionary_encode().indices, np.int32)
+        depth, weight = np.asarray(rows.column(1))[of], np.asarray(rows.column(4).flatten())
         found = [(r, k - 1, n) for r, k, n in count_prefixes(np.column_stack([lang, no]), weight, least)
                  if k - 1 >= max(2, depth[r])]
         at = np.array([r for r, _, _ in found], np.int64)
         size = np.array([k for _, k, _ in found], np.int64)
         words = [coded.dictionary.take(pa.array(np.where(size > i, no[at, i], 0), mask=size <= i)) for i in range(MAX_WORDS)]
-        return pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(at)), _joined(words), pa.array(size, pa.int32()),
+        return pa.RecordBatch.from_arrays([langs.take(pa.array(at)), _joined(words), pa.array(size, pa.int32()),
                                            pa.array([n for *_, n in found], pa.int64())], names=["lang", "phrase", "size", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, limit = [], 0, BUFFER
         for b in batches:
             held.append(b)
-            n += b.num_rows
-            if n < BUFFER:
+            n += len(b.column(3).flatten())
+            if n < limit:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            route = np.asarray(rows.column(0))
-            cut = int(np.searchsorted(route, route[-1]))  # the last route may go on
+            part = np.asarray(rows.column(0))
+            cut = int(np.searchsorted(part, part[-1]))  # the last part may go on
             if cut:
                 yield count(rows.slice(0, cut))
-            held, n = [rows.slice(cut)], rows.num_rows - cut
+            held = [rows.slice(cut)]
+            n = len(held[0].column(3).flatten())
+            limit = max(BUFFER, 2 * n)
         if n:
             yield count(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
@@ -284,6 +333,67 @@ def _bitmap(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _gram_map(texts: DataFrame, word_map: np.ndarray, shorter: list[np.ndarray], width: int, least: int) -> np.ndarray:
+    """The bitmap of the hashes that occur ``least`` times or more, of the phrases a word longer than the last of
+    ``shorter`` (pairs without it); reaches the driver as 2**width bits at most.
+
+    A row is a run of hashes with the same leading bits: their other bits and how often, each count ``least`` at most,
+    which changes no comparison with it.
+    """
+    most = max(1, least)
+    kind = np.min_scalar_type(most)
+    parts, size = 1 << (width - PART_BITS), 1 << PART_BITS
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        bit, n = np.unique(np.concatenate(held), return_counts=True)
+        part = bit >> PART_BITS
+        at = np.searchsorted(part, np.arange(parts + 1))
+        own = np.flatnonzero(np.diff(at))
+
+        def column(values: np.ndarray) -> pa.Array:
+            places = np.append(at[own], len(values)).astype(np.int32) * np.int32(values.itemsize)
+            return pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(places), pa.py_buffer(values)])
+
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), column((bit & (size - 1)).astype(np.uint16)),
+                                           column(np.minimum(n, most).astype(kind))], names=["part", "bits", "n"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for chunk, langs in chunks_of(b, CHUNK):
+                keys, frequent = _frequent_words(chunk, langs, word_map)
+                at = gram_places(chunk, frequent, linked(chunk, keys, frequent, shorter))
+                held.append(gram_bits(chunk, keys, at, GRAMS[len(shorter)], width).astype(np.uint32))
+                n += len(at)
+                if n >= HELD_GRAMS:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(part: int, sums: np.ndarray) -> pa.RecordBatch:
+            bits = np.packbits(sums >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
+
+        now, sums = -1, np.zeros(size, np.int64)
+        for b in batches:  # sorted by part
+            for part, bits, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if part != now:
+                    if (sums >= least).any() and now >= 0:
+                        yield found(now, sums)
+                    now, sums = part, np.zeros(size, np.int64)
+                sums[np.frombuffer(bits.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), kind)  # a hash is there once
+        if now >= 0 and (sums >= least).any():
+            yield found(now, sums)
+
+    rows = map_arrow(texts, grams, "part int, bits binary, n binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((parts, size // 8), np.uint8)
+    for r in map_arrow(rows, often, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
 def _bits_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:  # lang, w1
         yield pa.RecordBatch.from_arrays([pa.array(word_bits(hash_words(b.column(1)) + lang_hashes(b.column(0))))], names=["bit"])
@@ -297,6 +407,47 @@ def _words_of(chunk: Chunk, rows: np.ndarray) -> list[pa.Array]:
     return [chunk.words.take(pa.array(np.maximum(rows[:, k], 0), mask=rows[:, k] < 0)) for k in range(rows.shape[1])]
 
 
+def _summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (.., n) with n summed up over equal ones, as far as ``HELD_ROWS`` rows go."""
+    held, n = [], 0
+
+    def summed() -> pa.Table:
+        names = held[0].schema.names
+        out = pa.Table.from_batches(held).group_by(names[:-1], use_threads=False).aggregate([("n", "sum")])
+        return out.rename_columns(["n" if c == "n_sum" else c for c in out.column_names]).select(names)
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < HELD_ROWS:
+            continue
+        rows = summed()
+        held, n = rows.to_batches(), rows.num_rows
+        if 2 * n > HELD_ROWS:  # few equal ones: given as they are
+            yield from held
+            held, n = [], 0
+    if n:
+        yield from summed().to_batches()
+
+
+def _packs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (route, depth, lang, phrase, n) as packs (part of the routes, depth, lang, phrases, n of each)."""
+    for b in batches:
+        part = (np.asarray(b.column(0)).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        coded = b.column(2).dictionary_encode()
+        key = (part * len(coded.dictionary) + np.asarray(coded.indices, np.int64)) * (MAX_WORDS + 1) + np.asarray(b.column(1))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.append(True, key[1:] != key[:-1])
+        since = np.arange(len(key)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        first = np.flatnonzero(since % PACK == 0)
+        places, one = pa.array(np.append(first, len(key)), pa.int32()), pa.array(order[first])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[order[first]]), b.column(1).take(one), b.column(2).take(one),
+             *[pa.ListArray.from_arrays(places, b.column(c).take(pa.array(order))) for c in (3, 4)]],
+            names=["part", "depth", "lang", "phrases", "n"])
+
+
 def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, n of all words; lang, phrase, size, f of every phrase of 1 to 5 words with f >= min_count)."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -314,13 +465,17 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang",
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     single = every.where(F.col("n") >= min_count)
     word_map = _bitmap(map_arrow(single.select("lang", "w1"), _bits_of_words, "bit long"), WORD_BITS)
-    hot, divided = _routes(texts, every, word_map)
+    words_in_all = every.agg(F.sum("n")).first()[0] or 0
+    maps: list[np.ndarray] = []
+    for _ in GRAMS:
+        maps.append(_gram_map(texts, word_map, list(maps), gram_width(words_in_all, min_count), min_count))
+    hot, divided = _routes(texts, every, words_in_all, word_map, maps)
 
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, langs in chunks_of(b, CHUNK):
                 keys, frequent = _frequent_words(chunk, langs, word_map)
-                rows, n = suffixes(chunk, frequent)
+                rows, n = suffixes(chunk, linked(chunk, keys, frequent, maps))
                 depth = 1 + hot.lengths(chunk, langs, rows)
                 route = keys[rows[:, 0]]
                 for k in range(1, MAX_WORDS):
@@ -330,8 +485,13 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang",
                     [pa.array(mix(route).view(np.int64)), pa.array(depth, pa.int32()), langs.take(pa.array(chunk.lang[rows[:, 0]])),
                      _joined(_words_of(chunk, rows)), pa.array(n, pa.int64())], names=["route", "depth", "lang", "phrase", "n"])
 
-    sorted_ = (map_arrow(texts, longer, "route long, depth int, lang string, phrase string, n long")
-               .repartition("route").sortWithinPartitions("route"))
+    parts = max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words_in_all // PART_WORDS)
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packs(_summed_rows(routed(batches)), parts)
+
+    sorted_ = (map_arrow(texts, longer, "part long, depth int, lang string, phrases array<string>, n array<long>")
+               .repartition("part").sortWithinPartitions("part"))
     deep = map_arrow(sorted_, _sort_step(min_count), "lang string, phrase string, size int, f long")
     shapes = [single.select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f")), deep]
     rows = [(p[0], " ".join(p[1:]), len(p) - 1, n) for p, n in divided if n >= min_count]
@@ -339,15 +499,16 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, lang_col: str = "lang",
     return totals, persist_table(reduce(DataFrame.unionByName, shapes), "phrases")
 
 
-def _routes(texts: DataFrame, every: DataFrame, word_map: np.ndarray) -> tuple[Hot, list[tuple[tuple[str, ...], int]]]:
+def _routes(texts: DataFrame, every: DataFrame, words_in_all: int, word_map: np.ndarray,
+            maps: list[np.ndarray]) -> tuple[Hot, list[tuple[tuple[str, ...], int]]]:
     """(the prefixes that are divided, and those of two words and more with their counts).
 
     A prefix that occurs oftener than the share consists of words that do so, too, so a level's prefixes are counted
     only where that can be. All prefixes of a level together occur at most as often as there are words: fewer than
-    partitions of them exceed the share and come to the driver.
+    partitions of them, or one in ``MOST_SHARE`` words, exceed the share and come to the driver.
     """
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(LEAST_SHARE, (every.agg(F.sum("n")).first()[0] or 0) // partitions)
+    share = max(LEAST_SHARE, min(MOST_SHARE, words_in_all // partitions))
     levels: list[list[tuple[str, ...]]] = [[(r["lang"], r["w1"]) for r in every.where(F.col("n") > share).collect()]]
     divided: list[tuple[tuple[str, ...], int]] = []
     for size in range(2, MAX_WORDS):
@@ -360,8 +521,9 @@ def _routes(texts: DataFrame, every: DataFrame, word_map: np.ndarray) -> tuple[H
             for b in batches:
                 for chunk, langs in chunks_of(b, CHUNK):
                     every_word = np.arange(len(chunk.words))[:, None]
-                    often = _frequent_words(chunk, langs, word_map)[1] & (single.lengths(chunk, langs, every_word) == 1)
-                    rows, n = suffixes(chunk, often, often[chunk.ids], size)
+                    keys, frequent = _frequent_words(chunk, langs, word_map)
+                    often = frequent & (single.lengths(chunk, langs, every_word) == 1)
+                    rows, n = suffixes(chunk, linked(chunk, keys, often, maps), often[chunk.ids], size)
                     whole = (rows[:, -1] >= 0) & (hot.lengths(chunk, langs, rows) == size - 1)
                     rows, n = rows[whole], n[whole]
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(chunk.lang[rows[:, 0]])), *_words_of(chunk, rows),

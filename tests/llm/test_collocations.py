@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lossframe.llm import catalog, collocations as C
@@ -94,3 +95,54 @@ def test_quicksort_counts():
                 want[tuple(row[:k])] += w
     got = {tuple(digits[r, :k].tolist()): n for r, k, n in C.count_prefixes(digits, weight, 60)}
     assert got == {p: n for p, n in want.items() if n >= 60}
+
+
+def test_rare_pairs_of_frequent_words_end_suffixes(spark):
+    """Words that are all frequent, in pairs of which few are: only those lead to rows, and the counts stay exact."""
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    rows = [("en", " ".join(rnd.choices(words, k=60)) + ". new york city") for _ in range(100)]
+    texts = frame(spark, rows).select("lang", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 100), pa.array([t for _, t in rows])], names=["lang", "text"])
+    (chunk, langs), = C.chunks_of(batch, C.CHUNK)
+    keys, every = chunk.word_keys(C.lang_hashes(langs)), np.ones(len(chunk.words), bool)
+    word_map = np.full((1 << C.WORD_BITS) // 8, 255, np.uint8)
+    for least in (8, 300):  # counts of one and of two bytes
+        pairs = C._gram_map(texts, word_map, [], C.gram_width(6300, least), least)
+        triples = C._gram_map(texts, word_map, [pairs], 24, least)
+        links = C.linked(chunk, keys, every, [pairs, triples])
+        assert [int(own.sum()) for own in links] == ([200, 100] if least == 8 else [0, 0])
+        found, n = C.suffixes(chunk, links)
+        assert n.tolist() == ([100, 100] if least == 8 else []) and (found >= 0).sum() == (5 if least == 8 else 0)
+    assert len(C.gram_places(chunk, every, [])) == 100 * 61
+    assert rows_of(C.collocations(frame(spark, rows), min_count=8)) == brute(rows, 8) != set()
+
+
+def test_route_is_bounded_on_few_partitions(spark, monkeypatch):
+    """One partition: a leading word of more than MOST_SHARE occurrences is divided all the same."""
+    monkeypatch.setattr(C, "MOST_SHARE", 1500)
+    monkeypatch.setattr(spark.conf, "get", lambda name, *other: "1" if name.endswith("shuffle.partitions") else type(spark.conf).get(spark.conf, name, *other))
+    docs = frame(spark, [("en", "x y z " * 2000)])
+    every = spark.createDataFrame([("en", w, 2000) for w in "xyz"], "lang string, w1 string, n long")
+    full = np.full((1 << C.WORD_BITS) // 8, 255, np.uint8)
+    hot, divided = C._routes(docs.select("lang", "text"), every, 6000, full, [full, full])
+    assert len(hot.levels[0]) == 3 and (("en", "x", "y"), 2000) in divided
+
+
+def test_equal_rows_of_chunks_are_summed():
+    def batch(n):
+        return pa.RecordBatch.from_pydict({"route": [1, 2], "lang": ["en", "fr"], "phrase": ["a b", "c d"], "n": [n, 1]})
+    rows = pa.Table.from_batches(C._summed_rows(iter([batch(3), batch(4)]))).to_pylist()
+    assert sorted((r["phrase"], r["n"]) for r in rows) == [("a b", 7), ("c d", 2)]
+
+
+def test_packs_keep_every_row():
+    rng = np.random.default_rng(3)
+    route, depth = rng.integers(-2**62, 2**62, 900), rng.integers(1, 3, 900)
+    names = ["route", "depth", "lang", "phrase", "n"]
+    rows = pa.RecordBatch.from_arrays([pa.array(route), pa.array(depth, pa.int32()), pa.array(["en", "fr", "de"] * 300),
+                                       pa.array([f"a b{i}" for i in range(900)]), pa.array(np.arange(900))], names=names)
+    packs = [p for b in C._packs(iter([rows]), 4) for p in b.to_pylist()]
+    got = {(p["part"], p["depth"], p["lang"], w, n) for p in packs for w, n in zip(p["phrases"], p["n"], strict=True)}
+    assert got == {(r["route"] % 2**64 % 4, *[r[c] for c in names[1:]]) for r in rows.to_pylist()} and len(got) == 900
+    assert max(len(p["phrases"]) for p in packs) <= C.PACK and len(packs) < 40
