@@ -2,9 +2,10 @@
 
 A run adds what its claims come to: one row a (year, lag, claim), with rows and amounts. Saving a run again adds, in the
 same commit, the negative of what the store holds of it. Nothing else is read or written then, so a
-run costs its own size, not the history's. Sums over the stored rows are the state; ``compact`` stores them as such. Commits
+run costs its own size, not the history's: its claims and the negative rows are summed up together, in one shuffle and one
+write. Sums over the stored rows are the state; ``compact`` stores them as such. Commits
 go through ``versions``: a crash leaves the old or the new state, and of two writers at once the second one
-takes its negative from the first one's result.
+takes its negative from the first one's result (and reads its claims again).
 
 A claim counts in a (year, lag) as long as its rows there come to more than none. All lags are stored; the
 reader takes those up to ``max_dev``. Claims without an id add to the amounts alone, as in ``triangles``.
@@ -20,7 +21,6 @@ from lossframe.constants import MAX_DEV_MONTHS
 from lossframe.functions.names import is_blank
 from lossframe.operators import versions
 from lossframe.operators.triangles import SUM, _dated
-from lossframe.session import persist_table
 
 MEASURES = ["n_rows", "paid", "incurred"]
 KEYS = ["run_id", "ay", "dev_mon", "claim_id"]
@@ -32,12 +32,11 @@ SCHEMA = T.StructType([
 NAME = "triangle_deltas"
 
 
-def run_delta(std: DataFrame, run_id: str) -> DataFrame:
-    """One row a (accident year, lag, claim) of a run's claims that have both dates."""
-    amounts = [F.coalesce(F.sum(f), F.lit(0)).cast(SUM).alias(f) for f in ("paid", "incurred")]
-    rows = (_dated(std).groupBy(F.col("ay").cast("int").alias("ay"), F.col("dev_mon").cast("int").alias("dev_mon"), "claim_id")
-            .agg(F.count(F.lit(1)).alias("n_rows"), *amounts))
-    return rows.select(F.lit(run_id).alias("run_id"), *SCHEMA.fieldNames()[1:])
+def _claim_rows(std: DataFrame, run_id: str) -> DataFrame:
+    """The claims that have both dates as rows of the store, each for itself."""
+    amounts = [F.coalesce(F.col(f), F.lit(0)).cast(SCHEMA[f].dataType).alias(f) for f in ("paid", "incurred")]
+    return _dated(std).select(F.lit(run_id).alias("run_id"), F.col("ay").cast("int").alias("ay"), F.col("dev_mon").cast("int").alias("dev_mon"),
+                              "claim_id", F.lit(1).cast("long").alias("n_rows"), *amounts)
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,21 +47,32 @@ def _not_zero() -> Column:
     return (F.col("n_rows") != 0) | (F.col("paid") != 0) | (F.col("incurred") != 0)
 
 
+def run_delta(std: DataFrame, run_id: str) -> DataFrame:
+    """One row a (accident year, lag, claim) of a run's claims that have both dates."""
+    return _of_run(_claim_rows(std, run_id), run_id)
+
+
+def _of_run(rows: DataFrame, run_id: str) -> DataFrame:
+    """Sums of rows that are all of one run: its name is no part of the key that is shuffled."""
+    return _summed(rows, KEYS[1:]).select(F.lit(run_id).alias("run_id"), *SCHEMA.fieldNames()[1:])
+
+
 def save_run(std: DataFrame, run_id: str, root: str) -> int:
     """Add a run, or put it in place of its earlier state. Returns the store's version."""
-    return _put(std.sparkSession, root, run_id, persist_table(run_delta(std, run_id), "triangle-delta"))
+    return _put(std.sparkSession, root, run_id, _claim_rows(std, run_id))
 
 
 def withdraw_run(spark: SparkSession, run_id: str, root: str) -> int:
     """Take a run out (e.g. one that retention removes)."""
-    return _put(spark, root, run_id, spark.createDataFrame([], SCHEMA))
+    return _put(spark, root, run_id, None)
 
 
-def _put(spark: SparkSession, root: str, run_id: str, new: DataFrame) -> int:
+def _put(spark: SparkSession, root: str, run_id: str, new: DataFrame | None) -> int:
     def change(store: DataFrame) -> DataFrame:
         negative = [(-F.col(m)).cast(SCHEMA[m].dataType).alias(m) for m in MEASURES]
         old = store.where(F.col("run_id") == run_id).select(*KEYS, *negative)
-        return _summed(old.unionByName(new), KEYS).where(_not_zero())  # a run saved again as it was adds no row
+        # a run saved again as it was adds no row
+        return _of_run(old if new is None else old.unionByName(new), run_id).where(_not_zero())
 
     return versions.extend(spark, f"{root}/{NAME}", SCHEMA, change)
 

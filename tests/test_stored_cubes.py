@@ -100,3 +100,16 @@ def test_a_re_save_that_meets_another_one(spark, tmp_path, monkeypatch):
     S.save_run(std, "r", root)
     monkeypatch.undo()
     assert rows(S.triangles_long(spark, root)) == full(std)
+
+
+def test_a_save_sums_up_once_and_stores_nothing_beside_the_table(spark, tmp_path, monkeypatch):
+    from lossframe.session import stored_tables
+
+    std, root, plans, real = claims(spark, made(90, 4)), str(tmp_path), [], W._write
+    monkeypatch.setattr(W, "_write", lambda df, table, kind: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, table, kind))
+    beside = stored_tables(spark)
+    for _ in range(2):
+        S.save_run(std, "r", root)
+    S.withdraw_run(spark, "r", root)
+    assert [p.count("Aggregate [") for p in plans] == [1, 1, 1] and stored_tables(spark) == beside
+    assert rows(S.triangles_long(spark, root)) == [] and rows(S.run_delta(std, "r")) == rows(S.run_delta(std.union(std.limit(0)), "r"))
