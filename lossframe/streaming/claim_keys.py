@@ -138,7 +138,9 @@ def start(spark: SparkSession, rows_path: str, out_path: str, checkpoint_locatio
         changed = persist_table(state, "claim-state")  # the streamed plan runs once
         batches = sorted(int(r[0]) for r in changed.where(F.col("kind") == BATCH).select("k1").collect())  # batches of the intake
         if batches:
-            own = (_read(spark, f"{rows_path}/digests", DIGESTS, batches).groupBy(*KEY).agg(F.sum("n").alias("n_new")))
+            own = _read(spark, f"{rows_path}/digests", DIGESTS, batches).select(*KEY, F.col("n").alias("n_new"))
+            if len(batches) > 1:  # one batch has one digest a key
+                own = own.groupBy(*KEY).agg(F.sum("n_new").alias("n_new"))
             met = changed.where(F.col("kind").isin(*kinds) & (F.col("n") > 1)).alias("c").join(own.alias("o"), _same("c", "o", KEY))
             keys = persist_table(met.select("c.*", "o.n_new"), "claim-changes")
             at = F.struct("batch_id", "source_file", "block", "position", "row_hash", "claim_id").alias("at")

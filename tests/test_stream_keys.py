@@ -100,3 +100,22 @@ def test_nothing_landed_or_no_issue(spark, dirs):
     step(spark, dirs)
     got = [(r.source_file, r.claim_id, r.detail) for r in set_issues(spark, dirs["sets"]).orderBy("source_file", "position").collect()]
     assert got[0] == ("a.csv", "A", "n=2") and ("c.csv", "A", "n=2") in got and len(got) == 3
+
+
+def test_digests_of_one_batch_are_not_summed_up_again(spark, dirs, monkeypatch):
+    from lossframe.streaming import claim_keys
+
+    plans, real = {}, claim_keys.persist_table
+
+    def kept(df, name="table"):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(claim_keys, "persist_table", kept)
+    land(dirs, "a.csv", [("A", "2024-01-01", "1"), ("a", "2024-01-01", "2"), ("B", "2024-01-02", "1")])
+    step(spark, dirs)
+    for n in range(3):  # two batches of the intake, which the keys stream takes as one
+        land(dirs, f"b{n}.csv", [("B", "2024-01-02", "1"), (f"C{n}", "", "1")])
+    step(spark, dirs)
+    assert ["Aggregate [" in p for p in plans["claim-changes"]] == [False, True]
+    assert shape(streamed(spark, dirs)) == shape(batch(spark, dirs))
