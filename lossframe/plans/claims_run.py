@@ -121,12 +121,16 @@ def intake(spark: SparkSession, paths: str | list[str], mapping: dict[str, str]
 
 
 def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | None = None,
-        policy_end: date | None = None, run_id: str | None = None, persist: bool = True) -> RunResult:
-    """Validate, summarise and build triangles over a numbered standard table."""
+        policy_end: date | None = None, run_id: str | None = None, persist: bool = True, stored: bool = False) -> RunResult:
+    """Validate, summarise and build triangles over a numbered standard table.
+
+    ``stored``: ``std`` is numbered over a stored table, as ``prepare`` and ``intake`` return it, and is not written again. The
+    claims with their issues are written if a rule has joined them with the claim keys; the rules of a row alone are as cheap as
+    reading their result."""
     timings = {}
     t = time.perf_counter()
     cfg = (cfg or V.RuleConfig()).with_term(policy_start, policy_end)
-    if persist:
+    if persist and not stored:
         std = persist_table(std, "std")
     timings["persist"] = time.perf_counter() - t
     run_id = run_id or (std.select("run_id").first()[0] if "run_id" in std.columns else new_run_id())
@@ -136,10 +140,10 @@ def run(std: DataFrame, cfg: V.RuleConfig | None = None, policy_start: date | No
     fences = None
     if cfg.rule_paid_outliers:
         fences = V.paid_fences(std, cfg, shared["all"] if shared else None)
-    # one pass: claims + their issue arrays, persisted; issues and the
+    # one pass: claims + their issue arrays; issues and the
     # "why flagged" text are both projections of it
     ann = V.annotate(std, cfg, fences)
-    if persist:
+    if persist and (cfg.rule_duplicates or cfg.rule_multi_rows_per_claim):
         ann = persist_table(ann, "annotated")
     issues = ann.select(F.col("row_id").alias("row"), "claim_id", F.explode("_issues").alias("_i")).select(
         "row", "claim_id", F.col("_i.issue").alias("issue"), F.col("_i.detail").alias("detail"),
@@ -190,7 +194,7 @@ def process(spark: SparkSession, paths: str | list[str], root: str, cfg: V.RuleC
     H.append_audit(spark, root, "run_requested", {"run_id": run_id, "files": scrubbed})
     try:
         std, checks = intake(spark, paths, tenant_id=tenant_id, run_id=run_id, **intake_options)
-        result = run(std, cfg, policy_start, policy_end, run_id)
+        result = run(std, cfg, policy_start, policy_end, run_id, stored=True)
         save(result, root, tenant_id)
         H.append_audit(spark, root, "run_completed", {"run_id": run_id, "n_rows": result.summary["n_rows"],
                                                       "n_rejected_files": checks.where("NOT ok").count()})

@@ -7,10 +7,13 @@ mapping, cleaning and validation path gets real work. The recipe is a
 fixed definition (documented in FIXTURES.md §3), mirrored in DuckDB SQL by
 ``lossframe.plans.oracle``.
 
-Both joins are plain equi-joins left to the optimizer: sort-merge on the
-order key for the two large sides; adaptive execution switches the
-customer side to a broadcast at runtime only when its measured size is
-under the broadcast threshold.
+Both joins are plain equi-joins left to the optimizer. Orders meet their
+customers first, so the line items, by far the most rows, are shuffled once
+for the joins; adaptive execution switches the customer side to a broadcast at
+runtime only when its measured size is under the broadcast threshold.
+
+What is stored and sorted are the joined numbers; the texts of the raw view
+are a projection of them, built where they are read.
 """
 
 from __future__ import annotations
@@ -44,27 +47,25 @@ def _money_text(x: Column) -> Column:
             .otherwise(F.concat(F.lit("$ "), x.cast("string"))))
 
 
-def claims_raw(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
-    """Raw loss-run rows (all text) plus the four ordering keys.
+def claims_joined(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """What ``raw_texts`` reads, one row a line item: keys, amounts, dates without their time, and columns of the three tables.
 
-    ``ordered``: in the order of the keys. The joined numbers are sorted, the texts are built after it, so
-    the range partitioner's sampling pass does not build them too."""
+    ``ordered``: in the order of the keys. The joined numbers are sorted, the amounts are built after it."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        *ORDER_KEYS, "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("_shipped"))
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("_ordered"))
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    j = li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).join(cu, F.col("o_custkey") == F.col("c_custkey"))
-
+    of = od.join(cu, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+    money = [F.col(c).cast(PRICE).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")]
+    j = li.join(of, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *ORDER_KEYS, *money, "l_returnflag", "l_linestatus", "_shipped", "_ordered", "c_custkey", "c_name", "c_nationkey")
     if ordered:
         n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        j = (j.drop("o_orderkey", "o_custkey").repartitionByRange(n, *ORDER_KEYS).sortWithinPartitions(*ORDER_KEYS))
+        j = j.repartitionByRange(n, *ORDER_KEYS).sortWithinPartitions(*ORDER_KEYS)
     ok, pk, sk, ln = (F.col(c) for c in ORDER_KEYS)
-    ck = F.col("c_custkey")
     # a column for each amount, so that none is computed again for every place it is used in
-    price, paid, incurred, reserve = (F.col(f"_{c}") for c in ("price", "paid", "incurred", "reserve"))
-    j = j.select("*", F.col("l_extendedprice").cast(PRICE).alias("_price"),
-                 (1 + F.col("l_tax").cast(PRICE) - F.col("l_discount").cast(PRICE)).alias("_factor"))
+    price, paid, incurred = (F.col(f"_{c}") for c in ("price", "paid", "incurred"))
+    j = j.select("*", F.col("l_extendedprice").alias("_price"), (1 + F.col("l_tax") - F.col("l_discount")).alias("_factor"))
     j = j.select("*", (F.when(ok % 61 == 0, F.lit(None))
                        .when(ok % 53 == 0, F.lit(0))
                        .when((ok % 11 == 0) & (F.col("l_returnflag") == "R"), -price)
@@ -74,7 +75,20 @@ def claims_raw(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataF
     j = j.select("*", (F.when(ln == 5, incurred - paid + 1)
                        .when(ln == 6, F.lit(None))
                        .otherwise(incurred - paid)).cast(PRICE).alias("_reserve"))
-    odate = F.to_date("o_orderdate")
+    return j.drop("l_extendedprice", "l_discount", "l_tax", "_price", "_factor")
+
+
+def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw loss-run rows (all text) plus the four ordering keys."""
+    return raw_texts(claims_joined(spark, sf_dir))
+
+
+def raw_texts(j: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The raw view of ``claims_joined``, and its columns ``keep``."""
+    ok, pk, sk, ln = (F.col(c) for c in ORDER_KEYS)
+    ck = F.col("c_custkey")
+    paid, incurred, reserve = (F.col(f"_{c}") for c in ("paid", "incurred", "reserve"))
+    odate = F.col("_ordered")
     loss_text = (F.when(ok % 71 == 0, F.lit("n/a"))
                  .when(ln % 3 == 0, F.date_format(odate, "yyyy-MM-dd"))
                  .when(ln % 3 == 1, F.date_format(odate, "dd/MM/yyyy"))
@@ -90,7 +104,7 @@ def claims_raw(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataF
         (F.when(ok % 97 == 0, F.lit(None)).when(ok % 89 == 0, F.lit(""))
          .otherwise(F.concat(F.lit("C-"), ok.cast("string")))).alias("claim_no"),
         loss_text.alias("date_of_loss"),
-        F.when(ok % 73 == 0, F.lit(None)).otherwise(F.date_format(F.to_date("l_shipdate"), "yyyy-MM-dd"))
+        F.when(ok % 73 == 0, F.lit(None)).otherwise(F.date_format("_shipped", "yyyy-MM-dd"))
         .alias("reported_date"),
         _money_text(paid).alias("paid_amount"),
         F.when(ok % 67 == 0, F.lit(None)).otherwise(_money_text(incurred)).alias("total_incurred"),
@@ -99,7 +113,7 @@ def claims_raw(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataF
         F.when(ck % 83 == 0, F.lit(None)).otherwise(F.concat(F.lit("POL-"), ck.cast("string"))).alias("policy_no"),
         F.col("l_linestatus").alias("claim_status"),
         F.when(ck % 79 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("insured_name"),
-        "l_returnflag",
+        "l_returnflag", *keep,
     )
 
 
@@ -110,14 +124,19 @@ RAW_HEADERS = ["row_key", "claim_no", "date_of_loss", "reported_date", "paid_amo
 _PERSISTED: dict = {}
 
 
-def claims_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw view written once per session, in row order (the uploaded 'file' as stored)."""
+def claims_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined numbers written once per session, in row order (the uploaded 'file' as stored)."""
     key = ("raw", *_session_key(spark, sf_dir))
     if key not in _PERSISTED:
-        _PERSISTED[key] = persist_table(claims_raw(spark, sf_dir, ordered=True), "raw")
+        _PERSISTED[key] = persist_table(claims_joined(spark, sf_dir, ordered=True), "raw")
     return _PERSISTED[key]
 
 
+def claims_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw view in row order, over the stored numbers."""
+    return raw_texts(claims_stored(spark, sf_dir))
+
+
 def _session_key(spark: SparkSession, sf_dir: str) -> tuple:
     """Application, folder, and the state of its tables' files: changed input is stored anew."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -152,10 +171,10 @@ def claims_std(spark: SparkSession, sf_dir: str, locale: str = "AU", numbered: b
             std = persist_table(std, "std")
             _PERSISTED[key] = std
         return std
-    # The stored raw rows have their order: number them at the scan and
+    # The stored rows have their order: number them at the scan and
     # standardise once into the stored table. No further copy.
     keep = ["row_id"] + [c for c in keep_raw if c != "row_id"]
-    raw = number_stored(claims_raw_table(spark, sf_dir))
+    raw = raw_texts(number_stored(claims_stored(spark, sf_dir)), keep=("row_id",))
     std = standardize(raw, mapping, locale=locale, source_file=FIXTURE_FILE, tenant_id=tenant_id,
                       run_id=run_id, keep=keep)
     if not persisted:
