@@ -1,7 +1,7 @@
 """What the claims queries leave on disk: shuffles and copies of the claims."""
 
 import time
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 
@@ -10,6 +10,7 @@ from lossframe.operators.rules import RuleConfig
 from lossframe.plans import claims_run as R
 from lossframe.session import persist_table
 from lossframe.sources import fixtures as X
+from lossframe.streaming import claim_keys as CK
 
 
 @pytest.fixture
@@ -92,3 +93,29 @@ def test_a_run_stores_its_claims_once(spark, tmp_path, monkeypatch):
     res = R.process(spark, str(tmp_path / "in"), str(tmp_path / "store"), RuleConfig.only("rule_duplicates"), run_id="r2")
     assert [name for name, columns in stored if "claimant" in columns] == ["numbered", "annotated"]
     assert [r.row for r in res.issues.collect()] == [2]
+
+
+def test_keys_of_the_stream_carry_numbers_and_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Places are one number in files, state and shuffles, and come back as they were, also those of two files of one name."""
+    day, task = date(2023, 1, 1), 1 << 33
+    batches = [[("b.csv", 0, 1, 10, "A", day), ("a.csv", 0, 2 * task + 3, 11, "a", day), ("a.csv", 0, task, 12, "A", None),
+                ("a.csv", 64, 3 * task, 13, None, day), ("a.csv", 0, task + 1, 14, "X", day), ("a.csv", 0, 2 * task, 15, "Y", None)],
+               [("a.csv", 0, 0, 16, "X", None), ("c.csv", 0, 1, 17, None, day), ("c.csv", 0, 2, 18, "a", day)]]
+    plans, real, root = {}, CK.publish, str(tmp_path)
+
+    def kept(df, path, batch_id):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        real(df, path, batch_id)
+
+    monkeypatch.setattr(CK, "publish", kept)
+    for n, rows in enumerate(batches):
+        std = spark.createDataFrame(rows, f"source_file string, `{N.BLOCK}` long, `{N.POSITION}` long, row_hash long, claim_id string, loss_date date")
+        CK.publish_rows(std, root, n)
+        assert plans["digests"].count("Exchange hashpartitioning") == 1
+        CK.start(spark, root, f"{root}/out", f"{root}/ck").awaitTermination()
+    texts = [f.name for f in spark.read.parquet(f"{root}/digests/batch-{0:012d}").schema if f.dataType.simpleString() not in ("int", "bigint", "date")]
+    assert texts == ["k1"]
+    got = [(r.batch_id, r.source_file, r.block, r.position, r.row_hash, r.claim_id, r.rule_order, r.detail[:3]) for r in CK.set_issues(spark, f"{root}/out").collect()]
+    rule = {8: "dup", 19: "n=2"}
+    assert sorted(got, key=str) == sorted([(b, *batches[b][i][:5], k, rule[k]) for b, i, k in [
+        (0, 0, 8), (1, 1, 8), (1, 2, 8), (0, 0, 19), (0, 2, 19), (0, 3, 19), (1, 1, 19), (0, 4, 19), (1, 0, 19), (0, 1, 19), (1, 2, 19)]], key=str)
