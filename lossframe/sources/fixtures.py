@@ -55,7 +55,8 @@ def claims_joined(spark: SparkSession, sf_dir: str, ordered: bool = False) -> Da
         *ORDER_KEYS, "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("_shipped"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("_ordered"))
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    of = od.join(cu, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+    # merged whatever their size: line items of equal keys stay in the order of their file, which the build side of a hash join does not keep
+    of = od.join(cu, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey").hint("merge")
     money = [F.col(c).cast(PRICE).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")]
     j = li.join(of, F.col("l_orderkey") == F.col("o_orderkey")).select(
         *ORDER_KEYS, *money, "l_returnflag", "l_linestatus", "_shipped", "_ordered", "c_custkey", "c_name", "c_nationkey")

@@ -53,6 +53,15 @@ def test_stored_claims_are_numbers_and_give_the_raw_view(spark, tables):
     assert std == {1: "C-2", 2: "C-2", 3: "C-11", 4: "C-67", 5: None}
 
 
+def test_line_items_of_equal_keys_stay_in_file_order(spark, tables):
+    li = spark.read.parquet(f"{tables}/lineitem.parquet").where("l_orderkey = 4")
+    day = datetime(2023, 3, 4)
+    spark.createDataFrame([(4, 1, 3, 2, float(p), 0.0, 0.0, "N", "O", day) for p in (7, 3, 9, 1)], li.schema).coalesce(1).write.mode("overwrite").parquet(
+        f"{tables}/lineitem.parquet")
+    spark.createDataFrame([(4, 1, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.mode("overwrite").parquet(f"{tables}/orders.parquet")
+    assert [int(r["paid"]) for r in X.claims_std(spark, tables).orderBy("row_id").collect()] == [7, 3, 9, 1]
+
+
 def test_shuffle_files_of_stored_tables_go(spark):
     manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
 
